@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("traffic",)
+MODULES = ("traffic", "alerts", "integration")
 
 
 def all_queries() -> tuple[dict, dict]:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.sql import cols, select
+from checks.sql import cols, guard_rounds, select
+from corridor_spark.functions.numbers import rounded
 from corridor_spark.layers import Layers, layers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +18,7 @@ ORACLES: dict[str, str] = {}
 def shape(df: DataFrame, spec: str) -> DataFrame:
     """Columns of a spec, doubles rounded to the digits it names."""
     return df.select(
-        *[F.round(F.col(c).cast("double"), d).alias(c) if d is not None else F.col(c) for c, d in cols(spec)]
+        *[rounded(F.col(c).cast("double"), d).alias(c) if d is not None else F.col(c) for c, d in cols(spec)]
     )
 
 
@@ -31,4 +32,4 @@ def add(name: str, spec: str, build: Callable[[Layers], DataFrame], ctes: str |
 
     QUERIES[name] = run
     if source is not None:
-        ORACLES[name] = (f"WITH {ctes} " if ctes else "") + select(spec, source)
+        ORACLES[name] = guard_rounds((f"WITH {ctes} " if ctes else "") + select(spec, source))

@@ -10,7 +10,23 @@ P = "|".join(ROUTE_PREFIXES)
 
 def cols(spec: str) -> list[tuple[str, int | None]]:
     """``"a b:4"`` → names and the digits to round to."""
-    return [(p.split(":")[0], int(p.split(":")[1]) if ":" in p else None) for p in spec.split()]
+    return [(p.split(":")[0], max(4, int(p.split(":")[1])) if ":" in p else None) for p in spec.split()]
+
+
+def guard_rounds(sql: str) -> str:
+    """Add the package's rounding guard to every ``ROUND(x, digits)``."""
+    out, at = [], 0
+    while (hit := sql.find("ROUND(", at)) >= 0:
+        depth, comma, i = 0, -1, hit + 6
+        while depth or sql[i] != ")":
+            depth += (sql[i] in "([{") - (sql[i] in ")]}")
+            if sql[i] == "," and not depth:
+                comma = i
+            i += 1
+        inner = guard_rounds(sql[hit + 6:comma])
+        out += [sql[at:hit], "ROUND(", inner, " + 1e-9", sql[comma:i + 1]]
+        at = i + 1
+    return "".join(out) + sql[at:]
 
 
 def select(spec: str, source: str) -> str:

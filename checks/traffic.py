@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import add
-from checks.sql import ALIASES, JAM_PANEL, JAM_SUMMARY, JAMS, ROADS, UNIQUE, has, norm, plain, refs, resolve, scale, tcompact, title, ttext, wsum
+from checks.sql import (
+    ALIASES, JAM_PANEL, JAM_SUMMARY, JAMS, ROADS, UNIQUE, compact, norm, plain, refs, resolve, road, scale, tcompact, title,
+    ttext, words,
+)
 from corridor_spark.fixtures import cte
 from corridor_spark.operators import norms
 from corridor_spark.operators.contains import best_contained
@@ -13,19 +16,20 @@ from corridor_spark.operators.tables import top_rows
 from corridor_spark.plans import jams as jam_plan
 from corridor_spark.plans.resolve import resolve_texts
 from corridor_spark.functions import refs as ref_fn
+from corridor_spark.sources.sinks import jam_layers
 from corridor_spark.functions import text as text_fn
 
 add("unique_jams",
-    "uuid id ts_first:0 event_hour street_modal city_modal level_max:4 level_median:4 level_mean:4 level_range:4 delay_max:4 "
+    "uuid id event_hour street_modal city_modal level_max:4 level_median:4 level_mean:4 level_range:4 delay_max:4 "
     "delay_median:4 delay_mean:4 delay_std:4 delay_range:4 length_max:4 length_median:4 length_mean:4 length_std:4 "
-    "length_range:4 speed_min:4 speed_median:4 speed_mean:4 speed_std:4 speed_range:4 records_per_uuid".replace("ts_first:0 ", ""),
+    "length_range:4 speed_min:4 speed_median:4 speed_mean:4 speed_std:4 speed_range:4 records_per_uuid",
     lambda x: x.unique_jams, UNIQUE, "jam1")
 
 add("jam_texts", "uuid street_norm city_norm route_ref road_name_candidate road_text_combined has_street has_route_ref",
     lambda x: x.unique_jams, UNIQUE + f""",
 tx AS (SELECT uuid, street_modal AS street, city_modal, {ttext('street_modal')} AS t FROM jam1),
-pp AS (SELECT *, list_filter(list_transform(string_split(t, '/'), lambda x: {__import__('checks.sql', fromlist=['words']).words(plain('x'))}), lambda x: x <> '') AS parts,
-       {__import__('checks.sql', fromlist=['words']).words(plain('t'))} AS street_norm, array_to_string({refs('t')}, ';') AS route_ref FROM tx),
+pp AS (SELECT *, list_filter(list_transform(string_split(t, '/'), lambda x: {words(plain('x'))}), lambda x: x <> '') AS parts,
+       {words(plain('t'))} AS street_norm, array_to_string({refs('t')}, ';') AS route_ref FROM tx),
 qq AS (SELECT *, CASE WHEN len(parts) >= 2 THEN COALESCE(list_filter(parts, lambda x: len({refs('x')}) = 0)[1], parts[-1]) ELSE '' END AS aft FROM pp),
 res AS (SELECT uuid, street_norm, {tcompact('city_modal')} AS city_norm, route_ref, {title('aft')} AS road_name_candidate,
         street_norm AS road_text_combined, street_norm <> '' AS has_street, route_ref <> '' AS has_route_ref FROM qq)""", "res")
@@ -76,17 +80,9 @@ add("jam_behavior",
 add("jam_profile", "corridor_norm event_hour intensity:2",
     lambda x: x.jam_summary.select("corridor_norm", F.posexplode("corridor_hour_profile").alias("event_hour", "intensity")),
     JAM_PANEL + """,
-pr AS (SELECT corridor_norm, CAST(h AS INT) AS event_hour, COALESCE(jam_intensity_total, 0) AS intensity
-       FROM (SELECT DISTINCT corridor_norm FROM jam_panel), range(24) t(h) LEFT JOIN jam_panel p USING (corridor_norm)
-       WHERE false UNION ALL
-       SELECT k.corridor_norm, CAST(k.h AS INT), COALESCE(p.jam_intensity_total, 0)
+pr AS (SELECT k.corridor_norm, CAST(k.h AS INT) AS event_hour, COALESCE(p.jam_intensity_total, 0) AS intensity
        FROM (SELECT * FROM (SELECT DISTINCT corridor_norm FROM jam_panel), range(24) t(h)) k
-       LEFT JOIN jam_panel p ON p.corridor_norm = k.corridor_norm AND p.event_hour = k.h)""".replace("""
-       FROM (SELECT DISTINCT corridor_norm FROM jam_panel), range(24) t(h) LEFT JOIN jam_panel p USING (corridor_norm)
-       WHERE false UNION ALL
-       SELECT k.corridor_norm""", """
-       FROM (SELECT NULL::VARCHAR AS corridor_norm, NULL::INT AS h, NULL::DOUBLE AS jam_intensity_total) WHERE false UNION ALL
-       SELECT k.corridor_norm"""), "pr")
+       LEFT JOIN jam_panel p ON p.corridor_norm = k.corridor_norm AND p.event_hour = k.h)""", "pr")
 
 add("heat_matrix", "corridor_norm h0:2 h7:2 h12:2 h18:2 h23:2",
     lambda x: jam_plan.heat_matrix(x.jam_panel, x.jam_summary, "corridor_norm", "corridor_jam_pressure_score", "jam_intensity_total")
@@ -106,7 +102,7 @@ add("top_jams", "uuid corridor_norm jam_intensity_score:3 delay_density:3",
     "(SELECT * FROM jams ORDER BY jam_intensity_score DESC, uuid LIMIT 50)")
 
 add("jam_layers", "corridor_norm corridor_norm_key segments length_m:1 corridor_jam_pressure_score:3",
-    lambda x: __import__("corridor_spark.sources.sinks", fromlist=["jam_layers"]).jam_layers(x.jam_summary, x.segments)
+    lambda x: jam_layers(x.jam_summary, x.segments)
     .groupBy("corridor_norm", "corridor_norm_key", "corridor_jam_pressure_score")
     .agg(F.count(F.lit(1)).alias("segments"), F.sum("length_m").alias("length_m")),
     f"{JAM_SUMMARY}, jl AS (SELECT corridor_norm, {tcompact('corridor_norm')} AS corridor_norm_key, count(*) AS segments, sum(length_m) AS length_m, "
@@ -147,9 +143,9 @@ add("norm_max", "event_id value_norm:6 value_log:6", _max,
     "n AS (SELECT event_id, value / GREATEST(max(value) OVER (), 1e0) AS value_norm, ln(1+value)/ln(1+GREATEST(max(value) OVER (), 1e0)) AS value_log FROM events)", "n")
 
 add("text_compact", "doc_id compact", lambda x: x.table("documents").select("doc_id", text_fn.compact_text(F.col("text")).alias("compact")),
-    None, f"(SELECT doc_id, {__import__('checks.sql', fromlist=['compact']).compact('text')} AS compact FROM documents)")
+    None, f"(SELECT doc_id, {compact('text')} AS compact FROM documents)")
 add("text_tags", "page_id plain", lambda x: x.table("pages").select("page_id", text_fn.compact_text(F.col("html")).alias("plain")),
-    None, f"(SELECT page_id, {__import__('checks.sql', fromlist=['compact']).compact('html')} AS plain FROM pages)")
+    None, f"(SELECT page_id, {compact('html')} AS plain FROM pages)")
 add("text_titles", "conv_id turn title", lambda x: x.table("conversations").withColumn("_c", text_fn.traffic_compact(F.col("text")))
     .select("conv_id", "turn", text_fn.road_title(F.col("_c")).alias("title")),
     f"c AS (SELECT conv_id, turn, {tcompact('text')} AS t FROM conversations), r AS (SELECT conv_id, turn, {title('t')} AS title FROM c)", "r")
@@ -177,7 +173,7 @@ p AS (SELECT event_hour, CASE WHEN event_hour <= 5 THEN 'madrugada' WHEN event_h
 add("alias_match", "txt key corridor_norm priority:1",
     lambda x: best_contained(x.unique_jams.select(F.col("street_norm").alias("txt")), "txt", x.lookups.aliases, "key",
                              F.struct("priority", F.length("key"), "key"), ["key", "corridor_norm", "priority"]),
-    f"""{ALIASES}, {UNIQUE}, tt AS (SELECT DISTINCT {__import__('checks.sql', fromlist=['road']).road('street_modal')} AS txt FROM jam1),
+    f"""{ALIASES}, {UNIQUE}, tt AS (SELECT DISTINCT {road('street_modal')} AS txt FROM jam1),
 am AS (SELECT txt, key, corridor_norm, priority FROM (SELECT *, row_number() OVER (PARTITION BY txt ORDER BY priority DESC, length(key) DESC, key DESC) rn
  FROM tt JOIN alias_lookup ON contains(txt, key)) WHERE rn = 1)""", "am")
 add("ref_lookup", "key name road_type length_km:3 departments", lambda x: x.lookups.refs, ROADS, "ref_lookup")
@@ -193,4 +189,3 @@ add("resolve_texts", "street has_city corridor_norm corridor_group corridor_matc
     _alert_texts,
     f"{ROADS}, {ALIASES}, {cte('alert')}, {resolve('SELECT street, ' + tcompact('city') + chr(32) + chr(60) + chr(62) + repr('') + ' AS has_city FROM alert')}",
     "resolved")
-_ = (has, wsum)

@@ -9,6 +9,16 @@ from corridor_spark.functions.text import nonempty
 from corridor_spark.lexicons import LOCAL_ZONE, NUMBER_WORDS
 
 
+def rounded(col: Column | str, digits: int) -> Column:
+    """Half-up rounding in which a value a hair below a tie counts as the tie.
+
+    Scores are sums of rounded parts, so exact ties are common, and the last
+    bit of a sum depends on the order of addition. The guard keeps the result
+    the same for every partitioning.
+    """
+    return F.round((F.col(col) if isinstance(col, str) else col) + F.lit(1e-9), digits)
+
+
 def number(col: Column) -> Column:
     """Double, or null for text that is no number, ``NaN`` included."""
     value = F.try_cast(col, "double") if hasattr(F, "try_cast") else col.try_cast("double")
@@ -30,7 +40,7 @@ def safe_divide(num: Column, den: Column, fill: float = 0.0) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     """Share in percent with two decimals; 0 when the whole is 0."""
-    return F.when(whole == 0, 0.0).otherwise(F.round(part.cast("double") / whole.cast("double") * 100, 2))
+    return F.when(whole == 0, 0.0).otherwise(rounded(part.cast("double") / whole.cast("double") * 100, 2))
 
 
 def text_bool(col: Column, words: tuple[str, ...] = ("true", "1", "yes")) -> Column:

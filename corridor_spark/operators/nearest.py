@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corridor_spark.functions.numbers import rounded
 from corridor_spark.functions.geo import foot_point, line_pieces, piece_distance
 from corridor_spark.session import stage
 
@@ -116,6 +117,10 @@ def candidate_pairs(
     )
 
 
+def _micrometres() -> Column:
+    return F.floor(F.col("distance_m") * 1e6 + 0.5).alias("_um")
+
+
 def _group_keys(pairs: DataFrame, keys: Sequence[str]) -> list[str]:
     extra = ["_salt"] if "_salt" in pairs.columns else []
     return ["_cx", "_cy", *keys, *extra, "point_id"]
@@ -136,7 +141,8 @@ def nearest(
 
     ``points`` needs ``point_id, x, y`` (plus ``keys``). Small radii run first,
     and only points without a hit go on to the next, so sparse areas alone pay
-    for wide cells. Equal distances are decided by the smallest ``order`` value.
+    for wide cells. Distances equal to the micrometre are decided by the
+    smallest ``order`` value, so shared end points do not depend on float noise.
     Returns ``point_id, distance_m`` and the attributes of the winning piece.
     """
     keys, attributes = list(keys), list(attributes)
@@ -155,7 +161,7 @@ def nearest(
         payload = [*attributes, *(["foot"] if foot else [])]
         best = (
             pairs.groupBy(*_group_keys(pairs, keys))
-            .agg(F.min(F.struct("distance_m", order, *[a for a in payload if a != order])).alias("_b"))
+            .agg(F.min(F.struct(_micrometres(), order, "distance_m", *[a for a in payload if a != order])).alias("_b"))
             .select("point_id", "_b.distance_m", *[f"_b.{a}" for a in payload])
         )
         if i + 1 < len(radii_m):
@@ -197,7 +203,7 @@ def nearest_by_bounds(points: DataFrame, ways: DataFrame, degrees: float, attrib
     return (
         pairs.withColumn("distance_m", distance)
         .groupBy("_cx", "_cy", "point_id")
-        .agg(F.min(F.struct("distance_m", order, *[a for a in attributes if a != order])).alias("_b"))
+        .agg(F.min(F.struct(_micrometres(), order, "distance_m", *[a for a in attributes if a != order])).alias("_b"))
         .select("point_id", "_b.distance_m", *[f"_b.{a}" for a in attributes])
     )
 
@@ -226,7 +232,7 @@ def k_nearest(
         .agg(F.min("distance_m").alias("distance_m"), *[F.first(a).alias(a) for a in attributes if a != order])
     )
     if digits is not None:
-        roads = roads.withColumn("distance_m", F.round("distance_m", digits))
+        roads = roads.withColumn("distance_m", rounded("distance_m", digits))
     ranked = roads.withColumn(
         "candidate_rank", F.row_number().over(Window.partitionBy(*inner).orderBy("distance_m", order))
     )
@@ -247,6 +253,6 @@ def nearest_of_key(points: DataFrame, pieces: DataFrame, key: str, attributes: S
     )
     return (
         pairs.groupBy("point_id")
-        .agg(F.min(F.struct("distance_m", order, *[a for a in attributes if a != order])).alias("_b"))
+        .agg(F.min(F.struct(_micrometres(), order, "distance_m", *[a for a in attributes if a != order])).alias("_b"))
         .select("point_id", "_b.distance_m", *[f"_b.{a}" for a in attributes])
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corridor_spark.functions.numbers import rounded
+
 ROWS_PER_SLICE = 1_000_000
 
 
@@ -71,7 +73,7 @@ def correlations(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataF
         *by,
         "n_rows",
         *[
-            F.round(F.when(F.col("n_rows") > 2, F.coalesce(F.col(c), F.lit(0.0))).otherwise(0.0), 4).alias(c)
+            rounded(F.when(F.col("n_rows") > 2, F.coalesce(F.col(c), F.lit(0.0))).otherwise(0.0), 4).alias(c)
             for c in ("pearson", "spearman")
         ],
     )

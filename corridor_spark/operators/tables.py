@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corridor_spark.functions.numbers import percent
+from corridor_spark.functions.numbers import percent, rounded
 
 
 def ensure_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -33,7 +33,7 @@ def metric_rows(df: DataFrame, metrics: Sequence[tuple[str, Column]], total: Col
     structs = []
     for name, share in shares.items():
         pct = percent(F.col(name), F.col("_total")) if share else F.lit(None).cast("double")
-        structs.append(F.struct(F.lit(name).alias("metric"), F.round(F.col(name), 4).alias("value"),
+        structs.append(F.struct(F.lit(name).alias("metric"), rounded(F.col(name), 4).alias("value"),
                                 pct.alias("percent")))
     out = row.select(F.explode(F.array(*structs)).alias("_m")).select("_m.*")
     return out if total is not None else out.drop("percent")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corridor_spark.functions.geo import from_utm16, in_box, to_utm16, wkt_point
-from corridor_spark.functions.numbers import clip, distance_class, number_or
+from corridor_spark.functions.numbers import clip, distance_class, number_or, rounded
 from corridor_spark.functions.refs import refs_in
 from corridor_spark.functions.text import (
     expand_road_words,
@@ -118,7 +118,7 @@ def add_classification(alerts: DataFrame) -> DataFrame:
             "alert_subtype_norm": F.coalesce(_label(ALERT_SUBTYPE_LABELS, sub), road_title(network_text(shown))),
             "alert_group": _by_type(ALERT_GROUPS, "OTRO"),
             "severity_base": base,
-            "severity_proxy": F.round(clip(base + norms.of("cluster_report_count") * 8, 0, 100), 3),
+            "severity_proxy": rounded(clip(base + norms.of("cluster_report_count") * 8, 0, 100), 3),
         }
     )
 
@@ -141,7 +141,7 @@ def nearest_roads(alerts: DataFrame, pieces: DataFrame, metric: Metric = PLANAR,
     hit = nearest(points, pieces, radii, attributes, metric)
     renamed = hit.select(
         F.col("point_id").alias("uuid"),
-        F.round("distance_m", 3).alias("nearest_osm_distance_m"),
+        rounded("distance_m", 3).alias("nearest_osm_distance_m"),
         *[F.col(a).alias(f"nearest_{a}") for a in attributes],
     )
     out = alerts.join(renamed, "uuid", "left")
@@ -274,7 +274,7 @@ def add_metrics(alerts: DataFrame) -> DataFrame:
     share = lambda c, top: clip(number_or(F.col(c)), 0, top) / top
     spatial = F.coalesce("osm_spatial_confidence_score", F.lit(0.0))
     cluster = norms.of("cluster_report_count")
-    reliability = F.round(
+    reliability = rounded(
         100 * weighted([(0.35, share("reliability", 10)), (0.20, share("reportrating", 5)), (0.20, cluster),
                         (0.15, spatial), (0.10, share("confidence", 5))]), 3)
     alerts = alerts.withColumn("alert_reliability_proxy", reliability)
@@ -282,7 +282,7 @@ def add_metrics(alerts: DataFrame) -> DataFrame:
                        (20 * 0.15, cluster), (20 * 0.10, norms.of("cluster_duration_min")), (20 * 0.05, spatial)])
     return alerts.withColumns(
         {
-            "alert_impact_score": F.round(clip(impact, 0, 100), 3),
+            "alert_impact_score": rounded(clip(impact, 0, 100), 3),
             "is_critical_alert": F.col("alert_group").isin(*CRITICAL_GROUPS),
             "is_safety_alert": F.col("alert_group").isin(*SAFETY_GROUPS),
             "is_operational_alert": F.col("alert_group").isin(*OPERATIONAL_GROUPS),
@@ -308,8 +308,8 @@ def grid_density(alerts: DataFrame, x: str = "x_utm", y: str = "y_utm", size: fl
     norms = fit_robust(grid, {"alerts": 0.99, "impact_total": 0.99})
     return grid.withColumns(
         {
-            "alert_density": F.round(100 * norms.of("alerts"), 3),
-            "impact_density": F.round(100 * norms.of("impact_total"), 3),
+            "alert_density": rounded(100 * norms.of("alerts"), 3),
+            "impact_density": rounded(100 * norms.of("impact_total"), 3),
         }
     )
 
@@ -354,8 +354,8 @@ def hour_panel(alerts: DataFrame) -> DataFrame:
     n = F.greatest(F.col("alerts_count"), F.lit(1))
     return panel.withColumns(
         {
-            "critical_alert_rate": F.round(F.col("critical_alert_count") / n, 4),
-            "high_spatial_rate": F.round(F.col("high_spatial_count") / n, 4),
+            "critical_alert_rate": rounded(F.col("critical_alert_count") / n, 4),
+            "high_spatial_rate": rounded(F.col("high_spatial_count") / n, 4),
         }
     )
 
@@ -385,10 +385,10 @@ def corridor_summary(panel: DataFrame, alerts: DataFrame) -> DataFrame:
     n = F.greatest(F.col("alerts_count_total"), F.lit(1))
     summary = summary.withColumns(
         {
-            "corridor_alert_recurrence": F.round(F.col("active_alert_hours") / HOURS_PER_DAY, 4),
-            "critical_alert_rate": F.round(F.col("critical_alert_count_total") / n, 4),
-            "safety_alert_rate": F.round(F.col("safety_alert_count_total") / n, 4),
-            "high_spatial_rate": F.round(F.col("high_spatial_count_total") / n, 4),
+            "corridor_alert_recurrence": rounded(F.col("active_alert_hours") / HOURS_PER_DAY, 4),
+            "critical_alert_rate": rounded(F.col("critical_alert_count_total") / n, 4),
+            "safety_alert_rate": rounded(F.col("safety_alert_count_total") / n, 4),
+            "high_spatial_rate": rounded(F.col("high_spatial_count_total") / n, 4),
         }
     ).join(group_diversity(alerts), "corridor_norm_alert", "left")
     summary = stage(summary, "alert-summary")
@@ -404,7 +404,7 @@ def corridor_summary(panel: DataFrame, alerts: DataFrame) -> DataFrame:
     )
     return summary.withColumn(
         "corridor_alert_pressure",
-        F.when(F.col("corridor_norm_alert") == "UNRESOLVED", 0.0).otherwise(F.round(100 * pressure, 4)),
+        F.when(F.col("corridor_norm_alert") == "UNRESOLVED", 0.0).otherwise(rounded(100 * pressure, 4)),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corridor_spark.functions.numbers import clip, safe_divide
+from corridor_spark.functions.numbers import clip, rounded, safe_divide
 from corridor_spark.functions.text import clean_corridor, corridor_key
 from corridor_spark.lexicons import HOURS_PER_DAY
 from corridor_spark.operators.norms import exact_quantiles, fit_robust, weighted
@@ -141,31 +141,31 @@ def score_panel(panel: DataFrame) -> DataFrame:
     )
     panel = panel.withColumns(
         {
-            "operational_congestion_pressure": F.round(100 * weighted([
+            "operational_congestion_pressure": rounded(100 * weighted([
                 (0.30, norms.of("jam_intensity_total")), (0.25, norms.of("jam_delay_total")),
                 (0.20, norms.of("jam_congestion_load")), (0.15, norms.of("jam_count")),
                 (0.10, norms.of("severe_jam_count"))]), 4),
-            "critical_alert_pressure": F.round(100 * weighted([
+            "critical_alert_pressure": rounded(100 * weighted([
                 (0.35, norms.of("alert_impact_total")), (0.25, norms.of("alert_count")),
                 (0.20, norms.of("critical_alert_count")), (0.10, norms.of("alert_reports_count")),
                 (0.10, norms.of("_closures", closures))]), 4),
-            "temporal_alignment_score": F.round(100 * weighted([
+            "temporal_alignment_score": rounded(100 * weighted([
                 (0.55, _flag("alert_jam_same_hour_flag")), (0.25, _flag("alert_leads_jam_1h_flag")),
                 (0.20, _flag("alert_lags_jam_1h_flag"))]), 4),
-            "integrated_reliability_score": F.round(100 * weighted([
+            "integrated_reliability_score": rounded(100 * weighted([
                 (0.35, F.col("jam_match_confidence_avg")), (0.25, F.col("spatial_confidence_alerts")),
                 (0.20, F.col("alert_corridor_match_confidence_avg")),
                 (0.20, F.col("jam_estimation_stability_avg"))]), 4),
         }
     )
-    total = F.round(weighted([
+    total = rounded(weighted([
         (0.45, F.col("operational_congestion_pressure")), (0.35, F.col("critical_alert_pressure")),
         (0.12, F.col("temporal_alignment_score")), (0.08, F.col("integrated_reliability_score"))]), 4)
     both = F.col("critical_alert_pressure") + F.col("operational_congestion_pressure") + 1e-9
     return panel.withColumns(
         {
             "integrated_corridor_hour_pressure": F.when(F.col("corridor_key") == UNRESOLVED, 0.0).otherwise(total),
-            "explanatory_alert_share": F.round(F.col("critical_alert_pressure") / both, 4),
+            "explanatory_alert_share": rounded(F.col("critical_alert_pressure") / both, 4),
             "data_quality_flags": F.array_join(F.array_compact(F.array(
                 F.when(F.col("corridor_key") == UNRESOLVED, "UNRESOLVED_CORRIDOR"),
                 F.when(F.col("jam_without_alert_flag"), "JAM_WITHOUT_ALERT"),
@@ -234,13 +234,13 @@ def summary_totals(panel: DataFrame) -> DataFrame:
     )
     return s.withColumns(
         {
-            "same_hour_overlap_rate": F.round(
+            "same_hour_overlap_rate": rounded(
                 safe_divide(F.col("same_hour_overlap_count"), F.col("integrated_active_hours")), 4),
-            "jam_hours_explained_same_hour_rate": F.round(
+            "jam_hours_explained_same_hour_rate": rounded(
                 safe_divide(F.col("same_hour_overlap_count"), F.col("jam_active_hours")), 4),
-            "jam_hours_with_alert_pm1h_rate": F.round(
+            "jam_hours_with_alert_pm1h_rate": rounded(
                 safe_divide(F.col("pm1h_window_overlap_count"), F.col("jam_active_hours")), 4),
-            "alert_to_jam_ratio_total": F.round(
+            "alert_to_jam_ratio_total": rounded(
                 F.least(safe_divide(F.col("alert_count_total"), F.col("jam_count_total")), F.lit(10.0)), 4),
         }
     )
@@ -259,11 +259,11 @@ def corridor_summary(panel: DataFrame) -> DataFrame:
     impact, intensity = norms.of("alert_impact_total"), norms.of("jam_intensity_total")
     s = s.withColumns(
         {
-            "explanatory_alert_share": F.round(impact / (impact + intensity + 1e-9), 4),
-            "jam_pressure_norm": F.round(100 * weighted([
+            "explanatory_alert_share": rounded(impact / (impact + intensity + 1e-9), 4),
+            "jam_pressure_norm": rounded(100 * weighted([
                 (0.35, intensity), (0.25, norms.of("jam_delay_total")), (0.20, norms.of("jam_congestion_load_total")),
                 (0.20, norms.of("jam_active_hours"))]), 4),
-            "alert_pressure_norm": F.round(100 * weighted([
+            "alert_pressure_norm": rounded(100 * weighted([
                 (0.35, impact), (0.25, norms.of("alert_count_total")), (0.20, norms.of("critical_alert_count_total")),
                 (0.20, norms.of("alert_active_hours"))]), 4),
         }
@@ -272,12 +272,12 @@ def corridor_summary(panel: DataFrame) -> DataFrame:
     balance = clip(1 - F.abs(jam - alert) / (jam + alert + 1e-9), 0, 1)
     s = s.withColumn(
         "corridor_event_congestion_coupling",
-        F.round(100 * weighted([
+        rounded(100 * weighted([
             (0.30, F.col("same_hour_overlap_rate")), (0.25, F.col("jam_hours_with_alert_pm1h_rate")),
             (0.20, balance), (0.15, norms.of("same_hour_overlap_count")),
             (0.10, norms.of("critical_alert_count_total"))]), 4),
     )
-    total = F.round(weighted([
+    total = rounded(weighted([
         (0.40, jam), (0.35, alert), (0.15, F.col("corridor_event_congestion_coupling")),
         (0.10, norms.of("integrated_pressure_total") * 100)]), 4)
     s = stage(s.withColumn(
@@ -306,7 +306,7 @@ def hourly_summary(panel: DataFrame) -> DataFrame:
     )
     active = F.col("same_hour_overlap_count") + F.col("jam_without_alert_hours") + F.col("alert_without_jam_hours")
     return h.withColumn(
-        "same_hour_overlap_share", F.round(safe_divide(F.col("same_hour_overlap_count"), active), 4)
+        "same_hour_overlap_share", rounded(safe_divide(F.col("same_hour_overlap_count"), active), 4)
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corridor_spark.functions.numbers import clip, number_or, time_period, to_local
+from corridor_spark.functions.numbers import clip, number_or, rounded, time_period, to_local
 from corridor_spark.functions.refs import descriptive_part, refs_in, street_parts
 from corridor_spark.functions.text import expand_road_words, plain, road_title, traffic_compact, traffic_text
 from corridor_spark.lexicons import HOURS_PER_DAY
@@ -129,10 +129,10 @@ def add_metrics(jams: DataFrame) -> DataFrame:
             "severe_jam_flag": F.coalesce(F.col("level_max") >= 4, F.lit(False)),
             "extreme_jam_flag": F.coalesce(F.col("level_max") == 5, F.lit(False)),
             "low_speed_component": low_speed,
-            "jam_intensity_score": F.round(
+            "jam_intensity_score": rounded(
                 100 * weighted([(0.30, norms.of("level_max")), (0.30, norms.of("delay_max")),
                                 (0.25, norms.of("length_max")), (0.15, norms.of("low_speed_component", low_speed))]), 4),
-            "jam_estimation_stability": F.round(
+            "jam_estimation_stability": rounded(
                 clip(1 - (ranges[0] + ranges[1] + ranges[2] + ranges[3]) / 4, 0, 1), 4),
         }
     )
@@ -141,7 +141,7 @@ def add_metrics(jams: DataFrame) -> DataFrame:
             "congestion_load": F.col("delay_min") * F.col("length_km"),
             "delay_density": F.col("delay_min") / F.greatest(F.col("length_km"), F.lit(0.001)),
             "jam_estimation_stability_class": stability_class(F.col("jam_estimation_stability")),
-            "congestion_reliability_proxy": F.round(
+            "congestion_reliability_proxy": rounded(
                 100 * weighted([(0.35, norms.of("records_per_uuid")), (0.40, F.col("jam_estimation_stability")),
                                 (0.25, F.col("corridor_match_confidence_score"))]), 4),
         }
@@ -181,8 +181,8 @@ def hour_panel(jams: DataFrame) -> DataFrame:
     n = F.greatest(F.col("jams_count"), F.lit(1))
     return panel.withColumns(
         {
-            "severe_jam_rate": F.round(F.col("severe_jam_count") / n, 4),
-            "speed_collapse_rate": F.round(F.col("speed_collapse_count") / n, 4),
+            "severe_jam_rate": rounded(F.col("severe_jam_count") / n, 4),
+            "speed_collapse_rate": rounded(F.col("speed_collapse_count") / n, 4),
         }
     )
 
@@ -226,11 +226,11 @@ def corridor_summary(panel: DataFrame) -> DataFrame:
     n = F.greatest(F.col("jams_count_total"), F.lit(1))
     summary = summary.withColumns(
         {
-            "corridor_congestion_recurrence": F.round(F.col("active_congestion_hours") / HOURS_PER_DAY, 4),
-            "corridor_severe_rate": F.round(F.col("severe_jam_count_total") / n, 4),
-            "corridor_speed_collapse_rate": F.round(F.col("speed_collapse_count_total") / n, 4),
-            "unresolved_share": F.round(F.col("unresolved_jams") / n, 4),
-            "corridor_match_confidence_avg": F.round(
+            "corridor_congestion_recurrence": rounded(F.col("active_congestion_hours") / HOURS_PER_DAY, 4),
+            "corridor_severe_rate": rounded(F.col("severe_jam_count_total") / n, 4),
+            "corridor_speed_collapse_rate": rounded(F.col("speed_collapse_count_total") / n, 4),
+            "unresolved_share": rounded(F.col("unresolved_jams") / n, 4),
+            "corridor_match_confidence_avg": rounded(
                 (F.col("high_confidence_jams") * 1.0 + F.col("medium_confidence_jams") * 0.66
                  + F.col("low_confidence_jams") * 0.33) / n, 4),
             "corridor_hour_profile": F.transform(
@@ -255,7 +255,7 @@ def add_pressure(summary: DataFrame) -> DataFrame:
     )
     return summary.withColumn(
         "corridor_jam_pressure_score",
-        F.when(F.col("corridor_norm") == "UNRESOLVED", 0.0).otherwise(F.round(100 * pressure, 4)),
+        F.when(F.col("corridor_norm") == "UNRESOLVED", 0.0).otherwise(rounded(100 * pressure, 4)),
     )
 
 
@@ -264,7 +264,7 @@ def profile_anomaly(profile: Column) -> Column:
     n = F.size(profile).cast("double")
     mean = F.aggregate(profile, F.lit(0.0), lambda a, x: a + x) / n
     var = F.aggregate(profile, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    return F.round(F.coalesce(F.try_divide(F.array_max(profile) - mean, F.sqrt(var)), F.lit(0.0)), 4)
+    return rounded(F.coalesce(F.try_divide(F.array_max(profile) - mean, F.sqrt(var)), F.lit(0.0)), 4)
 
 
 def corridor_class(p75: float) -> Column:
@@ -290,7 +290,7 @@ def corridor_behavior(summary: DataFrame) -> DataFrame:
             "corridor_congestion_type": corridor_class(p75),
             "observed_corridor_flag": F.col("corridor_norm") != "UNRESOLVED",
             "silent_corridor_flag": F.lit(False),
-            "waze_observation_coverage_jams": F.round(
+            "waze_observation_coverage_jams": rounded(
                 100 * (0.70 * (F.col("active_congestion_hours") / HOURS_PER_DAY)
                        + 0.30 * F.coalesce("corridor_match_confidence_avg", F.lit(0.0))), 4),
         }

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corridor_spark.functions.geo import boxes_overlap, haversine_m, line_length_m, line_pieces
-from corridor_spark.functions.numbers import number, number_or
+from corridor_spark.functions.numbers import number, number_or, rounded
 from corridor_spark.functions.refs import format_ref, normalize_ref
 from corridor_spark.functions.text import (
     catalog_text,
@@ -77,7 +77,7 @@ def segments(ways: DataFrame, normalizer=network_text) -> DataFrame:
     ways = ways.withColumns({f"{n}_norm": normalizer(F.col(n)) for n in names})
     return ways.withColumns(
         {
-            "length_m": F.round(line_length_m(F.col("coords")), 2),
+            "length_m": rounded(line_length_m(F.col("coords")), 2),
             "vertices": F.size("coords"),
             "road_key_norm": F.coalesce(
                 first_nonempty(*[F.col(f"{n}_norm") for n in names]),
@@ -108,14 +108,15 @@ def with_bounds(df: DataFrame) -> DataFrame:
     )
 
 
-def pieces(segs: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Two-point pieces of segments with ``way_id`` and kept columns; zero-length pieces are dropped."""
+def pieces(segs: DataFrame, keep: Sequence[str], points: bool = False) -> DataFrame:
+    """Two-point pieces of segments with ``way_id`` and kept columns.
+
+    Zero-length pieces are dropped (alerts), or kept as ``points`` (incidents).
+    """
     out = segs.select(
         F.col("osm_way_id").alias("way_id"), *keep, F.explode(line_pieces(F.col("coords"))).alias("_p")
-    )
-    return out.select("way_id", *keep, "_p.ax", "_p.ay", "_p.bx", F.col("_p.by").alias("by_")).filter(
-        (F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by_"))
-    )
+    ).select("way_id", *keep, "_p.ax", "_p.ay", "_p.bx", F.col("_p.by").alias("by_"))
+    return out if points else out.filter((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by_")))
 
 
 def national(parts: Sequence[DataFrame]) -> DataFrame:
@@ -145,7 +146,7 @@ def road_catalog(segs: DataFrame, by_department: bool = True) -> DataFrame:
     catalog = segs.groupBy(*keys).agg(
         F.count("osm_way_id").alias("segment_count"),
         F.array_join(F.array_sort(F.collect_set("osm_way_id")).cast("array<string>"), ";").alias("osm_way_ids"),
-        F.round(F.sum("length_m") / 1000, 3).alias("length_km"),
+        rounded(F.sum("length_m") / 1000, 3).alias("length_km"),
         mode_nonblank(F.col("name")).alias("representative_name"),
         mode_nonblank(F.col("highway")).alias("predominant_highway"),
         mode_nonblank(F.col("road_type_category")).alias("predominant_road_type"),
@@ -205,7 +206,7 @@ def network_coverage(segs: DataFrame) -> DataFrame:
     found = segs.groupBy("source_department").agg(
         F.count(F.lit(1)).alias("segments"),
         F.countDistinct("road_key_norm").alias("catalog_roads"),
-        F.round(F.sum("length_m") / 1000, 3).alias("length_km"),
+        rounded(F.sum("length_m") / 1000, 3).alias("length_km"),
     )
     return found.withColumn("status", F.lit("OK"))
 
