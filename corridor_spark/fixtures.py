@@ -7,6 +7,7 @@ from the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 JAM_OBS = """
 SELECT CAST(FLOOR(event_id/4e0) AS BIGINT) AS uuid, event_id AS id, ts,
@@ -80,7 +81,33 @@ SELECT CONCAT('corredor ', CAST(n_nationkey AS STRING)) AS raw_value_norm,
 FROM nation WHERE n_nationkey % 4 = 0
 """
 
+# The incident with road text, severity phrases and territory, over whole document texts.
+INCIDENT_TEXT = """
+SELECT d.doc_id AS uuid, CONCAT('T-', CAST(d.doc_id AS STRING)) AS ticketNumber,
+       CONCAT('2024-01-', LPAD(CAST(1 + d.doc_id % 28 AS STRING), 2, '0'), ' ', LPAD(CAST(d.doc_id % 24 AS STRING), 2, '0'), ':15:00') AS datetime,
+       CASE d.doc_id % 3 WHEN 0 THEN 'TRAFFIC_ACCIDENT' WHEN 1 THEN 'Traffic accident' ELSE 'OTHER' END AS incident,
+       CASE WHEN d.doc_id % 10 = 9 THEN '' ELSE CAST(d.doc_id % 14 AS STRING) END AS department,
+       CASE WHEN d.doc_id % 6 = 0 THEN '' WHEN d.doc_id % 6 = 1 THEN 'Ilopango' WHEN d.doc_id % 6 = 2 THEN 'Santa Tecla'
+            ELSE CONCAT('Municipio ', CAST(d.doc_id % 45 AS STRING)) END AS municipality,
+       CASE d.doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'Carretera Panamericana, km 12'
+            WHEN 2 THEN CONCAT('Avenida Corredor ', CAST(d.doc_id % 40 AS STRING), ' frente a mercado')
+            WHEN 3 THEN CONCAT('interseccion de la Calle ', CAST(d.doc_id % 9 AS STRING), ' y la Avenida Corredor ', CAST(d.doc_id % 40 AS STRING))
+            WHEN 4 THEN 'Bulevar del Ejército' WHEN 5 THEN CONCAT('Calle Corredor ', CAST(d.doc_id % 30 AS STRING), ' sector norte, kilometro 7')
+            WHEN 6 THEN 'Autopista a Comalapa' ELSE 'colonia central' END AS address,
+       CONCAT(d.text, CASE d.doc_id % 11 WHEN 0 THEN ' dos personas lesionadas y 3 heridos' WHEN 1 THEN ' 2 fallecidos en motocicleta'
+            WHEN 2 THEN ' solo daños materiales' WHEN 3 THEN ' un camion bloqueo el carril' WHEN 4 THEN ' peaton atropellado por un bus'
+            WHEN 5 THEN ' choque multiple con lesionados 4 personas' ELSE '' END) AS observation,
+       d.source AS source,
+       CASE WHEN d.doc_id % 5 = 0 THEN NULL WHEN d.doc_id % 97 = 1 THEN 40e0
+            ELSE 13.55e0 + CAST((d.doc_id*53) % 400 AS DOUBLE)/2500e0 END AS lat,
+       CASE WHEN d.doc_id % 5 = 0 THEN NULL
+            ELSE -89.42e0 + CAST((d.doc_id*57) % 400 AS DOUBLE)/1600e0 END AS lon,
+       CAST(d.doc_id % 10 AS DOUBLE)/10e0 AS geo_confidence
+FROM documents d
+"""
+
 VIEWS = {
+    "incident_text": (INCIDENT_TEXT, "documents"),
     "jam_obs": (JAM_OBS, "events"),
     "alert": (ALERT, "events"),
     "road_piece": (ROAD_PIECE, "part"),
@@ -101,6 +128,45 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"{head}FROM {{source}}{tail}", source=table(spark, sf_dir, source))
 
 
+def raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-text incidents: the flat snapshots packed into ``evidence`` JSON, some of it damaged.
+
+    Incidents whose number ends in 4 have broken JSON; one in ten carries array
+    items that are no objects.
+    """
+    flat = view(spark, sf_dir, "snapshot").withColumn(
+        "s", F.struct(F.col("captured_at").cast("string").alias("captured_at"), "likes", "comments", "shares", "quotes",
+                      "views")
+    )
+    mentions = flat.groupBy("incident", "mention").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("snapshot_index", "s"))), lambda x: x.s).alias("engagement")
+    )
+    packed = mentions.groupBy("incident").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("mention").alias("mention_id"), F.concat(F.lit("src_"), "mention").alias("source"), "engagement"
+    ))).alias("m"))
+    json = F.to_json("m")
+    evidence = (
+        F.when(F.col("incident") % 10 == 4, F.concat(json, F.lit("}")))
+        .when(F.col("incident") % 10 == 3, F.concat(F.lit('[7, "x", '), F.substring(json, 2, 1 << 30)))
+        .otherwise(json)
+    )
+    packed = packed.select(F.col("incident").alias("uuid"), evidence.alias("evidence"), F.size("m").alias("n"))
+    links = F.array(
+        F.struct(F.lit("MERGE").alias("decision"), (F.col("uuid") % 7 / 10).alias("dedupe_score")),
+        F.struct(F.lit("NEW").alias("decision"), (F.col("uuid") % 3 / 10).alias("dedupe_score")),
+    )
+    text = view(spark, sf_dir, "incident_text")
+    reliability = F.to_json(F.struct(
+        F.coalesce("n", F.lit(0)).alias("mentions"), F.lit(2).alias("links_count"), "geo_confidence", links.alias("links")))
+    return text.join(packed, "uuid", "left").select(
+        *[F.col(c).cast("string").alias(c) for c in ("uuid", "ticketNumber", "datetime", "incident", "department",
+                                                     "municipality", "address", "observation")],
+        F.coalesce(F.col("lat").cast("string"), F.lit("")).alias("latitude"),
+        F.coalesce(F.col("lon").cast("string"), F.lit("nan")).alias("longitude"),
+        "source", reliability.alias("reliability"), F.coalesce("evidence", F.lit("")).alias("evidence"),
+    )
+
+
 def cte(*names: str) -> str:
     """The derived inputs as CTEs for the oracle."""
     return ", ".join(f"{n} AS ({VIEWS[n][0].strip()})" for n in names)

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from corridor_spark import fixtures
 from corridor_spark.operators.nearest import LOCAL
 from corridor_spark.plans import alerts as alert_plan
+from corridor_spark.plans import incidents as incident_plan
 from corridor_spark.plans import integrate
 from corridor_spark.plans import jams as jam_plan
 from corridor_spark.plans.resolve import Lookups, resolve_traffic
 from corridor_spark.session import stage
 from corridor_spark.sources import aliases, roads
+from corridor_spark.sources import incidents as incident_source
 
 _LAYERS: dict[tuple[str, str], "Layers"] = {}
 
@@ -130,3 +132,31 @@ class Layers:
     @cached_property
     def integrated(self) -> DataFrame:
         return stage(integrate.corridor_summary(self.panel), "integrated")
+
+    # --- incidents ---
+
+    @cached_property
+    def raw_incidents(self) -> DataFrame:
+        return stage(fixtures.raw_incidents(self.spark, self.sf_dir), "raw-incidents")
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return stage(incident_source.mentions(self.raw_incidents), "mentions")
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        return stage(incident_source.snapshots(self.mentions), "snapshots")
+
+    @cached_property
+    def base_events(self) -> DataFrame:
+        return stage(incident_plan.add_coordinates(stage(incident_plan.events(self.raw_incidents), "event-rows")), "base-events")
+
+    @cached_property
+    def point_pieces(self) -> DataFrame:
+        keep = ["name", "ref", "highway", "road_key_norm", "road_type_category", "source_department"]
+        return stage(roads.pieces(self.segments, keep, points=True), "point-pieces")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        enriched = incident_plan.enrich(self.base_events, self.point_pieces, self.segments)
+        return stage(incident_plan.add_score(stage(enriched, "enriched-events")), "events")

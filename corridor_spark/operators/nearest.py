@@ -174,7 +174,7 @@ def nearest(
 
 
 def nearest_by_bounds(points: DataFrame, ways: DataFrame, degrees: float, attributes: Sequence[str],
-                      metric: Metric = LOCAL, order: str = "way_id") -> DataFrame:
+                      metric: Metric = LOCAL, order: str = "way_id", keys: Sequence[str] = ()) -> DataFrame:
     """Nearest road among those whose bounds, grown by ``degrees``, hold the point.
 
     ``ways`` has ``coords`` and ``min_lon … max_lat``. Meant for the few points
@@ -188,9 +188,9 @@ def nearest_by_bounds(points: DataFrame, ways: DataFrame, degrees: float, attrib
     spread = ways.withColumn(
         "_cx", F.explode(F.sequence(cell(F.col("min_lon") - degrees), cell(F.col("max_lon") + degrees)))
     ).withColumn("_cy", F.explode(F.sequence(cell(F.col("min_lat") - degrees), cell(F.col("max_lat") + degrees))))
-    located = points.select("point_id", "x", "y", cell(F.col("x")).alias("_cx"), cell(F.col("y")).alias("_cy"))
+    located = points.select("point_id", "x", "y", *keys, cell(F.col("x")).alias("_cx"), cell(F.col("y")).alias("_cy"))
     kx, ky = metric.scales(F.col("y"))
-    pairs = located.join(spread, ["_cx", "_cy"]).filter(
+    pairs = located.join(spread, ["_cx", "_cy", *keys]).filter(
         F.col("x").between(F.col("min_lon") - degrees, F.col("max_lon") + degrees)
         & F.col("y").between(F.col("min_lat") - degrees, F.col("max_lat") + degrees)
     )
@@ -202,7 +202,7 @@ def nearest_by_bounds(points: DataFrame, ways: DataFrame, degrees: float, attrib
     )
     return (
         pairs.withColumn("distance_m", distance)
-        .groupBy("_cx", "_cy", "point_id")
+        .groupBy("_cx", "_cy", *keys, "point_id")
         .agg(F.min(F.struct(_micrometres(), order, "distance_m", *[a for a in attributes if a != order])).alias("_b"))
         .select("point_id", "_b.distance_m", *[f"_b.{a}" for a in attributes])
     )
