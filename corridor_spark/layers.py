@@ -16,7 +16,7 @@ from corridor_spark import fixtures
 from corridor_spark.operators.nearest import LOCAL
 from corridor_spark.plans import alerts as alert_plan
 from corridor_spark.plans import incidents as incident_plan
-from corridor_spark.plans import integrate
+from corridor_spark.plans import associate, integrate
 from corridor_spark.plans import jams as jam_plan
 from corridor_spark.plans.resolve import Lookups, resolve_traffic
 from corridor_spark.session import stage
@@ -160,3 +160,38 @@ class Layers:
     def events(self) -> DataFrame:
         enriched = incident_plan.enrich(self.base_events, self.point_pieces, self.segments)
         return stage(incident_plan.add_score(stage(enriched, "enriched-events")), "events")
+
+    # --- matching models ---
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return stage(associate.road_candidates(self.catalog), "candidates")
+
+    @cached_property
+    def places(self) -> DataFrame:
+        """City names of the driver tables and the department (a number) they stand for."""
+        nation = self.table("nation")
+        return stage(nation.select(F.concat(F.lit("city "), F.col("n_nationkey").cast("string")).alias("key"),
+                                   (F.col("n_nationkey") % 14).cast("string").alias("department")), "places")
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return stage(associate.jam_features(self.jams, self.places), "features")
+
+    @cached_property
+    def topk(self) -> DataFrame:
+        return stage(associate.operational_topk(self.features, self.candidates), "topk")
+
+    @cached_property
+    def comparison(self) -> DataFrame:
+        return stage(associate.comparison(self.topk, self.features), "comparison")
+
+    @cached_property
+    def area_catalog(self) -> DataFrame:
+        ways = self.segments.select("osm_way_id", "name", "ref", "highway", "coords")
+        return stage(roads.road_catalog(roads.area_segments(ways), by_department=False), "area-catalog")
+
+    @cached_property
+    def text_matches(self) -> DataFrame:
+        corridors = incident_plan.aggregate(self.events, "corridors").withColumnRenamed("corridor_candidate", "corridor")
+        return stage(associate.fuzzy_matches(stage(corridors, "news-corridors"), self.area_catalog), "text-matches")
