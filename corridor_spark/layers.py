@@ -195,3 +195,7 @@ class Layers:
     def text_matches(self) -> DataFrame:
         corridors = incident_plan.aggregate(self.events, "corridors").withColumnRenamed("corridor_candidate", "corridor")
         return stage(associate.fuzzy_matches(stage(corridors, "news-corridors"), self.area_catalog), "text-matches")
+
+    @cached_property
+    def critical(self) -> DataFrame:
+        return stage(incident_plan.critical_corridors(self.events), "critical")
