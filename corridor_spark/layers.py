@@ -16,7 +16,7 @@ from corridor_spark import fixtures
 from corridor_spark.operators.nearest import LOCAL
 from corridor_spark.plans import alerts as alert_plan
 from corridor_spark.plans import incidents as incident_plan
-from corridor_spark.plans import associate, integrate
+from corridor_spark.plans import associate, evaluate, integrate
 from corridor_spark.plans import jams as jam_plan
 from corridor_spark.plans.resolve import Lookups, resolve_traffic
 from corridor_spark.session import stage
@@ -199,3 +199,20 @@ class Layers:
     @cached_property
     def critical(self) -> DataFrame:
         return stage(incident_plan.critical_corridors(self.events), "critical")
+
+    # --- evaluation ---
+
+    @cached_property
+    def early(self) -> DataFrame:
+        return stage(evaluate.capital_context(stage(evaluate.early_events(self.base_events), "early-events")), "early")
+
+    @cached_property
+    def evaluated(self) -> DataFrame:
+        """Events with geocode columns (from their own points), text matches and road distances."""
+        base = incident_source.load_base_events(self.early)
+        none = self.spark.createDataFrame([], """event_id string, query_order int, lat double, lon double, display_name string,
+            geocode_status string, geocode_level string, geocode_confidence double,
+            geocode_usable_for_road_analysis boolean""")
+        geocoded = evaluate.geocoded_events(base, none).drop("nearest_osm_distance_m")
+        near = self.events.select("uuid", "nearest_osm_distance_m")
+        return stage(evaluate.match_to_roads(geocoded, self.text_matches, self.point_pieces, near), "evaluated")

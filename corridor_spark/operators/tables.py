@@ -26,15 +26,15 @@ def metric_rows(df: DataFrame, metrics: Sequence[tuple[str, Column]], total: Col
 
     A metric given as a three-tuple ``(name, column, False)`` has no percent.
     """
-    aggs = [m[1].cast("double").alias(m[0]) for m in metrics]
+    aggs = [m[1].cast("double").alias(f"_v{i}") for i, m in enumerate(metrics)]
     whole = [] if total is None else [total.cast("double").alias("_total")]
     row = df.agg(*aggs, *whole)
-    shares = {m[0]: total is not None and (len(m) < 3 or m[2]) for m in metrics}
     structs = []
-    for name, share in shares.items():
-        pct = percent(F.col(name), F.col("_total")) if share else F.lit(None).cast("double")
-        structs.append(F.struct(F.lit(name).alias("metric"), rounded(F.col(name), 4).alias("value"),
-                                pct.alias("percent")))
+    for i, m in enumerate(metrics):
+        share = total is not None and (len(m) < 3 or m[2])
+        value = F.col(f"_v{i}")
+        pct = percent(value, F.col("_total")) if share else F.lit(None).cast("double")
+        structs.append(F.struct(F.lit(m[0]).alias("metric"), rounded(value, 4).alias("value"), pct.alias("percent")))
     out = row.select(F.explode(F.array(*structs)).alias("_m")).select("_m.*")
     return out if total is not None else out.drop("percent")
 
