@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corridor_spark.functions.text import nonempty
+from corridor_spark.functions.text import contains_any, nonempty
 from corridor_spark.lexicons import LOCAL_ZONE, NUMBER_WORDS
 
 
@@ -57,8 +57,12 @@ def max_number(col: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(found, lambda n: n.cast("double"))), F.lit(0.0))
 
 
-def count_near(text: Column, keyword: str) -> Column:
-    """Largest count written next to a keyword pattern, in digits or Spanish words."""
+def count_near(text: Column, keyword: str, stems: tuple[str, ...]) -> Column:
+    """Largest count written next to a keyword pattern, in digits or Spanish words.
+
+    ``stems`` are plain parts one of which every keyword match holds; texts
+    without any are settled without the patterns.
+    """
     any_number = rf"(\d+|{'|'.join(NUMBER_WORDS)})"
     before = F.regexp_extract_all(text, F.lit(rf"{any_number}\s+(?:personas?\s+)?{keyword}"), F.lit(1))
     after = F.regexp_extract_all(text, F.lit(rf"{keyword}\s+(?:a\s+)?{any_number}\s+(?:personas?)?"), F.lit(1))
@@ -66,7 +70,8 @@ def count_near(text: Column, keyword: str) -> Column:
     values = F.transform(
         F.concat(before, after), lambda t: F.coalesce(words[t].cast("bigint"), t.try_cast("bigint"))
     )
-    return F.coalesce(F.array_max(values), F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    return F.when(contains_any(text, stems), F.coalesce(F.array_max(values), zero)).otherwise(zero)
 
 
 # --- time --------------------------------------------------------------------

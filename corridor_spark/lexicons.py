@@ -214,8 +214,8 @@ EARLY_SEVERITY_TERMS = {
     "multi_vehicle_flag": ("multiple", "triple", "varios vehiculos", "tres vehiculos", "dos vehiculos",
                            "vehiculos involucrados"),
 }
-INJURY_WORDS = r"(?:lesionad\w*|herid\w*)"
-FATALITY_WORDS = r"(?:fallecid\w*|muert\w*)"
+INJURY_WORDS, INJURY_STEMS = r"(?:lesionad\w*|herid\w*)", ("lesionad", "herid")
+FATALITY_WORDS, FATALITY_STEMS = r"(?:fallecid\w*|muert\w*)", ("fallecid", "muert")
 SEVERITY_BONUS = (
     ("vulnerable_user_flag", 0.08),
     ("pedestrian_flag", 0.04),

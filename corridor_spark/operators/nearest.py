@@ -82,7 +82,7 @@ def candidate_pairs(
     """
     keys = list(keys)
     rx, ry = metric.reach(radius_m, max_lat)
-    cell_x, cell_y = 2 * rx, 2 * ry
+    cell_x, cell_y = rx, ry
 
     def cell(col: Column, size: float) -> Column:
         return F.floor(col / F.lit(size)).cast("long")
@@ -224,19 +224,20 @@ def k_nearest(
     With ``digits`` the distance is rounded before ranking, so that roads equal
     at that precision are ordered by ``order``.
     """
-    pairs = candidate_pairs(points.select("point_id", "x", "y", *keys), pieces, radius_m, metric, keys)
+    bare = pieces.select(order, "ax", "ay", "bx", "by_", *keys)
+    pairs = candidate_pairs(points.select("point_id", "x", "y", *keys), bare, radius_m, metric, keys)
     inner = _group_keys(pairs, list(keys))
-    roads = (
-        pairs.filter(F.col("distance_m") <= radius_m)
-        .groupBy(*inner, order)
-        .agg(F.min("distance_m").alias("distance_m"), *[F.first(a).alias(a) for a in attributes if a != order])
-    )
+    roads = pairs.filter(F.col("distance_m") <= radius_m).groupBy(*inner, order).agg(
+        F.min("distance_m").alias("distance_m"))
     if digits is not None:
         roads = roads.withColumn("distance_m", rounded("distance_m", digits))
     ranked = roads.withColumn(
         "candidate_rank", F.row_number().over(Window.partitionBy(*inner).orderBy("distance_m", order))
-    )
-    return ranked.filter(F.col("candidate_rank") <= k).select("point_id", "candidate_rank", "distance_m", *attributes)
+    ).filter(F.col("candidate_rank") <= k)
+    wanted = [a for a in attributes if a != order]
+    if wanted:
+        ranked = ranked.join(pieces.groupBy(order).agg(*[F.min(a).alias(a) for a in wanted]), order)
+    return ranked.select("point_id", "candidate_rank", "distance_m", *attributes)
 
 
 def nearest_of_key(points: DataFrame, pieces: DataFrame, key: str, attributes: Sequence[str],

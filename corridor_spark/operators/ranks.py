@@ -59,16 +59,23 @@ def correlations(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataF
 
     Fewer than three rows, or a constant column, give 0.
     """
-    by = list(by)
-    pairs = df.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    expanded = df.select(*by, x, y)
-    rx = value_ranks(expanded, x, by).select(*by, x, F.col("rank_avg").alias("_rx"))
-    ry = value_ranks(expanded, y, by).select(*by, y, F.col("rank_avg").alias("_ry"))
-    joined = pairs.join(rx, [*by, x]).join(ry, [*by, y])
-    return joined.groupBy(*by).agg(
+    groups = list(by) or ["_all"]
+    if not by:
+        df = df.withColumn("_all", F.lit(1))
+    pairs = df.groupBy(*groups, x, y).agg(F.count(F.lit(1)).alias("_w"))
+    expanded = df.select(*groups, x, y)
+    rx = value_ranks(expanded, x, groups).select(*groups, x, F.col("rank_avg").alias("_rx"))
+    ry = value_ranks(expanded, y, groups).select(*groups, y, F.col("rank_avg").alias("_ry"))
+    joined = pairs.join(rx, [*groups, x]).join(ry, [*groups, y])
+    # Values are centred first, so that large values do not cancel in the sums of squares.
+    parts = {"x": x, "y": y, "rx": "_rx", "ry": "_ry"}
+    means = joined.groupBy(*groups).agg(
+        *[(F.sum(F.col("_w") * F.col(c)) / F.sum("_w")).alias(f"_m{p}") for p, c in parts.items()])
+    joined = joined.join(means, groups).withColumns({f"_c{p}": F.col(c) - F.col(f"_m{p}") for p, c in parts.items()})
+    return joined.groupBy(*groups).agg(
         F.sum("_w").alias("n_rows"),
-        _weighted_corr(F.col(x), F.col(y)).alias("pearson"),
-        _weighted_corr(F.col("_rx"), F.col("_ry")).alias("spearman"),
+        _weighted_corr(F.col("_cx"), F.col("_cy")).alias("pearson"),
+        _weighted_corr(F.col("_crx"), F.col("_cry")).alias("spearman"),
     ).select(
         *by,
         "n_rows",

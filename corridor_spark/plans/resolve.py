@@ -13,7 +13,6 @@ from corridor_spark.functions.text import (
     compact_text,
     contains_any,
     expand_road_words,
-    has_phrase,
     lookup,
     nonempty,
     plain,
@@ -293,67 +292,64 @@ def with_confidence(df: DataFrame) -> DataFrame:
 # --- incidents ---------------------------------------------------------------
 
 
-def _phrase_rule(text: Column, field: int, rules=INCIDENT_RULES) -> Column:
-    """Corridor of the first rule with one of its references (1) or aliases (2) as whole words in the text."""
-    out = F.lit(None).cast("string")
-    chain = None
+def _phrase_rule(padded: Column, which: int, rules=INCIDENT_RULES) -> Column:
+    """Corridor of the first rule with one of its references (1) or aliases (2) as whole words.
+
+    ``padded`` is a stored column of compact text between blanks: it is named once per phrase.
+    """
+    chain = F.when(F.lit(False), "")
     for rule in rules:
-        for phrase in rule[field]:
-            hit = has_phrase(text, phrase)
-            chain = F.when(hit, rule[0]) if chain is None else chain.when(hit, rule[0])
-    return chain if chain is not None else out
-
-
-def corridor_from_road(name: Column, ref: Column) -> Column:
-    """Struct (norm, source) of the nearest road."""
-    ref_text, name_text = compact_text(ref), compact_text(name)
-    by_ref, by_name = _phrase_rule(ref_text, 1), _phrase_rule(name_text, 2)
-    return F.struct(
-        F.coalesce(by_ref, by_name, title_case(name_text)).alias("norm"),
-        F.when(by_ref.isNotNull(), "OSM_REF")
-        .when(name_text != "", "OSM_NAME")
-        .otherwise("UNRESOLVED")
-        .alias("source"),
-    )
+        for phrase in rule[which]:
+            chain = chain.when(padded.contains(f" {phrase} "), rule[0])
+    return chain
 
 
-def corridor_from_text(candidate: Column, road_names: Column, address: Column, observation: Column) -> Column:
-    """Struct (norm, source) of the incident's own text."""
-    text = compact_text(F.concat_ws(" ", *[text_or_blank(c) for c in (candidate, road_names, address, observation)]))
-    ruled = F.coalesce(_phrase_rule(text, 1), _phrase_rule(text, 2))
-    key = compact_text(candidate)
-    return F.struct(
-        F.coalesce(ruled, title_case(key)).alias("norm"),
-        F.when(ruled.isNotNull(), "TEXT_ALIAS")
-        .when(key.isin(*KNOWN_CORRIDORS), "MANUAL_RULE")
-        .when(nonempty(candidate), "TEXT_ALIAS")
-        .otherwise("UNRESOLVED")
-        .alias("source"),
-    )
+def _padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), compact_text(text), F.lit(" "))
 
 
 def resolve_incident(df: DataFrame) -> DataFrame:
     """Reconcile text corridor and nearest-road corridor of incidents."""
     rule_names = [r[0] for r in INCIDENT_RULES]
+    joined = lambda *names: F.concat_ws(" ", *[text_or_blank(F.col(n)) for n in names])
     df = df.withColumns(
         {
-            "_t": corridor_from_text(F.col("corridor_candidate"), F.col("road_name_candidates"), F.col("address"),
-                                     F.col("observation")),
-            "_o": corridor_from_road(F.col("nearest_osm_name"), F.col("nearest_osm_ref")),
+            "_full": _padded(joined("corridor_candidate", "road_name_candidates", "address", "observation")),
+            "_rref": _padded(F.col("nearest_osm_ref")),
+            "_rname": _padded(F.col("nearest_osm_name")),
+            "_key": compact_text(F.col("corridor_candidate")),
+            "_ctx": _padded(joined("address", "observation", "corridor_candidate")),
         }
     )
+    df = df.withColumns(
+        {
+            "_ruled": F.coalesce(_phrase_rule(F.col("_full"), 1), _phrase_rule(F.col("_full"), 2)),
+            "_by_ref": _phrase_rule(F.col("_rref"), 1),
+            "_by_name": _phrase_rule(F.col("_rname"), 2),
+        }
+    )
+    df = df.withColumns(
+        {
+            "_t": F.struct(
+                F.coalesce("_ruled", title_case(F.col("_key"))).alias("norm"),
+                F.when(F.col("_ruled").isNotNull(), "TEXT_ALIAS")
+                .when(F.col("_key").isin(*KNOWN_CORRIDORS), "MANUAL_RULE")
+                .when(nonempty(F.col("corridor_candidate")), "TEXT_ALIAS")
+                .otherwise("UNRESOLVED").alias("source")),
+            "_o": F.struct(
+                F.coalesce("_by_ref", "_by_name", title_case(F.trim("_rname"))).alias("norm"),
+                F.when(F.col("_by_ref").isNotNull(), "OSM_REF").when(F.trim("_rname") != "", "OSM_NAME")
+                .otherwise("UNRESOLVED").alias("source")),
+        }
+    ).withColumn("_text_key", compact_text(F.col("_t.norm")))
     text, road = F.col("_t.norm"), F.col("_o.norm")
     text_source, road_source = F.col("_t.source"), F.col("_o.source")
     has_text, has_road_norm = text != "", road != ""
     has_road = nonempty(F.col("nearest_osm_name")) | nonempty(F.col("nearest_osm_ref"))
     near = has_text & has_road & F.col("osm_match_status").isin("SPATIAL_OSM_HIGH", "SPATIAL_OSM_MEDIUM")
-    joined = compact_text(
-        F.concat_ws(" ", *[text_or_blank(F.col(c)) for c in ("address", "observation", "corridor_candidate")])
-    )
-    crossing = (text_or_blank(F.col("intersection_candidate")) != "") | has_phrase(joined, "interseccion") | has_phrase(
-        joined, "y"
-    )
-    text_key = compact_text(text)
+    crossing = (text_or_blank(F.col("intersection_candidate")) != "") | F.col("_ctx").contains(" interseccion ") | F.col(
+        "_ctx").contains(" y ")
+    text_key = F.col("_text_key")
     strong = (
         (text_source == "MANUAL_RULE")
         | text_key.isin(*KNOWN_CORRIDORS)
@@ -391,7 +387,7 @@ def resolve_incident(df: DataFrame) -> DataFrame:
             "nearest_osm_corridor_norm": F.when(equal | near | (road_source != "UNRESOLVED"), road).otherwise(""),
             "text_corridor_norm": text,
         }
-    ).drop("_t", "_o")
+    ).drop("_t", "_o", "_full", "_ctx", "_rref", "_rname", "_key", "_ruled", "_by_ref", "_by_name", "_text_key")
 
 
 def _plain(text: str) -> str:
