@@ -12,6 +12,7 @@ from checks.integration import BOTH, SUMMARY
 from checks.registry import add
 from checks.sql import scale, tcompact
 from corridor_spark.lexicons import ALERT_TYPE_LABELS
+from corridor_spark.plans import evaluate
 from corridor_spark.plans import interactive as plan
 from corridor_spark.session import stage_root
 from corridor_spark.sources import incidents as incident_source
@@ -89,6 +90,12 @@ add("top_segments", "osm_way_id road_key_norm integrated_corridor_pressure:4", l
 ts0 AS (SELECT corridor_key, integrated_corridor_pressure FROM integrated WHERE integrated_corridor_pressure >= (SELECT quantile_cont(integrated_corridor_pressure, .5) FROM integrated) ORDER BY 2 DESC, 1 LIMIT 90),
 ts1 AS (SELECT way_id AS osm_way_id, road_key_norm, integrated_corridor_pressure FROM seg JOIN ts0 ON corridor_key = road_key_norm)""", "ts1")
 
+for _n, _w in (("outside", "coordinate_quality_status = 'OUTSIDE_EL_SALVADOR_BBOX'"), ("repeated", "repeated_coordinate_flag"), ("missing", "coordinate_quality_status = 'MISSING_POINT'")):
+    add(f"review_{_n}", "uuid coordinate_quality_status coordinate_key_6dec impact_social_score:4", lambda x, n=_n: plan.review_extracts(x.events)[n], EVENTS,
+        f"(SELECT * REPLACE (CAST(uuid AS VARCHAR) AS uuid) FROM events_ WHERE {_w})")
+add("label_segments", "label road_key_norm osm_way_id", lambda x: plan.label_segments(x.segments, x.text_matches))
+add("exploratory_indicators", "indicator value", lambda x: evaluate.exploratory_indicators(x.early, x.mentions.count()))
+
 # --- streams over the events table -------------------------------------------
 
 
@@ -109,3 +116,16 @@ add("stream_frames", "window_end event_type n total:4", lambda x: _drained(x, wi
     "m AS (SELECT time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 15 MINUTES AS window_end, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)", f"(SELECT * FROM m WHERE window_end <= {_DONE})")
 add("stream_days", "day event_type n total:4", lambda x: _drained(x, windows.accumulated(_events_stream(x), "event_type", "value")),
     "m AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)", f"(SELECT * FROM m WHERE day + INTERVAL 1 DAY <= {_DONE})")
+
+
+def _ranked(x):
+    events = _events_stream(x)
+    source = F.when(F.col("event_type").isin("click", "view"), "jam").when(F.col("event_type") == "error", "alert").otherwise("news")
+    rows = events.select("ts", source.alias("source"), F.concat(F.lit("corredor "), (F.col("user_id") % 40).cast("string")).alias("corridor_key"),
+                         F.col("value").alias("weight"))
+    path = f"{stage_root(x.spark)}/stream-{uuid.uuid4().hex}"
+    windows.each_batch(windows.source_totals(rows), windows.rank_in_batch(f"{path}/rows"), f"{path}/_state", "append").awaitTermination()
+    return x.spark.read.parquet(f"{path}/rows")
+
+
+add("stream_ranking", "window_end corridor_key jam:4 alert:4 news:4 dynamic_corridor_pressure:4", _ranked)

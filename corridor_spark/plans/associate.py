@@ -412,9 +412,10 @@ def similar_texts(names: DataFrame, aliases: DataFrame, keep: float = KEEP_SCORE
     """Pairs of distinct texts (``name``, ``alias``) scoring at least ``keep``.
 
     Bounded blocks of names meet bounded blocks of aliases. Inside a task the
-    character counts of both texts bound the similarity from above, and only
-    pairs that can still reach ``keep`` are compared in full, so no match is
-    lost and no other pair leaves the task.
+    character counts of both texts bound the similarity from above and show
+    which text can lie inside the other; only pairs that can still reach
+    ``keep`` are compared in full, so no match is lost and no other pair leaves
+    the task.
     """
     names, aliases = names.select("name").distinct(), aliases.select("alias").distinct()
     blocks = 1 + aliases.count() // CANDIDATE_BLOCK
@@ -438,7 +439,8 @@ def similar_texts(names: DataFrame, aliases: DataFrame, keep: float = KEEP_SCORE
             own = np.array([name.count(c) for c in letters])
             upper = 2 * np.minimum(counts, own).sum(axis=1) / np.maximum(sizes + own.sum(), 1)
             mine = set(name.split())
-            for i in np.nonzero(0.70 * upper + 0.30 >= keep - 1e-9)[0]:
+            nested = (counts >= own).all(axis=1) | (counts <= own).all(axis=1)
+            for i in np.nonzero((0.70 * upper + 0.30 >= keep - 1e-9) | nested)[0]:
                 shared = len(mine & words[i])
                 best = 0.70 * upper[i] + 0.30 * shared / max(len(mine | words[i]), 1)
                 inside = name in texts[i] or texts[i] in name

@@ -532,3 +532,16 @@ def heat_weights(events: DataFrame) -> DataFrame:
          "impact_social_score": "heat_weight_impacto_social"}
     ).withColumn("heat_weight_eventos", F.lit(1))
 
+
+
+def outputs(events: DataFrame, mentions: DataFrame, snapshots: DataFrame) -> dict[str, DataFrame]:
+    """Every incident table by name, for ``sources.sinks.write_tables``."""
+    return {
+        "events": events, "mentions": mentions.drop("engagement"), "snapshots": snapshots,
+        "integrity": integrity(events, mentions.count(), snapshots.count()), "coordinates": coordinate_table(events),
+        "points": events.filter("coordinate_pair_present"), **{name: aggregate(events, name) for name in TABLES},
+        "critical_corridors": critical_corridors(events), "corridor_diagnostics": corridor_diagnostics(events),
+        "corridor_resolution": resolution_table(events), "resolution_conflicts": resolution_conflicts(events),
+        "heat_weights": heat_weights(events), "engagement_by_source": engagement_by_source(mentions),
+        "engagement_by_hour": engagement_by_hour(snapshots),
+    }

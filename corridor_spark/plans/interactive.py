@@ -249,3 +249,25 @@ def top_segments(segs: DataFrame, summary: DataFrame, key: str, metric: str, n:
         edge = exact_quantiles(ranked, {"m": (F.col(metric), [percentile])})["m"]["q"][percentile]
         ranked = ranked.filter(F.col(metric) >= F.lit(edge))
     return segs.join(ranked.orderBy(F.desc(metric), "road_key_norm").limit(n), "road_key_norm")
+
+
+# --- review extracts and labels ----------------------------------------------
+
+
+def review_extracts(events: DataFrame) -> dict[str, DataFrame]:
+    """Events outside the country, on a shared coordinate, and without a point."""
+    return {
+        "outside": events.filter(F.col("coordinate_quality_status") == "OUTSIDE_EL_SALVADOR_BBOX"),
+        "repeated": events.filter("repeated_coordinate_flag"),
+        "missing": events.filter(F.col("coordinate_quality_status") == "MISSING_POINT"),
+    }
+
+
+def label_segments(segs: DataFrame, matches: DataFrame, n: int = 12) -> DataFrame:
+    """Longest segment of each of the ``n`` strongest accepted or reviewed road matches, to carry its label."""
+    chosen = matches.filter(F.col("match_status").isin("TEXT_MATCH_ACCEPTED", "TEXT_MATCH_REVIEW")).orderBy(
+        F.desc("events"), F.desc("text_match_score"), "corridor").limit(n)
+    longest = segs.join(chosen.select(F.col("matched_road_key_norm").alias("road_key_norm")), "road_key_norm", "left_semi").groupBy(
+        "road_key_norm").agg(F.max_by("osm_way_id", F.struct("length_m", "osm_way_id")).alias("osm_way_id"))
+    return chosen.select(F.initcap("corridor").alias("label"), F.col("matched_road_key_norm").alias("road_key_norm")).join(
+        longest, "road_key_norm")

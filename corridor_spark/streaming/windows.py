@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corridor_spark.functions.numbers import time_period
+from corridor_spark.functions.numbers import rounded, time_period
 from corridor_spark.operators.nearest import LOCAL, Metric, nearest
-from corridor_spark.session import stage_root
+from corridor_spark.operators.norms import fit_scale, weighted
+from corridor_spark.session import stage, stage_root
 
 LATE = "15 minutes"
 
@@ -86,6 +87,26 @@ def nearest_in_batch(pieces: DataFrame, out_path: str, radii, attributes: list[s
     return handle
 
 
+def source_totals(stream: DataFrame, length: str = "60 minutes", step: str = "15 minutes") -> DataFrame:
+    """Jam, alert and news weight per corridor and window of a stream with ``source, corridor_key, ts, weight``."""
+    of = lambda name: F.sum(F.when(F.col("source") == name, F.col("weight")).otherwise(0.0)).alias(name)
+    return stream.withWatermark("ts", LATE).groupBy(F.window("ts", length, step).alias("w"), "corridor_key").agg(
+        of("jam"), of("alert"), of("news")).select(F.col("w.end").alias("window_end"), "corridor_key", "jam", "alert", "news")
+
+
+def rank_in_batch(out_path: str) -> Callable[[DataFrame, int], None]:
+    """Batch handler: corridors of the finished windows by dynamic pressure, scaled over the batch."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        rows = stage(batch, "window-totals")
+        scale = fit_scale(rows, ["jam", "alert", "news"])
+        pressure = 100 * weighted([(0.45, scale.of("jam")), (0.35, scale.of("alert")), (0.20, scale.of("news"))])
+        rows.withColumn("dynamic_corridor_pressure", rounded(pressure, 3)).write.mode("overwrite").parquet(
+            f"{out_path}/batch={number}")
+
+    return handle
+
+
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Process what is available and return the result table (append mode, Parquet)."""
     spark = stream.sparkSession
