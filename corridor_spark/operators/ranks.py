@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor_spark.functions.numbers import rounded
+from corridor_spark.session import stage
 
 ROWS_PER_SLICE = 1_000_000
 
@@ -30,6 +31,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), descending: b
         edges = sorted(set(counts.agg(F.percentile_approx(key, cuts, 100 * slices).alias("e")).first()["e"]))
         edge_array = F.array(*map(F.lit, edges))
         counts = counts.withColumn("_slice", F.size(F.filter(edge_array, lambda e: e < key)))
+        counts = stage(counts, "rank-counts")
     else:
         counts = counts.withColumn("_slice", F.lit(0))
     totals = counts.groupBy(*by, "_slice").agg(F.sum("n").alias("_n"))
