@@ -7,6 +7,7 @@ from functools import reduce
 from operator import or_
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a slice hold about ``chars`` bytes, at least one row each."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column("text")).to_pylist()
+        sizes = pc.binary_length(batch.column("text")).to_pylist()
         first = held = 0
         for i, size in enumerate(sizes):
             if held and held + size > chars:
