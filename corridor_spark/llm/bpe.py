@@ -22,7 +22,9 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from corridor_spark.llm.common import parts, slices, stage, texts
 
@@ -42,6 +44,11 @@ _CHUNK = regex.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Fixed value: the pattern of byte-level vocabularies.
 _PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: The same for texts of Latin-1 characters, whose letters and numbers can be listed.
+_LETTER, _NUMBER, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+"
+                    rf"|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+_LOWER, _LETTERS = re.compile("[a-zªµºß-öø-ÿ]+|[^a-zªµºß-öø-ÿ ]+"), re.compile("[a-zªµºß-öø-ÿ]+")
 _KEPT: dict = {}
 
 
@@ -52,14 +59,12 @@ def kept(key, make: Callable):
     return _KEPT[key]
 
 
-def blank_chunks(text: str) -> list[str]:
-    """Chunks for vocabularies that drop white space."""
-    return text.split(" ")
-
-
-def byte_chunks(text: str) -> list[str]:
-    """Chunks for byte-level vocabularies that keep white space."""
-    return _CHUNK.findall(text)
+def latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class ChunkEncoder:
@@ -67,10 +72,11 @@ class ChunkEncoder:
 
     ``keep`` bounds the table: beyond it, the half that was used least is
     forgotten. What is forgotten is encoded anew when it comes again, so results
-    cannot differ.
+    cannot differ. ``words`` is for vocabularies that drop white space and case
+    and mark the ends of words, else blanks lead the words.
     """
 
-    def __init__(self, path: str, chunks: Callable[[str], list[str]], keep: int = 400_000):
+    def __init__(self, path: str, words: bool = False, keep: int = 200_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -78,29 +84,46 @@ class ChunkEncoder:
         self.mark = self.special[-1]
         self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.bound = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.chunks, self.keep = chunks, keep
+        self.words, self.keep = words, keep
+        names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size(with_added_tokens=True)))
+        self.edge = np.array([n.endswith("</w>") if words else n.startswith("Ġ") for n in names])
+        self.easy = self.tokenizer
+        if words:  # for what is in lower case already
+            self.easy = Tokenizer.from_file(path)
+            self.easy.normalizer = normalizers.Sequence([])
+            self.easy.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.table: dict[str, int] = {}
         self.ids, self.first, self.size, self.used = (np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3)))
 
     def plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def cut(self, text: str) -> list[str]:
         """Chunks of a text; special tokens bound the text on either side."""
-        if not self.bound.search(text):
-            return self.chunks(text)
-        return [c for i, part in enumerate(self.bound.split(text)) for c in ([part] if i % 2 else self.chunks(part))]
+        if self.bound.search(text):
+            return [c for i, part in enumerate(self.bound.split(text)) for c in ([part] if i % 2 else self.cut(part))]
+        latin = latin_1(text)
+        if self.words:
+            return _LOWER.findall(text.lower()) if latin and "'" not in text else text.split(" ")
+        return (_LATIN if latin else _CHUNK).findall(text)
 
     def _learn(self, fresh: set[str]) -> None:
-        odd = [c for c in fresh if any(s in c for s in self.special)]
-        even = list(fresh.difference(odd))
-        ids = np.array(self.plain(self.mark.join(even)), np.int32)
-        ends = np.append(np.flatnonzero(ids == self.mark_id), [len(ids)] * bool(even)).astype(np.int64)
+        easy = [c for c in fresh if (_LETTERS.fullmatch(c) if self.words else c[:1] == " " and c[1:].isalpha())]
+        rest = fresh.difference(easy)
+        odd = [c for c in rest if any(s in c for s in self.special)]
+        even = list(rest.difference(odd))
+        ids = np.array(self.easy.encode_batch_fast([" " * self.words + (" " if self.words else "").join(easy)],
+                                                   add_special_tokens=False)[0].ids, np.int32)
+        edges = np.flatnonzero(self.edge[ids])  # one for each of the easy chunks: its last id, or its first
+        size = [np.diff(np.append(-1, edges)) if self.words else np.diff(np.append(edges, len(ids)))]
+        more = np.array(self.plain(self.mark.join(even)), np.int32)
+        ends = np.append(np.flatnonzero(more == self.mark_id), [len(more)] * bool(even)).astype(np.int64)
         alone = [self.plain(c) for c in odd]
-        size = np.append(np.diff(np.append(-1, ends)) - 1, [len(a) for a in alone]).astype(np.int64)
-        self.table.update(zip(even + odd, range(len(self.size), len(self.size) + len(fresh))))
+        size = np.concatenate([*size, np.diff(np.append(-1, ends)) - 1, [len(a) for a in alone]]).astype(np.int64)
+        self.table.update(zip(easy + even + odd, range(len(self.size), len(self.size) + len(fresh))))
         self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
-        self.ids = np.concatenate([self.ids, ids[ids != self.mark_id], *(np.array(a, np.int32) for a in alone)])
+        self.ids = np.concatenate([self.ids, ids, more[more != self.mark_id], *(np.array(a, np.int32) for a in alone)])
         self.size, self.used = np.append(self.size, size), np.append(self.used, np.zeros(len(fresh), np.int64))
 
     def _forget(self) -> None:
@@ -116,10 +139,13 @@ class ChunkEncoder:
         if len(self.table) > self.keep:
             self._forget()
         cut = [self.cut(t) for t in batch]
-        fresh = set().union(*cut).difference(self.table)
-        if fresh:
-            self._learn(fresh)
-        at = np.fromiter((i for c in cut for i in map(self.table.__getitem__, c)), np.int64)
+        flat = list(chain.from_iterable(cut))
+        at = np.array(list(map(self.table.get, flat, repeat(-1))), np.int64)
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            late = [flat[i] for i in missing]
+            self._learn(set(late))
+            at[missing] = list(map(self.table.__getitem__, late))
         self.used += np.bincount(at, minlength=len(self.used))
         size = self.size[at]
         total = np.append(0, np.cumsum(size))
@@ -162,7 +188,7 @@ def whole_encoder(path: str) -> Callable[[str], list[int]]:
     tokenizer.no_padding()
     tokenizer.encode_special_tokens = True
     tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    return lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 def halves(text: str, leaf: int) -> list[str]:
@@ -233,7 +259,7 @@ def encode_texts(docs: DataFrame, path: str, leaf: int = LEAF, with_ids: bool =
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != "text")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept((path, "chunks"), lambda: ChunkEncoder(path, byte_chunks))
+        encoder = kept((path, "chunks"), lambda: ChunkEncoder(path))
         table = kept((path, "bytes"), lambda: byte_table(path))
         decimals = kept((path, "decimals"), lambda: [str(i) for i in range(len(table))])
         for part in slices(batches):
@@ -260,7 +286,7 @@ def encode_texts(docs: DataFrame, path: str, leaf: int = LEAF, with_ids: bool =
     late = first.where("long_text IS NOT NULL").withColumn("key", F.sha2("long_text", 256))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bound = kept((path, "chunks"), lambda: ChunkEncoder(path, byte_chunks)).bound
+        bound = kept((path, "chunks"), lambda: ChunkEncoder(path)).bound
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), batch.column("long_text").to_pylist()):
                 number, leaf_no, tokens = zip(*long_pieces(text, bound, leaf))
@@ -268,7 +294,7 @@ def encode_texts(docs: DataFrame, path: str, leaf: int = LEAF, with_ids: bool =
                                                   pa.array(tokens, pa.list_(pa.string()))], ["key", "number", "leaf_no", "tokens"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept((path, "chunks"), lambda: ChunkEncoder(path, byte_chunks))
+        encoder = kept((path, "chunks"), lambda: ChunkEncoder(path))
         whole = kept((path, "whole"), lambda: whole_encoder(path))
         for batch in batches:
             rows = batch.column("tokens").to_pylist()

@@ -24,7 +24,7 @@ no block; other columns of the input are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corridor_spark.llm.bpe import ChunkEncoder, blank_chunks, kept
+from corridor_spark.llm.bpe import ChunkEncoder, kept
 from corridor_spark.llm.common import parts, slices, texts
 
 BLOCK = ("part int, block int, first long, n_ids long, bits int, doc_id array<long>, n_tokens array<long>, payload binary")
@@ -71,12 +71,12 @@ def unpack(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id: int, block_ids: int = 1 << 18,
-          chunks: Callable = blank_chunks) -> None:
+          words: bool = True) -> None:
     """Encode every document, append ``end_id`` and write the blocks; a block is closed at ``block_ids`` ids."""
     bits = width(vocabulary)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept((tokenizer, "chunks"), lambda: ChunkEncoder(tokenizer, chunks))
+        encoder = kept((tokenizer, "chunks"), lambda: ChunkEncoder(tokenizer, words))
         part, block, first, held = TaskContext.get().partitionId(), 0, 0, []
 
         def close() -> pa.RecordBatch:
@@ -86,7 +86,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)],
                                               [c.split()[0] for c in BLOCK.split(", ")])
 
-        for batch in slices(batches, 1_000_000):
+        for batch in slices(batches, 500_000):
             flat, size = encoder.encode(batch.column("text").to_pylist())
             ids = np.insert(flat, np.cumsum(size), end_id)
             held.append((batch.column("doc_id").to_pylist(), (size + 1).tolist(), ids))
