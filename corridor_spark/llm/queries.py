@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridor_spark.llm import bpe, mixing, quality, token_files, topk
+from corridor_spark.llm import bpe, mixing, quality, secrets, token_files, topk, url_filter
 from corridor_spark.llm.common import load, stage_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,16 @@ def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+@query
+def op1_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(load(spark, sf_dir, "documents"))
+
+
+@query
+def op5_url_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(load(spark, sf_dir, "pages"))
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES["op2_source_mix"] = f"""
