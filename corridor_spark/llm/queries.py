@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridor_spark.llm import bpe, mixing, quality, secrets, token_files, topk, url_filter
+from corridor_spark.llm import bpe, mixing, pii, quality, secrets, token_files, topk, url_filter
 from corridor_spark.llm.common import load, stage_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op5_url_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages"))
 
 
+@query
+def op8_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(load(spark, sf_dir, "documents"))
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES["op2_source_mix"] = f"""
