@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridor_spark.llm import bpe, mixing, ngram_join, pii, quality, secrets, token_files, topk, url_filter
+from corridor_spark.llm import bpe, line_dedup, mixing, ngram_join, pii, quality, secrets, token_files, topk, url_filter
 from corridor_spark.llm.common import load, stage_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,11 @@ def op10_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.labels(load(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+@query
+def op9_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(load(spark, sf_dir, "documents"))
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES["op2_source_mix"] = f"""
