@@ -29,7 +29,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a slice hold about ``chars`` bytes, at least one row each."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column("text")).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
         first = held = 0
         for i, size in enumerate(sizes):
             if held and held + size > chars:

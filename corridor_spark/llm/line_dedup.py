@@ -162,29 +162,28 @@ def removals(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
 
 
 def _cleaned(docs: DataFrame, least: int) -> DataFrame:
-    """``docs`` with line_gone and line_partners (null without a repeat), and the text without the lines."""
+    """``row``, the row of ``docs``, its ``text`` without the lines, and gone and partners (null without a repeat)."""
     _, gone = removals(docs, least)
-    keyed = docs.withColumn("line_key", order_key()).join(
-        gone.select(F.col("key").alias("line_key"), F.col("gone").alias("line_gone"), F.col("partners").alias("line_partners")),
-        "line_key", "left")
-    kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "line_gone"), lambda i: F.get(lines, i))
-    cleaned = let(F.split("text", "\n", -1), lambda lines: F.array_join(kept(lines), "\n"))
-    return keyed.withColumn("text", F.when(F.col("line_gone").isNotNull(), cleaned).otherwise(F.col("text")))
+    keyed = docs.select(order_key().alias("key"), F.struct("*").alias("row")).join(gone, "key", "left")
+    kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))
+    cleaned = let(F.split("row.text", "\n", -1), lambda lines: F.array_join(kept(lines), "\n"))
+    return keyed.withColumn("text", F.when(F.col("gone").isNotNull(), cleaned).otherwise(F.col("row.text")))
 
 
 def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Per row of ``docs``: doc_id, n_removed lines, the removed lines' places (joined), partners, and the text that is left."""
     done = _cleaned(docs.select("doc_id", "text"), least)
-    places = F.array_join(F.transform(F.array_sort("line_gone"), lambda i: i.cast("string")), ",")
-    return done.select("doc_id", F.coalesce(F.size("line_gone"), F.lit(0)).cast("long").alias("n_removed"),
-                       F.coalesce(places, F.lit("")).alias("removed_lines"), F.coalesce("line_partners", F.lit(0)).cast("long").alias("partners"),
+    places = F.array_join(F.transform(F.array_sort("gone"), lambda i: i.cast("string")), ",")
+    return done.select("row.doc_id", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+                       F.coalesce(places, F.lit("")).alias("removed_lines"), F.coalesce("partners", F.lit(0)).cast("long").alias("partners"),
                        F.coalesce("text", F.lit("")).alias("text"))
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` without the repeated lines; a document that has lost its last word goes. ``n_chars``, where it is one, is counted anew."""
-    done = _cleaned(docs, least).where(F.col("line_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    done = _cleaned(docs, least).where(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        counted = F.when(F.col("line_gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
-        done = done.withColumn("n_chars", F.coalesce(counted, F.col("n_chars")))
-    return done.select(*docs.columns)
+        counted = F.when(F.col("gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
+        row = row.withField("n_chars", F.coalesce(counted, F.col("row.n_chars")))
+    return done.select(row.alias("row")).select("row.*")

@@ -153,13 +153,13 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     documents, sources = plan_sources(docs, weights, most, block_words)
     takes = (mix(documents, sources, block_words).groupBy("sid", "start", "round", "key").agg(F.max("high").alias("taken_words"))
              .join(documents.where("size > 0").select("sid", "start", "size"), ["sid", "start"])
-             .select(F.col("key").alias("mix_key"), F.col("size").alias("mix_size"), F.col("taken_words").alias("mix_words")))
-    keyed = docs.withColumn("mix_key", F.md5(F.concat(
-        F.lit(f"{SEED}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), F.coalesce("text", F.lit("")))))
+             .select("key", "size", "taken_words"))
+    own = texts(docs.select("doc_id", "text", F.struct("*").alias("row")), "row")
     # rows equal in id and text are one row here: their takes are counted together
-    rows = keyed.dropDuplicates(["mix_key"]).join(takes, "mix_key")
-    whole = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), 0), 1, F.col("mix_words").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("mix_words") < F.col("mix_size"), whole).otherwise(F.col("text")))
+    rows = own.select(shuffle_key().alias("key"), "text", "row").dropDuplicates(["key"]).join(takes, "key")
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), 0), 1, F.col("taken_words").cast("int")), "")
+    rows = rows.withColumn("part", F.when(F.col("taken_words") < F.col("size"), part).otherwise(F.col("text")))
+    row = F.col("row").withField("text", F.col("part"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        row = row.withField("n_chars", F.length("part").cast(docs.schema["n_chars"].dataType))
+    return rows.select(row.alias("row")).select("row.*")

@@ -219,10 +219,9 @@ def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     Of rows equal in id and text one stays.
     """
     found = join(docs, words, percent)
-    drop = found.where("first <> key").select("key").distinct()
-    keyed = docs.withColumn("ngram_key", order_key())
-    kept = keyed.join(small_side(stage(drop.withColumnRenamed("key", "ngram_key"), "drop")), "ngram_key", "leftanti")
-    again = stage(found.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("ngram_key")), "again")
-    some = small_side(again)
-    return (kept.join(some, "ngram_key", "leftanti")
-            .unionByName(kept.join(some, "ngram_key", "leftsemi").dropDuplicates(["ngram_key"])).select(*docs.columns))
+    keyed = docs.select(order_key().alias("key"), F.struct("*").alias("row"))
+    drop = small_side(stage(found.where("first <> key").select("key").distinct(), "drop"))
+    again = small_side(stage(found.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "again"))
+    kept = keyed.join(drop, "key", "leftanti")
+    return (kept.join(again, "key", "leftanti")
+            .unionByName(kept.join(again, "key", "leftsemi").dropDuplicates(["key"])).select("row.*"))
