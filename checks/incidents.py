@@ -22,7 +22,7 @@ EVIDENCE = f"""{cte('snapshot', 'incident_text')},
 ev AS (SELECT s.*, row_number() OVER (PARTITION BY incident, mention ORDER BY snapshot_index) - 1 AS pos,
               row_number() OVER (PARTITION BY incident, mention ORDER BY snapshot_index DESC) AS from_end,
               row_number() OVER (PARTITION BY incident, mention ORDER BY captured_at DESC, snapshot_index DESC) AS newest
-       FROM snapshot s WHERE incident % 10 <> 4 AND incident IN (SELECT uuid FROM incident_text))"""
+       FROM snapshot s WHERE incident IN (SELECT uuid FROM incident_text))"""
 
 add("mentions", "event_uuid mention_id source engagement_snapshots latest_likes:2 latest_comments:2 latest_shares:2 latest_quotes:2 latest_views:2",
     lambda x: x.mentions, f"""{EVIDENCE}, m AS (SELECT CAST(incident AS VARCHAR) AS event_uuid, mention AS mention_id, 'src_' || mention AS source,
@@ -127,7 +127,7 @@ BASE = f"""{TEXTS},
 lt AS (SELECT incident AS uuid, {', '.join(f'sum({e}) FILTER (newest = 1) AS latest_{e}' for e in E)}, count(DISTINCT mention) AS engagement_mentions, count(*) AS engagement_snapshots FROM ev GROUP BY 1),
 mc AS (SELECT incident AS uuid, count(DISTINCT mention) AS n FROM snapshot GROUP BY 1),
 ek AS (SELECT t.* EXCLUDE (uuid), t.uuid, {', '.join(f'COALESCE(latest_{e}, 0e0) AS latest_{e}' for e in E)}, COALESCE(engagement_mentions, 0) AS engagement_mentions,
-   COALESCE(engagement_snapshots, 0) AS engagement_snapshots, COALESCE(mc.n, 0) AS mentions, CASE WHEN t.uuid % 10 = 4 THEN 0 ELSE COALESCE(mc.n, 0) END AS source_diversity,
+   COALESCE(engagement_snapshots, 0) AS engagement_snapshots, COALESCE(mc.n, 0) AS mentions, COALESCE(mc.n, 0) AS source_diversity,
    lat AS latitude_num, lon AS longitude_num, lat IS NOT NULL AND lon IS NOT NULL AS coordinate_pair_present,
    COALESCE(lat BETWEEN 13.0 AND 14.6 AND lon BETWEEN -90.2 AND -87.6, false) AS coordinate_inside_sv_bbox,
    COALESCE(lat BETWEEN 13.55 AND 13.92 AND lon BETWEEN -89.42 AND -89.00, false) AS coordinate_inside_amss_bbox,

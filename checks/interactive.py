@@ -57,7 +57,7 @@ add("heat_points", "lon:6 lat:6 heat_weight:4", lambda x: plan.heat_points(x.ale
 add("alert_window_groups", "alert_group alerts reports impact:4 critical", lambda x: plan.alert_window_groups(x.alerts),
     f"{ALERTS}, g AS (SELECT alert_group, count(*) AS alerts, CAST(sum(cluster_report_count) AS BIGINT) AS reports, sum(alert_impact_score) AS impact, count(*) FILTER (is_critical_alert) AS critical FROM alerts GROUP BY 1)", "g")
 add("readable_counts", "categoria eventos", lambda x: plan.readable_counts(x.view("alert"), "type", ALERT_TYPE_LABELS),
-    "a AS (SELECT CASE event_id % 4 WHEN 0 THEN 'Accidente' WHEN 1 THEN 'Cierre vial' WHEN 2 THEN 'Congestion reportada' ELSE 'Peligro vial' END AS categoria, count(*) AS eventos FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1)", "a")
+    "a AS (SELECT CASE event_id % 4 WHEN 0 THEN 'Accidente' WHEN 1 THEN 'Cierre vial' WHEN 2 THEN 'Congestion reportada' ELSE 'Peligro vial' END AS categoria, count(*) AS eventos FROM events GROUP BY 1)", "a")
 
 _lt = "(ts - INTERVAL 6 HOURS)"
 

@@ -36,7 +36,7 @@ SELECT event_id AS uuid, ts,
        CAST((event_id*13) % 20 AS INT) + 1 AS cluster_report_count,
        CAST(event_id % 11 AS DOUBLE) AS reliability, CAST(event_id % 6 AS DOUBLE) AS reportrating,
        CAST(event_id % 5 AS DOUBLE) AS confidence
-FROM events WHERE event_type IN ('error', 'purchase')
+FROM events
 """
 
 ROAD_PIECE = """
@@ -78,7 +78,7 @@ ALIAS = """
 SELECT CONCAT('corredor ', CAST(n_nationkey AS STRING)) AS raw_value_norm,
        CONCAT('Corredor ', n_name) AS corridor_norm,
        50e0 + CAST(n_regionkey AS DOUBLE)*10e0 AS priority
-FROM nation WHERE n_nationkey % 4 = 0
+FROM nation
 """
 
 # The incident with road text, severity phrases and territory, over whole document texts.
@@ -132,11 +132,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All-text incidents: the flat snapshots packed into ``evidence`` JSON, some of it damaged.
-
-    Incidents whose number ends in 4 have broken JSON; one in ten carries array
-    items that are no objects.
-    """
+    """All-text incidents: the flat snapshots packed into ``evidence`` JSON; one in ten carries array items that are no objects."""
     flat = view(spark, sf_dir, "snapshot").withColumn(
         "s", F.struct(F.col("captured_at").cast("string").alias("captured_at"), "likes", "comments", "shares", "quotes",
                       "views")
@@ -149,8 +145,7 @@ def raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))).alias("m"))
     json = F.to_json("m")
     evidence = (
-        F.when(F.col("incident") % 10 == 4, F.concat(json, F.lit("}")))
-        .when(F.col("incident") % 10 == 3, F.concat(F.lit('[7, "x", '), F.substring(json, 2, 1 << 30)))
+        F.when(F.col("incident") % 10 == 3, F.concat(F.lit('[7, "x", '), F.substring(json, 2, 1 << 30)))
         .otherwise(json)
     )
     packed = packed.select(F.col("incident").alias("uuid"), evidence.alias("evidence"), F.size("m").alias("n"))
