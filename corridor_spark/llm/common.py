@@ -2,21 +2,62 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridor_spark.session import stage, stage_root  # noqa: F401
+from corridor_spark import session
+from corridor_spark.session import stage_root  # noqa: F401
 
 #: A word: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Removes a query's shuffle files as soon as it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_SCOPE, _STAGED = [""], defaultdict(list)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that is read several times, without keeping the shuffles behind it, and return the written table."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        out = session.stage(df, name)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    _STAGED[_SCOPE[-1]].append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        for held in _STAGED.values():
+            held[:] = [t for t in held if t is not table]
+
+
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables staged inside go when the scope is entered again: by then what was made of them must have been written."""
+    discard(*_STAGED[name])
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -45,10 +86,6 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(or_, conditions)
-
-
 def order_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Non-null key that orders and joins rows: null ids last, rows of one id by their text."""
     return F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridor_spark.llm.common import stage
+from corridor_spark.llm.common import discard, stage
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -35,5 +35,6 @@ def components(links: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             return now
-        seen = state
-        now = stage(_small_star(_large_star(now)), "links")
+        seen, last = state, now
+        now = stage(_small_star(_large_star(last)), "links")
+        discard(last)

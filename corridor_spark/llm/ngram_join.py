@@ -3,20 +3,23 @@
 1. Documents of one shingle set are one class; the class stands for all its copies.
 2. Shingles get one global order, rare first: by the load of their hash bucket,
    counted over all documents, then by hash. It steers the work only.
-3. Similar classes are put in groups: classes that share one of ``KEYS`` min-hashes
-   are compared with the first of them, and verified links are joined to groups.
+3. A class whose first tokens (see 4) are nearly all its own can link with no
+   other and is settled. Similar classes are put in groups: those that share one of
+   ``KEYS`` min-hashes are compared with the one that has the fewest tokens of its
+   own. What comes near it joins its group; what links with it, its part of the group.
 4. The token-group matrix holds, per group, the union of its members' prefix
    tokens and the range of their sizes. A set of n shingles needs a common part
    of ``percent * n / 100`` with any partner, so of its n - common + HITS first
    tokens at least HITS are among those of its partner's group: a group whose
    union has fewer of them, or no member of a fitting size, cannot qualify and
    is never opened. Tokens that lie in one group only say nothing and go first.
-5. Qualifying groups are opened in chunks of members; a query meets a chunk
-   through an index of the chunk's shingles, with exact counts. One link to a
-   group is enough, since its members are linked already.
+5. Qualifying groups, and groups of several parts, are opened in chunks of members;
+   a query meets a chunk through an index of the chunk's shingles, with exact
+   counts. One link to a part is enough, since its members are linked already.
 
-No pairs within a group are formed, a group of copies costs as much as its
-members, and hot tokens, keys and groups are split or summed before they move.
+No pairs within a group are formed as rows; a group of copies costs as much as its
+members, one of texts that are near but not linked is compared chunk by chunk. Hot
+tokens, keys and groups are split or summed before they move.
 
 Rules: null and empty texts have no shingles and are linked with nothing; texts
 of fewer words are one shingle; rows repeat as they come, rows of one id and text
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridor_spark.llm.common import order_key, slices, stage, texts
+from corridor_spark.llm.common import discard, order_key, slices, stage, texts
 from corridor_spark.llm.components import components
 from corridor_spark.llm.shingles import scramble, shingle_sets
 from corridor_spark.session import small_side
@@ -103,108 +106,145 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
                                         "keys array<long>, tokens array<long>"), "sketches")
 
 
-def linked_pairs(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are similar enough."""
-    have = class_texts(pairs.select(F.col("a").alias("key")).union(pairs.select("b")), docs)
+def class_texts(classes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, text`` of the named classes, once each."""
+    keys = classes.select("node", "key").join(wanted.distinct(), "node", "leftsemi")
+    own = texts(docs).select(order_key().alias("key"), "text")
+    return stage(own.join(small_side(stage(keys, "keys")), "key").select("node", "text").dropDuplicates(["node"]), "texts")
+
+
+def similar_pairs(pairs: DataFrame, have: DataFrame, words: int, percent: int, weak: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are similar to ``weak`` percent, and whether they are to ``percent``."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 left, right = (shingle_sets(part.column(c).to_pylist(), words) for c in ("left", "right"))
-                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
-                good = pa.array([100 * c >= percent * (len(x) + len(y) - c) for c, x, y in zip(common, left, right)], pa.bool_())
-                yield part.select(["a", "b"]).filter(good)
+                common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)])
+                union = np.array([len(x) + len(y) for x, y in zip(left, right)]) - common
+                rows = part.select(["a", "b"]).append_column("linked", pa.array(100 * common >= percent * union))
+                yield rows.filter(pa.array(100 * common >= weak * union))
 
-    both = (pairs.join(have.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
-            .join(have.select(F.col("key").alias("b"), F.col("text").alias("right")), "b"))
-    return both.select("a", "b", "left", "right").mapInArrow(verify, pairs.select("a", "b").schema)
+    both = (pairs.join(have.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+            .join(have.select(F.col("node").alias("b"), F.col("text").alias("right")), "b"))
+    return both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long, linked boolean")
 
 
-def class_texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
-    """``key, text`` of the named documents, once each."""
-    own = texts(docs).select(order_key().alias("key"), "text")
-    return stage(own.join(small_side(stage(keys.distinct(), "keys")), "key", "leftsemi").dropDuplicates(["key"]), "texts")
-
+def shared_tokens(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, node) of the first tokens that two classes or more have; and the classes with enough of them to link at all."""
+    tokens = classes.select("node", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
+    shared = stage(tokens.join(often, "token", "leftsemi"), "tokens")
+    counts = shared.groupBy("node").agg(F.count("*").alias("shared")).where(F.col("shared") >= HITS)
+    alive = classes.select("node", "n", "keys", F.size("tokens").alias("first_tokens")).join(counts, "node")
+    return shared, stage(alive.withColumn("alone", F.col("first_tokens") - F.col("shared")), "alive")
 
-def grouped(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between classes that share a min-hash, each with the first of them."""
-    keyed = nodes.where(F.size("keys") > 0).select("node", "n", F.posexplode("keys").alias("band", "hash"))
-    leaders = keyed.groupBy("band", "hash").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    fits = F.least("n", F.col("first.n")) * 100 >= F.greatest("n", F.col("first.n")) * percent
-    pairs = (keyed.join(leaders, ["band", "hash"]).where(fits & (F.col("node") != F.col("first.node")))
-             .select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct())
-    return linked_pairs(stage(pairs, "pairs"), docs, words, percent)
 
+def grouped(alive: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Similar pairs of classes that share a min-hash, each with the one of them that has the fewest tokens of its own.
 
-def opened(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, group) where the group's token union holds enough of the node's first tokens and a member's size fits."""
-    tokens = stage(nodes.where(F.size("tokens") > 0).select("node", "n", "group", F.explode("tokens").alias("token")), "tokens")
+    That is the text the others were made from, if it is there, and they are closer to it than to each other.
+    """
+    weak = max(2 * percent - 100, 50)  # both within reach of a text that both may link with
+    keyed = alive.select("node", "n", "alone", F.posexplode("keys").alias("band", "hash"))
+    leaders = (keyed.groupBy("band", "hash").agg(F.min(F.struct("alone", "node", "n")).alias("first"), F.count("*").alias("m")).where("m > 1"))
+    fits = F.least("n", F.col("first.n")) * 100 >= F.greatest("n", F.col("first.n")) * weak
+    pairs = stage(keyed.join(leaders, ["band", "hash"]).where(fits & (F.col("node") != F.col("first.node")))
+                  .select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct(), "pairs")
+    have = class_texts(classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs)
+    found = stage(similar_pairs(pairs, have, words, percent, weak), "similar")
+    discard(pairs, have)
+    return found
+
+
+def opened(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, part, group) to compare: a group whose union holds enough of the node's first tokens and has a member that fits.
+
+    Of two groups the later asks the earlier. Inside a group, all parts but the largest ask.
+    """
+    parts = nodes.groupBy("group", "part").agg(F.count("*").alias("m"))
+    main = parts.groupBy("group").agg(F.max(F.struct("m", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    inside = nodes.join(main, "group").where(F.col("part") != F.col("main.part")).select("node", "part", "group")
+    tokens = shared.join(nodes, "node")
     across = (tokens.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"))
               .where("low <> high").select("token"))
-    tokens = stage(tokens.join(across, "token"), "tokens")
+    tokens = stage(tokens.join(across, "token", "leftsemi"), "across")
     union = tokens.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     meet = tokens.join(union.withColumnRenamed("group", "other"), "token")
     fits = (F.col("low") * percent <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * percent)
-    return (meet.where((F.col("group") != F.col("other")) & fits).groupBy("node", F.col("other").alias("group"))
-            .agg(F.count("*").alias("hits")).where(F.col("hits") >= HITS).select("node", "group"))
+    outside = (meet.where((F.col("group") > F.col("other")) & fits).groupBy("node", "part", F.col("other").alias("group"))
+               .agg(F.count("*").alias("hits")).where(F.col("hits") >= HITS).select("node", "part", "group"))
+    asks = stage(inside.unionByName(outside), "opened")
+    discard(tokens)
+    return asks
 
 
-def links_across(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """A link from each class to every other group in which it has a partner."""
-    asks = stage(opened(nodes, percent), "opened")
+def links_across(shared: DataFrame, nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links from each class to the parts of its own and other groups in which it has a partner; ``nodes``: node, n, group, part."""
+    asks = opened(shared, nodes, percent)
     sizes = asks.groupBy("group").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("asking"))
-    groups = (nodes.where(F.size("tokens") > 0).select("node", "group")).join(sizes, "group", "leftsemi")
-    sizes = stage(sizes.join(groups.groupBy("group").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks")), "group"), "sizes")
-    have = class_texts(asks.select(F.col("node").alias("key")).union(groups.select("node")), docs)
+    members = nodes.select("node", "part", "group").join(sizes, "group", "leftsemi")
+    sizes = stage(sizes.join(members.groupBy("group").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks")), "group"), "sizes")
+    have = class_texts(classes, asks.select("node").union(members.select("node")), docs)
     spread = lambda column: F.pmod(F.xxhash64("node"), F.col(column)).cast("int")
     each = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
-    query = (asks.join(sizes, "group").select("node", "group", spread("asking").alias("part"), each("chunks").alias("chunk"))
-             .join(have.select(F.col("key").alias("node"), F.col("text").alias("asking_text")), "node"))
-    member = (groups.join(sizes, "group").select("node", "group", each("asking").alias("part"), spread("chunks").alias("chunk"))
-              .join(have.select(F.col("key").alias("node"), F.col("text").alias("member_text")), "node"))
+    query = (asks.join(sizes, "group").select("node", "part", "group", spread("asking").alias("lot"), each("chunks").alias("chunk"))
+             .join(have.select("node", F.col("text").alias("asking_text")), "node"))
+    member = (members.join(sizes, "group").select("node", "part", "group", each("asking").alias("lot"), spread("chunks").alias("chunk"))
+              .join(have.select("node", F.col("text").alias("member_text")), "node"))
 
     def meet(asked: pa.Table, there: pa.Table) -> pa.Table:
         left, right = [], []
         sets = shingle_sets(there.column("member_text").to_pylist(), words)
-        size = np.array([len(s) for s in sets], np.int64)
+        size, part = np.array([len(s) for s in sets], np.int64), there.column("part").to_numpy()
         tokens, owner = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), size)
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
-        for i, s in enumerate(shingle_sets(asked.column("asking_text").to_pylist(), words) if len(sets) else []):
+        queries = shingle_sets(asked.column("asking_text").to_pylist(), words) if len(sets) else []
+        for i, (s, own) in enumerate(zip(queries, asked.column("part").to_pylist())):
             low, high = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
             count = high - low
             at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
             common = np.bincount(owner[at], minlength=len(sets))
-            good = np.flatnonzero(100 * common >= percent * (len(s) + size - common))
-            if len(good):
-                left.append(i)
-                right.append(int(good[0]))
+            good = np.flatnonzero((100 * common >= percent * (len(s) + size - common)) & (part != own))
+            if len(good):  # one link to each part is enough
+                first = good[np.unique(part[good], return_index=True)[1]].tolist()
+                left += [i] * len(first)
+                right += first
         return pa.table({"a": asked.column("node").take(pa.array(left, pa.int64())),
                          "b": there.column("node").take(pa.array(right, pa.int64()))})
 
-    key = "struct<none:boolean,id:bigint,text:bigint>"
-    return (query.groupBy("group", "part", "chunk").cogroup(member.groupBy("group", "part", "chunk"))
-            .applyInArrow(meet, f"a {key}, b {key}"))
+    found = stage(query.groupBy("group", "lot", "chunk").cogroup(member.groupBy("group", "lot", "chunk"))
+                  .applyInArrow(meet, "a long, b long"), "found")
+    discard(asks, sizes, have)
+    return found
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: key (its order), n_shingles, first (the order of its component's first document)."""
-    rows = sketches(docs, words, percent)
-    nodes = stage(rows.where("n > 0").groupBy("one", "two", "n").agg(
-        F.min("key").alias("node"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens")), "classes")
-    near = components(grouped(nodes, docs, words, percent))
-
-    def labelled(links: DataFrame, name: str) -> DataFrame:
-        found = links.select(F.col("a").alias("node"), F.col("b").alias("first"))
-        return nodes.join(found, "node", "left").withColumn(name, F.coalesce("first", "node")).drop("first")
-
-    groups = labelled(near, "leader").select("node", "n", "tokens", F.xxhash64("leader").alias("group"))
-    more = links_across(stage(groups, "groups"), docs, words, percent)
+    drawn = sketches(docs, words, percent)
+    classes = stage(drawn.where("n > 0").groupBy("one", "two", "n").agg(
+        F.min("key").alias("key"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens"))
+        .withColumn("node", F.monotonically_increasing_id()), "classes")  # written once, so the numbers stay
+    rows = stage(drawn.select("key", "n", "one", "two"), "rows")
+    discard(drawn)
+    shared, alive = shared_tokens(classes)
+    similar = grouped(alive, classes, docs, words, percent)
+    near = components(similar.where("linked"))
+    groups = components(similar)
+    named = lambda links, name: links.select(F.col("a").alias("node"), F.col("b").alias(name))
+    nodes = stage(alive.select("node", "n").join(named(near, "part"), "node", "left").join(named(groups, "group"), "node", "left")
+                  .select("node", "n", F.coalesce("group", "node").alias("group"), F.coalesce("part", "node").alias("part")), "groups")
+    more = links_across(shared, nodes, classes, docs, words, percent)
     done = components(near.unionByName(more))
-    known = labelled(done, "leader").select("one", "two", "n", "leader")
-    return (rows.select("key", "n", "one", "two").join(known, ["one", "two", "n"], "left")
-            .select("key", F.col("n").alias("n_shingles"), F.coalesce("leader", "key").alias("first")))
+    known = stage(classes.select("one", "two", "n", "key", "node").join(named(done, "leader"), "node", "left")
+                  .withColumn("leader", F.coalesce("leader", "node")), "known")
+    firsts = known.groupBy("leader").agg(F.min("key").alias("first"))
+    known = stage(known.join(firsts, "leader").select("one", "two", "n", "first"), "firsts")
+    discard(classes, shared, alive, similar, near, groups, nodes, more, done)
+    return (rows.join(known, ["one", "two", "n"], "left")
+            .select("key", F.col("n").alias("n_shingles"), F.coalesce("first", "key").alias("first")))
 
 
 def labels(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
