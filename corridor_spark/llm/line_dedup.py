@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridor_spark.llm.common import order_key, slices, stage, texts
+from corridor_spark.llm.common import discard, order_key, slices, stage, texts
 from corridor_spark.llm.secrets import let
 
 #: Words that a common block must have.
@@ -127,8 +127,8 @@ def repeated(later: tuple[list[int], list[int]], earlier: tuple[list[int], list[
     return sorted(gone)
 
 
-def removals(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lines of each document; per document with repeats: key, gone = the places of the lines to delete, partners)."""
+def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """Per document with repeats: key, gone (the places of the lines to delete) and partners."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -157,14 +157,16 @@ def removals(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
 
     aligned = both.select("key", "place", "key_names", "key_words", "first_names", "first_words").mapInArrow(align, f"key {key}, gone array<int>")
     # a document has at most as many partners as runs, so the lists stay as small as the document
-    gone = aligned.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.count("*").alias("partners"))
-    return lines, stage(gone, "gone")
+    gone = stage(aligned.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"),
+                                            F.count("*").alias("partners")), "gone")
+    discard(lines, pairs)
+    return gone
 
 
 def _cleaned(docs: DataFrame, least: int) -> DataFrame:
     """``row``, the row of ``docs``, its ``text`` without the lines, and gone and partners (null without a repeat)."""
-    _, gone = removals(docs, least)
-    keyed = docs.select(order_key().alias("key"), F.struct("*").alias("row")).join(gone, "key", "left")
+    gone = removals(docs, least)
+    keyed = docs.select(order_key().alias("key"), F.struct("*").alias("row")).join(gone.hint("merge"), "key", "left")
     kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))
     cleaned = let(F.split("row.text", "\n", -1), lambda lines: F.array_join(kept(lines), "\n"))
     return keyed.withColumn("text", F.when(F.col("gone").isNotNull(), cleaned).otherwise(F.col("row.text")))
