@@ -1,4 +1,8 @@
-"""A corpus pipeline of five operators; each stage is written and read again as the next one's documents."""
+"""A corpus pipeline of five operators; each stage is written and read again as the next one's documents.
+
+What a stage has staged for itself is removed when the next one begins, so each
+stage's result has to be written before that.
+"""
 
 from __future__ import annotations
 
@@ -8,32 +12,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corridor_spark.llm import bpe, line_dedup, mixing, ngram_join, quality
-from corridor_spark.llm.common import load, stage_root
+from corridor_spark.llm.common import load, scope, stage_root
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
-    return quality.keep_good(docs)
+    with scope("pipeline"):
+        return quality.keep_good(docs)
 
 
 def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of 50 words or more that an earlier document holds are cut out; documents left without a word go."""
-    return line_dedup.without_repeats(docs)
+    with scope("pipeline"):
+        return line_dedup.without_repeats(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each component of near duplicates stays: five-word shingles, similarity 0.8 or more."""
-    return ngram_join.first_of_each(docs)
+    with scope("pipeline"):
+        return ngram_join.first_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source gives its target's words: a document comes once per round that takes it, cut where its source's last round ends."""
-    return mixing.mix_documents(docs)
+    with scope("pipeline"):
+        return mixing.mix_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document of the mix, with digests of the ids and of the decoded text."""
-    return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, more=("source",))
+    with scope("pipeline"):
+        return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, more=("source",))
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_repeats), ("n-gram Jaccard join", near_duplicates),

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corridor_spark.llm.common import WORD, stage, texts
+from corridor_spark.llm.common import WORD, discard, stage, texts
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 512
@@ -86,7 +86,9 @@ def plan_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
         placed["*"], (F.col("inside") + F.col("before")).alias("start"))
     documents = placed.join(sources, same(placed, sources)).select(
         "doc_id", "key", "sid", "size", F.col("words").alias("source_size"), "target", "start")
-    return stage(documents, "mix-places"), sources
+    documents = stage(documents, "mix-places")
+    discard(own)
+    return documents, sources
 
 
 def schedule(sources: DataFrame) -> DataFrame:
