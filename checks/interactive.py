@@ -14,7 +14,8 @@ from checks.sql import scale, tcompact
 from corridor_spark.lexicons import ALERT_TYPE_LABELS
 from corridor_spark.plans import evaluate
 from corridor_spark.plans import interactive as plan
-from corridor_spark.session import stage_root
+from corridor_spark.fixtures import cte
+from corridor_spark.session import stage, stage_root
 from corridor_spark.sources import incidents as incident_source
 from corridor_spark.streaming import windows
 
@@ -104,28 +105,59 @@ def _events_stream(x):
     return windows.read_stream(x.spark, f"{x.sf_dir}/events.parquet*", batch.schema)
 
 
-def _drained(x, df):
-    return windows.drain(df, f"{stage_root(x.spark)}/stream-{uuid.uuid4().hex}")
+def _drained(x, df, key="window_end"):
+    return windows.drain(df, f"{stage_root(x.spark)}/stream-{uuid.uuid4().hex}", [key, *[c for c in df.columns if c in ("window_start", "event_type", "corridor_key")]])
 
 
-# In append mode a window is written once the watermark has passed its end.
-_DONE = "(SELECT max(ts) - INTERVAL 15 MINUTES FROM events)"
-add("moving_window", "window_end event_type n total:4", lambda x: _drained(x, windows.sliding(_events_stream(x), "event_type", "value", "60 minutes", "15 minutes")).withColumn("window_end", F.col("window_end").cast("timestamp_ntz")),
-    f"""m AS (SELECT time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 15 MINUTES * (i + 1) AS window_end, event_type, count(*) AS n, sum(value) AS total FROM events, range(4) t(i) GROUP BY 1, 2)""", f"(SELECT * FROM m WHERE window_end <= {_DONE})")
-add("stream_frames", "window_end event_type n total:4", lambda x: _drained(x, windows.tumbling(_events_stream(x), "event_type", "value")).withColumn("window_end", F.col("window_end").cast("timestamp_ntz")),
-    "m AS (SELECT time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 15 MINUTES AS window_end, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)", f"(SELECT * FROM m WHERE window_end <= {_DONE})")
-add("stream_days", "day event_type n total:4", lambda x: _drained(x, windows.accumulated(_events_stream(x), "event_type", "value")),
-    "m AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)", f"(SELECT * FROM m WHERE day + INTERVAL 1 DAY <= {_DONE})")
+_END = lambda df: df.withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+add("moving_window", "window_end event_type n total:4", lambda x: _END(_drained(x, windows.sliding(_events_stream(x), "event_type", "value", "60 minutes", "15 minutes"))),
+    "m AS (SELECT time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 15 MINUTES * (i + 1) AS window_end, event_type, count(*) AS n, sum(value) AS total FROM events, range(4) t(i) GROUP BY 1, 2)", "m")
+add("stream_frames", "window_end event_type n total:4", lambda x: _END(_drained(x, windows.tumbling(_events_stream(x), "event_type", "value"))),
+    "m AS (SELECT time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 15 MINUTES AS window_end, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)", "m")
+add("stream_days", "day event_type n total:4", lambda x: _drained(x, windows.accumulated(_events_stream(x), "event_type", "value"), "day"),
+    "m AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)", "m")
+add("stream_snapshots", "user_id event_type value:4 snapshots", lambda x: windows.drain(windows.latest_snapshots(_events_stream(x), ["user_id", "event_type"], ["event_id", "value"]),
+                                                                                       f"{stage_root(x.spark)}/stream-{uuid.uuid4().hex}", ["user_id", "event_type"]),
+    "m AS (SELECT user_id, event_type, arg_max(value, (ts, event_id, value)) AS value, count(*) AS snapshots FROM events GROUP BY 1, 2)", "m")
 
 
-def _ranked(x):
-    events = _events_stream(x)
-    source = F.when(F.col("event_type").isin("click", "view"), "jam").when(F.col("event_type") == "error", "alert").otherwise("news")
-    rows = events.select("ts", source.alias("source"), F.concat(F.lit("corredor "), (F.col("user_id") % 40).cast("string")).alias("corridor_key"),
-                         F.col("value").alias("weight"))
-    path = f"{stage_root(x.spark)}/stream-{uuid.uuid4().hex}"
-    windows.each_batch(windows.source_totals(rows), windows.rank_in_batch(f"{path}/rows"), f"{path}/_state", "append").awaitTermination()
-    return x.spark.read.parquet(f"{path}/rows")
+def _jam_stream(x):
+    """The jam view over the event stream."""
+    source = x.view("jam_obs")
+    stream = windows.read_stream(x.spark, f"{x.sf_dir}/events.parquet*", x.table("events").schema)
+    return stream.select(F.floor(F.col("event_id") / 4).alias("uuid"), F.col("event_id").alias("id"), "ts", ((F.col("event_id") * 31) % 5 + 1).cast("int").alias("level"),
+                         (F.col("value") * 20.0).alias("delay"), ((F.col("event_id") * 37) % 4000 + 50.0).alias("length"),
+                         ((F.col("event_id") * 17) % 45).cast("double").alias("speedkmh")).select(*[c for c in source.columns if c not in ("street", "city")])
+
 
+add("stream_jams", "uuid level_max level_mean:4 delay_max:4 delay_mean:4 length_max:4 speed_min:4 speed_mean:4 records_per_uuid",
+    lambda x: windows.drain(windows.running_jams(_jam_stream(x)), f"{stage_root(x.spark)}/stream-{uuid.uuid4().hex}", ["uuid"]),
+    f"""{cte('jam_obs')}, m AS (SELECT uuid, max(level) AS level_max, avg(level) AS level_mean, max(delay) AS delay_max, avg(delay) AS delay_mean, max(length) AS length_max,
+    min(speedkmh) AS speed_min, avg(speedkmh) AS speed_mean, count(*) AS records_per_uuid FROM jam_obs GROUP BY 1)""", "m")
 
-add("stream_ranking", "window_end corridor_key jam:4 alert:4 news:4 dynamic_corridor_pressure:4", _ranked)
+
+def _ranked(x):
+    events, kind = _events_stream(x), F.col("event_type")
+    rows = events.select("ts", F.when(kind.isin("click", "view"), "jam").when(kind == "error", "alert").otherwise("news").alias("source"),
+                         F.concat(F.lit("corredor "), (F.col("user_id") % 40).cast("string")).alias("corridor_key"), (F.col("value") / 60).alias("delay_min"),
+                         (F.col("value") * (F.col("event_id") % 5)).alias("congestion_load"), (F.col("event_id") % 100).cast("double").alias("jam_intensity"),
+                         F.col("value").alias("impact"))
+    return _END(windows.rank_windows(stage(_drained(x, windows.source_totals(rows)), "window-totals")))
+
+
+def _in_window(x: str) -> str:
+    top = f"quantile_cont(GREATEST({x}, 0), .95) OVER (PARTITION BY window_end)"
+    high = f"(CASE WHEN {top} > 0 THEN {top} ELSE max({x}) OVER (PARTITION BY window_end) END)"
+    return f"(CASE WHEN {high} > 0 THEN LEAST(GREATEST({x}, 0)/{high}, 1) ELSE 0 END)"
+
+
+add("stream_ranking", "window_end corridor_key visible_jams temporal_jam_pressure:4 alert_impact:4 news_impact:4 dynamic_corridor_pressure:4", _ranked, f"""
+e AS (SELECT time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 15 MINUTES * (i + 1) AS window_end, 'corredor ' || (user_id % 40) AS corridor_key, event_type IN ('click', 'view') AS jam,
+  event_type = 'error' AS alert, value, event_id FROM events, range(4) t(i)),
+t AS (SELECT window_end, corridor_key, count(*) FILTER (jam) AS n, COALESCE(sum(value/60) FILTER (jam), 0) AS d, COALESCE(sum(value*(event_id % 5)) FILTER (jam), 0) AS l,
+  COALESCE(avg(CAST(event_id % 100 AS DOUBLE)) FILTER (jam), 0) AS v, COALESCE(sum(value) FILTER (alert), 0) AS a, COALESCE(sum(value) FILTER (NOT jam AND NOT alert), 0) AS w FROM e GROUP BY 1, 2),
+j AS (SELECT *, ROUND(100*(0.3e0*{_in_window('n')} + 0.3e0*{_in_window('d')} + 0.25e0*{_in_window('l')} + 0.15e0*{_in_window('v')}), 3) AS p FROM t WHERE n > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY window_end ORDER BY p DESC, corridor_key) <= 90 AS top FROM j UNION ALL SELECT *, 0, false FROM t WHERE n = 0),
+r AS (SELECT window_end, corridor_key, CASE WHEN top THEN n ELSE 0 END AS visible_jams, CASE WHEN top THEN p ELSE 0 END AS temporal_jam_pressure, a AS alert_impact, w AS news_impact
+  FROM k WHERE top OR a <> 0 OR w <> 0),
+s AS (SELECT *, ROUND(100*(0.45e0*{_in_window('temporal_jam_pressure')} + 0.35e0*{_in_window('alert_impact')} + 0.2e0*{_in_window('news_impact')}), 3) AS dynamic_corridor_pressure FROM r)""", "s")

@@ -52,22 +52,32 @@ def _folding() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
         if here != prev + 1:
             ranges.append(rf"\x{{{start:x}}}-\x{{{prev:x}}}")
             start = here
-    # The look-ahead settles most characters by their category before the long class is tried.
-    return "".join(single_from), "".join(single_to), tuple(several), r"(?=\p{M})[" + "".join(ranges) + "]+"
+    # The look-ahead settles most characters by their category before the long class is tried; the JVM may not know the newest marks.
+    return "".join(single_from), "".join(single_to), tuple(several), r"(?=[\p{M}\p{Cn}])[" + "".join(ranges) + "]+"
 
 
-#: Multi-character forms that road text really holds (ordinals and fractions are single or listed here).
-_COMMON_EXPANSIONS = ("½", "¼", "¾", "…", "™", "№", "ﬁ", "ﬂ", "ﬀ", "ﬃ", "ﬄ")
+def _char_class(chars: list[str]) -> str:
+    """Regular-expression class of the characters, with runs as ranges."""
+    codes = sorted(map(ord, chars))
+    out, start = [], codes[0]
+    for prev, here in zip(codes, codes[1:] + [None]):
+        if here != prev + 1:
+            out.append(rf"\x{{{start:x}}}-\x{{{prev:x}}}")
+            start = here
+    return "[" + "".join(out) + "]"
 
 
 def fold(col: Column) -> Column:
-    """Lower case without accents or compatibility forms (``É`` → ``e``, ``ª`` → ``a``)."""
+    """Lower case without accents or compatibility forms (``É`` → ``e``, ``ª`` → ``a``, ``㎞`` → ``km``).
+
+    Forms of several characters are looked up one by one, in rows that hold one.
+    """
     single_from, single_to, several, marks = _folding()
     low = F.lower(col)
     out = F.translate(low, single_from, single_to)
-    expansions = dict(several)
-    for char in _COMMON_EXPANSIONS:
-        out = F.replace(out, F.lit(char), F.lit(expansions[char]))
+    expansions = F.create_map(*[F.lit(x) for pair in several for x in pair])
+    spelled = F.array_join(F.transform(F.regexp_extract_all(out, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(expansions[c], c)), "")
+    out = F.when(out.rlike(_char_class([char for char, _ in several])), spelled).otherwise(out)
     is_ascii = F.octet_length(low) == F.length(low)
     return F.when(is_ascii, low).otherwise(F.regexp_replace(out, marks, ""))
 

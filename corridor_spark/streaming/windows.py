@@ -1,21 +1,23 @@
 """Structured Streaming forms of the window queries.
 
-Event time is a ``timestamp`` column ``ts``. Late rows are accepted up to the
-watermark; state older than that is dropped, so it stays bounded.
+Event time is a ``timestamp`` column ``ts``. Windowed queries accept late rows up
+to the watermark and drop older state, so it stays bounded. The newest snapshot
+of a mention and the measures of a jam have no end; their state is one row each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corridor_spark.functions.numbers import rounded, time_period
 from corridor_spark.operators.nearest import LOCAL, Metric, nearest
-from corridor_spark.operators.norms import fit_scale, weighted
-from corridor_spark.session import stage, stage_root
+from corridor_spark.operators.norms import weighted
+from corridor_spark.session import stage
 
 LATE = "15 minutes"
 
@@ -48,31 +50,27 @@ def _windowed(stream: DataFrame, key: str, value: str, window) -> DataFrame:
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n", "total")
 
 
-def latest_snapshots(stream: DataFrame, keys: list[str], columns: list[str], horizon: str = "1 day") -> DataFrame:
-    """Newest snapshot per mention inside each horizon."""
-    return stream.withWatermark("ts", LATE).groupBy(F.window("ts", horizon).alias("w"), *keys).agg(
+def latest_snapshots(stream: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Newest snapshot per mention so far."""
+    return stream.groupBy(*keys).agg(
         F.max_by(F.struct("ts", *columns), F.struct("ts", *columns)).alias("_s"), F.count(F.lit(1)).alias("snapshots")
-    ).select(*keys, F.col("w.start").alias("window_start"), "_s.*", "snapshots")
+    ).select(*keys, "_s.*", "snapshots")
 
 
-def running_jams(stream: DataFrame, horizon: str = "1 day") -> DataFrame:
-    """Order-free measures of each jam so far; repeated observations count once."""
+def running_jams(stream: DataFrame) -> DataFrame:
+    """Order-free measures of each jam so far; observations repeated within the watermark count once."""
     once = stream.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["id"])
-    return once.groupBy(F.window("ts", horizon).alias("w"), "uuid").agg(
+    return once.groupBy("uuid").agg(
         F.min("ts").alias("ts_first"), F.max("ts").alias("ts_last"), F.max("level").alias("level_max"),
         F.avg("level").alias("level_mean"), F.max("delay").alias("delay_max"), F.avg("delay").alias("delay_mean"),
         F.max("length").alias("length_max"), F.min("speedkmh").alias("speed_min"),
         F.avg("speedkmh").alias("speed_mean"), F.count(F.lit(1)).alias("records_per_uuid"),
-    ).select("uuid", F.col("w.start").alias("window_start"), "ts_first", "ts_last", "level_max", "level_mean", "delay_max",
-             "delay_mean", "length_max", "speed_min", "speed_mean", "records_per_uuid",
-             time_period(F.hour("ts_first")).alias("time_period"))
+    ).withColumn("time_period", time_period(F.hour("ts_first")))
 
 
-def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str | None = None,
-               mode: str = "update") -> StreamingQuery:
-    """Run ``handle`` on every micro-batch (a ranking, a nearest join), once for what is there now."""
-    location = checkpoint or f"{stage_root(stream.sparkSession)}/stream-{id(handle)}"
-    return stream.writeStream.outputMode(mode).option("checkpointLocation", location).trigger(availableNow=True).foreachBatch(
+def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Run ``handle`` on every micro-batch (a ranking, a nearest join), once for what is there now; a restart goes on from ``checkpoint``."""
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
         handle).start()
 
 
@@ -87,30 +85,74 @@ def nearest_in_batch(pieces: DataFrame, out_path: str, radii, attributes: list[s
     return handle
 
 
+MEASURES = ("visible_jams", "visible_delay_min", "visible_congestion_load", "visible_jam_intensity")
+
+
 def source_totals(stream: DataFrame, length: str = "60 minutes", step: str = "15 minutes") -> DataFrame:
-    """Jam, alert and news weight per corridor and window of a stream with ``source, corridor_key, ts, weight``."""
-    of = lambda name: F.sum(F.when(F.col("source") == name, F.col("weight")).otherwise(0.0)).alias(name)
+    """Jam measures, alert and news impact per corridor and window.
+
+    The stream has ``ts, corridor_key, source`` (jam, alert or news), for jams
+    ``delay_min, congestion_load, jam_intensity``, for the others ``impact``.
+    """
+    jam, of = F.col("source") == "jam", lambda name: F.sum(F.when(F.col("source") == name, F.col("impact")).otherwise(0.0))
     return stream.withWatermark("ts", LATE).groupBy(F.window("ts", length, step).alias("w"), "corridor_key").agg(
-        of("jam"), of("alert"), of("news")).select(F.col("w.end").alias("window_end"), "corridor_key", "jam", "alert", "news")
+        F.count_if(jam).alias("visible_jams"), F.sum(F.when(jam, F.col("delay_min"))).alias("visible_delay_min"),
+        F.sum(F.when(jam, F.col("congestion_load"))).alias("visible_congestion_load"),
+        F.avg(F.when(jam, F.col("jam_intensity"))).alias("visible_jam_intensity"),
+        of("alert").alias("alert_impact"), of("news").alias("news_impact"),
+    ).select(F.col("w.end").alias("window_end"), "corridor_key", *MEASURES, "alert_impact", "news_impact")
+
+
+def _scaled(rows: DataFrame, columns: tuple[str, ...], out: str, weights: tuple[float, ...]) -> DataFrame:
+    """Weighted sum of columns, each from 0 to the 95 % quantile (or maximum) of its own window."""
+    value = lambda c: F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    tops = rows.groupBy("window_end").agg(*[F.struct(F.percentile(value(c), 0.95).alias("q"), F.max(value(c)).alias("m")).alias(f"_{c}") for c in columns])
+    top = lambda c: F.when(F.col(f"_{c}.q") > 0, F.col(f"_{c}.q")).otherwise(F.col(f"_{c}.m"))
+    part = lambda c: F.when(top(c) > 0, F.least(value(c) / top(c), F.lit(1.0))).otherwise(0.0)
+    total = rounded(100 * weighted([(w, part(c)) for w, c in zip(weights, columns)]), 3)
+    return rows.join(tops, "window_end").withColumn(out, total).drop(*[f"_{c}" for c in columns])
+
+
+def rank_windows(totals: DataFrame, top_n: int = 90) -> DataFrame:
+    """Corridors of each window by dynamic pressure.
+
+    Every scale is that of the row's own window, so the result does not depend
+    on how the stream was cut into batches. A window's ``top_n`` corridors by jam
+    pressure take part with it; a window has as many rows as corridors.
+    """
+    jams = _scaled(totals.where("visible_jams > 0"), MEASURES, "temporal_jam_pressure", (0.30, 0.30, 0.25, 0.15))
+    place = F.row_number().over(Window.partitionBy("window_end").orderBy(F.desc("temporal_jam_pressure"), "corridor_key"))
+    rows = jams.withColumn("_place", place).withColumn("_top", F.col("_place") <= top_n).unionByName(
+        totals.where("visible_jams = 0").withColumns({"temporal_jam_pressure": F.lit(0.0), "_place": F.lit(0), "_top": F.lit(False)}))
+    none = lambda c: F.when(F.col("_top"), F.col(c)).otherwise(F.lit(0)).alias(c)
+    rows = rows.where("_top OR alert_impact <> 0 OR news_impact <> 0").select(
+        "window_end", "corridor_key", none("visible_jams"), none("temporal_jam_pressure"), "alert_impact", "news_impact")
+    return _scaled(rows, ("temporal_jam_pressure", "alert_impact", "news_impact"), "dynamic_corridor_pressure", (0.45, 0.35, 0.20))
 
 
 def rank_in_batch(out_path: str) -> Callable[[DataFrame, int], None]:
-    """Batch handler: corridors of the finished windows by dynamic pressure, scaled over the batch."""
+    """Batch handler: ranking of the finished windows (append mode brings all corridors of a window together)."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        rows = stage(batch, "window-totals")
-        scale = fit_scale(rows, ["jam", "alert", "news"])
-        pressure = 100 * weighted([(0.45, scale.of("jam")), (0.35, scale.of("alert")), (0.20, scale.of("news"))])
-        rows.withColumn("dynamic_corridor_pressure", rounded(pressure, 3)).write.mode("overwrite").parquet(
-            f"{out_path}/batch={number}")
+        rank_windows(stage(batch, "window-totals")).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return handle
 
 
-def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Process what is available and return the result table (append mode, Parquet)."""
-    spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_state").trigger(
-        availableNow=True).format("parquet").start(f"{path}/rows")
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+def drain(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Process what is available and return the result table, windows that are still open included.
+
+    Batches write the rows they changed; of each key the newest batch counts.
+    """
+    spark, done = stream.sparkSession, []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        done.append(number)
+
+    each_batch(stream, keep, f"{path}/_state").awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*").select(*stream.columns)

@@ -19,6 +19,15 @@ def test_exact_fold_agrees(spark):
     assert one(spark, text.fold, raw) == one(spark, text.fold_exact, raw)
 
 
+def test_fold_agrees_over_all_of_unicode(spark):
+    """In what the consumers keep of it: ASCII letters and digits."""
+    rows = [(f"x{chr(c)}y zona {chr(c)} 5",) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c).lower() == chr(c)]
+    both = spark.createDataFrame(rows, "raw string").repartition(8).select(
+        "raw", text.plain(text.fold(F.col("raw"))).alias("got"), text.plain(text.fold_exact(F.col("raw"))).alias("want"))
+    assert both.where("got <> want").limit(5).collect() == []
+    assert one(spark, text.compact_text, "zona ㎞ 5") == "zona km 5"
+
+
 @pytest.mark.parametrize("raw, want", [("Av. Bernal", "avenida bernal"), ("Blvr Sur / Carr. CA-1", "bulevar sur carretera ca 1")])
 def test_road_text(spark, raw, want):
     assert one(spark, text.road_text, raw) == want

@@ -95,6 +95,28 @@ def test_latest_snapshot_stream(spark, tmp_path):
     assert seen == {"m": 7.0}
 
 
+def test_states_are_not_cut_at_midnight(spark, tmp_path):
+    rows = [("u", str(i), f"2026-06-{29 + i // 2} {'23' if i < 2 else '00'}:5{i}:00", i, float(i), 100.0, 5.0) for i in range(4)]
+    stream, _ = _stream(spark, tmp_path, rows, "uuid string, id string, ts string, level int, delay double, length double, speedkmh double")
+    jams = windows.drain(windows.running_jams(stream), f"{tmp_path}/jams", ["uuid"]).collect()
+    assert [(r["uuid"], r["records_per_uuid"], r["level_max"]) for r in jams] == [("u", 4, 3)]
+    newest = windows.drain(windows.latest_snapshots(stream, ["uuid"], ["level"]), f"{tmp_path}/newest", ["uuid"]).collect()
+    assert [(r["level"], r["snapshots"]) for r in newest] == [(3, 4)]
+
+
+def test_stream_ranking_does_not_depend_on_batches(spark, tmp_path):
+    rows = [(f"2026-06-29 0{i // 40}:{i % 40 + 10}:00", f"c{i % 7}", ("jam", "alert", "news")[i % 3], float(i % 11), float(i % 5), float(i % 13), float(i % 17)) for i in range(200)]
+    schema = "ts string, corridor_key string, source string, delay_min double, congestion_load double, jam_intensity double, impact double"
+    for i in range(5):  # files in the order of time
+        spark.createDataFrame(rows[i * 40 : i * 40 + 40], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    seen = []
+    for files in (1, 100):
+        stream = windows.read_stream(spark, f"{tmp_path}/in/*", spark.createDataFrame([], schema).schema, files=files)
+        totals = windows.drain(windows.source_totals(stream), f"{tmp_path}/out{files}", ["window_end", "corridor_key"])
+        seen.append(sorted(map(tuple, windows.rank_windows(totals).collect())))
+    assert seen[0] == seen[1] and len({r[0] for r in seen[0]}) == 23  # the windows still open included
+
+
 def test_nearest_in_flight(spark, tmp_path):
     pieces = spark.createDataFrame([(1, -89.2, 13.7, -89.19, 13.7)], "way_id long, ax double, ay double, bx double, by_ double")
     rows = [(i, "2026-06-29 01:00:00", -89.2 + i / 1000, 13.7001) for i in range(9)]
