@@ -40,6 +40,9 @@ def _folding() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
         if char.lower() != char:
             continue
         flat = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if not flat:  # made of marks alone
+            several.append((char, flat))
+            continue
         if flat == char or not any(c.isascii() for c in flat):
             continue
         if len(flat) == 1:
