@@ -6,8 +6,9 @@ from checks.incidents import BASE
 from checks.registry import add
 from checks.sql import fold, has, one_of, q, sub
 from corridor_spark.lexicons import (
-    CAPITAL_CORE, CAPITAL_EXTENDED, CAPITAL_HINTS, CAPITAL_SUBAREAS, EARLY_SEVERITY_TERMS, MENTIONED_DEPARTMENTS,
-    MULTI_EVENT_TERMS, SEVERITY_BONUS,
+    CAPITAL_CORE, CAPITAL_CORRIDORS, CAPITAL_EXTENDED, CAPITAL_HINTS, CAPITAL_KM, CAPITAL_PHRASE_STOPS, CAPITAL_ROAD_WORDS,
+    CAPITAL_SUBAREAS, CROSSING_PATTERNS, EARLY_SEVERITY_TERMS, MENTIONED_DEPARTMENTS, MULTI_EVENT_TERMS, NODE_TERMS, ROAD_TYPE_TERMS,
+    SEVERITY_BONUS,
 )
 from corridor_spark.operators.tables import share_table
 from corridor_spark.plans import evaluate as plan
@@ -58,7 +59,39 @@ c2 AS (SELECT *, CASE WHEN capital_scope = 'OUTSIDE_CAPITAL_SCOPE' THEN 'OUTSIDE
 add("capital_scope", "uuid capital_scope capital_subarea capital_analysis_status", lambda x: x.early, _ctx, STR("c2"))
 add("capital_by_scope", "capital_scope events percent:4", lambda x: plan.capital_tables(x.early)["capital_by_scope"],
     f"{_ctx}, s AS (SELECT capital_scope, count(*) AS events, ROUND(count(*)/CAST(sum(count(*)) OVER () AS DOUBLE)*100, 2) AS percent FROM c2 WHERE capital_scope <> 'OUTSIDE_CAPITAL_SCOPE' GROUP BY 1)", "s")
-add("capital_corridors", "corridor events severity_sum:4 mentions_sum injury_events", lambda x: plan.capital_tables(x.early)["capital_corridors"])
+
+
+def _cut_capital(x: str) -> str:
+    other = r"[^\p{L}\p{N}_]"  # RE2's word boundary knows ASCII only
+    head = f"regexp_replace({x}, {q(rf'(^|{other})(?:{"|".join(CAPITAL_PHRASE_STOPS)})(?:$|{other}).*$')}, '\\1')"
+    return f"regexp_replace(regexp_replace({head}, '\\s+', ' ', 'g'), '^[ ,.;:-]+|[ ,.;:-]+$', '', 'g')"
+
+
+def _pair(p: str) -> str:
+    a, b = (_cut_capital(f"regexp_extract(t, {q(p)}, {i})") for i in (1, 2))
+    return f"CASE WHEN {a} <> '' AND {b} <> '' AND {a} <> {b} THEN {a} || ' / ' || {b} END"
+
+
+_known = f"list_filter([{', '.join(f'CASE WHEN {has("t", a)} THEN {q(n)} END' for n, a in CAPITAL_CORRIDORS.items())}], lambda p: p IS NOT NULL)"
+_found = f"regexp_extract_all(t, {q(rf'\b(?:{"|".join(CAPITAL_ROAD_WORDS)})\s+(?:[a-z0-9ªº.\-/]+\s*){{0,7}}')})"
+_roads = f"""{_ctx}, k0 AS (SELECT *, list_sort({_known}) AS c_known, list_filter(list_transform({_found}, lambda p: {_cut_capital('p')}), lambda p: len(string_split(p, ' ')) >= 2) AS c_phr,
+  list_sort(list_distinct(list_transform(regexp_extract_all(t, {q(CAPITAL_KM)}, 1), lambda n: 'km ' || replace(n, ' ', '')))) AS c_kms FROM c2),
+k1 AS (SELECT *, list_sort(list_distinct(list_concat(c_known, c_phr))) AS c_roads FROM k0),
+k2 AS (SELECT *, COALESCE(c_roads[1], '') AS pr, COALESCE({', '.join(_pair(p) for p in CROSSING_PATTERNS)},
+  CASE WHEN len(c_roads) >= 2 AND (contains(t, ' interseccion ') OR contains(t, ' esquina ')) THEN c_roads[1] || ' / ' || c_roads[2] ELSE '' END) AS xi FROM k1),
+k3 AS (SELECT *, COALESCE(c_known[1], pr) AS corridor, CASE WHEN pr <> '' THEN pr ELSE t END AS rt2,
+  CASE WHEN xi <> '' THEN 'INTERSECTION_TEXT' WHEN len(c_kms) > 0 AND len(c_roads) > 0 THEN 'KM_REFERENCE_ON_ROAD' WHEN len(c_roads) > 0 THEN 'ROAD_NAME_EXTRACTED' WHEN len(c_kms) > 0 THEN 'KM_REFERENCE_ONLY' ELSE 'NO_ROAD_CONTEXT' END AS lvl FROM k2),
+k4 AS (SELECT * EXCLUDE (uuid, corridor_candidate, intersection_candidate, primary_road_candidate, road_name_candidates, km_references, road_context_level, road_type_candidate), CAST(uuid AS VARCHAR) AS uuid, array_to_string(c_roads, '; ') AS road_name_candidates, array_to_string(c_kms, '; ') AS km_references, pr AS primary_road_candidate,
+  xi AS intersection_candidate, corridor AS corridor_candidate, lvl AS road_context_level,
+  CASE {' '.join(f"WHEN {has('rt2', w)} THEN {q(n)}" for n, w in ROAD_TYPE_TERMS)} WHEN contains(rt2, 'avenida') OR regexp_matches(rt2, '\\bav\\b') THEN 'ARTERIAL_O_COLECTORA_URBANA'
+   WHEN contains(rt2, 'calle') THEN 'LOCAL_O_COLECTORA_URBANA' WHEN {has('rt2', NODE_TERMS)} THEN 'NODO_INTERSECCION' ELSE 'NO_CLASIFICADA' END AS road_type_candidate FROM k3)"""
+add("capital_roads", "uuid road_name_candidates primary_road_candidate corridor_candidate intersection_candidate km_references road_context_level road_type_candidate", lambda x: x.early, _roads, "k4")
+add("capital_corridors", "corridor events severity_sum:4 mentions_sum injury_events", lambda x: plan.capital_tables(x.early)["capital_corridors"],
+    f"""{_roads}, s AS (SELECT corridor_candidate AS corridor, count(*) AS events, sum(severity_score) AS severity_sum, sum(mentions) AS mentions_sum, count(*) FILTER (injury_flag) AS injury_events
+  FROM k4 WHERE capital_analysis_status = 'ELIGIBLE' AND road_context_level <> 'NO_ROAD_CONTEXT' AND corridor_candidate <> '' GROUP BY 1)""", "s")
+for _n, _c in (("capital_road_context_level", "road_context_level"), ("capital_road_type", "road_type_candidate")):
+    add(_n, f"{_c} events percent:4", lambda x, n=_n: plan.capital_tables(x.early)[n],
+        f"{_roads}, s AS (SELECT {_c}, count(*) AS events, ROUND(count(*)/CAST(sum(count(*)) OVER () AS DOUBLE)*100, 2) AS percent FROM k4 WHERE capital_analysis_status = 'ELIGIBLE' GROUP BY 1)", "s")
 add("value_shares", "severity_class events percent:4", lambda x: share_table(x.early, "severity_class"),
     f"{EARLY}, s AS (SELECT severity_class, count(*) AS events, ROUND(count(*)/CAST(sum(count(*)) OVER () AS DOUBLE)*100, 2) AS percent FROM early GROUP BY 1)", "s")
 add("spatial_match", "uuid text_match_status spatial_match_status geocode_status geocode_confidence:4", lambda x: x.evaluated)

@@ -93,7 +93,8 @@ SELECT d.doc_id AS uuid, CONCAT('T-', CAST(d.doc_id AS STRING)) AS ticketNumber,
             WHEN 2 THEN CONCAT('Avenida Corredor ', CAST(d.doc_id % 40 AS STRING), ' frente a mercado')
             WHEN 3 THEN CONCAT('interseccion de la Calle ', CAST(d.doc_id % 9 AS STRING), ' y la Avenida Corredor ', CAST(d.doc_id % 40 AS STRING))
             WHEN 4 THEN 'Bulevar del Ejército' WHEN 5 THEN CONCAT('Calle Corredor ', CAST(d.doc_id % 30 AS STRING), ' sector norte, kilometro 7')
-            WHEN 6 THEN 'Autopista a Comalapa' ELSE 'colonia central' END AS address,
+            WHEN 6 THEN 'Autopista a Comalapa' ELSE CASE d.doc_id % 5 WHEN 0 THEN 'av. Olímpica, km 12 1/2' WHEN 1 THEN 'Calle 10-a Oriente de la en Escalon'
+                 WHEN 2 THEN 'Alameda Juan Pablo y paseo central' ELSE 'colonia central' END END AS address,
        CONCAT(d.text, CASE d.doc_id % 11 WHEN 0 THEN ' dos personas lesionadas y 3 heridos' WHEN 1 THEN ' 2 fallecidos en motocicleta'
             WHEN 2 THEN ' solo daños materiales' WHEN 3 THEN ' un camion bloqueo el carril' WHEN 4 THEN ' peaton atropellado por un bus'
             WHEN 5 THEN ' choque multiple con lesionados 4 personas' ELSE '' END) AS observation,

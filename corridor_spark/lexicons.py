@@ -171,6 +171,19 @@ PHRASE_STOPS = (
     "reportado", "registrado", "tras", "en", "a la altura", "frente", "cerca", "cercanias", "inmediaciones",
     "sentido", "sector", "antes", "despues", "rumbo", "hacia", "sobre", "por", "con", "contra",
 )
+# road words that begin a phrase in the capital area's form (patterns), and its kilometre rule
+CAPITAL_ROAD_WORDS = (
+    "carretera", "autopista", "bulevar", "boulevard", "avenida", r"av\.?", "calle", "ruta", "periferico", "bypass",
+    "troncal",
+)
+CAPITAL_KM = r"\b(?:kilometro|km)\s*([0-9]+(?:\s*(?:1/2|1/4|3/4|½|¼|¾))?)"
+# crossings named in a text: two roads each
+CROSSING_PATTERNS = (
+    r"interseccion de la? (.+?) y la? (.+?)(?:,|;| en |$)",
+    r"interseccion de (.+?) y (.+?)(?:,|;| en |$)",
+    r"(.+? avenida .+?) y (.+? calle .+?)(?:,|;| en |$)",
+    r"(.+? calle .+?) y (.+? avenida .+?)(?:,|;| en |$)",
+)
 CAPITAL_PHRASE_STOPS = (
     "accidente", "percance", "colision", "choque", "atropello", "retiro", "genera", "involucra", "deja", "en",
     "a la altura", "frente", "cerca", "cercanias", "inmediaciones", "sentido", "sector", "antes", "despues",

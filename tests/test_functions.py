@@ -5,6 +5,7 @@ from conftest import one
 from pyspark.sql import functions as F
 
 from corridor_spark.functions import geo, incident_text, numbers, refs, text
+from corridor_spark.lexicons import CAPITAL_KM
 
 
 @pytest.mark.parametrize("raw, want", [
@@ -33,6 +34,18 @@ def test_road_text(spark, raw, want):
     assert one(spark, text.road_text, raw) == want
 
 
+@pytest.mark.parametrize("raw, want", [
+    ("av. olimpica frente a parque", ["av. olimpica"]), ("calle 10-a oriente", ["calle 10-a oriente"]), ("alameda juan pablo", []), ("paseo central", []),
+    ("avenida de la en escalon", ["avenida de la"]), ("calle sector norte", []), ("ruta, km 3", []), ("calle a y avenida b; ", ["calle a y avenida b"])])
+def test_capital_phrases(spark, raw, want):
+    assert one(spark, incident_text.capital_phrases, raw) == want
+
+
+@pytest.mark.parametrize("raw, want", [("km 12 1/2", ["km 121/2"]), ("kilometro 7", ["km 7"]), ("km 12 y km12", ["km 12"]), ("12 km", [])])
+def test_capital_kilometres(spark, raw, want):
+    assert one(spark, lambda c: incident_text.km_references(c, CAPITAL_KM), raw) == want
+
+
 def test_catalog_text_order(spark):
     assert one(spark, text.catalog_text, "Panamerican Highway Blv.") == "carretera panamericana bulevar"
 
