@@ -67,7 +67,7 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY
 
 def _foot(x):
     points = x.prepared_alerts.filter("has_valid_coordinate").select(F.col("uuid").alias("point_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    hit = nearest(points, x.point_pieces, (200.0, 1000.0, 5000.0), ["way_id"], SPHERE, foot=True)
+    hit = nearest(points, x.point_pieces, (200.0, 1000.0, 5000.0), ["way_id"], SPHERE, foot=True, beyond=True)
     return hit.select("point_id", "way_id", "distance_m", F.col("foot.x").alias("foot_lon"), F.col("foot.y").alias("foot_lat"),
                       distance_class(F.col("distance_m"), ((30, "HIGH"), (50, "MEDIUM"), (100, "LOW")), "REVIEW", "NO_MATCH").alias("quality"))
 

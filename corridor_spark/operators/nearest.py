@@ -6,8 +6,9 @@ the cell, so it shuffles once, and each point meets every piece within the
 radius exactly once. The winner is picked inside the same partitioning, so the
 arg-min needs no further shuffle.
 
-Crowded cells are counted first. A cell with more points than one task should
-take is split into salted parts, and only that cell's pieces are repeated.
+Crowded cells are counted first: where points times pieces are more than one
+task should take, the cell's points are split into salted parts, and only that
+cell's pieces are repeated. Splitting changes the work, not the result.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 
 from corridor_spark.functions.numbers import rounded
 from corridor_spark.functions.geo import foot_point, line_pieces, piece_distance
-from corridor_spark.session import stage
+from corridor_spark.session import small_side, stage
 
-#: Points of one cell that one task takes.
-CELL_POINTS = 500_000
-#: Most crowded cells listed for salting; beyond this the salt limit is raised.
-MAX_HOT_CELLS = 20_000
+#: Point-piece pairs of one cell that one task takes.
+CELL_PAIRS = 20_000_000
+#: Half of the way around the globe, and then some: no two places are farther apart.
+EVERYWHERE = 30_000_000.0
 
 
 @dataclass(frozen=True)
@@ -43,11 +44,11 @@ class Metric:
         return F.lit(self.lon_m) * F.cos(F.radians(lat)), F.lit(self.lat_m)
 
     def reach(self, radius_m: float, max_lat: float) -> tuple[float, float]:
-        """Radius in units along x and y; never smaller than the true reach up to ``max_lat``."""
+        """Radius in units along x and y; never smaller than the true reach up to latitude ``max_lat``."""
         if self.planar:
             return radius_m, radius_m
-        shrink = math.cos(math.radians(min(abs(max_lat), 89.0)))
-        return radius_m / (self.lon_m * shrink), radius_m / self.lat_m
+        shrink = max(math.cos(math.radians(min(abs(max_lat), 90.0))), 1e-9)
+        return min(radius_m / (self.lon_m * shrink), 720.0), radius_m / self.lat_m
 
 
 LOCAL = Metric()
@@ -56,14 +57,16 @@ SPHERE = Metric(lat_m=6_371_000.0 * math.pi / 180, lon_m=6_371_000.0 * math.pi /
 PLANAR = Metric(planar=True)
 
 
-def _hot_cells(points: DataFrame, limit: int) -> dict[tuple[int, int], int]:
-    """Salt count of each crowded cell; the list is bounded, the threshold grows if it must."""
-    counts = points.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
-    while True:
-        rows = counts.filter(F.col("n") > limit).limit(MAX_HOT_CELLS + 1).collect()
-        if len(rows) <= MAX_HOT_CELLS:
-            return {(r["_cx"], r["_cy"]): 1 + r["n"] // limit for r in rows}
-        limit *= 4
+def _crowded(located: DataFrame, spread: DataFrame, on: list[str], limit: int) -> DataFrame:
+    """Parts into which each cell with more than ``limit`` pairs is split."""
+    points, pieces = (df.groupBy(*on).agg(F.count(F.lit(1)).alias(n)) for df, n in ((located, "n"), (spread, "m")))
+    return points.join(pieces, on).filter(F.col("n") * F.col("m") > limit).select(
+        *on, F.least("n", 1 + F.floor(F.col("n") * F.col("m") / limit)).cast("long").alias("_parts"))
+
+
+def largest_latitude(points: DataFrame) -> float:
+    """Largest absolute ``y`` of the points: how narrow a degree of longitude gets for them."""
+    return float(points.agg(F.max(F.abs("y"))).first()[0] or 0.0)
 
 
 def candidate_pairs(
@@ -72,15 +75,18 @@ def candidate_pairs(
     radius_m: float,
     metric: Metric = LOCAL,
     keys: Sequence[str] = (),
-    cell_points: int = CELL_POINTS,
-    max_lat: float = 75.0,
+    cell_pairs: int = CELL_PAIRS,
+    max_lat: float | None = None,
 ) -> DataFrame:
     """Point–piece pairs that may lie within the radius, with ``distance_m``.
 
     ``points`` has ``x, y``; ``pieces`` has ``ax, ay, bx, by_``; ``keys`` are
-    further equality columns of both sides (a department, a road key).
+    further equality columns of both sides (a department, a road key). ``max_lat``
+    is the points' largest latitude where the caller knows it.
     """
     keys = list(keys)
+    if max_lat is None:
+        max_lat = 0.0 if metric.planar else largest_latitude(points)
     rx, ry = metric.reach(radius_m, max_lat)
     cell_x, cell_y = rx, ry
 
@@ -98,18 +104,16 @@ def candidate_pairs(
         F.explode(F.sequence(cell(F.least("ay", "by_") - ry, cell_y), cell(F.greatest("ay", "by_") + ry, cell_y))),
     )
     on = ["_cx", "_cy", *keys]
-    hot = _hot_cells(located, cell_points)
-    if hot:
-        salts = points.sparkSession.createDataFrame(
-            [(cx, cy, n) for (cx, cy), n in hot.items()], "_cx long, _cy long, _parts long"
-        )
-        located = located.join(F.broadcast(salts), ["_cx", "_cy"], "left").withColumn(
+    salts = stage(_crowded(located, spread, on, cell_pairs), "crowded")
+    if not salts.isEmpty():
+        salts = small_side(salts)
+        located = located.join(salts, on, "left").withColumn(
             "_salt", F.pmod(F.xxhash64("point_id"), F.coalesce("_parts", F.lit(1))).cast("long")
         ).drop("_parts")
-        spread = spread.join(F.broadcast(salts), ["_cx", "_cy"], "left").withColumn(
+        spread = spread.join(salts, on, "left").withColumn(
             "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))
         ).drop("_parts")
-        on.append("_salt")
+        on = [*on, "_salt"]
     kx, ky = metric.scales(F.col("y"))
     return located.join(spread, on).withColumn(
         "distance_m",
@@ -135,21 +139,24 @@ def nearest(
     keys: Sequence[str] = (),
     order: str = "way_id",
     foot: bool = False,
-    cell_points: int = CELL_POINTS,
+    cell_pairs: int = CELL_PAIRS,
+    beyond: bool = False,
 ) -> DataFrame:
-    """Nearest piece of each point within the largest radius.
+    """Nearest piece of each point within the largest radius, or at any distance with ``beyond``.
 
     ``points`` needs ``point_id, x, y`` (plus ``keys``). Small radii run first,
     and only points without a hit go on to the next, so sparse areas alone pay
-    for wide cells. Distances equal to the micrometre are decided by the
+    for wide cells; ``beyond`` goes on in steps of ten until no point is left. Distances equal to the micrometre are decided by the
     smallest ``order`` value, so shared end points do not depend on float noise.
     Returns ``point_id, distance_m`` and the attributes of the winning piece.
     """
     keys, attributes = list(keys), list(attributes)
     left = points.select("point_id", "x", "y", *keys).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    found = None
-    for i, radius in enumerate(radii_m):
-        pairs = candidate_pairs(left, pieces, radius, metric, keys, cell_points).filter(
+    found, max_lat, radii = None, 0.0 if metric.planar else largest_latitude(left), list(radii_m)
+    while beyond and radii[-1] < EVERYWHERE:
+        radii.append(min(10 * radii[-1], EVERYWHERE))
+    for i, radius in enumerate(radii):
+        pairs = candidate_pairs(left, pieces, radius, metric, keys, cell_pairs, max_lat).filter(
             F.col("distance_m") <= radius
         )
         if foot:
@@ -164,11 +171,11 @@ def nearest(
             .agg(F.min(F.struct(_micrometres(), order, "distance_m", *[a for a in payload if a != order])).alias("_b"))
             .select("point_id", "_b.distance_m", *[f"_b.{a}" for a in payload])
         )
-        if i + 1 < len(radii_m):
+        if i + 1 < len(radii):
             best = stage(best, "nearest")
-            left = left.join(best.select("point_id"), "point_id", "left_anti")
+            left = stage(left.join(best.select("point_id"), "point_id", "left_anti"), "left")
         found = best if found is None else found.unionByName(best)
-        if i + 1 < len(radii_m) and left.isEmpty():
+        if i + 1 < len(radii) and left.isEmpty():
             break
     return found
 
@@ -242,18 +249,8 @@ def k_nearest(
 
 def nearest_of_key(points: DataFrame, pieces: DataFrame, key: str, attributes: Sequence[str],
                    metric: Metric = LOCAL, order: str = "way_id") -> DataFrame:
-    """Nearest piece of one given road per point, at any distance.
-
-    The partial arg-min runs before the shuffle, so a road with very many
-    points or pieces sends one row per point and task.
-    """
-    kx, ky = metric.scales(F.col("y"))
-    pairs = points.select("point_id", "x", "y", key).join(pieces, key).withColumn(
-        "distance_m",
-        piece_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by_"), kx, ky),
-    )
-    return (
-        pairs.groupBy("point_id")
-        .agg(F.min(F.struct(_micrometres(), order, "distance_m", *[a for a in attributes if a != order])).alias("_b"))
-        .select("point_id", "_b.distance_m", *[f"_b.{a}" for a in attributes])
-    )
+    """Nearest piece of one given road per point, at any distance: cells first, so that a road with
+    very many points or pieces is spread over the places it runs through."""
+    keyed = points.filter(F.col(key).isNotNull())
+    known = pieces.select(key).distinct()
+    return nearest(keyed.join(known, key, "left_semi"), pieces, (1_000.0, 20_000.0), attributes, metric, [key], order, beyond=True)

@@ -46,7 +46,7 @@ ALERT_COLUMNS = {
     "reliability": "double", "reportrating": "double", "confidence": "double",
 }
 #: Search radii in metres; a wider one runs only while points are left without a road.
-ALERT_RADII = (200.0, 1_000.0, 5_000.0, 50_000.0, 500_000.0)
+ALERT_RADII = (200.0, 1_000.0, 5_000.0)
 ROAD_ATTRIBUTES = ("way_id", "name", "ref", "alt_name", "official_name", "highway", "road_type_category",
                    "road_key_norm", "source_department", "length_m", "oneway", "lanes", "maxspeed", "surface")
 GRID_M = 1000.0
@@ -138,7 +138,7 @@ def nearest_roads(alerts: DataFrame, pieces: DataFrame, metric: Metric = PLANAR,
     points = alerts.filter("has_valid_coordinate").select(
         F.col("uuid").alias("point_id"), F.col(x).alias("x"), F.col(y).alias("y")
     )
-    hit = nearest(points, pieces, radii, attributes, metric)
+    hit = nearest(points, pieces, radii, attributes, metric, beyond=True)
     renamed = hit.select(
         F.col("point_id").alias("uuid"),
         rounded("distance_m", 3).alias("nearest_osm_distance_m"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corridor_spark.operators import norms, ranks
 from corridor_spark.operators.contains import contained_keys
-from corridor_spark.operators.nearest import candidate_pairs, k_nearest, nearest, nearest_by_bounds
+from corridor_spark.operators.nearest import candidate_pairs, k_nearest, nearest, nearest_by_bounds, nearest_of_key
 from corridor_spark.plans.quality import duplicate_counts
 from corridor_spark.sources.roads import with_bounds
 
@@ -84,11 +84,11 @@ def brute(point, ways, lat_m=111_320.0):
     return sorted((math.floor(d * 1e6 + 0.5), w, d, dep) for d, w, dep in best)
 
 
-@pytest.mark.parametrize("cell_points", [500_000, 20])
-def test_nearest_is_brute_force(spark, network, cell_points):
+@pytest.mark.parametrize("cell_pairs", [20_000_000, 100])
+def test_nearest_is_brute_force(spark, network, cell_pairs):
     points, pieces, raw, ways = network
     got = {r["point_id"]: (r["way_id"], r["distance_m"]) for r in nearest(
-        points, pieces, (200.0, 1000.0, 20_000.0), ["way_id"], cell_points=cell_points).collect()}
+        points, pieces, (200.0, 1000.0, 20_000.0), ["way_id"], cell_pairs=cell_pairs).collect()}
     assert len(got) == len(raw)
     for p in raw:
         _, way, distance, _ = brute(p, ways)[0]
@@ -102,9 +102,29 @@ def test_nearest_within_key(spark, network):
         assert got[p[0]] == next(w for _, w, _, dep in brute(p, ways) if dep == p[3])
 
 
+def test_nearest_at_any_distance_and_latitude(spark):
+    """Far points, points near the pole, roads of several pieces and a crowded cell."""
+    rng = random.Random(8)
+    ways = [(w // 3, x, y, x + rng.uniform(-0.5, 0.5), min(y + rng.uniform(-0.2, 0.2), 89.0), f"d{w // 3 % 2}")
+            for w, (x, y) in enumerate((rng.uniform(-20, 20), rng.choice([10.0, 80.0, 84.0]) + rng.random()) for _ in range(90))]
+    raw = [(i, rng.uniform(-30, 30), rng.choice([-40.0, 9.0, 80.0, 86.0]) + rng.random(), f"d{i % 2}") for i in range(120)]
+    raw += [(500 + i, 3.0, 80.5, "d0") for i in range(50)]
+    points = spark.createDataFrame(raw, "point_id long, x double, y double, dep string")
+    pieces = spark.createDataFrame(ways, "way_id long, ax double, ay double, bx double, by_ double, dep string")
+    for keys in ([], ["dep"]):
+        got = {r["point_id"]: (r["way_id"], r["distance_m"]) for r in nearest(
+            points, pieces, (1000.0, 50_000.0), ["way_id"], keys=keys, cell_pairs=500, beyond=True).collect()}
+        assert len(got) == len(raw)
+        for p in raw:
+            _, way, distance, _ = next(b for b in brute(p, ways) if not keys or b[3] == p[3])
+            assert got[p[0]][1] == pytest.approx(distance, abs=1e-5) and got[p[0]][0] == way
+    by_key = {r["point_id"]: r["way_id"] for r in nearest_of_key(points, pieces, "dep", ["way_id"]).collect()}
+    assert by_key == {p[0]: next(w for _, w, _, dep in brute(p, ways) if dep == p[3]) for p in raw}
+
+
 def test_no_pair_twice(spark, network):
     points, pieces, raw, _ = network
-    pairs = candidate_pairs(points, pieces, 700.0, cell_points=20)
+    pairs = candidate_pairs(points, pieces, 700.0, cell_pairs=100)
     assert pairs.count() == pairs.select("point_id", "way_id").distinct().count()
 
 
