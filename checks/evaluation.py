@@ -7,8 +7,8 @@ from checks.registry import add
 from checks.sql import fold, has, one_of, q, sub
 from corridor_spark.lexicons import (
     CAPITAL_CORE, CAPITAL_CORRIDORS, CAPITAL_EXTENDED, CAPITAL_HINTS, CAPITAL_KM, CAPITAL_PHRASE_STOPS, CAPITAL_ROAD_WORDS,
-    CAPITAL_SUBAREAS, CROSSING_PATTERNS, EARLY_SEVERITY_TERMS, MENTIONED_DEPARTMENTS, MULTI_EVENT_TERMS, NODE_TERMS, ROAD_TYPE_TERMS,
-    SEVERITY_BONUS,
+    CAPITAL_SUBAREAS, CROSSING_PATTERNS, EARLY_SEVERITY_TERMS, MATURITY, MENTIONED_DEPARTMENTS, MULTI_EVENT_TERMS, NODE_TERMS, NOT_READY,
+    READINESS, ROAD_TYPE_TERMS, SEVERITY_BONUS,
 )
 from corridor_spark.operators.tables import share_table
 from corridor_spark.plans import evaluate as plan
@@ -49,8 +49,41 @@ d1 AS (SELECT *, CAST(sum(events) OVER (ORDER BY event_date) AS BIGINT) AS cumul
 d2 AS (SELECT *, ROUND(cumulative_score/max(cumulative_score) OVER ()*100, 2) AS cumulative_social_signal_0_100 FROM d1)""", "d2")
 add("territory_index", "department_norm events score_sum:4 avg_event_index:4 index_0_100:4", lambda x: plan.territory_index(x.early, "department_norm"),
     f"{EARLY}, d0 AS (SELECT department_norm, {_M} FROM early GROUP BY 1), d1 AS (SELECT *, ROUND(score_sum/max(score_sum) OVER ()*100, 2) AS index_0_100 FROM d0)", "d1")
-add("early_quality", "metric value:4 percent:4", lambda x: plan.early_quality(x.early, x.mentions.count()))
-add("variable_maturity", "variable usable_records usable_percent:4 maturity", lambda x: plan.variable_maturity(x.early))
+_READY = f"""{EARLY}, rd0 AS (SELECT *, CASE WHEN spatial_level = 'POINT' AND (aggregate_news_flag OR location_conflict_flag) THEN 'UNKNOWN' ELSE spatial_level END AS lv FROM early),
+rd1 AS (SELECT *, CASE {' '.join(f"WHEN lv = {q(level)} THEN {q(row[0])}" for level, row in READINESS.items())} ELSE {q(NOT_READY[0])} END AS ready FROM rd0),
+mn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM (SELECT DISTINCT incident, mention FROM ev))"""
+_PART = "ROUND(100*{0}/CAST((SELECT count(*) FROM rd1) AS DOUBLE), 2)".format
+_QUALITY = [
+    ("eventos_totales", "true"), ("eventos_traffic_accident", "incident = 'TRAFFIC_ACCIDENT'"), ("eventos_other", "incident = 'OTHER'"),
+    ("eventos_con_multiples_menciones", "mentions > 1"), ("eventos_con_mas_de_una_fuente", "source_diversity > 1"), ("eventos_con_lesionados_texto", "injury_flag"),
+    ("eventos_con_fallecidos_texto", "fatality_flag"), ("eventos_con_usuarios_vulnerables", "vulnerable_user_flag"), ("eventos_motocicleta", "motorcycle_flag"),
+    ("eventos_peaton_atropello", "pedestrian_flag"), ("eventos_vehiculo_pesado_o_tp", "heavy_vehicle_flag"), ("eventos_con_afectacion_vial", "obstruction_flag"),
+    ("registros_con_lat_lon", "latitude_num IS NOT NULL"), ("eventos_puntuales_validables", "spatial_level = 'POINT'"), ("eventos_direccion_municipio", "spatial_level = 'ADDRESS_TEXT'"),
+    ("eventos_solo_texto", "spatial_level = 'TEXT_ONLY'"), ("eventos_multiubicacion", "aggregate_news_flag"), ("eventos_con_conflicto_ubicacion", "location_conflict_flag"),
+    ("eventos_usables_ahora_espacialmente", "ready = 'USABLE_PARA_METRICA_ESPACIAL'"), ("eventos_usables_con_geocodificacion", "ready = 'USABLE_CON_GEOCODIFICACION'"),
+    ("eventos_usables_territoriales", "ready = 'USABLE_PARA_METRICA_TERRITORIAL'")]
+add("early_quality", "metric value:4 percent:4", lambda x: plan.early_quality(x.early, x.mentions.count()), f"{_READY}, s AS (" + " UNION ALL ".join(
+    [f"SELECT '{n}' AS metric, CAST(count(*) FILTER ({c}) AS DOUBLE) AS value, {_PART(f'count(*) FILTER ({c})')} AS percent FROM rd1" for n, c in _QUALITY]
+    + ["SELECT 'menciones_expandidas', n, NULL FROM mn", "SELECT 'promedio_menciones_por_evento', ROUND(avg(mentions), 2), NULL FROM rd1"]) + ")", "s")
+_USABLE = {"datetime": "trim(datetime) <> ''", "incident": "trim(incident) <> ''", "observation": "trim(observation) <> ''", "mentions": "mentions IS NOT NULL", "source_diversity": "source_diversity IS NOT NULL",
+           "severity_score": "severity_score IS NOT NULL", "injury_flag": "injury_flag", "fatality_flag": "fatality_flag", "vulnerable_user_flag": "vulnerable_user_flag", "department": "trim(department) <> ''",
+           "municipality": "trim(municipality) <> ''", "address": "trim(address) <> ''", "latitude_num": "latitude_num IS NOT NULL", "geo_confidence": "geo_confidence IS NOT NULL", "data_quality_score": "data_quality_score IS NOT NULL"}
+add("variable_maturity", "variable usable_records usable_percent:4 maturity", lambda x: plan.variable_maturity(x.early), f"{_READY}, s AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS variable, count(*) FILTER ({_USABLE[c]}) AS usable_records, {_PART(f'count(*) FILTER ({_USABLE[c]})')} AS usable_percent, '{m}' AS maturity FROM rd1" for n, c, m in MATURITY) + ")", "s")
+_SHARES = [("porcentaje_accidentes", "incident = 'TRAFFIC_ACCIDENT'"), ("porcentaje_eventos_con_lesionados", "injury_flag"), ("porcentaje_eventos_con_fallecidos", "fatality_flag"),
+           ("porcentaje_usuarios_vulnerables", "vulnerable_user_flag"), ("porcentaje_con_direccion_util", "spatial_level = 'ADDRESS_TEXT'"), ("porcentaje_con_coordenada_puntual", "spatial_level = 'POINT'"),
+           ("porcentaje_usables_con_geocodificacion", "ready = 'USABLE_CON_GEOCODIFICACION'")]
+
+
+def _strongest(name: str, *keys: str) -> str:
+    shown = " || ' / ' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return (f"SELECT '{name}', value FROM (SELECT {shown} AS value, ROUND(sum(social_road_event_index_0_100), 6) AS s FROM rd1 GROUP BY {', '.join(keys)} ORDER BY s DESC, value DESC LIMIT 1)")
+
+
+add("exploratory_indicators", "indicator value", lambda x: plan.exploratory_indicators(x.early, x.mentions.count()), f"{_READY}, s AS (SELECT 'eventos_deduplicados' AS indicator, CAST(CAST(count(*) AS DOUBLE) AS VARCHAR) AS value FROM rd1 UNION ALL "
+    + " UNION ALL ".join(["SELECT 'menciones_expandidas', CAST(n AS VARCHAR) FROM mn", "SELECT 'menciones_promedio_por_evento', CAST(ROUND(avg(mentions), 2) AS VARCHAR) FROM rd1"]
+                         + [f"SELECT '{n}', CAST({_PART(f'count(*) FILTER ({c})')} AS VARCHAR) FROM rd1" for n, c in _SHARES]
+                         + [_strongest("dia_mayor_senal", "event_date"), _strongest("departamento_mayor_senal", "department_norm"), _strongest("municipio_mayor_senal", "department_norm", "municipality_norm")]) + ")", "s")
 
 _ctx = f"""{EARLY}, c0 AS (SELECT *, concat_ws(' ', CASE WHEN trim(address) <> '' THEN {_norm('address')} END, obs, CASE WHEN trim(municipality) <> '' THEN mun2 END, CASE WHEN trim(department) <> '' THEN dep2 END) AS t FROM early),
 c1 AS (SELECT *, CASE WHEN {one_of('mun2', CAPITAL_CORE)} THEN 'AMSS_CORE' WHEN {one_of('mun2', CAPITAL_EXTENDED)} THEN 'AMSS_EXTENDED' WHEN dep2 = 'san salvador' THEN 'SAN_SALVADOR_DEPARTMENT' WHEN {has('t', CAPITAL_HINTS)} THEN 'CAPITAL_TEXT_HINT' ELSE 'OUTSIDE_CAPITAL_SCOPE' END AS capital_scope FROM c0),

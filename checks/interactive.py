@@ -12,7 +12,6 @@ from checks.integration import BOTH, SUMMARY
 from checks.registry import add
 from checks.sql import scale, tcompact
 from corridor_spark.lexicons import ALERT_TYPE_LABELS
-from corridor_spark.plans import evaluate
 from corridor_spark.plans import interactive as plan
 from corridor_spark.fixtures import cte
 from corridor_spark.session import stage, stage_root
@@ -86,7 +85,11 @@ f0 AS (SELECT time_bucket(INTERVAL 15 MINUTES, {_lt}) + INTERVAL 15 MINUTES AS e
 f1 AS (SELECT e AS frame_end, count(*) AS alerts, sum(alert_impact_score) AS impact FROM f0 GROUP BY 1),
 f2 AS (SELECT e + INTERVAL 15 MINUTES * i AS frame_end, count(*) AS trail_alerts FROM f0, range(4) t(i) GROUP BY 1),
 f3 AS (SELECT frame_end, COALESCE(alerts, 0) AS alerts, COALESCE(impact, 0) AS impact, trail_alerts FROM f2 LEFT JOIN f1 USING (frame_end))""", "f3")
-add("detail_rows", "fuente uuid minute_label osm_match_status", lambda x: plan.detail_rows(*[plan.day_rows(x.jams, x.alerts, x.events, DAY)[k] for k in ("alerts", "news")]))
+add("detail_rows", "fuente uuid minute_label osm_match_status", lambda x: plan.detail_rows(*[plan.day_rows(x.jams, x.alerts, x.events, DAY)[k] for k in ("alerts", "news")]),
+    f"""{BOTH}, {EVENTS[EVENTS.index('snapshot AS ('):]}, dr0 AS (
+ SELECT 'Waze Alert' AS fuente, CAST(uuid AS VARCHAR) AS uuid, {_lt} AS t, osm_match_status FROM alerts WHERE CAST({_lt} AS DATE) = DATE '{DAY}'
+ UNION ALL SELECT 'Noticia/incidente', CAST(uuid AS VARCHAR), event_datetime, osm_match_status FROM events_ WHERE event_date = DATE '{DAY}'),
+dr AS (SELECT fuente, uuid, strftime(t, '%H:%M') AS minute_label, osm_match_status FROM dr0)""", "dr")
 add("top_segments", "osm_way_id road_key_norm integrated_corridor_pressure:4", lambda x: plan.top_segments(x.segments, x.integrated, "corridor_key", "integrated_corridor_pressure", 90, 0.5), f"""{SUMMARY},
 ts0 AS (SELECT corridor_key, integrated_corridor_pressure FROM integrated WHERE integrated_corridor_pressure >= (SELECT quantile_cont(integrated_corridor_pressure, .5) FROM integrated) ORDER BY 2 DESC, 1 LIMIT 90),
 ts1 AS (SELECT way_id AS osm_way_id, road_key_norm, integrated_corridor_pressure FROM seg JOIN ts0 ON corridor_key = road_key_norm)""", "ts1")
@@ -95,7 +98,6 @@ for _n, _w in (("outside", "coordinate_quality_status = 'OUTSIDE_EL_SALVADOR_BBO
     add(f"review_{_n}", "uuid coordinate_quality_status coordinate_key_6dec impact_social_score:4", lambda x, n=_n: plan.review_extracts(x.events)[n], EVENTS,
         f"(SELECT * REPLACE (CAST(uuid AS VARCHAR) AS uuid) FROM events_ WHERE {_w})")
 add("label_segments", "label road_key_norm osm_way_id", lambda x: plan.label_segments(x.segments, x.text_matches))
-add("exploratory_indicators", "indicator value", lambda x: evaluate.exploratory_indicators(x.early, x.mentions.count()))
 
 # --- streams over the events table -------------------------------------------
 

@@ -603,3 +603,45 @@ REVIEW_STRATA = ("SPATIAL_TEXT_HIGH", "SPATIAL_TEXT_MEDIUM", "TEXTUAL_CORRIDOR_O
                  "TEXT_MATCH_DISTANCE_CONFLICT", "TEXTUAL_CORRIDOR_REVIEW_ONLY", "NO_SPATIAL_INPUT")
 REVIEW_ANSWERS = ("manual_event_is_vial", "manual_severity_correct", "manual_geocode_correct",
                   "manual_road_match_correct", "manual_accept_for_metric", "manual_notes")
+
+# --- Fixed values: issue codes, in the order in which the conditions are listed -
+JAM_ISSUES = (
+    "UNRESOLVED", "UNRESOLVED_HIGH_IMPACT", "TEXT_STREET_NOT_IN_OSM", "NODE_CONTEXT_USED_AS_CORRIDOR",
+    "LOW_CONFIDENCE_HIGH_IMPACT", "REFERENCE_WITHOUT_FUNCTIONAL_NAME", "SAME_STREET_MULTIPLE_CORRIDORS",
+    "SAME_REF_MULTIPLE_CORRIDORS",
+)
+ALERT_ISSUES = (
+    "UNRESOLVED", "UNRESOLVED_HIGH_IMPACT", "LOW_SPATIAL_CONFIDENCE", "TEXT_OSM_CORRIDOR_MISMATCH", "MISSING_CITY",
+    "MISSING_STREET", "LOW_CONFIDENCE_HIGH_IMPACT",
+)
+
+# --- Fixed values: decision codes of the reference study, first hit wins ------
+REFERENCE_DECISIONS = (
+    "NORMALIZABLE_SEMI_AUTOMATICO", "NORMALIZABLE_CON_ALIAS_CURADO", "NORMALIZABLE_POR_FAMILIA_REF_CON_VALIDACION",
+    "FAMILIA_REF_SIN_NOMBRE_FUNCIONAL", "NORMALIZABLE_SOLO_CON_VALIDACION", "CONSERVAR_REF_TECNICA", "SIN_EVIDENCIA_LOCAL",
+)
+
+# --- Fixed values: readiness by spatial level (status, weight) ----------------
+READINESS = {
+    "POINT": ("USABLE_PARA_METRICA_ESPACIAL", 1.0),
+    "ADDRESS_TEXT": ("USABLE_CON_GEOCODIFICACION", 0.75),
+    "MUNICIPALITY": ("USABLE_PARA_METRICA_TERRITORIAL", 0.45),
+    "DEPARTMENT": ("USABLE_PARA_METRICA_TERRITORIAL", 0.45),
+    "MULTI_LOCATION_NEWS": ("USABLE_SOLO_COMO_CONTEXTO", 0.20),
+    "TEXT_ONLY": ("REQUIERE_EXTRACCION_GEOESPACIAL", 0.25),
+}
+NOT_READY = ("NO_USABLE_TODAVIA", 0.10)
+
+# --- Fixed values: maturity of the input variables (name, column, class) ------
+MATURITY = (
+    ("fecha_hora_evento", "datetime", "USABLE_AHORA"), ("tipo_incidente", "incident", "USABLE_AHORA"),
+    ("texto_observacion", "observation", "USABLE_AHORA_CON_NLP_SIMPLE"), ("menciones", "mentions", "USABLE_AHORA"),
+    ("fuentes_distintas", "source_diversity", "USABLE_AHORA"), ("severidad_preliminar", "severity_score", "USABLE_CON_VALIDACION"),
+    ("lesionados", "injury_flag", "USABLE_CON_VALIDACION"), ("fallecidos", "fatality_flag", "USABLE_CON_VALIDACION_PRIORITARIA"),
+    ("usuarios_vulnerables", "vulnerable_user_flag", "USABLE_CON_VALIDACION"),
+    ("departamento", "department", "USABLE_AHORA_TERRITORIAL"), ("municipio", "municipality", "USABLE_AHORA_TERRITORIAL"),
+    ("direccion_textual", "address", "USABLE_CON_GEOCODIFICACION"),
+    ("latitud_longitud", "latitude_num", "INSUFICIENTE_PARA_ANALISIS_VIAL_MASIVO"),
+    ("confianza_geografica", "geo_confidence", "USABLE_AHORA_COMO_CONTROL"),
+    ("calidad_del_dato", "data_quality_score", "USABLE_AHORA_COMO_INDICADOR_INTERNO"),
+)
