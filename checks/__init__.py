@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("traffic", "alerts", "integration", "incidents", "quality", "roads", "matching", "studies", "evaluation", "interactive")
+MODULES = ("traffic", "alerts", "integration", "incidents", "quality", "roads", "matching", "studies", "evaluation", "interactive", "roundtrips")
 
 
 def all_queries() -> tuple[dict, dict]:

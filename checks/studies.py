@@ -56,7 +56,7 @@ add("remaining_terms", "issue_type street_norm corridor_norm_group cases max_int
 _score = lambda w: "ROUND(100 * (" + " + ".join(f"CAST({c} AS DOUBLE)/GREATEST(max({c}) OVER (), 1)*{v}e0" for c, v in w.items()) + "), 4)"
 WEIGHTS = f"""{CRITICAL}, ws AS ({' UNION ALL '.join(f"SELECT corridor_norm AS corridor, '{p}' AS profile, {_score(w)} AS score_0_100 FROM critical" for p, w in WEIGHT_PROFILES.items())}),
 wr AS (SELECT *, rank() OVER (PARTITION BY profile ORDER BY score_0_100 DESC) AS rank FROM ws)"""
-add("weight_profiles", "corridor profile score_0_100:4 rank", lambda x: plan.weight_profiles(x.critical), WEIGHTS, "wr")
+add("weight_profiles", "corridor profile score_0_100:4 rank", lambda x: plan.weight_profiles(*plan.base_corridors([x.critical.limit(0), x.critical])), WEIGHTS, "wr")
 add("rank_sensitivity", "corridor rank_A_RECURRENCIA_VOLUMEN score_B_SEVERIDAD:4 ranking_promedio:4 desviacion_estandar_ranking:4 score_promedio_normalizado:4 frecuencia_top_3 frecuencia_top_5 frecuencia_top_10 clasificacion_robustez",
     lambda x: plan.rank_sensitivity(plan.weight_profiles(x.critical)), f"""{WEIGHTS},
 rs AS (SELECT corridor, min(rank) FILTER (profile = 'A_RECURRENCIA_VOLUMEN') AS rank_A_RECURRENCIA_VOLUMEN, max(score_0_100) FILTER (profile = 'B_SEVERIDAD') AS score_B_SEVERIDAD, ROUND(avg(rank), 2) AS ranking_promedio,

@@ -175,3 +175,28 @@ def test_geocode_order(spark):
                                    ).withColumns({"lat": F.lit(13.7), "lon": F.lit(-89.2), "geocode_level": F.lit("ROAD_OR_CORRIDOR"), "geocode_status": F.lit("GEOCODED")})
     got = {r["event_id"]: (r["geocode_status"], r["geocode_display_name"]) for r in evaluate.geocoded_events(events, scored).collect()}
     assert got["e"] == ("GEOCODED", "second") and got["o"][0] == "ORIGINAL_COORDINATES"
+
+
+def test_base_corridors_choose_table_and_column(spark):
+    empty = spark.createDataFrame([], "corridor_norm string, events double")
+    table = spark.createDataFrame([(" ", "a", 1.0), (None, "b", 2.0)], "corridor_norm string, corridor_candidate string, events double")
+    base, column = studies.base_corridors([empty, table])
+    assert column == "corridor_candidate" and base.count() == 2
+    assert {r["corridor"] for r in studies.weight_profiles(base, column).collect()} == {"a", "b"}
+    for tables in ([empty], [table.drop("corridor_candidate")]):
+        with pytest.raises(ValueError):
+            studies.base_corridors(tables)
+
+
+def test_damaged_evidence_is_left_out(spark):
+    good = json.dumps([{"mention_id": "m", "source": "s", "engagement": [{"captured_at": "2024-01-01 00:00:00", "likes": 3}]}])
+    rows = [("1", good), ("2", good + "}"), ("3", "[7, \"x\", " + good[1:]), ("4", ""), ("5", None)]
+    raw = spark.createDataFrame(rows, "uuid string, evidence string").withColumn("ticketNumber", F.lit("t"))
+    found = source.mentions(raw)
+    assert sorted(r["event_uuid"] for r in found.collect()) == ["1", "3"]
+    assert {r["event_uuid"]: r["latest_likes"] for r in source.latest_engagement(found).collect()} == {"1": 3.0, "3": 3.0}
+
+
+def test_city_aliases_name_departments(spark):
+    found = aliases.city_aliases(spark, {"LA PAZ": ("Zacatecoluca", "San Luis  Talpa")}).collect()
+    assert sorted((r["key"], r["department"]) for r in found) == [("san luis talpa", "LA PAZ"), ("zacatecoluca", "LA PAZ")]
