@@ -191,7 +191,7 @@ def test_base_corridors_choose_table_and_column(spark):
 def test_damaged_evidence_is_left_out(spark):
     good = json.dumps([{"mention_id": "m", "source": "s", "engagement": [{"captured_at": "2024-01-01 00:00:00", "likes": 3}]}])
     rows = [("1", good), ("2", good + "}"), ("3", "[7, \"x\", " + good[1:]), ("4", ""), ("5", None)]
-    raw = spark.createDataFrame(rows, "uuid string, evidence string").withColumn("ticketNumber", F.lit("t"))
+    raw = spark.createDataFrame(rows, "uuid string, evidence string").withColumns({"ticketNumber": F.lit("t"), "datetime": F.lit("2024-01-01 00:00:00")})
     found = source.mentions(raw)
     assert sorted(r["event_uuid"] for r in found.collect()) == ["1", "3"]
     assert {r["event_uuid"]: r["latest_likes"] for r in source.latest_engagement(found).collect()} == {"1": 3.0, "3": 3.0}
