@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corridor_spark.functions.numbers import number_or
 
-#: Rows up to which one task may hold a column's distinct values.
+#: Rows up to which one task may hold a column's distinct values; the result is the same on either side of it.
 EXACT_ROWS = 1_000_000
 _SKETCH = 10_000
 
@@ -47,40 +47,39 @@ def exact_quantiles(
         row = values.agg(*[F.percentile(n, F.array(*map(F.lit, wanted[n][1]))).alias(n) for n in small]).first()
         for n in small:
             out[n]["q"] = dict(zip(wanted[n][1], row[n]))
+    large = {(n, q): out[n] for n in wanted if out[n]["n"] > exact_rows for q in wanted[n][1]}
+    for (name, q), value in _bracketed(values, large, exact_rows).items():
+        out[name]["q"][q] = value
     for name, (_, qs) in wanted.items():
-        if out[name]["n"] > exact_rows:
-            for q in qs:
-                out[name]["q"][q] = _bracketed(values.select(name).dropna(), name, q, out[name], exact_rows)
-        elif not out[name]["n"]:
+        if not out[name]["n"]:
             out[name]["q"] = dict.fromkeys(qs)
     return out
 
 
-def _bracketed(values: DataFrame, name: str, q: float, known: dict, exact_rows: int) -> float:
-    n, low, high = known["n"], known["min"], known["max"]
-    position = q * (n - 1)
-    below, inside = 0, n
-    while inside > exact_rows and low < high:
-        part = values.filter(F.col(name).between(low, high))
-        q_here = (position - below) / (inside - 1)
-        step = 3 / _SKETCH
-        lo, hi = part.agg(
-            F.percentile_approx(
-                name, F.array(F.lit(max(0.0, q_here - step)), F.lit(min(1.0, q_here + step))), F.lit(_SKETCH)
-            ).alias("b")
-        ).first()["b"]
-        row = values.agg(
-            F.count_if(F.col(name) < lo).alias("below"), F.count_if(F.col(name).between(lo, hi)).alias("inside")
-        ).first()
-        if not (row["below"] <= position and position <= row["below"] + row["inside"] - 1):
-            break
-        if (lo, hi) == (low, high):
-            break
-        low, high, below, inside = lo, hi, row["below"], row["inside"]
-    if low == high or inside <= 1:
-        return low
-    q_here = min(1.0, max(0.0, (position - below) / (inside - 1)))
-    return values.filter(F.col(name).between(low, high)).agg(F.percentile(name, q_here)).first()[0]
+def _bracketed(values: DataFrame, known: dict[tuple[str, float], dict], exact_rows: int) -> dict[tuple[str, float], float]:
+    """Quantiles of large columns, all together: a pass brackets them, one counts, and the last orders what the brackets hold.
+
+    A bracket that misses its quantile is drawn wider in the next round.
+    """
+    if not known:
+        return {}
+    state = {k: {"low": s["min"], "high": s["max"], "below": 0, "inside": s["n"], "at": k[1] * (s["n"] - 1), "step": 3 / _SKETCH}
+             for k, s in known.items()}
+    of = lambda k, s: F.when(F.col(k[0]).between(s["low"], s["high"]), F.col(k[0]))
+    place = lambda s: min(1.0, max(0.0, (s["at"] - s["below"]) / max(s["inside"] - 1, 1)))
+    while wide := [k for k, s in state.items() if s["inside"] > exact_rows and s["low"] < s["high"] and s["step"] < 1]:
+        cuts = values.agg(*[F.percentile_approx(of(k, state[k]), F.array(*[
+            F.lit(min(1.0, max(0.0, place(state[k]) + d * state[k]["step"]))) for d in (-1, 1)]), F.lit(_SKETCH)).alias(str(i))
+            for i, k in enumerate(wide)]).first()
+        counts = values.agg(*[c.alias(f"{kind}{i}") for i, k in enumerate(wide) for kind, c in (
+            ("below", F.count_if(F.col(k[0]) < cuts[i][0])), ("inside", F.count_if(F.col(k[0]).between(*cuts[i]))))]).first()
+        for i, k in enumerate(wide):
+            s, below, inside = state[k], counts[f"below{i}"], counts[f"inside{i}"]
+            held = below <= s["at"] <= below + inside - 1 and inside < s["inside"]
+            state[k] = s | ({"low": cuts[i][0], "high": cuts[i][1], "below": below, "inside": inside} if held else {"step": 4 * s["step"]})
+    last = [k for k, s in state.items() if s["low"] < s["high"]]
+    row = values.agg(*[F.percentile(of(k, state[k]), place(state[k])).alias(str(i)) for i, k in enumerate(last)]).first() if last else []
+    return {k: s["low"] for k, s in state.items()} | dict(zip(last, row))
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,7 +42,7 @@ def stage_root(spark: SparkSession) -> str:
     if app not in _STAGE_ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            if not spark.sparkContext.master.startswith("local"):
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of its own
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             base = tempfile.mkdtemp(prefix="corridor-stage-")
         _STAGE_ROOTS[app] = f"{base.rstrip('/')}/corridor_spark/{app}"
