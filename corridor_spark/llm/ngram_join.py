@@ -44,7 +44,7 @@ from corridor_spark.session import small_side
 
 #: Five words and a similarity of 0.8 unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
-BUCKETS, KEYS, HITS, CHUNK = 1 << 18, 4, 2, 256
+BUCKETS, KEYS, HITS, CHUNK = 1 << 18, 6, 2, 256
 
 
 def loads(docs: DataFrame, words: int) -> np.ndarray:
@@ -146,7 +146,7 @@ def grouped(alive: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
 
     That is the text the others were made from, if it is there, and they are closer to it than to each other.
     """
-    weak = max(2 * percent - 100, 50)  # both within reach of a text that both may link with
+    weak = percent // 2  # copies of a text that is not there itself are about this close to each other
     keyed = alive.select("node", "n", "alone", F.posexplode("keys").alias("band", "hash"))
     leaders = (keyed.groupBy("band", "hash").agg(F.min(F.struct("alone", "node", "n")).alias("first"), F.count("*").alias("m")).where("m > 1"))
     fits = F.least("n", F.col("first.n")) * 100 >= F.greatest("n", F.col("first.n")) * weak
