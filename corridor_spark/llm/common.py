@@ -90,3 +90,14 @@ def order_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Non-null key that orders and joins rows: null ids last, rows of one id by their text."""
     return F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"),
                     F.xxhash64(F.coalesce(text, F.lit(""))).alias("text"))
+
+
+def sample(df: DataFrame, rows: int, *columns: str, salt: int = 0) -> DataFrame:
+    """The ``rows`` distinct rows of the named columns with the smallest hashes.
+
+    Only hashes are ordered; the rows themselves are fetched once the last hash is known, so tasks send no rows that
+    are not in the sample.
+    """
+    marked = df.select(*columns, F.xxhash64(*columns, F.lit(salt)).alias("at"))
+    last = marked.groupBy("at").agg(F.lit(1).alias("one")).select("at").orderBy("at").limit(rows).agg(F.max("at")).first()[0]
+    return marked.where(F.col("at") <= F.lit(last)).dropDuplicates(["at"]).orderBy("at").select(*columns)

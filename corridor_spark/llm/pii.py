@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridor_spark.llm.common import slices, texts
+from corridor_spark.llm.common import sample, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training table: documents, and windows of them.
@@ -265,8 +265,8 @@ def model_spans(text: str, starts: list[int], score: np.ndarray, model: dict) ->
 
 def training_table(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Windows and tags from the patterns' spans in at most ``TRAIN_DOCS`` documents with a digit or an @, chosen by a hash."""
-    rows = [r["text"] for r in texts(docs).where(F.col("text").rlike("[0-9@]") & (F.length("text") < 50_000))
-            .select("text", F.xxhash64("text", F.lit(3)).alias("at")).orderBy("at", "text").limit(TRAIN_DOCS).collect()]
+    cued = texts(docs).where(F.col("text").rlike("[0-9@]") & (F.length("text") < 50_000))
+    rows = [r["text"] for r in sample(cued, TRAIN_DOCS, "text", salt=3).collect()]
     xs, ys, held = [], [], 0
     for text in rows:
         tags = np.zeros(len(text) + WINDOW, np.int64)

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridor_spark.llm.common import slices, texts
+from corridor_spark.llm.common import sample, slices, texts
 
 SYMBOLS = "#*$%&|<>"
-#: Rows of the sample on which the cascade is ordered, and characters of each that are read at most when timing.
+#: Texts of the sample on which the cascade is ordered; longer texts than 100,000 characters are not timed.
 SAMPLE_ROWS = 200
 
 
@@ -87,12 +87,11 @@ RULES: dict[str, Callable[[Text], bool]] = {
 
 def cascade(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] = RULES, rows: int = SAMPLE_ROWS) -> list[str]:
     """Names of the rules, ordered by rejections per second on ``rows`` sampled documents (bounded, by a hash of the text)."""
-    sample = [r["text"] for r in texts(docs).where(F.length("text") < 100_000)
-              .select("text", F.xxhash64("text", F.lit(17)).alias("at")).orderBy("at").limit(rows).collect()]
+    some = [r["text"] for r in sample(texts(docs).where(F.length("text") < 100_000), rows, "text", salt=17).collect()]
     gain = {}
     for name, rejects in rules.items():
         began = time.perf_counter()
-        rejected = sum(rejects(Text(t)) for t in sample)
+        rejected = sum(rejects(Text(t)) for t in some)
         gain[name] = rejected / max(time.perf_counter() - began, 1e-9)
     return sorted(rules, key=lambda name: -gain[name])
 

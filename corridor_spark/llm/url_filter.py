@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corridor_spark.llm.common import sample
+
 #: The most labelled rows that the model is fitted on.
 LABELLED = 4000
 BITS, GRAMS = 16, (3, 4, 5)
@@ -104,15 +106,14 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
 
 def labelled(found: DataFrame, rows: int = LABELLED) -> DataFrame:
     """At most ``rows`` rows that a rule decides, chosen by a hash; equal URLs once."""
-    return (found.where("decided IS NOT NULL").select("host", "path", "decided").distinct()
-            .withColumn("at", F.xxhash64("host", "path", F.lit(5))).orderBy("at", "host", "path").limit(rows).drop("at"))
+    return sample(found.where("decided IS NOT NULL"), rows, "host", "path", "decided", salt=5)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, table: DataFrame | None = None) -> DataFrame:
     """Per row of ``pages``: page_id, host, path, rule, verdict; ``table`` (host, path, decided) replaces the rules' own labels."""
     found = ruled(pages, rules)
-    sample = labelled(found if table is None else table).collect()  # LABELLED rows at most
-    weights, bias = fit([r["host"] for r in sample], [r["path"] for r in sample], np.array([r["decided"] == "block" for r in sample], bool))
+    table = labelled(found if table is None else table).collect()  # LABELLED rows at most
+    weights, bias = fit([r["host"] for r in table], [r["path"] for r in table], np.array([r["decided"] == "block" for r in table], bool))
     weights = weights.astype(np.float32)
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
