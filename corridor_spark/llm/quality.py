@@ -81,7 +81,7 @@ RULES: dict[str, Callable[[Text], bool]] = {
     "repeats": lambda t: 100 * t.n_repeat_words > 50 * t.n_words,
     "symbols": lambda t: 10 * t.n_symbols > 3 * t.n_words,
     "word_length": lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words,
-    "dup_lines": lambda t: 100 * t.n_dup_lines > 30 * len(t.lines),
+    "dup_lines": lambda t: 2 * t.n_dup_lines > len(t.lines),
 }
 
 

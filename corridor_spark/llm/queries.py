@@ -118,7 +118,7 @@ x AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
 y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-            OR 100 * n_dup_lines > 30 * lines) AS kept
+            OR 2 * n_dup_lines > lines) AS kept
 FROM y
 """
 

@@ -122,7 +122,7 @@ def test_quality_measures(spark):
         base = len(w) < 50 or 100 * repeat > 50 * len(w)
         symbols = len(re.findall(r"[#*$%&|<>]", text))
         dup = len(lines) - len(set(lines))
-        good = not (base or 10 * symbols > 3 * len(w) or not 2 * len(w) <= sum(map(len, w)) <= 15 * len(w) or 100 * dup > 30 * len(lines))
+        good = not (base or 10 * symbols > 3 * len(w) or not 2 * len(w) <= sum(map(len, w)) <= 15 * len(w) or 2 * dup > len(lines))
         want[i, len(w), sum(map(len, w)), symbols, dup, repeat, base, good] += 1
     docs = documents(spark, rows)
     assert Counter(map(tuple, quality.measure(docs).collect())) == want
