@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import add
-from checks.sql import ALIASES, CONFIDENCE, ROADS, distance, ladder, local, norm, one_of, q, refs, resolve, tcompact, title, ttext, wsum
+from checks.sql import ALIASES, CONFIDENCE, ROADS, distance, ladder, local, norm, one_of, q, refs, resolve, tcompact, title, ttext, utm16, wsum
 from corridor_spark.fixtures import cte
 from corridor_spark.lexicons import (
     ALERT_DISTANCE, ALERT_DISTANCE_FAR, ALERT_GROUPS, ALERT_SEVERITY, ALERT_SUBTYPE_LABELS, ALERT_TYPE_LABELS,
     CRITICAL_GROUPS, OPERATIONAL_GROUPS, SAFETY_GROUPS,
 )
 from corridor_spark.operators.tables import top_rows
+from corridor_spark.functions.geo import to_utm16
 from corridor_spark.plans import alerts as plan
 from corridor_spark.sources.sinks import alert_layer
 
@@ -158,16 +159,16 @@ add("top_alerts", "uuid alert_group alert_impact_score:4", lambda x: top_rows(x.
 
 
 def _grid(x):
-    a = x.alerts.withColumns({"gx": F.col("lon") * 100, "gy": F.col("lat") * 100})
-    return plan.add_density(a, plan.grid_density(a, "gx", "gy", 1.0), "gx", "gy", 1.0).filter("grid_alert_count is not null")
+    a = x.alerts.withColumn("_p", to_utm16(F.col("lon"), F.col("lat"))).withColumns({"x_utm": F.col("_p.x"), "y_utm": F.col("_p.y")})
+    return plan.add_density(a, plan.grid_density(a))
 
 
+_X, _Y = utm16("lon", "lat")
 add("alert_grid", "uuid grid_x grid_y grid_alert_count grid_report_count alert_density:4 impact_density:4", _grid, f"""{ALERTS},
-g0 AS (SELECT CAST(floor(lon*100/1.0) AS BIGINT) AS grid_x, CAST(floor(lat*100/1.0) AS BIGINT) AS grid_y, count(*) AS n, CAST(sum(cluster_report_count) AS BIGINT) AS r, sum(alert_impact_score) AS i
-       FROM alerts GROUP BY 1, 2),
+ga AS (SELECT *, CAST(floor({_X}/1000) AS BIGINT) AS grid_x, CAST(floor({_Y}/1000) AS BIGINT) AS grid_y FROM alerts),
+g0 AS (SELECT grid_x, grid_y, count(DISTINCT uuid) AS n, CAST(sum(cluster_report_count) AS BIGINT) AS r, sum(alert_impact_score) AS i FROM ga WHERE grid_x IS NOT NULL AND grid_y IS NOT NULL GROUP BY 1, 2),
 g1 AS (SELECT *, ROUND(100*{norm('CAST(n AS DOUBLE)', .99)}, 3) AS alert_density, ROUND(100*{norm('i', .99)}, 3) AS impact_density FROM g0),
-g2 AS (SELECT uuid, grid_x, grid_y, n AS grid_alert_count, r AS grid_report_count, alert_density, impact_density
-       FROM alerts JOIN g1 ON grid_x = CAST(floor(lon*100/1.0) AS BIGINT) AND grid_y = CAST(floor(lat*100/1.0) AS BIGINT))""", "g2")
+g2 AS (SELECT uuid, ga.grid_x, ga.grid_y, n AS grid_alert_count, r AS grid_report_count, alert_density, impact_density FROM ga LEFT JOIN g1 ON g1.grid_x = ga.grid_x AND g1.grid_y = ga.grid_y)""", "g2")
 
 add("alert_layers", "corridor_norm_alert corridor_norm_key alerts_count_total corridor_alert_pressure:4 high_spatial_rate:4",
     lambda x: alert_layer(x.alert_summary), f"{ALERT_SUMMARY}, l AS (SELECT *, {tcompact('corridor_norm_alert')} AS corridor_norm_key FROM alert_summary WHERE corridor_norm_alert <> 'UNRESOLVED')", "l")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from corridor_spark.fixtures import cte
+from corridor_spark.functions import geo
 from corridor_spark.lexicons import ROAD_CLASS_OTHER, ROAD_CLASSES, ROAD_WORDS, ROUTE_PREFIXES, TRAFFIC_RULES, TRAFFIC_SMALL_WORDS
 
 P = "|".join(ROUTE_PREFIXES)
@@ -350,3 +353,14 @@ js1 AS (SELECT *, ROUND(active_congestion_hours/24e0, 4) AS corridor_congestion_
 jam_summary AS (SELECT *, CASE WHEN corridor_norm = 'UNRESOLVED' THEN 0e0 ELSE ROUND(100 * {wsum((.25, norm('corridor_delay_burden')), (.20, norm('corridor_congestion_load')),
     (.20, norm('CAST(active_congestion_hours AS DOUBLE)', 1.0)), (.15, norm('corridor_severe_rate', 1.0)), (.10, norm('corridor_speed_collapse_rate', 1.0)),
     (.10, norm('CAST(jams_count_total AS DOUBLE)')))}, 4) END AS corridor_jam_pressure_score FROM js1)"""
+
+
+def utm16(lon: str, lat: str) -> tuple[str, str]:
+    """Metres in UTM zone 16 north, by the Krüger series."""
+    n, lam, sin = geo._N, f"radians({lon}-({geo._LON0}))", f"sin(radians({lat}))"
+    e = 2 * math.sqrt(n) / (1 + n)
+    t = f"sinh(atanh({sin})-{e!r}*atanh({e!r}*{sin}))"
+    xi, eta = f"atan2({t}, cos({lam}))", f"atanh(sin({lam})/sqrt(1+pow({t}, 2)))"
+    x = " + ".join([eta] + [f"{a!r}*cos({2 * j}*{xi})*sinh({2 * j}*{eta})" for j, a in enumerate(geo._ALPHA, 1)])
+    y = " + ".join([xi] + [f"{a!r}*sin({2 * j}*{xi})*cosh({2 * j}*{eta})" for j, a in enumerate(geo._ALPHA, 1)])
+    return f"({geo._EASTING!r} + {geo._K0 * geo._RECT!r}*({x}))", f"({geo._K0 * geo._RECT!r}*({y}))"

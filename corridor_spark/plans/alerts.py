@@ -291,12 +291,12 @@ def add_metrics(alerts: DataFrame) -> DataFrame:
 
 
 def grid_density(alerts: DataFrame, x: str = "x_utm", y: str = "y_utm", size: float = GRID_M) -> DataFrame:
-    """Counts, totals and densities of each grid cell; alerts without a point share one null cell."""
+    """Counts, totals and densities of each grid cell; alerts without a point have none."""
     grid = stage(
-        alerts.groupBy(
+        alerts.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
             F.floor(F.col(x) / size).alias("grid_x"), F.floor(F.col(y) / size).alias("grid_y")
         ).agg(
-            F.count(F.lit(1)).alias("alerts"),
+            F.countDistinct("uuid").alias("alerts"),
             F.sum("cluster_report_count").alias("reports"),
             F.sum("alert_impact_score").alias("impact_total"),
             F.avg("severity_proxy").alias("severity_avg"),
@@ -328,7 +328,8 @@ def add_density(alerts: DataFrame, grid: DataFrame, x: str = "x_utm", y: str = "
         "alert_density", "impact_density",
     )
     keyed = alerts.withColumns({"grid_x": F.floor(F.col(x) / size), "grid_y": F.floor(F.col(y) / size)})
-    return keyed.join(cells, ["grid_x", "grid_y"], "left")
+    placed = F.col("grid_x").isNotNull() & F.col("grid_y").isNotNull()
+    return keyed.filter(placed).join(cells, ["grid_x", "grid_y"], "left").unionByName(keyed.filter(~placed), allowMissingColumns=True)
 
 
 def hour_panel(alerts: DataFrame) -> DataFrame:
