@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import add
-from checks.sql import ROADS, compact, distance, haversine, mode_by, q
+from checks.sql import ROADS, compact, distance, haversine, mode_by, q, utm16
 from corridor_spark.fixtures import cte
-from corridor_spark.lexicons import CAPITAL_BOX, MAJOR_HIGHWAYS
+from corridor_spark.lexicons import ALERT_DISTANCE, ALERT_DISTANCE_FAR, CAPITAL_BOX, MAJOR_HIGHWAYS
 from corridor_spark.operators.nearest import SPHERE, nearest, nearest_of_key
 from corridor_spark.plans import alerts as alert_plan
 from corridor_spark.functions.numbers import distance_class
@@ -80,9 +80,17 @@ p AS (SELECT a.uuid AS point_id, way_id, {_d} AS distance_m, ax + {_t}*(bx-ax) A
 b AS (SELECT *, CASE WHEN distance_m <= 30 THEN 'HIGH' WHEN distance_m <= 50 THEN 'MEDIUM' WHEN distance_m <= 100 THEN 'LOW' ELSE 'REVIEW' END AS quality
  FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY floor(distance_m*1e6+0.5), way_id) rn FROM p) WHERE rn = 1)""", "b")
 
-add("nearest_projected", "uuid nearest_way_id osm_match_status",
+_PX, _PY = utm16("lon", "lat")
+(_AX, _AY), (_BX, _BY) = utm16("ax", "ay"), utm16("bx", "by_")
+add("nearest_projected", "uuid nearest_way_id nearest_osm_distance_m:4 osm_match_status",
     lambda x: alert_plan.nearest_roads(x.prepared_alerts, alert_plan.projected_pieces(x.pieces)).withColumn(
-        "osm_match_status", alert_plan.match_status(F.col("nearest_osm_distance_m"))))
+        "osm_match_status", alert_plan.match_status(F.col("nearest_osm_distance_m"))), f"""{ROADS}, {cte('alert')},
+u AS (SELECT way_id, {_AX} AS ax, {_AY} AS ay, {_BX} AS bx, {_BY} AS by_ FROM seg WHERE ax <> bx OR ay <> by_),
+v AS (SELECT uuid, {_PX} AS px, {_PY} AS py, COALESCE(lat BETWEEN 13.0 AND 14.7 AND lon BETWEEN -90.4 AND -87.5, false) AS ok FROM alert),
+p AS (SELECT uuid, way_id, {distance('px', 'py', '1e0', '1e0')} AS d FROM v JOIN u ON ok),
+b AS (SELECT uuid, way_id, ROUND(d, 3) AS d FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY floor(d*1e6+0.5), way_id) rn FROM p) WHERE rn = 1),
+r AS (SELECT v.uuid, way_id AS nearest_way_id, d AS nearest_osm_distance_m, CASE WHEN d IS NULL THEN 'NO_COORDINATE_FOR_OSM'
+  {' '.join(f"WHEN d <= {limit} THEN {q(name)}" for limit, name in ALERT_DISTANCE)} ELSE {q(ALERT_DISTANCE_FAR)} END AS osm_match_status FROM v LEFT JOIN b USING (uuid))""", "r")
 
 add("way_lengths", "way_id length_m:4", lambda x: roads.way_lengths(x.point_pieces), f"{cte('road_piece')}, w AS (SELECT way_id, {haversine('ax', 'ay', 'bx', 'by_')} AS length_m FROM road_piece)", "w")
 
