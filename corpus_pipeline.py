@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of 50 words or more that an earlier document holds are cut out; documents left without a word go."""
+    """Blocks of 8 words or more that an earlier document holds are cut out; documents left without a word go."""
     with scope("pipeline"):
         return line_dedup.without_repeats(docs)
 

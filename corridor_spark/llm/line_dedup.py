@@ -1,11 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-A line alone may be everywhere, so each line is hashed together with its
-neighbours until ``least`` words are reached, once forward and once backward:
-such a run is rare, and any common block of that many words holds one that
-begins, or ends, inside it. Every run is led back to the first document that
-holds it, which gives each document a few partners, all earlier; a run that
-thousands share costs a pair for each, not pairs among them. Two partners are
+Each line is hashed together with its neighbours until ``least`` words are
+reached, once forward and once backward; a line of that many words is hashed by
+itself. Any common block of ``least`` words holds such a run that begins, or ends,
+inside it. Every run is led back to the first document that holds it, which gives
+each document a few partners, all earlier; a run that thousands share costs a pair
+for each, not pairs among them, so the search needs no bound on how many documents
+hold a line, and common lines are found as rare ones are. Two partners are
 aligned by patience diff: lines that are unique on both sides and in order are
 anchors, anchors grow over equal neighbours, and the gaps between them are
 aligned in turn. Aligned blocks of at least ``least`` words are deleted from the
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from corridor_spark.llm.common import discard, order_key, slices, stage, texts
 from corridor_spark.llm.secrets import let
 
-#: Words that a common block must have.
-LEAST = 50
+#: Words that a common block must have: a line of that many is a block by itself.
+LEAST = 8
 
 
 def lines_of(text: str) -> tuple[list[int], list[int], list[int]]:

@@ -299,6 +299,16 @@ def test_line_dedup_of_repeated_rows(spark):
     assert sorted((r["doc_id"], r["n_removed"], r["text"]) for r in got) == [(1, 0, text), (1, 0, text), (2, 10, "own line"), (3, 10, "")]
 
 
+def test_line_dedup_of_short_blocks(spark):
+    text = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rare, common, short = text("rare", 20), text("common", 9), [text("a", 3), text("b", 2), text("c", 4)]
+    rows = [(1, "\n".join([text("x", 9), rare, common, "few words here"])), (2, "\n".join(short))]
+    rows += [(10 + i, "\n".join(["few words here", f"own{i} line", common])) for i in range(40)]
+    rows += [(60, f"its own\n{rare}\nafter it"), (61, "\n".join(["before", *short, "after"])), (62, "\n".join(["moved", common, "on", rare])), (63, "\n".join(short[:2]))]
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.report(documents(spark, rows)).collect()}
+    assert got == {1: "", 2: "", **{10 + i: "2" for i in range(40)}, 60: "1", 61: "1,2,3", 62: "1,3", 63: ""}
+
+
 def near_rows(seed):
     rng = random.Random(seed)
     pool, rows = [f"w{i}" for i in range(30)], []
