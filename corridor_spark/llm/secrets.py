@@ -1,7 +1,10 @@
 """Secrets in text: fixed patterns, and tokens that a battery of randomness tests cannot tell from random.
 
-A candidate is a run of 20 or more letters, digits and ``+/=_-``. Its encoding is
-the smallest alphabet that holds it. Three tests ask whether it may be uniform
+A candidate is a run of 20 or more letters, digits and ``+/=_-``. A run that no
+alphabet holds is cut at inner ``=``, and a piece that mixes ``+/`` with ``_-`` once
+at the former and once at the latter; each piece of 20 or more characters is a
+candidate of its own. The two cuts may overlap, and so may the spans that come of
+them. A candidate's encoding is the smallest alphabet that holds it. Three tests ask whether it may be uniform
 over that alphabet: chi-squared of the character counts, the runs above and
 below the alphabet's middle, and the serial correlation of neighbours; a token
 that fails them (Simes) is no secret. Passing is weak evidence for a short token,
@@ -44,6 +47,9 @@ ENCODINGS = [
     ("^[A-Za-z]+$", UPPER + LOWER), ("^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS), ("^[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
     ("^[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
 ]
+#: What a run that fits no encoding is cut into: at inner "=", and, where the families mix, at "+/" and at "_-".
+_PAD = "(?:=+(?![A-Za-z0-9+/=_-]))?"
+PIECE, MIXED, FAMILIES = f"[A-Za-z0-9+/_-]+{_PAD}", "[+/].*[_-]|[_-].*[+/]", (f"[A-Za-z0-9_-]+{_PAD}", f"[A-Za-z0-9+/]+{_PAD}")
 SPAN = "array<struct<start:bigint,end:bigint,counted:bigint>>"
 CHUNK = 256
 #: Prose: the chance that two letters agree, that neighbours differ in class, and the correlation of neighbouring vowels.
@@ -146,12 +152,26 @@ def tested(token: Column) -> Column:
     return F.when(usable, let(let(base, measured), judged)).otherwise(F.struct(F.lit(False).alias("ok"), F.lit(0).alias("bin")))
 
 
+def matches(text: Column, pattern: str, at: Column) -> Column:
+    """All matches as (start, end, token), moved by ``at``."""
+    return F.zip_with(spans_of(text, pattern, 0), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda s, t: F.struct(
+        (at + s["start"]).alias("start"), (at + s["end"]).alias("end"), t.alias("token")))
+
+
+def pieces(run: Column) -> Column:
+    """The run itself, or where it fits no encoding its pieces that are long enough."""
+    fits = run["token"].rlike(ENCODINGS[-2][0]) | run["token"].rlike(ENCODINGS[-1][0])  # these two hold all others
+    apart = lambda x: F.when(x["token"].rlike(MIXED), F.concat(*[matches(x["token"], f, x["start"]) for f in FAMILIES])).otherwise(F.array(x))
+    cut = F.flatten(F.transform(matches(run["token"], PIECE, run["start"]), apart))
+    return F.when(fits, F.array(run)).otherwise(F.filter(cut, lambda x: x["end"] - x["start"] >= KINDS["random"][2]))
+
+
 def candidates(text: Column) -> Column:
     """Candidate tokens as (start, end, band of lengths, ok, bin)."""
-    spans = spans_of(text, KINDS["random"][0], 0)
-    tokens = F.regexp_extract_all(text, F.lit(KINDS["random"][0]), F.lit(0))
-    both = F.zip_with(spans, tokens, lambda s, t: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.floor(2 * F.log2(s["counted"])).cast("int").alias("band"), tested(t).alias("test")))
+    cut = F.flatten(F.transform(matches(text, KINDS["random"][0], F.lit(0).cast("long")), pieces))
+    both = F.transform(cut, lambda x: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), F.floor(2 * F.log2(x["end"] - x["start"])).cast("int").alias("band"),
+        tested(x["token"]).alias("test")))
     kind = "array<struct<start:bigint,end:bigint,band:int,test:struct<ok:boolean,bin:int>>>"
     return F.when(text.rlike(KINDS["random"][0]), both).otherwise(F.array().cast(kind))
 

@@ -172,6 +172,27 @@ def test_random_tokens_are_told_from_prose(spark):
     assert len(found & tokens) >= 280
 
 
+def test_random_tokens_within_longer_runs(spark):
+    rng = random.Random(16)
+    plain, standard, safe = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-"
+    make = [("AWS_SIGNING_ACCESS_KEY=", standard, 40, ""), ("?sig=", standard, 43, "="), ("client_id=", plain, 32, ""), ("x=1&client_id=", safe, 32, ""),
+            ("/srv/app_data/", plain, 32, ""), ("/srv/app_data/", plain, 32, "/index"), ("a/b-c=", safe, 40, ""), ("get/some_", standard, 40, "")]
+    rows, tokens, names = [], {}, set()
+    for i in range(320):
+        before, letters, n, after = make[i % len(make)]
+        token = "".join(rng.choices(letters, k=n - 1)) + rng.choice(plain)
+        text = f"é run {before}{token}{after} and then the thing_of/prose-and/nothing_else in it"
+        rows.append((i, text))
+        at = text.index(token)
+        tokens[i, at, at + len(token) + (after == "=")] = i % len(make)
+        names.add((i, text.index("thing")))
+    got = [(r["doc_id"], *map(int, s.split(":")[1:])) for r in secrets.scan(documents(spark, rows)).collect()
+           for s in r["spans"].split(",") if s.startswith("random")]
+    hit = Counter(kind for span, kind in tokens.items() if span in set(got))
+    assert all(hit[kind] >= 34 for kind in range(len(make))), hit
+    assert not any((i, a) in names for i, a, _ in got)
+
+
 # ---- personal data -------------------------------------------------------------------------------------------------
 
 
