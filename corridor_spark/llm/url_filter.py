@@ -1,7 +1,8 @@
 """URL filter: host-and-path rules, and for what no rule fits a logistic regression on hashed character n-grams.
 
 The model learns from a small labelled table (host, path, verdict): rows that a
-rule decides, at most ``LABELLED`` of them, chosen by a hash. Host and path are
+rule decides, at most ``LABELLED`` of them, chosen by a hash, at most half of
+them of one verdict, so a rare verdict is there too. Host and path are
 cut into character n-grams apart, each n-gram is hashed to one of 2^16 weights,
 and a URL's score is the sum of its weights over the root of their number. The
 weights are fitted in numpy on that table and sent to the tasks (half a
@@ -105,8 +106,12 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
 
 
 def labelled(found: DataFrame, rows: int = LABELLED) -> DataFrame:
-    """At most ``rows`` rows that a rule decides, chosen by a hash; equal URLs once."""
-    return sample(found.where("decided IS NOT NULL"), rows, "host", "path", "decided", salt=5)
+    """At most ``rows`` rows that a rule decides, chosen by a hash; equal URLs once.
+
+    Each verdict gives half of the rows at most, so both are there whenever the table has both.
+    """
+    allowed, blocked = (sample(found.where(F.col("decided") == v), rows // 2, "host", "path", "decided", salt=5) for v in ("allow", "block"))
+    return allowed.unionByName(blocked)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, table: DataFrame | None = None) -> DataFrame:

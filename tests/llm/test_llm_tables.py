@@ -188,6 +188,17 @@ def test_url_rules_and_model(spark):
     assert {r["verdict"] for r in url_filter.judge(pages.where("url LIKE '%.org%' OR url LIKE '%/org/%'")).collect()} <= {"allow"}
 
 
+def test_url_labels_hold_a_rare_verdict(spark):
+    rows = [(f"h{i}.com", f"/en/{i}", "allow") for i in range(3000)] + [("a.net", f"/es/{i}", "block") for i in range(2)]
+    found = spark.createDataFrame(rows + rows, "host string, path string, decided string")
+    got = Counter(r["decided"] for r in url_filter.labelled(found, 20).collect())
+    assert got == {"allow": 10, "block": 2}
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/en/{i}") for i in range(6000)] + [(9000, "http://a.net/es/1"), (9001, "http://b.net/es/2"), (9002, "http://a.org/es/1")],
+                                  "page_id long, url string")
+    said = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).where("page_id >= 9000").collect()}
+    assert said == {9000: "block", 9001: "block", 9002: "block"}
+
+
 def test_url_model_on_held_out_rows():
     rng = random.Random(2)
     rows = [(f"{rng.choice(['www', 'm', 'blog'])}.h{rng.randrange(999)}.example.{t}", f"/{p}/{rng.randrange(9999)}", p in ("es", "fr"))
