@@ -3,7 +3,10 @@
 The model tags characters (outside, or first or later character of an e-mail
 address, IP address, card or phone number). It is trained in numpy, by Adam on
 the CRF likelihood, from labelled spans: what the patterns find in at most
-``TRAIN_DOCS`` documents, chosen by a hash. Windows of ``WINDOW`` characters start
+``TRAIN_DOCS`` documents with a digit or an @, chosen by a hash: a fifth of that
+with a span of each kind, and a fifth without any. A document of any length gives at
+most ``DOC_WINDOWS`` windows, the first with a span if it has one, so a table with a
+labelled span has it in the sample. Windows of ``WINDOW`` characters start
 every ``STEP``; every span of the four kinds holds a digit or an @, so windows
 without either are outside as a whole and are not run. Scores of a character
 from overlapping windows are averaged, those near a window's middle counting
@@ -29,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridor_spark.llm.common import sample, slices, texts
+from corridor_spark.llm.common import discard, slices, stage, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training table: documents, and windows of them.
-TRAIN_DOCS, TRAIN_WINDOWS = 600, 1200
+TRAIN_DOCS, TRAIN_WINDOWS, DOC_WINDOWS = 600, 1200, 8
 WINDOW, STEP, SURE = 64, 32, 0.9
 EMBED, HIDDEN, TAGS, CHARS = 12, 16, 1 + 2 * len(KINDS), 130
 
@@ -263,22 +266,53 @@ def model_spans(text: str, starts: list[int], score: np.ndarray, model: dict) ->
     return out
 
 
+def training_windows(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``DOC_WINDOWS`` windows of a text and their tags: those with a span, of each kind in turn, between others."""
+    tags = np.zeros(len(text) + WINDOW, np.int8)
+    for kind, start, end in sorted(base_spans(text), key=lambda s: -s[0]):
+        tags[start:end] = 2 * kind + 2
+        tags[start] = 2 * kind + 1
+    starts = np.array(windows(text), np.int64)
+    own = tags[starts[:, None] + np.arange(WINDOW)] if len(starts) else np.zeros((0, WINDOW), np.int8)
+    turn = np.full(len(starts), len(starts))  # a window's place among those of a kind, the least over its kinds
+    for kind in range(len(KINDS)):
+        held = np.flatnonzero((own == 2 * kind + 1).any(1))
+        turn[held] = np.minimum(turn[held], np.arange(len(held)))
+    labelled = np.argsort(turn, kind="stable")[: min(DOC_WINDOWS - DOC_WINDOWS // 4, int((turn < len(starts)).sum()))]
+    rest = np.setdiff1d(np.arange(len(starts)), labelled)[: DOC_WINDOWS - len(labelled)]
+    turns = np.concatenate([2 * np.arange(len(labelled)), 2 * np.arange(len(rest)) + 1])  # with a span and without in turn
+    pick = np.concatenate([labelled, rest])[np.argsort(turns)].astype(np.int64)
+    return cut(codes(text), starts[pick].tolist()), own[pick].astype(np.int64)
+
+
 def training_table(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags from the patterns' spans in at most ``TRAIN_DOCS`` documents with a digit or an @, chosen by a hash."""
-    cued = texts(docs).where(F.col("text").rlike("[0-9@]") & (F.length("text") < 50_000))
-    rows = [r["text"] for r in sample(cued, TRAIN_DOCS, "text", salt=3).collect()]
-    xs, ys, held = [], [], 0
-    for text in rows:
-        tags = np.zeros(len(text) + WINDOW, np.int64)
-        for kind, start, end in sorted(base_spans(text), key=lambda s: -s[0]):
-            tags[start:end] = 2 * kind + 2
-            tags[start] = 2 * kind + 1
-        starts = windows(text)[: TRAIN_WINDOWS - held]
-        if starts:
-            xs.append(cut(codes(text), starts))
-            ys.append(tags[np.array(starts)[:, None] + np.arange(WINDOW)])
-            held += len(starts)
-    return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros((0, WINDOW), np.int16), np.zeros((0, WINDOW), np.int64))
+    """Windows and tags from at most ``TRAIN_DOCS`` documents with a digit or an @, by hash: an equal share with a span of each kind, and without."""
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            kinds = [sorted({k for k, _, _ in base_spans(t)}) or [len(KINDS)] for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("at"), pa.array(kinds, pa.list_(pa.int32()))], ["at", "kinds"])
+
+    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            rows = [training_windows(t) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("at"), *(pa.array([r[k].astype(np.int16).tobytes() for r in rows], pa.binary()) for k in range(2))], ["at", "x", "y"])
+
+    cued = texts(docs).where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text", F.lit(3)).alias("at"))
+    found = stage(cued.mapInArrow(label, "at long, kinds array<int>"), "labelled")
+    picked: set[int] = set()
+    for kind in range(len(KINDS) + 1):  # the last: texts without a span
+        own = found.where(F.array_contains("kinds", F.lit(kind))).select("at").distinct()
+        picked |= {r["at"] for r in own.orderBy("at").limit(TRAIN_DOCS // (len(KINDS) + 1)).collect()}
+    discard(found)
+    if not picked:
+        return np.zeros((0, WINDOW), np.int16), np.zeros((0, WINDOW), np.int64)
+    drawn = {r["at"]: (r["x"], r["y"]) for r in cued.where(F.col("at").isin(sorted(picked))).mapInArrow(
+        windowed, "at long, x binary, y binary").dropDuplicates(["at"]).collect()}
+    both = [tuple(np.frombuffer(v, np.int16).reshape(-1, WINDOW) for v in drawn[at]) for at in sorted(drawn)]
+    order = [(k, i) for k in range(DOC_WINDOWS) for i in range(len(both)) if k < len(both[i][0])][:TRAIN_WINDOWS]
+    return np.stack([both[i][0][k] for k, i in order]), np.stack([both[i][1][k] for k, i in order]).astype(np.int64)
 
 
 def names_of(spans: list[tuple[int, int, int]]) -> str:

@@ -239,6 +239,15 @@ def test_tagger_learns_and_adds_no_base_span(spark):
     assert Counter(tuple(r)[:6] for r in got) == want
 
 
+def test_training_table_holds_rare_spans(spark):
+    rows = [(i, f"figure {i} of {i * 7} and then 3.5 more") for i in range(2000)]
+    rows += [(5000, "1 2 3 " * 20_000 + "write to someone@mail.example.com now"), (5001, "host 10.20.30.40 is up")]
+    x, y = pii.training_table(documents(spark, rows))
+    assert {1, 2, 3, 4} <= set(np.unique(y).tolist()) and len(x) <= pii.TRAIN_WINDOWS
+    assert len(pii.training_windows(rows[2000][1])[0]) == pii.DOC_WINDOWS
+    assert not pii.training_table(documents(spark, rows[:50]))[1].any()
+
+
 def test_crf_gradient():
     rng = np.random.default_rng(1)
     x, y = rng.integers(0, 129, (3, pii.WINDOW)).astype(np.int16), rng.integers(0, pii.TAGS, (3, pii.WINDOW))
