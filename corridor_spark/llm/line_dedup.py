@@ -10,8 +10,9 @@ hold a line, and common lines are found as rare ones are. Two partners are
 aligned by patience diff: lines that are unique on both sides and in order are
 anchors, anchors grow over equal neighbours, and the gaps between them are
 aligned in turn. Aligned blocks of at least ``least`` words are deleted from the
-later document; runs that the alignment leaves out because they moved are deleted
-too. So a line goes if and only if it is part of a stretch of at least ``least``
+later document, and so is every run that the earlier document holds anywhere. The
+runs decide: they cover each aligned block too, so the alignment alone deletes
+nothing. A line goes if and only if it is part of a stretch of at least ``least``
 words that an earlier document holds line by line.
 
 Rules: lines are compared without outer white space, lines without a word are
@@ -123,7 +124,7 @@ def repeated(later: tuple[list[int], list[int]], earlier: tuple[list[int], list[
         block.append(pair)
     held = set(runs(b, earlier[1], least).values())
     for (first, end), name in runs(a, words, least).items():
-        if name in held:  # moved, or repeated within a document
+        if name in held:  # in an aligned block, moved, or repeated within a document
             gone.update(range(first, end))
     return sorted(gone)
 
