@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridor_spark.llm import bpe, line_dedup, mixing, ngram_join, pii, quality, secrets, token_files, topk, url_filter
+from corridor_spark.llm import (
+    bpe, language, line_dedup, mixing, ngram_join, pii, quality, runs, secrets, spelling, token_files, topk, url_filter)
 from corridor_spark.llm.common import load, stage_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +77,41 @@ def op9_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(load(spark, sf_dir, "documents"))
 
 
+def echoed(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, in a tenth of the documents with the rest from some word on replaced by repeats of its beginning."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (1 + (n - a) // p))[: n - a]
+
+
+@query
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.scan(load(spark, sf_dir, "documents"), echoed)
+
+
+def misspelt(doc_id: int | None, run: str) -> str:
+    """The run, without one of its code points where its hash with the document says so."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+    at = h % len(run)
+    return run if h % 31 else run[:at] + run[at + 1 :]
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(load(spark, sf_dir, "documents"), misspelt))
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(docs.where(F.col("doc_id").isNotNull() & ~language.in_fold("doc_id"))))
+    return found.select("doc_id", language.in_fold("doc_id").alias("held_out"), "lang_pred", "score", "bits_per_symbol", "rejected")
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES["op2_source_mix"] = f"""
@@ -145,3 +182,69 @@ reach(r, m) AS (SELECT r, r FROM d UNION SELECT reach.r, e.b FROM reach JOIN e O
 SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other.doc_id) AS component_id
 FROM d LEFT JOIN n USING (r) JOIN reach USING (r) JOIN d other ON other.r = reach.m GROUP BY d.r, d.doc_id
 """
+
+#: The unsigned crc32 of a list of bytes: its table follows from the polynomial.
+_CRC = """
+WITH RECURSIVE table256 AS (SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, [CAST(0 AS BIGINT) FOR _ IN range(8)]),
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END) AS c
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)))"""
+
+
+def _crc(value: str) -> str:
+    """DuckDB expression over column t: unsigned crc32 of a text's UTF-8 bytes (code points below 2,048)."""
+    points = f"list_transform(string_split({value}, ''), lambda x: CAST(ord(x) AS BIGINT))"
+    octets = f"flatten(list_transform({points}, lambda x: CASE WHEN x < 128 THEN [x] ELSE [192 + (x >> 6), 128 + (x & 63)] END))"
+    return (f"xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))")
+
+
+ORACLES["op11_word_runs"] = rf"""{_CRC},
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w, coalesce({_crc("CAST(doc_id AS VARCHAR)")}, 1) AS h
+      FROM documents CROSS JOIN table256),
+e AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p, h % 10 = 0 AND n > 0 AS echo FROM e),
+v AS (SELECT r, doc_id, n, CASE WHEN echo THEN list_transform(range(n), lambda i: w[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1])
+                                ELSE w END AS w FROM f),
+x AS (SELECT r, n, i - 1 AS i, w[i] AS word FROM (SELECT r, n, w, unnest(range(1, n + 1)) AS i FROM v)),
+often AS (SELECT *, count(*) OVER (PARTITION BY r, word) AS times FROM x),
+same AS (SELECT a.r, b.i - a.i AS q, a.i FROM often a JOIN x b ON b.r = a.r AND b.word = a.word AND b.i > a.i
+         WHERE a.times >= 4 AND 4 * (b.i - a.i) <= a.n),
+islands AS (SELECT r, q, min(i) AS start, count(*) + q AS length
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same) GROUP BY r, q, k),
+long AS (SELECT * FROM islands WHERE length >= greatest(6, 4 * q)),
+found AS (SELECT * FROM long l WHERE NOT EXISTS (
+            FROM long s WHERE s.r = l.r AND s.q < l.q AND s.start <= l.start AND s.start + s.length >= l.start + l.length)),
+best AS (SELECT r, start, length, q FROM found
+         QUALIFY row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / q DESC, start, q) = 1),
+lists AS (SELECT r, count(*) AS n, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS rows FROM found GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM found),
+left_over AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM x ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT v.doc_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length,
+       CAST(b.q AS BIGINT) AS period, CAST(1000 * b.length // b.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(l.rows, '')) AS runs_sha256, sha256(coalesce(o.text, '')) AS collapsed_sha256
+FROM v LEFT JOIN lists l USING (r) LEFT JOIN best b USING (r) LEFT JOIN left_over o USING (r)
+"""
+
+ORACLES["op12_spelling_variants"] = rf"""{_CRC},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+marked AS (SELECT run, n, {_crc("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h FROM counted CROSS JOIN table256),
+altered AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM marked),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM altered WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, length(word) AS l, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+        FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.l = b.l AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+         UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+ranked AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+                  row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM near),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form,
+                 CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n
+          FROM words w LEFT JOIN ranked r ON r.word = w.word AND k = 1),
+chain AS (SELECT word, coalesce(form, word) AS root FROM forms
+          UNION SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.root FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM forms f JOIN roots USING (word)
+"""
