@@ -22,12 +22,11 @@ from pyspark.sql import functions as F
 
 from corridor_spark.functions.numbers import rounded
 from corridor_spark.functions.geo import foot_point, line_pieces, piece_distance
+from corridor_spark.operators.pyramid import nearest_anywhere
 from corridor_spark.session import small_side, stage
 
 #: Point-piece pairs of one cell that one task takes.
 CELL_PAIRS = 20_000_000
-#: Half of the way around the globe, and then some: no two places are farther apart.
-EVERYWHERE = 30_000_000.0
 
 
 @dataclass(frozen=True)
@@ -146,15 +145,15 @@ def nearest(
 
     ``points`` needs ``point_id, x, y`` (plus ``keys``). Small radii run first,
     and only points without a hit go on to the next, so sparse areas alone pay
-    for wide cells; ``beyond`` goes on in steps of ten until no point is left. Distances equal to the micrometre are decided by the
-    smallest ``order`` value, so shared end points do not depend on float noise.
+    for wide cells. With ``beyond`` only the first radius is searched by cells; who has no hit
+    there goes down the pyramid, which finds the nearest at any distance. Distances equal to the
+    micrometre are decided by the smallest ``order`` value, so shared end points do not depend on float noise.
     Returns ``point_id, distance_m`` and the attributes of the winning piece.
     """
     keys, attributes = list(keys), list(attributes)
     left = points.select("point_id", "x", "y", *keys).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    found, max_lat, radii = None, 0.0 if metric.planar else largest_latitude(left), list(radii_m)
-    while beyond and radii[-1] < EVERYWHERE:
-        radii.append(min(10 * radii[-1], EVERYWHERE))
+    found, radii = None, [radii_m[0]] if beyond else list(radii_m)
+    max_lat = 0.0 if metric.planar else largest_latitude(left)
     for i, radius in enumerate(radii):
         pairs = candidate_pairs(left, pieces, radius, metric, keys, cell_pairs, max_lat).filter(
             F.col("distance_m") <= radius
@@ -171,12 +170,15 @@ def nearest(
             .agg(F.min(F.struct(_micrometres(), order, "distance_m", *[a for a in payload if a != order])).alias("_b"))
             .select("point_id", "_b.distance_m", *[f"_b.{a}" for a in payload])
         )
-        if i + 1 < len(radii):
+        more = beyond or i + 1 < len(radii)
+        if more:
             best = stage(best, "nearest")
             left = stage(left.join(best.select("point_id"), "point_id", "left_anti"), "left")
         found = best if found is None else found.unionByName(best)
-        if i + 1 < len(radii) and left.isEmpty():
-            break
+        if more and left.isEmpty():
+            return found
+    if beyond:
+        found = found.unionByName(nearest_anywhere(left, pieces, attributes, metric, keys, order, foot))
     return found
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corridor_spark.operators import norms, ranks
 from corridor_spark.operators.contains import contained_keys
-from corridor_spark.operators.nearest import candidate_pairs, k_nearest, nearest, nearest_by_bounds, nearest_of_key
+from corridor_spark.operators.pyramid import build, cells_in_reach, nearest_anywhere
+from corridor_spark.operators.nearest import LOCAL, candidate_pairs, k_nearest, nearest, nearest_by_bounds, nearest_of_key
 from corridor_spark.plans.quality import duplicate_counts
 from corridor_spark.sources.roads import with_bounds
 
@@ -122,6 +124,44 @@ def test_nearest_at_any_distance_and_latitude(spark):
     assert by_key == {p[0]: next(w for _, w, _, dep in brute(p, ways) if dep == p[3]) for p in raw}
 
 
+@pytest.mark.parametrize("leaf", [1, 256])
+def test_pyramid_is_brute_force(spark, leaf):
+    """Far outliers, a crowded cell of pieces and of points, pieces one on the other, null places and repeated points."""
+    rng = random.Random(leaf)
+    ways = [(w, x, y, x + rng.uniform(-0.3, 0.3), y + rng.uniform(-0.1, 0.1), f"d{w % 2}")
+            for w, (x, y) in enumerate((rng.uniform(-170, 170), rng.uniform(-60, 60)) for _ in range(150))]
+    ways += [(1000 + w, 10 + rng.random() * 1e-3, 20 + rng.random() * 1e-3, 10.0, 20.0, "d0") for w in range(300)]
+    ways += [(2000 + w, 50.0, 50.0, 50.0, 50.0, "d1") for w in range(40)]
+    raw = [(i, rng.uniform(-179, 179), rng.uniform(-85, 85), f"d{i % 2}") for i in range(60)]
+    raw += [(100 + i, 10 + rng.random() * 1e-3, 20 + rng.random() * 1e-3, "d0") for i in range(80)]
+    raw += [(300, 50.0, 50.0, "d1"), (301, 50.0, 50.0, "d1"), (301, 50.0, 50.0, "d1"), (302, 179.0, -89.9, "d0"), (303, 10.0, 20.0, "d0")]
+    odd = [(400, None, 1.0, "d0"), (401, 1.0, None, "d1"), (402, 1.0, 1.0, "none"), (403, 1.0, 1.0, None)]
+    points = spark.createDataFrame(raw + odd, "point_id long, x double, y double, dep string")
+    pieces = spark.createDataFrame(ways + [(5000, None, 1.0, 2.0, 3.0, "d0")], "way_id long, ax double, ay double, bx double, by_ double, dep string")
+    for keys in ([], ["dep"]):
+        want = Counter()
+        for p in raw + ([] if keys else odd[2:]):
+            _, way, distance, _ = next(b for b in brute(p, ways) if not keys or b[3] == p[3])
+            want[p[0], way, round(distance, 4)] += 1
+        got = nearest_anywhere(points, pieces, ["way_id"], LOCAL, keys, leaf=leaf, foot=True)
+        assert Counter((r["point_id"], r["way_id"], round(r["distance_m"], 4)) for r in got.collect()) == want
+        assert got.columns == ["point_id", "distance_m", "way_id", "foot"]
+    assert nearest_anywhere(points, pieces.limit(0), ["way_id"], LOCAL).collect() == []
+    assert nearest_anywhere(points.limit(0), pieces, ["way_id"], LOCAL).collect() == []
+
+
+def test_pyramid_measures_few_pieces(spark):
+    """A far place meets a few cells of each level, not the network."""
+    rng = random.Random(4)
+    ways = [(w, x, y, x + 1e-3, y + 1e-3) for w, (x, y) in enumerate((rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(20_000))]
+    pieces = spark.createDataFrame(ways, "way_id long, ax double, ay double, bx double, by_ double")
+    places = spark.createDataFrame([(i, rng.uniform(-90, 90), rng.uniform(-60, 60)) for i in range(200)], "_place long, x double, y double")
+    pyramid = build(pieces, leaf=16)
+    assert max(level.count() for level in pyramid.levels[:2]) <= 32
+    cells = cells_in_reach(places, pyramid, LOCAL)
+    assert cells.count() <= 200 * 12 and cells.select("_place").distinct().count() == 200
+
+
 def test_no_pair_twice(spark, network):
     points, pieces, raw, _ = network
     pairs = candidate_pairs(points, pieces, 700.0, cell_pairs=100)
