@@ -1,38 +1,69 @@
 """Which keys of a table occur inside which texts.
 
-Runs on distinct texts. Each text lists its substrings of the lengths the keys
-have, and those meet the keys by equality; no text is compared with every key.
+Runs on distinct texts. Each task builds one Aho-Corasick automaton from the
+keys and reads each text once, whatever its length and the keys' lengths; only
+pairs that match leave it. At most ``KEYS`` keys go to the tasks at a time: a
+larger set is split by the keys' hash, and the texts are read once per part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corridor_spark.session import small_side
+from corridor_spark.session import small_side, stage
+
+#: Most keys of one automaton; pairs that a task hands on at a time.
+KEYS, PAIRS = 100_000, 10_000
 
 
-def _key_lengths(keys: DataFrame, key: str) -> list[int]:
-    return sorted(r[0] for r in keys.select(F.length(key)).distinct().collect())
+def _search(texts: DataFrame, text: str, words: list[str]) -> DataFrame:
+    """``text`` and ``_key`` for each of the (at most ``KEYS``) words in each text."""
+    sent = texts.sparkSession.sparkContext.broadcast(words)
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not sent.value:
+            return
+        known = ahocorasick.Automaton()
+        for word in sent.value:
+            known.add_word(word, word)
+        known.make_automaton()
+        held: tuple[list[str], list[str]] = ([], [])
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                inside = {word for _, word in known.iter(value)}
+                held[0].extend([value] * len(inside))
+                held[1].extend(sorted(inside))
+                if len(held[0]) >= PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.string()), pa.array(held[1], pa.string())], [text, "_key"])
+                    held = ([], [])
+        if held[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.string()), pa.array(held[1], pa.string())], [text, "_key"])
 
-def contained_keys(texts: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
-    """Distinct texts with each key they contain and the key's other columns."""
-    lengths = _key_lengths(keys.filter(F.length(key) > 0), key)
-    distinct = texts.select(text).filter(F.length(text) > 0).distinct()
-    if not lengths:
-        return distinct.join(keys.limit(0), distinct[text] == keys[key])
+    return texts.mapInArrow(find, f"`{text}` string, `_key` string")
 
-    def cuts(size: int) -> Column:
-        last = F.length(text) - size + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(size)))
 
-    pieces = distinct.select(
-        text, F.explode(F.array_distinct(F.concat(*[cuts(n) for n in lengths]))).alias("_piece")
-    )
-    side = small_side(keys.filter(F.length(key) > 0))
-    return pieces.join(side, pieces["_piece"] == side[key]).drop("_piece")
+def contained_keys(texts: DataFrame, text: str, keys: DataFrame, key: str, most: int = KEYS) -> DataFrame:
+    """Distinct texts with each key they contain and the key's other columns; null and empty texts and keys match nothing."""
+    usable = keys.filter(F.length(key) > 0)
+    words = stage(usable.select(F.col(key).cast("string").alias("word")).distinct(), "contained-keys")
+    parts = max(1, -(-words.count() // most))
+    if parts > 1:  # by hash a part can be a little larger than the mean
+        parts *= 2
+    distinct = texts.select(F.col(text).cast("string").alias(text)).filter(F.length(text) > 0).distinct()
+    if parts > 1:
+        distinct = stage(distinct, "contained-texts")
+    found = None
+    for part in range(parts):
+        some = words.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == part) if parts > 1 else words
+        pairs = _search(distinct, text, [r["word"] for r in some.collect()])
+        found = pairs if found is None else found.unionByName(pairs)
+    side = small_side(usable)
+    return found.join(side, found["_key"] == side[key]).select(found[text], *[side[c] for c in keys.columns])
 
 
 def best_contained(texts: DataFrame, text: str, keys: DataFrame, key: str, rank: Column,

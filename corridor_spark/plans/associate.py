@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +13,12 @@ from corridor_spark.functions.text import catalog_text, first_nonempty, lookup,
 from corridor_spark.lexicons import GENERIC_ROAD_KEYS, ROAD_HIERARCHY, ROAD_HIERARCHY_DEFAULT
 from corridor_spark.operators.contains import best_contained
 from corridor_spark.operators.norms import fit_robust, weighted
-from corridor_spark.session import stage
+from corridor_spark.operators.similar import candidates
+from corridor_spark.session import small_side, stage
 
 TOP_K = 5
 #: (hierarchy, length, prior, territory, speed) weights of each model.
 MODELS = {"global": (0.35, 0.30, 0.25, 0.0, 0.10), "contextual": (0.30, 0.25, 0.20, 0.15, 0.10)}
-#: Rows of each side one task compares at a time.
-CANDIDATE_BLOCK, CELL_BLOCK, TEXT_BLOCK = 20_000, 500, 200
 
 
 # --- candidates and jam features ---------------------------------------------
@@ -93,116 +93,130 @@ def jam_features(jams: DataFrame, places: DataFrame) -> DataFrame:
 
 # --- exact top-k without comparing every jam with every road ------------------
 
+#: Steps of a cell's jams and of a bucket's roads: factor of lengths, and parts of the unit for shares.
+_JAM_STEP, _JAM_PARTS, _ROAD_STEP, _ROAD_PARTS = 1.1, 25, 1.25, 10
 _CELL = ("_len", "_hier", "_speed", "_strong", "inferred_department")
+_BUCKET = ("_len", "_hier", "_speed", "_department")
+_ROAD = {"osm_length_km": "len", "osm_hierarchy_score": "hier", "osm_maxspeed_norm": "speed", "osm_structural_prior": "prior"}
+
+
+def _step(length: str, factor: float) -> Column:
+    return F.floor(F.log(length) / math.log(factor)).cast("int")
 
 
 def _with_cell(features: DataFrame) -> DataFrame:
     return features.withColumns(
         {
-            "_len": F.floor(F.log("jam_length") / math.log(1.1)).cast("int"),
-            "_hier": F.floor(F.col("expected_osm_hierarchy") * 25).cast("int"),
-            "_speed": F.floor(F.col("expected_osm_speed_context") * 25).cast("int"),
+            "_len": _step("jam_length", _JAM_STEP),
+            "_hier": F.floor(F.col("expected_osm_hierarchy") * _JAM_PARTS).cast("int"),
+            "_speed": F.floor(F.col("expected_osm_speed_context") * _JAM_PARTS).cast("int"),
             "_strong": F.col("expected_osm_hierarchy") >= 0.70,
         }
-    )
+    ).withColumn("cell", F.to_json(F.struct(*_CELL)))
+
+
+def _with_bucket(roads: DataFrame) -> DataFrame:
+    """Roads of similar length, hierarchy and speed; those of one department apart."""
+    return roads.withColumns(
+        {
+            "_len": _step("osm_length_km", _ROAD_STEP),
+            "_hier": F.floor(F.col("osm_hierarchy_score") * _ROAD_PARTS).cast("int"),
+            "_speed": F.floor(F.col("osm_maxspeed_norm") * _ROAD_PARTS).cast("int"),
+            "_department": F.when(F.col("osm_department_count") == 1, F.col("osm_departments")),
+        }
+    ).withColumn("bucket", F.to_json(F.struct(*_BUCKET)))
 
 
 def _bound_scores(cell, roads, model: str, single_department: bool):
-    """Lower and upper score of every road over all jams of one cell (numpy arrays)."""
+    """Lower and upper score of each row of ``roads`` (bounds ``…_lo`` and ``…_hi``) over all jams of one cell (numpy arrays)."""
     import numpy as np
 
     w_h, w_l, w_p, w_t, w_s = MODELS[model]
-    length, hier = roads["length"], roads["hier"]
 
-    def shape(jam):
-        return np.exp(-np.abs(np.log1p(length) - np.log1p(jam)) / 2.2)
+    def gaps(lo, hi, jam_lo, jam_hi):
+        """Least and greatest distance of two values out of two intervals."""
+        return np.maximum(0, np.maximum(lo - jam_hi, jam_lo - hi)), np.maximum(hi - jam_lo, jam_hi - lo)
 
-    def capacity(jam):
+    def capacity(length, jam):
         return np.minimum(1.0, (length + 0.05) / (jam * 0.75 + 0.05))
 
-    low_j, high_j = cell.len_lo, cell.len_hi
-    fit_hi = 0.72 * capacity(low_j) + 0.28 * shape(np.clip(length, low_j, high_j))
-    fit_lo = 0.72 * capacity(high_j) + 0.28 * np.minimum(shape(low_j), shape(high_j))
-
-    def closeness(value, lo, hi):
-        return (1 - np.abs(value - np.clip(value, lo, hi)),
-                1 - np.maximum(np.abs(value - lo), np.abs(value - hi)))
-
-    h_hi, h_lo = closeness(hier, cell.hier_lo, cell.hier_hi)
-    s_hi, s_lo = closeness(roads["speed"], cell.speed_lo, cell.speed_hi)
-    rest = w_p * roads["prior"]
+    near, far = gaps(np.log1p(roads["len_lo"]), np.log1p(roads["len_hi"]), np.log1p(cell.len_lo), np.log1p(cell.len_hi))
+    h_near, h_far = gaps(roads["hier_lo"], roads["hier_hi"], cell.hier_lo, cell.hier_hi)
+    s_near, s_far = gaps(roads["speed_lo"], roads["speed_hi"], cell.speed_lo, cell.speed_hi)
+    high = w_h * (1 - h_near) + w_l * (0.72 * capacity(roads["len_hi"], cell.len_lo) + 0.28 * np.exp(-near / 2.2)) + w_p * roads["prior_hi"] + w_s * (1 - s_near)
+    low = w_h * (1 - h_far) + w_l * (0.72 * capacity(roads["len_lo"], cell.len_hi) + 0.28 * np.exp(-far / 2.2)) + w_p * roads["prior_lo"] + w_s * (1 - s_far)
     if w_t:
         department = cell.inferred_department
         if department:
-            own = roads["departments"] == department if single_department else roads["lists"].map(
-                lambda d: department in d).to_numpy(dtype=bool)
-            rest = rest + w_t * np.where(own, 1.0, np.where(roads["count"] >= 4, 0.45, 0.15))
+            alone = roads["department"]  # None: several, or none at all
+            own, other = alone == department, np.array([d is not None for d in alone]) & (alone != department)
+            several = np.where(roads["count_hi"] >= 4, 0.45, 0.15) if single_department else 1.0
+            high = high + w_t * np.where(own, 1.0, np.where(other, 0.15, several))
+            low = low + w_t * np.where(own, 1.0, np.where(other, 0.15, np.where(roads["count_lo"] >= 4, 0.45, 0.15)))
         else:
-            rest = rest + w_t * 0.45
+            high, low = high + w_t * 0.45, low + w_t * 0.45
     if cell.strong:
-        rest = rest - np.where(hier < 0.28, 0.10, 0.0)
-    return w_h * h_lo + w_l * fit_lo + w_s * s_lo + rest, w_h * h_hi + w_l * fit_hi + w_s * s_hi + rest
+        high, low = high - np.where(roads["hier_hi"] < 0.28, 0.10, 0.0), low - np.where(roads["hier_lo"] < 0.28, 0.10, 0.0)
+    return low, high
 
 
 def _shortlists(features: DataFrame, candidates: DataFrame, single_department: bool, k: int) -> DataFrame:
-    """Per cell and model the roads that can reach the top ``k`` for some jam of the cell.
-
-    A road whose upper score is below the k-th best lower score cannot, so
-    leaving it out is exact. Cells and roads are both cut into bounded blocks,
-    and each task compares one block of cells with one block of roads.
+    """``cell``, ``model`` and the scoring columns of the roads that can reach the top ``k`` for some jam of the cell.
+
+    Round one compares cells with buckets: the lower scores of a cell's buckets
+    and the roads in them give the bound that the k-th road reaches at least, and
+    buckets whose upper score stays below it are left out. Round two joins the
+    roads of the buckets that stay, each with its own upper score and that bound.
+    Cells and buckets are steps of bounded measures, so their numbers do not grow
+    with jams and roads. Of roads that are alike in every measure only the first
+    ``k`` by key can be in a top ``k``.
     """
-    cells = _with_cell(features).groupBy(*_CELL).agg(
-        F.min("jam_length").alias("len_lo"), F.max("jam_length").alias("len_hi"),
-        F.min("expected_osm_hierarchy").alias("hier_lo"), F.max("expected_osm_hierarchy").alias("hier_hi"),
-        F.min("expected_osm_speed_context").alias("speed_lo"), F.max("expected_osm_speed_context").alias("speed_hi"),
-    )
-    cells = stage(cells.withColumn("strong", F.col("_strong")), "association-cells")
-    blocks = 1 + candidates.count() // CANDIDATE_BLOCK
-    shards = 1 + cells.count() // CELL_BLOCK
-    left = cells.withColumn("_shard", F.pmod(F.xxhash64(*_CELL), F.lit(shards)).cast("int")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = candidates.select(
-        "osm_candidate_key", "osm_length_km", "osm_hierarchy_score", "osm_maxspeed_norm", "osm_structural_prior",
-        "osm_departments", "osm_department_count",
-        F.pmod(F.xxhash64("osm_candidate_key"), F.lit(blocks)).cast("int").alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"),
-    )
+    alike = [*_ROAD, "osm_departments", "osm_department_count"]
+    twin = F.row_number().over(Window.partitionBy(*alike).orderBy("osm_candidate_key"))
+    roads = stage(_with_bucket(candidates.select("osm_candidate_key", "departments", *alike)).withColumn("_twin", twin).where(
+        F.col("_twin") <= k).drop("_twin"), "association-roads")
+    limits = [f(c).alias(f"{n}_{e}") for c, n in {**_ROAD, "osm_department_count": "count"}.items() for f, e in ((F.min, "lo"), (F.max, "hi"))]
+    buckets = stage(roads.groupBy("bucket", F.col("_department").alias("department")).agg(F.count(F.lit(1)).alias("held"), *limits), "association-buckets")
+    jams = {"jam_length": "len", "expected_osm_hierarchy": "hier", "expected_osm_speed_context": "speed"}
+    cells = stage(_with_cell(features).groupBy("cell", "inferred_department", F.col("_strong").alias("strong")).agg(
+        *[f(c).alias(f"{n}_{e}") for c, n in jams.items() for f, e in ((F.min, "lo"), (F.max, "hi"))]), "association-cells")
+    sent = features.sparkSession.sparkContext.broadcast(buckets.orderBy("bucket").toPandas())  # bounded: see above
+
+    def first_round(batches):
+        import numpy as np
 
-    def compare(cell_rows, road_rows):
+        held = {c: sent.value[c].to_numpy() for c in sent.value.columns}
+        for batch in batches:
+            out = []
+            for cell in batch.to_pandas().itertuples(index=False):
+                for model in MODELS:
+                    low, high = _bound_scores(cell, held, model, single_department)
+                    order = np.argsort(-low, kind="stable")
+                    reached = np.searchsorted(np.cumsum(held["held"][order]), k)
+                    least = low[order[reached]] if reached < len(order) else -np.inf
+                    out += [(cell.cell, model, held["bucket"][i], float(least)) for i in np.nonzero(high >= least - 1e-9)[0]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["cell", "model", "bucket", "least"])
+
+    def second_round(batches):
         import numpy as np
-        import pandas as pd
-
-        road_rows = road_rows.sort_values("osm_candidate_key").reset_index(drop=True)
-        roads = {
-            "length": road_rows["osm_length_km"].to_numpy(), "hier": road_rows["osm_hierarchy_score"].to_numpy(),
-            "speed": road_rows["osm_maxspeed_norm"].to_numpy(), "prior": road_rows["osm_structural_prior"].to_numpy(),
-            "departments": road_rows["osm_departments"].to_numpy(), "count": road_rows["osm_department_count"].to_numpy(),
-            "lists": road_rows["osm_departments"].str.split(";"),
-        }
-        twin = road_rows.groupby(["osm_length_km", "osm_hierarchy_score", "osm_maxspeed_norm", "osm_structural_prior",
-                                  "osm_departments"]).cumcount().to_numpy()
-        kept = []
-        for cell in cell_rows.itertuples(index=False):
-            for model in MODELS:
-                low, high = _bound_scores(cell, roads, model, single_department)
-                usable = twin < k
-                floor = np.sort(low[usable])[-min(k, int(usable.sum()))] if usable.any() else np.inf
-                for i in np.nonzero(usable & (high >= floor - 1e-9))[0]:
-                    kept.append((cell.cell, model, road_rows["osm_candidate_key"].iat[i]))
-        return pd.DataFrame(kept, columns=["cell", "model", "osm_candidate_key"])
-
-    keyed = left.withColumn("cell", F.to_json(F.struct(*_CELL)))
-    found = keyed.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInPandas(
-        compare, "cell string, model string, osm_candidate_key string"
-    )
-    payload = F.struct(
-        "osm_candidate_key", "osm_candidate_name", "osm_departments", "departments", "osm_department_count",
-        "osm_length_km", "osm_hierarchy_score", "osm_maxspeed_norm", "osm_structural_prior", "osm_predominant_road_type",
-    )
-    return stage(
-        found.join(candidates, "osm_candidate_key").groupBy("cell", "model").agg(F.collect_list(payload).alias("roads")),
-        "association-shortlists",
-    )
+
+        for batch in batches:
+            rows = batch.to_pandas()
+            keep = np.zeros(len(rows), bool)
+            for (_, model), some in rows.groupby(["cell", "model"], sort=False):
+                own = {f"{n}_{e}": some[c].to_numpy() for c, n in {**_ROAD, "osm_department_count": "count"}.items() for e in ("lo", "hi")}
+                own["department"] = some["_department"].to_numpy()
+                cell = next(some.itertuples(index=False))
+                keep[some.index] = _bound_scores(cell, own, model, single_department)[1] >= some["least"].to_numpy() - 1e-9
+            yield batch.filter(pa.array(keep)).select(names)
+
+    spread = cells.repartition(cells.sparkSession.sparkContext.defaultParallelism, "cell")
+    pairs = stage(spread.mapInArrow(first_round, "cell string, model string, bucket string, least double"), "association-pairs")
+    met = pairs.join(roads.drop("_len", "_hier", "_speed"), "bucket").join(cells, "cell")
+    names = ["cell", "model", "osm_candidate_key", "departments", *alike]
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.select(*names).schema)
+    return stage(met.mapInArrow(second_round, shape), "association-shortlists")
 
 
 def road_score(model: str, road: Column, single_department: bool = True) -> Column:
@@ -234,19 +248,21 @@ def confidence(score: Column, margin: Column, territory_known: Column) -> Column
 def operational_topk(features: DataFrame, candidates: DataFrame, k: int = TOP_K, single_department: bool = True) -> DataFrame:
     """The ``k`` best roads of every jam under both models, with margin and confidence.
 
-    Jams meet only their cell's shortlist, and the ranking happens inside the
-    row: no pair table and no shuffle after the join on the cell.
+    Jams meet only their cell's shortlist (keys and measures), and the ranking
+    happens inside the row; names and types come to the ``k`` winners alone.
     ``single_department`` counts a road as the department's own only when it
     lies in no other; otherwise membership is enough.
     """
     shortlists = _shortlists(features, candidates, single_department, k)
-    celled = _with_cell(features).withColumn("cell", F.to_json(F.struct(*_CELL)))
-    joined = celled.join(shortlists, "cell")
+    payload = F.struct(*[c for c in shortlists.columns if c not in ("cell", "model")])
+    listed = shortlists.groupBy("cell", "model").agg(F.collect_list(payload).alias("roads"))  # as long as the bounds leave it
+    joined = _with_cell(features).select("uuid", "inferred_department", "expected_osm_hierarchy", "expected_osm_speed_context", "jam_length", "cell").join(
+        listed, "cell")
 
     def scored(model: str) -> Column:
         def one(road: Column) -> Column:
             score = road_score(model, road, single_department)
-            return F.struct((-score).alias("neg"), road["osm_candidate_key"].alias("key"), road.alias("road"))
+            return F.struct((-score).alias("neg"), road["osm_candidate_key"].alias("key"))
 
         return F.transform("roads", one)
 
@@ -260,17 +276,18 @@ def operational_topk(features: DataFrame, candidates: DataFrame, k: int = TOP_K,
     )
     rows = best.select("uuid", "model", "inferred_department", "_first", "_second",
                        F.posexplode("_top").alias("_pos", "_t"))
-    road = F.col("_t.road")
     margin = F.col("_first") - F.col("_second")
     known = (F.col("inferred_department") != "") & (F.col("model") == "contextual")
-    return rows.select(
+    roads = small_side(candidates.select(F.col("osm_candidate_key").alias("operational_candidate_key"), "osm_candidate_name", "osm_departments",
+                                         "osm_predominant_road_type", "osm_length_km", "osm_structural_prior"))
+    return rows.withColumn("operational_candidate_key", F.col("_t.key")).join(roads, "operational_candidate_key").select(
         "uuid", "model", (F.col("_pos") + 1).alias("candidate_rank"),
-        road["osm_candidate_name"].alias("operational_candidate"),
-        F.col("_t.key").alias("operational_candidate_key"),
-        road["osm_departments"].alias("operational_candidate_departments"),
-        road["osm_predominant_road_type"].alias("operational_candidate_road_type"),
-        rounded(road["osm_length_km"], 4).alias("operational_candidate_length_km"),
-        rounded(road["osm_structural_prior"], 4).alias("operational_candidate_structural_prior"),
+        F.col("osm_candidate_name").alias("operational_candidate"),
+        "operational_candidate_key",
+        F.col("osm_departments").alias("operational_candidate_departments"),
+        F.col("osm_predominant_road_type").alias("operational_candidate_road_type"),
+        rounded("osm_length_km", 4).alias("operational_candidate_length_km"),
+        rounded("osm_structural_prior", 4).alias("operational_candidate_structural_prior"),
         rounded(-F.col("_t.neg"), 6).alias("operational_match_score"),
         rounded(margin, 6).alias("operational_score_margin_top2"),
         F.when(F.col("_pos") == 0, confidence(F.col("_first"), margin, known)).otherwise("")
@@ -411,48 +428,21 @@ def road_aliases(catalog: DataFrame) -> DataFrame:
 def similar_texts(names: DataFrame, aliases: DataFrame, keep: float = KEEP_SCORE) -> DataFrame:
     """Pairs of distinct texts (``name``, ``alias``) scoring at least ``keep``.
 
-    Bounded blocks of names meet bounded blocks of aliases. Inside a task the
-    character counts of both texts bound the similarity from above and show
-    which text can lie inside the other; only pairs that can still reach
-    ``keep`` are compared in full, so no match is lost and no other pair leaves
-    the task.
+    Pairs come from exact indexes (``operators.similar``); only what can still
+    reach ``keep`` is compared in full. A pair scores at least ``keep`` here if
+    and only if ``text_match`` says so.
     """
-    names, aliases = names.select("name").distinct(), aliases.select("alias").distinct()
-    blocks = 1 + aliases.count() // CANDIDATE_BLOCK
-    shards = 1 + names.count() // TEXT_BLOCK
-    left = names.withColumn("_shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = aliases.withColumn("_block", F.pmod(F.xxhash64("alias"), F.lit(blocks)).cast("int")).withColumn(
-        "_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def compare(name_rows, alias_rows):
-        import numpy as np
-        import pandas as pd
-
-        letters = "abcdefghijklmnopqrstuvwxyz0123456789 "
-        texts = alias_rows["alias"].tolist()
-        counts = np.array([[t.count(c) for c in letters] for t in texts], dtype=np.int32).reshape(len(texts), len(letters))
-        sizes = counts.sum(axis=1)
-        words = [set(t.split()) for t in texts]
-        rows = []
-        for name in name_rows["name"]:
-            own = np.array([name.count(c) for c in letters])
-            upper = 2 * np.minimum(counts, own).sum(axis=1) / np.maximum(sizes + own.sum(), 1)
-            mine = set(name.split())
-            nested = (counts >= own).all(axis=1) | (counts <= own).all(axis=1)
-            for i in np.nonzero((0.70 * upper + 0.30 >= keep - 1e-9) | nested)[0]:
-                shared = len(mine & words[i])
-                best = 0.70 * upper[i] + 0.30 * shared / max(len(mine | words[i]), 1)
-                inside = name in texts[i] or texts[i] in name
-                if best >= keep - 1e-4 or inside:
-                    score, method = text_match(name, texts[i])
-                    if score >= keep:
-                        rows.append((name, texts[i], score, method))
-        return pd.DataFrame(rows, columns=["name", "alias", "score", "method"])
-
-    return left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInPandas(
-        compare, "name string, alias string, score double, method string"
-    )
+    pairs = candidates(names, aliases, keep)
+
+    def compare(batches):
+        for batch in batches:
+            rows = [(n, a, *text_match(n, a)) for n, a in zip(batch.column("name").to_pylist(), batch.column("alias").to_pylist())]
+            kept = [r for r in rows if r[2] >= keep]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*kept)], ["name", "alias", "score", "method"])
+
+    # dealt out anew, as a frequent word's pairs come from one task
+    return pairs.repartition("name", "alias").mapInArrow(compare, "name string, alias string, score double, method string")
 
 
 def match_status(score: Column, alternatives: Column, method: Column) -> Column:

@@ -197,6 +197,19 @@ def test_contained_keys_are_substrings(spark):
     assert got == {(t, k) for t in texts for k in keys if k in t}
 
 
+@pytest.mark.parametrize("most", [2, 100_000])
+def test_contained_keys_of_long_texts_and_many_keys(spark, most):
+    rng = random.Random(most)
+    keys = sorted({"".join(rng.choices("abé ", k=rng.randint(1, 9))) for _ in range(25)}) + ["", None, "zz" * 2000]
+    texts = ["".join(rng.choices("abé c", k=rng.randint(0, 40))) for _ in range(60)] + [None, "", "ab" * 500_000 + "zz" * 2000, "zz"] + ["aab"] * 3
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)] + [("a", 99)], "key string, n int")
+    got = contained_keys(spark.createDataFrame([(t,) for t in texts], "t string"), "t", rows, "key", most)
+    assert got.columns == ["t", "key", "n"]
+    want = {(t, k, n) for t in texts if t for n, k in [*enumerate(keys), (99, "a")] if k and k in t}
+    found = got.collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
 def test_duplicate_counts(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", None), ("b", None)], "uuid string, v int")
     got = {r["metric"]: r["value"] for r in duplicate_counts(df).collect()}

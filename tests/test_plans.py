@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corridor_spark.operators.tables import empty_like
+from corridor_spark.operators.similar import candidates
 from corridor_spark.plans import associate, evaluate, incidents, integrate, jams, resolve, studies
 from corridor_spark.sources import aliases, incidents as source, roads
 
@@ -143,6 +144,29 @@ def test_similar_texts_lose_nothing(spark):
     assert got == want and any(m == "FUZZY" for _, m in want.values())
 
 
+@pytest.mark.parametrize("keep", [0.35, 0.55, 0.75])
+def test_similar_texts_of_any_length(spark, keep):
+    """Short and long texts, texts without a shared word, frequent words, nulls, blanks and repeats."""
+    rng = random.Random(17)
+    base = ["".join(rng.choices("abcdeé", k=rng.choice([1, 2, 3, 5, 9, 30, 62, 66, 120]))) for _ in range(60)]
+    edit = lambda t: "".join(rng.choice([c, c, c, c, c, "", rng.choice("ab c")]) for c in t).strip()
+    texts = [t for b in base for t in (b, edit(b), edit(b), "calle " + b[:6], b[:4] + " calle de " + b[4:9])]
+    names, others = texts[::2], texts[1::2]
+    rows = lambda ts, c: spark.createDataFrame([(t,) for t in [*ts, None, "", ts[0]]], f"{c} string")
+    found = associate.similar_texts(rows(names, "name"), rows(others, "alias"), keep).collect()
+    want = {(a, b): associate.text_match(a, b) for a in set(names) for b in set(others) if associate.text_match(a, b)[0] >= keep}
+    assert {(r["name"], r["alias"]): (r["score"], r["method"]) for r in found} == want and len(found) == len(want)
+    assert keep > 0.7 or any(m == "FUZZY" and not set(a.split()) & set(b.split()) for (a, b), (_, m) in want.items())
+
+
+def test_similar_texts_compare_few_pairs(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choices("aeioulnrst", k=7))
+    names, others = ([f"{word()} {word()}" for _ in range(300)] for _ in range(2))
+    rows = lambda ts, c: spark.createDataFrame([(t,) for t in ts], f"{c} string")
+    assert candidates(rows(names, "name"), rows(others, "alias"), 0.55).count() < 0.05 * 300 * 300
+
+
 def test_text_match_methods():
     assert associate.text_match("a b", "a b") == (1.0, "EXACT")
     assert associate.text_match("avenida sur", "avenida sur poniente")[1] == "CONTAINS"
