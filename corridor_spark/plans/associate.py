@@ -432,7 +432,7 @@ def similar_texts(names: DataFrame, aliases: DataFrame, keep: float = KEEP_SCORE
     reach ``keep`` is compared in full. A pair scores at least ``keep`` here if
     and only if ``text_match`` says so.
     """
-    pairs = candidates(names, aliases, keep)
+    pairs = stage(candidates(names, aliases, keep), "similar-pairs")
 
     def compare(batches):
         for batch in batches:
@@ -442,7 +442,7 @@ def similar_texts(names: DataFrame, aliases: DataFrame, keep: float = KEEP_SCORE
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*kept)], ["name", "alias", "score", "method"])
 
     # dealt out anew, as a frequent word's pairs come from one task
-    return pairs.repartition("name", "alias").mapInArrow(compare, "name string, alias string, score double, method string")
+    return stage(pairs.repartition("name", "alias").mapInArrow(compare, "name string, alias string, score double, method string"), "similar-scores")
 
 
 def match_status(score: Column, alternatives: Column, method: Column) -> Column:
