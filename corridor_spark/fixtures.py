@@ -75,7 +75,7 @@ FROM documents d
 """
 
 ALIAS = """
-SELECT CONCAT('corredor ', CAST(n_nationkey AS STRING)) AS raw_value_norm,
+SELECT CONCAT('corredor ', CAST(n_nationkey * 5 AS STRING)) AS raw_value_norm,
        CONCAT('Corredor ', n_name) AS corridor_norm,
        50e0 + CAST(n_regionkey AS DOUBLE)*10e0 AS priority
 FROM nation
