@@ -58,6 +58,11 @@ def scope(name: str) -> Iterator[None]:
         _SCOPE.pop()
 
 
+def leave(name: str) -> None:
+    """Tables staged in the scope stay from now on: what was made of them has not been written yet."""
+    _STAGED.pop(name, None)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corridor_spark.llm import language, queries, runs, spelling
+from corridor_spark.llm import common, language, queries, runs, spelling
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (None, "a b c"), (None, None), (5, "x"), (5, "x"), (6, "   a a ß"), (7, "1 2 3 ²"),
        (8, "la " * 30_000), (9, "anagram " * 3 + "Straße×÷ ÀÉ " * 9)]
@@ -24,6 +24,20 @@ def documents(spark, rows):
     return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n long, word string, n_runs long, bits string")
 
 
+def test_staged_tables_of_a_result_not_yet_written(spark):
+    """A scope removes what it staged when it is entered again, unless the result still reads it."""
+    made = []
+    for kept in (False, True, False):
+        with common.scope("twice"):
+            made.append(common.stage(spark.range(3), "rows"))
+        if kept:
+            common.leave("twice")
+    assert made[1].count() == 3 and made[2].count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        made[0].count()
+    common.discard(made[1])
+
+
 # ---- runs ----------------------------------------------------------------------------------------------------------
 
 
