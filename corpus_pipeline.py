@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corridor_spark.llm import bpe, line_dedup, mixing, ngram_join, quality
-from corridor_spark.llm.common import load, scope, stage_root
+from corridor_spark.llm.common import discard, leave, load, scope, stage_root
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, step) in enumerate(STAGES):
         out = step(spark, docs, sf_dir)
         if number == len(STAGES) - 1:
+            leave("pipeline")  # another run must not remove what this result still reads
             return out
         out.write.parquet(f"{folder}/{number}")
+        if number:
+            discard(docs)  # nothing reads the stage before any more
         docs = spark.read.parquet(f"{folder}/{number}")
     return docs
