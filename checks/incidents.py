@@ -9,7 +9,7 @@ from checks.sql import ROADS, compact, distance, has, ladder, one_of, q, wsum
 from corridor_spark.fixtures import cte
 from corridor_spark.lexicons import (
     DEPARTMENT_NAMES, EVENT_SCORE_CLASSES, FATALITY_WORDS, GEO_COMPONENT, INCIDENT_DISTANCE, INCIDENT_DISTANCE_FAR,
-    INCIDENT_RULES, INJURY_WORDS, KNOWN_CORRIDORS, MUNICIPALITY_NAMES, NODE_TERMS, NUMBER_WORDS, PHRASE_STOPS,
+    INCIDENT_RULES, INJURY_WORDS, KNOWN_CORRIDORS, MAJOR_HIGHWAYS, MUNICIPALITY_NAMES, NODE_TERMS, NUMBER_WORDS, PHRASE_STOPS,
     ROAD_COMPONENT, ROAD_FILLERS, ROAD_KINDS, ROAD_TYPE_TERMS, SEVERITY_BONUS, SEVERITY_TERMS, TITLE_SMALL_WORDS,
     WEIGHT_PROFILES,
 )
@@ -277,3 +277,29 @@ add("heat_weights", "uuid event_date event_hour latitude:6 longitude:6 coordinat
     lambda x: plan.heat_weights(x.events), f"{EVENTS}, h AS (SELECT CAST(uuid AS VARCHAR) AS uuid, event_date, event_hour, lat AS latitude, lon AS longitude, coordinate_quality_status, mentions AS heat_weight_menciones, "
     "impact_social_score AS heat_weight_impacto_social, 1 AS heat_weight_eventos, metric_category FROM events_ WHERE coordinate_pair_present)", "h")
 
+
+# --- nearest road from the road store ------------------------------------------
+
+_MAIN = "(" + ", ".join(q(h) for h in MAJOR_HIGHWAYS) + ")"
+
+
+def _stored(otherwise: str, rest: str) -> str:
+    """Nearest road where departments '0' to '9' have a network of their own, other events the rest's."""
+    return f"""{ROADS}, {BASE},
+sc AS (SELECT b.*, CASE WHEN len(department_norm) = 1 AND department_norm IN (SELECT source_department FROM seg) THEN 'DEPARTMENT' {otherwise} END AS nearest_osm_source_scope FROM base b),
+pr AS (SELECT e.uuid, r.way_id, r.name, r.road_key_norm, {distance('e.lon', 'e.lat')} AS d
+   FROM sc e JOIN seg r ON coordinate_inside_sv_bbox AND (nearest_osm_source_scope = 'DEPARTMENT' AND r.source_department = e.department_norm OR {rest})
+     AND e.lon BETWEEN LEAST(ax, bx) - 0.035 AND GREATEST(ax, bx) + 0.035 AND e.lat BETWEEN LEAST(ay, by_) - 0.035 AND GREATEST(ay, by_) + 0.035),
+nr AS (SELECT uuid, way_id AS nearest_osm_way_id, name AS nearest_osm_name, road_key_norm AS nearest_osm_road_key_norm, ROUND(d, 2) AS nearest_osm_distance_m
+   FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY floor(d*1e6+0.5), way_id) rn FROM pr) WHERE rn = 1),
+st AS (SELECT sc.*, nr.* EXCLUDE (uuid), CASE nearest_osm_source_scope WHEN 'DEPARTMENT' THEN department_norm WHEN 'NATIONAL' THEN 'NACIONAL' WHEN 'AMSS' THEN 'SAN SALVADOR' ELSE '' END AS nearest_osm_source_department,
+   CASE WHEN coordinate_quality_status = 'MISSING_POINT' THEN 'NO_COORDINATE_FOR_OSM' WHEN coordinate_quality_status = 'OUTSIDE_EL_SALVADOR_BBOX' THEN 'INVALID_POINT_FOR_OSM'
+   WHEN nearest_osm_source_scope = 'NO_OSM_NETWORK' THEN 'NO_OSM_NETWORK_FOR_POINT' ELSE {ladder('nearest_osm_distance_m', INCIDENT_DISTANCE, INCIDENT_DISTANCE_FAR, 'NO_NEAR_OSM_SEGMENT')} END AS osm_match_status
+   FROM sc LEFT JOIN nr USING (uuid))"""
+
+
+_ROW = "uuid nearest_osm_source_scope nearest_osm_source_department nearest_osm_way_id nearest_osm_name nearest_osm_road_key_norm nearest_osm_distance_m:4 osm_match_status"
+add("stored_cascade", _ROW, lambda x: plan.nearest_stored(x.base_events, x.road_store),
+    _stored("ELSE 'NATIONAL'", "nearest_osm_source_scope = 'NATIONAL'"), STR("st"))
+add("stored_capital", _ROW, lambda x: plan.nearest_stored(x.base_events, x.capital_store),
+    _stored("WHEN coordinate_inside_amss_bbox THEN 'AMSS' ELSE 'NO_OSM_NETWORK'", f"nearest_osm_source_scope = 'AMSS' AND r.highway IN {_MAIN}"), STR("st"))

@@ -11,7 +11,7 @@ from corridor_spark.lexicons import ALERT_DISTANCE, ALERT_DISTANCE_FAR, CAPITAL_
 from corridor_spark.operators.nearest import SPHERE, nearest, nearest_of_key
 from corridor_spark.plans import alerts as alert_plan
 from corridor_spark.functions.numbers import distance_class
-from corridor_spark.sources import roads
+from corridor_spark.sources import road_store, roads
 
 MAJOR = "(" + ", ".join(q(h) for h in MAJOR_HIGHWAYS) + ")"
 
@@ -94,3 +94,13 @@ r AS (SELECT v.uuid, way_id AS nearest_way_id, d AS nearest_osm_distance_m, CASE
 
 add("way_lengths", "way_id length_m:4", lambda x: roads.way_lengths(x.point_pieces), f"{cte('road_piece')}, w AS (SELECT way_id, {haversine('ax', 'ay', 'bx', 'by_')} AS length_m FROM road_piece)", "w")
 
+
+# --- selections from the road store ---------------------------------------------
+
+_SEL = "osm_way_id highway source_department length_km:6"
+_LENGTH = "SELECT way_id AS osm_way_id, highway, source_department, length_m/1000 AS length_km FROM seg WHERE highway IN"
+add("stored_departments", _SEL, lambda x: road_store.select_segments(x.road_store, ["3", "5", "12"]),
+    f"{ROADS}, n AS ({_LENGTH} {MAJOR} AND source_department IN ('3', '5'))", "n")
+add("stored_national", _SEL, lambda x: road_store.select_segments(x.road_store, ["11", "12"]), f"{ROADS}, n AS ({_LENGTH} {MAJOR})", "n")
+add("stored_roads", "osm_way_id road_key_norm", lambda x: road_store.stored_roads(x.road_store, x.catalog.filter("segment_count > 1").select(F.col("road_key_norm").alias("corridor_key"))),
+    f"{ROADS}, n AS (SELECT way_id AS osm_way_id, road_key_norm FROM seg WHERE highway IN {MAJOR} AND road_key_norm IN (SELECT road_key_norm FROM cat WHERE segment_count > 1))", "n")

@@ -7,20 +7,22 @@ once and read with column pruning afterwards.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corridor_spark import fixtures
+from corridor_spark.lexicons import MAJOR_HIGHWAYS
 from corridor_spark.operators.nearest import LOCAL
 from corridor_spark.plans import alerts as alert_plan
 from corridor_spark.plans import incidents as incident_plan
 from corridor_spark.plans import associate, evaluate, integrate
 from corridor_spark.plans import jams as jam_plan
 from corridor_spark.plans.resolve import Lookups, resolve_traffic
-from corridor_spark.session import stage
-from corridor_spark.sources import aliases, roads
+from corridor_spark.session import stage, stage_root
+from corridor_spark.sources import aliases, road_store, roads
 from corridor_spark.sources import incidents as incident_source
 
 _LAYERS: dict[tuple[str, str], "Layers"] = {}
@@ -63,6 +65,23 @@ class Layers:
     def catalog(self) -> DataFrame:
         return stage(roads.road_catalog(self.segments), "catalog")
 
+    @cached_property
+    def road_store(self) -> DataFrame:
+        """Networks of ten departments and the national one, on disk by department and bucket of road keys."""
+        return self._stored("road-store", self.segments)
+
+    @cached_property
+    def capital_store(self) -> DataFrame:
+        """Networks of ten departments and, without a national one, the main roads as the capital's."""
+        main = self.segments.filter(F.col("highway").isin(*MAJOR_HIGHWAYS))
+        return self._stored("capital-store", None, main)
+
+    def _stored(self, name: str, whole: DataFrame | None, capital: DataFrame | None = None) -> DataFrame:
+        path = f"{stage_root(self.spark)}/{name}-{uuid.uuid4().hex}"
+        own = self.segments.filter(F.length("source_department") == 1)
+        road_store.write_store(path, own, whole, capital)
+        return road_store.open_store(self.spark, path)
+
     @cached_property
     def lookups(self) -> Lookups:
         return Lookups(

@@ -27,6 +27,8 @@ from corridor_spark.operators.tables import ensure_columns, metric_rows, rollup_
 from corridor_spark.plans.resolve import resolve_incident
 from corridor_spark.session import stage
 from corridor_spark.sources import incidents as source
+from corridor_spark.sources import road_store
+from corridor_spark.sources.roads import pieces as road_pieces
 from corridor_spark.sources.roads import with_bounds
 
 SEARCH_DEGREES = 0.035
@@ -186,28 +188,62 @@ def add_coordinates(events: DataFrame) -> DataFrame:
     )
 
 
-def nearest_roads(events: DataFrame, pieces: DataFrame, ways: DataFrame, national: bool = True,
-                  capital: bool = False) -> DataFrame:
-    """Events with their nearest road: own department's network, else the national, else the capital's.
+def nearest_roads(events: DataFrame, pieces: DataFrame, ways: DataFrame, national: bool = True) -> DataFrame:
+    """Events with their nearest road: own department's network, else the whole one where ``national`` says so.
 
     ``pieces`` and ``ways`` are the whole network (``ways`` with coordinates).
     Each scope runs the radius steps, then the bounds rule for what is left.
     """
-    departments = ways.select(F.col("source_department").alias("department_norm")).distinct()
-    events = events.join(departments.withColumn("_own", F.lit(True)), "department_norm", "left")
-    scope = F.when(F.col("_own"), "DEPARTMENT")
+    fields = [f for f in ROAD_FIELDS if f in pieces.columns]
+    events, located = _scoped(events, ways.select("source_department").distinct(), national, False)
+    hits = [_nearest_in(located.filter((F.col("scope") == road_store.DEPARTMENT) == F.lit(own)), pieces, ways, fields, own)
+            for own in (True, False)]
+    return _with_roads(events, hits[0].unionByName(hits[1]), fields)
+
+
+def nearest_stored(events: DataFrame, store: DataFrame) -> DataFrame:
+    """Events with their nearest road from a road store.
+
+    An event goes to its department's network, without one to the national network,
+    without that and inside the capital's box to the capital's, else to none. Each
+    network is a search of its own that opens only that network's folders, and of
+    the departments only those that events name.
+    """
+    fields = [f for f in ROAD_FIELDS if f in store.columns or f == "way_id"]
+    has = {name: not road_store.network(store, name).isEmpty() for name in (road_store.NATIONAL, road_store.CAPITAL)}
+    events, located = _scoped(events, road_store.stored_departments(store), has[road_store.NATIONAL], has[road_store.CAPITAL])
+    hits = None
+    for name in (road_store.DEPARTMENT, *[n for n in has if has[n]]):
+        own = name == road_store.DEPARTMENT
+        points = located.filter(F.col("scope") == name)
+        if not points.isEmpty():
+            ways = road_store.departments_of(points, store) if own else road_store.network(store, name)
+            pieces = road_pieces(ways, [*[f for f in fields if f != "way_id"], "source_department"], points=True)
+            found = _nearest_in(points, pieces, ways, fields, own)
+            hits = found if hits is None else hits.unionByName(found)
+    if hits is None:  # no event has a network
+        kinds = dict(store.dtypes) | {"way_id": dict(store.dtypes)["osm_way_id"]}
+        hits = store.sparkSession.createDataFrame([], ", ".join(
+            ["point_id string", "distance_m double", *[f"{f} {kinds[f]}" for f in fields]]))
+    return _with_roads(events, hits, fields)
+
+
+def _scoped(events: DataFrame, departments: DataFrame, national: bool, capital: bool) -> tuple[DataFrame, DataFrame]:
+    """Events with the network they are matched to, and those of them that have a point to match."""
+    events = events.join(departments.select(F.col("source_department").alias("department_norm"), F.lit(True).alias("_own")),
+                         "department_norm", "left")
+    scope = F.when(F.col("_own"), road_store.DEPARTMENT)
     if national:
-        scope = scope.otherwise("NATIONAL")
+        scope = scope.otherwise(road_store.NATIONAL)
     elif capital:
-        scope = F.when(F.col("_own"), "DEPARTMENT").when(F.col("coordinate_inside_amss_bbox"), "AMSS").otherwise(
-            "NO_OSM_NETWORK")
+        scope = scope.when(F.col("coordinate_inside_amss_bbox"), road_store.CAPITAL).otherwise("NO_OSM_NETWORK")
     else:
         scope = scope.otherwise("NO_OSM_NETWORK")
     events = events.withColumn("nearest_osm_source_scope", scope).withColumn(
         "nearest_osm_source_department",
         F.when(F.col("_own"), F.col("department_norm"))
-        .when(F.col("nearest_osm_source_scope") == "NATIONAL", "NACIONAL")
-        .when(F.col("nearest_osm_source_scope") == "AMSS", "SAN SALVADOR")
+        .when(F.col("nearest_osm_source_scope") == road_store.NATIONAL, "NACIONAL")
+        .when(F.col("nearest_osm_source_scope") == road_store.CAPITAL, "SAN SALVADOR")
         .otherwise(""),
     ).drop("_own")
     located = stage(
@@ -218,17 +254,19 @@ def nearest_roads(events: DataFrame, pieces: DataFrame, ways: DataFrame, nationa
                  F.col("nearest_osm_source_scope").alias("scope"), F.col("department_norm").alias("source_department")),
         "incident-points",
     )
-    fields = [f for f in ROAD_FIELDS if f in pieces.columns]
-    bounded = with_bounds(ways.withColumnRenamed("osm_way_id", "way_id"))
-    hits = None
-    for own in (True, False):
-        points = located.filter((F.col("scope") == "DEPARTMENT") == F.lit(own))
-        keys = ["source_department"] if own else []
-        near = stage(nearest(points, pieces, INCIDENT_RADII, fields, LOCAL, keys), "incident-near")
-        left = points.join(near.select("point_id"), "point_id", "left_anti")
-        rest = _by_bounds(left, bounded, fields, own)
-        both = near.unionByName(rest) if rest is not None else near
-        hits = both if hits is None else hits.unionByName(both)
+    return events, located
+
+
+def _nearest_in(points: DataFrame, pieces: DataFrame, ways: DataFrame, fields: list[str], own: bool) -> DataFrame:
+    """Nearest road of points in a network, or in their department's part of it with ``own``."""
+    keys = ["source_department"] if own else []
+    near = stage(nearest(points, pieces, INCIDENT_RADII, fields, LOCAL, keys), "incident-near")
+    left = points.join(near.select("point_id"), "point_id", "left_anti")
+    rest = _by_bounds(left, with_bounds(ways.withColumnRenamed("osm_way_id", "way_id")), fields, own)
+    return near if rest is None else near.unionByName(rest)
+
+
+def _with_roads(events: DataFrame, hits: DataFrame, fields: list[str]) -> DataFrame:
     hits = hits.select(
         F.col("point_id").alias("uuid"), rounded("distance_m", 2).alias("nearest_osm_distance_m"),
         *[F.col(f).alias(ROAD_FIELDS[f]) for f in fields],

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from checks import all_queries
 from corridor_spark.operators.nearest import nearest
+from corridor_spark.plans import incidents as incident_plan
 from corridor_spark.plans.alerts import prepare
 from corridor_spark.plans.jams import unique_jams
 from corridor_spark.session import fits, stage, stage_root
-from corridor_spark.sources import incidents, kml, roads, sinks, traffic
+from corridor_spark.sources import incidents, kml, road_store, roads, sinks, traffic
 from corridor_spark.streaming import windows
 
 SF = "/root/testdata/sf0.001"
@@ -146,3 +147,62 @@ def test_small_scale_oracle(spark, name):
     cursor = con.execute(oracles[name])
     head = [d[0] for d in cursor.description]
     assert canon(got) == canon([dict(zip(head, r)) for r in cursor.fetchall()])
+
+
+def _store(spark, path, **networks):
+    schema = "osm_way_id long, name string, highway string, source_department string, coords array<array<double>>"
+
+    def segs(rows):
+        return roads.segments(spark.createDataFrame([(i, n, "primary", d, [[x, 13.7], [x + 0.001, 13.7]]) for i, n, d, x in rows], schema))
+
+    road_store.write_store(path, **{name: segs(rows) for name, rows in networks.items()})
+    return road_store.open_store(spark, path)
+
+
+def _points(spark, rows):
+    return spark.createDataFrame([(u, d, x, y, True, True, capital, "VALID_POINT") for u, d, x, y, capital in rows],
+                                 "uuid string, department_norm string, longitude_num double, latitude_num double, coordinate_pair_present boolean, "
+                                 "coordinate_inside_sv_bbox boolean, coordinate_inside_amss_bbox boolean, coordinate_quality_status string")
+
+
+def _scopes(df):
+    return {r["uuid"]: (r["nearest_osm_source_scope"], r["nearest_osm_way_id"]) for r in df.collect()}
+
+
+def test_store_cascade_takes_department_national_capital(spark, tmp_path):
+    own, whole, capital = [(1, "Calle Uno", "01", -89.2)], [(1, "Calle Uno", "01", -89.2), (2, "Calle Dos", "02", -89.21), (2, "Calle Dos", "03", -89.21)], [(3, "Calle Tres", "", -89.205)]
+    points = _points(spark, [("own", "01", -89.21, 13.7, True), ("other", "02", -89.21, 13.7, True), ("blank", None, -89.204, 13.7, False), ("far", "01", -88.2, 13.7, False)])
+    full = _store(spark, f"{tmp_path}/a", departments=own, whole=whole, capital=capital)
+    assert full.filter("network = 'NATIONAL'").count() == 2 and full.filter("source_department = '01'").count() == 2  # '01' stays text
+    assert _scopes(incident_plan.nearest_stored(points, full)) == {
+        "own": ("DEPARTMENT", 1), "other": ("NATIONAL", 2), "blank": ("NATIONAL", 1), "far": ("DEPARTMENT", None)}
+    city = _store(spark, f"{tmp_path}/b", departments=own, capital=capital)
+    assert _scopes(incident_plan.nearest_stored(points, city)) == {
+        "own": ("DEPARTMENT", 1), "other": ("AMSS", 3), "blank": ("NO_OSM_NETWORK", None), "far": ("DEPARTMENT", None)}
+    none = incident_plan.nearest_stored(points.filter("uuid = 'blank'"), city).first()
+    assert (none["osm_match_status"], none["nearest_osm_distance_m"]) == ("NO_OSM_NETWORK_FOR_POINT", None)
+    with pytest.raises(ValueError):
+        road_store.write_store(f"{tmp_path}/c")
+
+
+def test_store_reads_only_what_a_query_names(spark, tmp_path):
+    rows = [(i, f"Calle {i % 7}", str(i % 5), -89.2 + i / 1000) for i in range(70)]
+    store = _store(spark, f"{tmp_path}/s", departments=rows, whole=rows)
+
+    def plan_of(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    two = road_store.network(store, "DEPARTMENT", ["1", "3"])
+    names = [r[0] for r in two.select(F.input_file_name()).distinct().collect()]
+    assert two.count() == 28 and {f.split("source_department=")[1][0] for f in names} == {"1", "3"}
+    assert "source_department" in plan_of(two).split("PartitionFilters: [")[1].split("]")[0]
+    named = spark.createDataFrame([("2", "p"), (None, "q"), ("9", "r")], "source_department string, point_id string")
+    found = road_store.departments_of(named, store)
+    assert found.count() == 14 and "dynamicpruning" in plan_of(found)
+    keys = spark.createDataFrame([("calle 3",), (None,), ("",), ("none",)], "corridor_key string")
+    found = road_store.stored_roads(store, keys)
+    assert sorted(r["osm_way_id"] for r in found.collect()) == [i for i in range(70) if i % 7 == 3] and "dynamicpruning" in plan_of(found)
+    assert road_store.select_segments(store, ["4", "8"]).count() == 14  # one of the two has a network
+    assert road_store.select_segments(store, ["8"]).count() == 70  # none has: the national one
+    assert road_store.select_segments(store).count() == 0  # neither departments nor a capital network
