@@ -10,8 +10,9 @@ from checks.alerts import ALERTS
 from checks.incidents import CRITICAL, EVENTS
 from checks.integration import BOTH, SUMMARY
 from checks.registry import add
-from checks.sql import scale, tcompact
+from checks.sql import ROADS, distance, scale, tcompact
 from corridor_spark.lexicons import ALERT_TYPE_LABELS
+from corridor_spark.operators.cell_index import write_cells
 from corridor_spark.plans import interactive as plan
 from corridor_spark.fixtures import cte
 from corridor_spark.session import stage, stage_root
@@ -118,8 +119,14 @@ add("stream_frames", "window_end event_type n total:4", lambda x: _END(_drained(
     "m AS (SELECT time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 15 MINUTES AS window_end, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)", "m")
 add("stream_days", "day event_type n total:4", lambda x: _drained(x, windows.accumulated(_events_stream(x), "event_type", "value"), "day"),
     "m AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)", "m")
-add("stream_snapshots", "user_id event_type value:4 snapshots", lambda x: windows.drain(windows.latest_snapshots(_events_stream(x), ["user_id", "event_type"], ["event_id", "value"]),
-                                                                                       f"{stage_root(x.spark)}/stream-{uuid.uuid4().hex}", ["user_id", "event_type"]),
+
+
+def _newest(x, keys, columns):
+    frames = windows.drain(windows.latest_snapshots(_events_stream(x), keys, columns), f"{stage_root(x.spark)}/stream-{uuid.uuid4().hex}", [*keys, "frame"])
+    return windows.newest_of(frames, keys, columns)
+
+
+add("stream_snapshots", "user_id event_type value:4 snapshots", lambda x: _newest(x, ["user_id", "event_type"], ["event_id", "value"]),
     "m AS (SELECT user_id, event_type, arg_max(value, (ts, event_id, value)) AS value, count(*) AS snapshots FROM events GROUP BY 1, 2)", "m")
 
 
@@ -133,7 +140,7 @@ def _jam_stream(x):
 
 
 add("stream_jams", "uuid level_max level_mean:4 delay_max:4 delay_mean:4 length_max:4 speed_min:4 speed_mean:4 records_per_uuid",
-    lambda x: windows.drain(windows.running_jams(_jam_stream(x)), f"{stage_root(x.spark)}/stream-{uuid.uuid4().hex}", ["uuid"]),
+    lambda x: windows.jam_measures(windows.drain(windows.running_jams(_jam_stream(x)), f"{stage_root(x.spark)}/stream-{uuid.uuid4().hex}", ["uuid", "frame"])),
     f"""{cte('jam_obs')}, m AS (SELECT uuid, max(level) AS level_max, avg(level) AS level_mean, max(delay) AS delay_max, avg(delay) AS delay_mean, max(length) AS length_max,
     min(speedkmh) AS speed_min, avg(speedkmh) AS speed_mean, count(*) AS records_per_uuid FROM jam_obs GROUP BY 1)""", "m")
 
@@ -163,3 +170,23 @@ k AS (SELECT *, row_number() OVER (PARTITION BY window_end ORDER BY p DESC, corr
 r AS (SELECT window_end, corridor_key, CASE WHEN top THEN n ELSE 0 END AS visible_jams, CASE WHEN top THEN p ELSE 0 END AS temporal_jam_pressure, a AS alert_impact, w AS news_impact
   FROM k WHERE top OR a <> 0 OR w <> 0),
 s AS (SELECT *, ROUND(100*(0.45e0*{_in_window('temporal_jam_pressure')} + 0.35e0*{_in_window('alert_impact')} + 0.2e0*{_in_window('news_impact')}), 3) AS dynamic_corridor_pressure FROM r)""", "s")
+
+
+# --- nearest road in flight, against cells written once --------------------------
+
+_LON = "CASE WHEN event_id % 9 <> 0 THEN -89.42e0 + CAST((event_id*7919) % 2600 AS DOUBLE)/10000e0 END"
+_LAT = "CASE WHEN event_id % 101 = 5 THEN 40e0 ELSE 13.55e0 + CAST((event_id*104729) % 1600 AS DOUBLE)/10000e0 END"
+
+
+def _in_flight(x):
+    folder = f"{stage_root(x.spark)}/flight-{uuid.uuid4().hex}"
+    index = write_cells(x.point_pieces, f"{folder}/index", (200.0, 2000.0), ["way_id", "highway"])
+    alerts = _events_stream(x).select(F.col("event_id").alias("point_id"), F.expr(_LON).alias("x"), F.expr(_LAT).alias("y"))
+    windows.each_batch(alerts, windows.nearest_in_batch(index, f"{folder}/out", ["way_id", "highway"]), f"{folder}/state", "append").awaitTermination()
+    return x.spark.read.parquet(f"{folder}/out")
+
+
+add("stream_nearest", "point_id way_id highway distance_m:4", _in_flight, f"""{ROADS},
+p AS (SELECT event_id AS point_id, {_LON} AS lon, {_LAT} AS lat FROM events),
+m AS (SELECT point_id, way_id, highway, {distance('p.lon', 'p.lat')} AS distance_m FROM p JOIN seg ON p.lon BETWEEN LEAST(ax, bx) - 0.02 AND GREATEST(ax, bx) + 0.02 AND p.lat BETWEEN LEAST(ay, by_) - 0.02 AND GREATEST(ay, by_) + 0.02),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY floor(distance_m*1e6+0.5), way_id) rn FROM m WHERE distance_m <= 2000) WHERE rn = 1)""", "n")

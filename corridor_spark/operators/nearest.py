@@ -63,6 +63,50 @@ def _crowded(located: DataFrame, spread: DataFrame, on: list[str], limit: int) -
         *on, F.least("n", 1 + F.floor(F.col("n") * F.col("m") / limit)).cast("long").alias("_parts"))
 
 
+def _cell(col: Column, size: float) -> Column:
+    return F.floor(col / F.lit(size)).cast("long")
+
+
+def with_cells(points: DataFrame, rx: float, ry: float) -> DataFrame:
+    """Points with their cell; points without coordinates are left out."""
+    return points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumns(
+        {"_cx": _cell(F.col("x"), rx), "_cy": _cell(F.col("y"), ry)}
+    )
+
+
+def spread_pieces(pieces: DataFrame, rx: float, ry: float) -> DataFrame:
+    """Pieces listed in every cell that their box, grown by the reach, touches."""
+    return pieces.withColumn(
+        "_cx", F.explode(F.sequence(_cell(F.least("ax", "bx") - rx, rx), _cell(F.greatest("ax", "bx") + rx, rx)))
+    ).withColumn(
+        "_cy", F.explode(F.sequence(_cell(F.least("ay", "by_") - ry, ry), _cell(F.greatest("ay", "by_") + ry, ry)))
+    )
+
+
+def with_salts(located: DataFrame, spread: DataFrame, on: list[str], cell_pairs: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides and their join columns, the points of crowded cells split and those cells' pieces repeated."""
+    salts = stage(_crowded(located, spread, on, cell_pairs), "crowded")
+    if salts.isEmpty():
+        return located, spread, on
+    salts = small_side(salts)
+    located = located.join(salts, on, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64("point_id"), F.coalesce("_parts", F.lit(1))).cast("long")
+    ).drop("_parts")
+    spread = spread.join(salts, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))
+    ).drop("_parts")
+    return located, spread, [*on, "_salt"]
+
+
+def best_of(pairs: DataFrame, group: Sequence[str], payload: Sequence[str], order: str) -> DataFrame:
+    """Winning pair of each point: smallest distance to the micrometre, then smallest ``order``."""
+    return (
+        pairs.groupBy(*group)
+        .agg(F.min(F.struct(_micrometres(), order, "distance_m", *[a for a in payload if a != order])).alias("_b"))
+        .select("point_id", "_b.distance_m", *[f"_b.{a}" for a in payload])
+    )
+
+
 def largest_latitude(points: DataFrame) -> float:
     """Largest absolute ``y`` of the points: how narrow a degree of longitude gets for them."""
     return float(points.agg(F.max(F.abs("y"))).first()[0] or 0.0)
@@ -87,32 +131,7 @@ def candidate_pairs(
     if max_lat is None:
         max_lat = 0.0 if metric.planar else largest_latitude(points)
     rx, ry = metric.reach(radius_m, max_lat)
-    cell_x, cell_y = rx, ry
-
-    def cell(col: Column, size: float) -> Column:
-        return F.floor(col / F.lit(size)).cast("long")
-
-    located = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumns(
-        {"_cx": cell(F.col("x"), cell_x), "_cy": cell(F.col("y"), cell_y)}
-    )
-    spread = pieces.withColumn(
-        "_cx",
-        F.explode(F.sequence(cell(F.least("ax", "bx") - rx, cell_x), cell(F.greatest("ax", "bx") + rx, cell_x))),
-    ).withColumn(
-        "_cy",
-        F.explode(F.sequence(cell(F.least("ay", "by_") - ry, cell_y), cell(F.greatest("ay", "by_") + ry, cell_y))),
-    )
-    on = ["_cx", "_cy", *keys]
-    salts = stage(_crowded(located, spread, on, cell_pairs), "crowded")
-    if not salts.isEmpty():
-        salts = small_side(salts)
-        located = located.join(salts, on, "left").withColumn(
-            "_salt", F.pmod(F.xxhash64("point_id"), F.coalesce("_parts", F.lit(1))).cast("long")
-        ).drop("_parts")
-        spread = spread.join(salts, on, "left").withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))
-        ).drop("_parts")
-        on = [*on, "_salt"]
+    located, spread, on = with_salts(with_cells(points, rx, ry), spread_pieces(pieces, rx, ry), ["_cx", "_cy", *keys], cell_pairs)
     kx, ky = metric.scales(F.col("y"))
     return located.join(spread, on).withColumn(
         "distance_m",
@@ -165,11 +184,7 @@ def nearest(
                 foot_point(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by_"), kx, ky),
             )
         payload = [*attributes, *(["foot"] if foot else [])]
-        best = (
-            pairs.groupBy(*_group_keys(pairs, keys))
-            .agg(F.min(F.struct(_micrometres(), order, "distance_m", *[a for a in payload if a != order])).alias("_b"))
-            .select("point_id", "_b.distance_m", *[f"_b.{a}" for a in payload])
-        )
+        best = best_of(pairs, _group_keys(pairs, keys), payload, order)
         more = beyond or i + 1 < len(radii)
         if more:
             best = stage(best, "nearest")

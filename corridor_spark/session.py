@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _STAGE_ROOTS: dict[str, str] = {}
+_SCRATCH = threading.local()
 
 
 def build_session(app: str = "corridor_spark", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,6 +60,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     recompute, and every branch reads only the columns it needs.
     """
     path = f"{stage_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_SCRATCH, "paths", None) is not None:
+        _SCRATCH.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -64,8 +70,35 @@ def drop_staged(spark: SparkSession) -> None:
     """Remove this application's staged tables from the shared folder."""
     root = _STAGE_ROOTS.pop(spark.sparkContext.applicationId, None)
     if root:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, root)
+
+
+def _at(spark: SparkSession, folder: str) -> tuple:
+    """File system of a folder and its path there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    system, path = _at(spark, folder)
+    system.delete(path, True)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    system, path = _at(spark, folder)
+    return system.exists(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What this thread stages inside goes on leaving: for a micro-batch that has written its result by then."""
+    before, _SCRATCH.paths = getattr(_SCRATCH, "paths", None), []
+    try:
+        yield
+    finally:
+        done, _SCRATCH.paths = _SCRATCH.paths, before
+        for folder in done:
+            _delete(spark, folder)
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from corridor_spark.lexicons import MAJOR_HIGHWAYS
 from corridor_spark.session import small_side
@@ -46,15 +45,14 @@ def write_store(path: str, departments: DataFrame | None = None, whole: DataFram
         "source_department": F.when(F.trim("source_department") != "", F.col("source_department")),
         "road_bucket": _bucket(F.col("road_key_norm"), buckets), "buckets": F.lit(buckets),
     })
-    rows.hint("rebalance", *[F.col(c) for c in PARTITIONS]).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
+    rows.hint("rebalance", *[F.col(c) for c in PARTITIONS]).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{path}/rows")
+    rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
 
 
 def open_store(spark: SparkSession, path: str) -> DataFrame:
     """The stored segments; departments stay text whatever they look like."""
-    found = spark.read.parquet(path).schema
-    kinds = {"network": StringType(), "source_department": StringType(), "road_bucket": IntegerType()}
-    schema = StructType([f for f in found.fields if f.name not in kinds] + [StructField(n, t) for n, t in kinds.items()])
-    return spark.read.schema(schema).parquet(path)
+    columns = spark.read.parquet(f"{path}/columns").schema
+    return spark.read.schema(columns).parquet(f"{path}/rows")
 
 
 def network(store: DataFrame, name: str, departments: Sequence[str] | None = None) -> DataFrame:

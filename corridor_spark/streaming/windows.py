@@ -9,17 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corridor_spark.functions.numbers import rounded, time_period
-from corridor_spark.operators.nearest import LOCAL, Metric, nearest
+from corridor_spark.operators.cell_index import CellIndex, nearest_indexed
 from corridor_spark.operators.norms import weighted
-from corridor_spark.session import stage
+from corridor_spark.session import exists, scratch, stage
 
 LATE = "15 minutes"
+#: Length of the frames into which running measures are cut.
+FRAME = "1 hour"
 
 
 def read_stream(spark: SparkSession, path: str, schema, time: str = "ts", fmt: str = "parquet", files: int = 100) -> DataFrame:
@@ -50,37 +52,76 @@ def _windowed(stream: DataFrame, key: str, value: str, window) -> DataFrame:
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n", "total")
 
 
-def latest_snapshots(stream: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Newest snapshot per mention so far."""
-    return stream.groupBy(*keys).agg(
+def latest_snapshots(stream: DataFrame, keys: list[str], columns: list[str], frame: str = FRAME, late: str = LATE) -> DataFrame:
+    """Newest snapshot of each mention and frame, for update mode; ``newest_of`` makes the mention's of them.
+
+    State is one row a mention and open frame: that of a quiet mention goes once the
+    watermark passes its last frame, and comes back with its next snapshot.
+    """
+    return _framed(stream.withWatermark("ts", late), keys, frame).agg(
         F.max_by(F.struct("ts", *columns), F.struct("ts", *columns)).alias("_s"), F.count(F.lit(1)).alias("snapshots")
+    ).select(*keys, F.col("_w.start").alias("frame"), "_s.*", "snapshots")
+
+
+def newest_of(frames: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Newest snapshot of each mention over all its frames."""
+    return frames.groupBy(*keys).agg(
+        F.max_by(F.struct("ts", *columns), F.struct("ts", *columns)).alias("_s"), F.sum("snapshots").alias("snapshots")
     ).select(*keys, "_s.*", "snapshots")
 
 
-def running_jams(stream: DataFrame) -> DataFrame:
-    """Order-free measures of each jam so far; observations repeated within the watermark count once."""
-    once = stream.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["id"])
-    return once.groupBy("uuid").agg(
-        F.min("ts").alias("ts_first"), F.max("ts").alias("ts_last"), F.max("level").alias("level_max"),
-        F.avg("level").alias("level_mean"), F.max("delay").alias("delay_max"), F.avg("delay").alias("delay_mean"),
-        F.max("length").alias("length_max"), F.min("speedkmh").alias("speed_min"),
-        F.avg("speedkmh").alias("speed_mean"), F.count(F.lit(1)).alias("records_per_uuid"),
+#: Measures of a jam: extremes with their aggregate, means with their column.
+_EXTREMES = {"level_max": F.max, "delay_max": F.max, "length_max": F.max, "speed_min": F.min}
+_MEANS = {"level_mean": "level", "delay_mean": "delay", "speed_mean": "speedkmh"}
+
+
+def running_jams(stream: DataFrame, frame: str = FRAME, late: str = LATE) -> DataFrame:
+    """Sums and extremes of each jam and frame, for update mode; ``jam_measures`` makes the jam's of them.
+
+    Observations repeated within the watermark count once, rows later than it are
+    left out. State is one row a jam and open frame, however long jams go on and
+    whether or not a quiet one comes back.
+    """
+    once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+    column = {"level_max": "level", "delay_max": "delay", "length_max": "length", "speed_min": "speedkmh"}
+    return _framed(once, ["uuid"], frame).agg(
+        F.min("ts").alias("ts_first"), F.max("ts").alias("ts_last"),
+        *[pick(column[name]).alias(name) for name, pick in _EXTREMES.items()],
+        *[F.sum(F.col(c).cast("double")).alias(f"{name}_sum") for name, c in _MEANS.items()],
+        *[F.count(c).alias(f"{name}_n") for name, c in _MEANS.items()],
+        F.count(F.lit(1)).alias("records_per_uuid"),
+    ).withColumn("frame", F.col("_w.start")).drop("_w")
+
+
+def jam_measures(frames: DataFrame) -> DataFrame:
+    """Order-free measures of each jam so far, over all its frames."""
+    return frames.groupBy("uuid").agg(
+        F.min("ts_first").alias("ts_first"), F.max("ts_last").alias("ts_last"),
+        *[pick(name).alias(name) for name, pick in _EXTREMES.items()],
+        *[F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_n")).alias(name) for name in _MEANS],
+        F.sum("records_per_uuid").alias("records_per_uuid"),
     ).withColumn("time_period", time_period(F.hour("ts_first")))
 
 
+def _framed(stream: DataFrame, keys: list[str], frame: str) -> GroupedData:
+    return stream.groupBy(F.window("ts", frame).alias("_w"), *keys)
+
+
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Run ``handle`` on every micro-batch (a ranking, a nearest join), once for what is there now; a restart goes on from ``checkpoint``."""
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
         handle).start()
 
 
-def nearest_in_batch(pieces: DataFrame, out_path: str, radii, attributes: list[str], metric: Metric = LOCAL
-                     ) -> Callable[[DataFrame, int], None]:
-    """Batch handler: nearest road of each point, written under the batch's number so that a retry overwrites it."""
+def nearest_in_batch(index: CellIndex, out_path: str, attributes: list[str]) -> Callable[[DataFrame, int], None]:
+    """Batch handler: nearest road of each point, written under the batch's number so that a retry overwrites it.
+
+    The network was listed in cells once (``write_cells``); a batch opens the tiles that its points lie in.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
-        nearest(batch.select("point_id", "x", "y"), pieces, radii, attributes, metric).write.mode("overwrite").parquet(
-            f"{out_path}/batch={number}")
+        with scratch(batch.sparkSession):
+            nearest_indexed(batch, index, attributes).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return handle
 
@@ -134,7 +175,8 @@ def rank_in_batch(out_path: str) -> Callable[[DataFrame, int], None]:
     """Batch handler: ranking of the finished windows (append mode brings all corridors of a window together)."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        rank_windows(stage(batch, "window-totals")).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        with scratch(batch.sparkSession):
+            rank_windows(stage(batch, "window-totals")).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return handle
 
@@ -142,16 +184,16 @@ def rank_in_batch(out_path: str) -> Callable[[DataFrame, int], None]:
 def drain(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Process what is available and return the result table, windows that are still open included.
 
-    Batches write the rows they changed; of each key the newest batch counts.
+    Batches write the rows they changed; of each key the newest batch counts. Draining
+    into the same folder again goes on where the last time ended.
     """
-    spark, done = stream.sparkSession, []
+    spark = stream.sparkSession
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
-        done.append(number)
 
     each_batch(stream, keep, f"{path}/_state").awaitTermination()
-    if not done:
+    if not exists(spark, f"{path}/rows"):
         return spark.createDataFrame([], stream.schema)
     rest = [c for c in stream.columns if c not in keys]
     rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/rows")

@@ -1,10 +1,12 @@
 import json
+import os
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from checks import all_queries
+from corridor_spark.operators.cell_index import nearest_indexed, open_cells, write_cells
 from corridor_spark.operators.nearest import nearest
 from corridor_spark.plans import incidents as incident_plan
 from corridor_spark.plans.alerts import prepare
@@ -79,30 +81,62 @@ def _stream(spark, tmp_path, rows, schema):
     return windows.read_stream(spark, f"{tmp_path}/in/*", batch.schema), batch
 
 
+JAM_STREAM = "uuid string, id string, ts string, level int, delay double, length double, speedkmh double"
+
+
 def test_running_jams_count_repeats_once(spark, tmp_path):
     rows = [("u", str(i % 20), f"2026-06-29 0{i % 5}:00:00", i % 20, float(i % 20), 100.0, 5.0) for i in range(40)]
-    stream, _ = _stream(spark, tmp_path, rows, "uuid string, id string, ts string, level int, delay double, length double, speedkmh double")
-    seen = []
-    windows.each_batch(windows.running_jams(stream), lambda df, n: seen.extend(r["records_per_uuid"] for r in df.collect()), f"{tmp_path}/ck").awaitTermination()
-    assert max(seen) == 20
+    stream, _ = _stream(spark, tmp_path, rows, JAM_STREAM)
+    jams = windows.jam_measures(windows.drain(windows.running_jams(stream), f"{tmp_path}/out", ["uuid", "frame"])).collect()
+    assert [(r["records_per_uuid"], r["level_max"], r["level_mean"], r["time_period"]) for r in jams] == [(20, 19, 9.5, jams[0]["time_period"])]
 
 
 def test_latest_snapshot_stream(spark, tmp_path):
-    rows = [("m", f"2026-06-29 0{h}:00:00", float(h)) for h in range(8)]
+    rows = [("m", f"2026-06-29 0{h}:00:00", float(h)) for h in range(8)] + [("quiet", "2026-06-29 00:30:00", None)]
     stream, _ = _stream(spark, tmp_path, rows, "mention string, ts string, likes double")
-    seen = {}
-    windows.each_batch(windows.latest_snapshots(stream, ["mention"], ["likes"]), lambda df, n: seen.update({r["mention"]: r["likes"] for r in df.collect()}),
-                       f"{tmp_path}/ck").awaitTermination()
-    assert seen == {"m": 7.0}
+    frames = windows.drain(windows.latest_snapshots(stream, ["mention"], ["likes"]), f"{tmp_path}/out", ["mention", "frame"])
+    newest = windows.newest_of(frames, ["mention"], ["likes"])
+    assert {r["mention"]: (r["likes"], r["snapshots"]) for r in newest.collect()} == {"m": (7.0, 8), "quiet": (None, 1)}
 
 
 def test_states_are_not_cut_at_midnight(spark, tmp_path):
     rows = [("u", str(i), f"2026-06-{29 + i // 2} {'23' if i < 2 else '00'}:5{i}:00", i, float(i), 100.0, 5.0) for i in range(4)]
-    stream, _ = _stream(spark, tmp_path, rows, "uuid string, id string, ts string, level int, delay double, length double, speedkmh double")
-    jams = windows.drain(windows.running_jams(stream), f"{tmp_path}/jams", ["uuid"]).collect()
+    stream, _ = _stream(spark, tmp_path, rows, JAM_STREAM)
+    jams = windows.jam_measures(windows.drain(windows.running_jams(stream), f"{tmp_path}/jams", ["uuid", "frame"])).collect()
     assert [(r["uuid"], r["records_per_uuid"], r["level_max"]) for r in jams] == [("u", 4, 3)]
-    newest = windows.drain(windows.latest_snapshots(stream, ["uuid"], ["level"]), f"{tmp_path}/newest", ["uuid"]).collect()
-    assert [(r["level"], r["snapshots"]) for r in newest] == [(3, 4)]
+    newest = windows.newest_of(windows.drain(windows.latest_snapshots(stream, ["uuid"], ["level"]), f"{tmp_path}/newest", ["uuid", "frame"]), ["uuid"], ["level"])
+    assert [(r["level"], r["snapshots"]) for r in newest.collect()] == [(3, 4)]
+
+
+def test_running_state_ends_and_restarts(spark, tmp_path):
+    def put(name, rows):
+        spark.createDataFrame(rows, JAM_STREAM).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def jam(uuid, number, ts, level):
+        return (uuid, f"{uuid}-{number}", f"2026-06-29 {ts}", level, float(level), None, 5.0)
+
+    schema = spark.createDataFrame([], JAM_STREAM).schema
+
+    def measures():
+        stream = windows.running_jams(windows.read_stream(spark, f"{tmp_path}/in/*", schema))
+        frames = windows.drain(stream, f"{tmp_path}/out", ["uuid", "frame"])
+        return {r["uuid"]: (r["records_per_uuid"], r["level_max"], r["level_mean"], r["length_max"]) for r in windows.jam_measures(frames).collect()}
+
+    put("a", [jam(f"j{i}", 0, "00:05:00", 2) for i in range(50)])
+    assert measures() == {f"j{i}": (1, 2, 2.0, None) for i in range(50)}
+    assert len(measures()) == 50  # nothing new: the same result
+    put("b", [jam("j0", 1, "00:10:00", 4), jam("k", 0, "09:00:00", 5)])
+    assert measures()["j0"] == (2, 4, 3.0, None)  # an open frame goes on after the restart
+    put("c", [jam("j1", 9, "00:20:00", 5), jam("j0", 2, "09:10:00", 3), jam("j0", 2, "09:10:00", 3)])
+    found = measures()
+    assert found["j1"] == (1, 2, 2.0, None)  # later than the watermark: left out
+    assert found["j0"] == (3, 4, 3.0, None) and len(found) == 51  # back after its state had gone, the repeat once
+    stream = windows.running_jams(windows.read_stream(spark, f"{tmp_path}/in/*", schema))
+    put("d", [jam("k", 1, "09:20:00", 1)])
+    query = windows.each_batch(stream, lambda df, n: df.write.format("noop").mode("overwrite").save(), f"{tmp_path}/out/_state")
+    query.awaitTermination()
+    sizes = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"] if "stateStoreSave" in op["operatorName"]]
+    assert max(sizes) == 2  # j0 and k from nine o'clock; nothing of the 50 quiet jams
 
 
 def test_stream_ranking_does_not_depend_on_batches(spark, tmp_path):
@@ -122,12 +156,36 @@ def test_nearest_in_flight(spark, tmp_path):
     pieces = spark.createDataFrame([(1, -89.2, 13.7, -89.19, 13.7)], "way_id long, ax double, ay double, bx double, by_ double")
     rows = [(i, "2026-06-29 01:00:00", -89.2 + i / 1000, 13.7001) for i in range(9)]
     stream, batch = _stream(spark, tmp_path, rows, "point_id long, ts string, x double, y double")
-    windows.each_batch(stream, windows.nearest_in_batch(pieces, f"{tmp_path}/out", (200.0, 2000.0), ["way_id"]), f"{tmp_path}/ck", "append").awaitTermination()
+    index = write_cells(pieces, f"{tmp_path}/index", (200.0, 2000.0), ["way_id"])
+    folders = set(os.listdir(stage_root(spark))) if os.path.isdir(stage_root(spark)) else set()
+    windows.each_batch(stream, windows.nearest_in_batch(index, f"{tmp_path}/out", ["way_id"]), f"{tmp_path}/ck", "append").awaitTermination()
+    assert not os.path.isdir(stage_root(spark)) or set(os.listdir(stage_root(spark))) == folders  # a batch leaves nothing behind
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("point_id", F.round("distance_m", 4)).collect()))
     want = sorted(map(tuple, nearest(batch, pieces, (200.0, 2000.0), ["way_id"]).select("point_id", F.round("distance_m", 4)).collect()))
     assert got == want and len(got) == 9
 
 
+def test_cell_index_equals_nearest(spark, tmp_path):
+    ways = [(i, -89.5 + (i * 37 % 101) / 100, 13.3 + (i * 53 % 97) / 100, -89.5 + (i * 37 % 101) / 100 + 0.004, 13.3 + (i * 53 % 97) / 100 + 0.003) for i in range(300)]
+    ways += [(900 + i, *ways[0][1:]) for i in range(20)]  # the same line many times: ties go to the smallest id
+    pieces = spark.createDataFrame(ways, "way_id long, ax double, ay double, bx double, by_ double").repartition(3)
+    points = [(i, -89.5 + (i * 29 % 211) / 200, 13.3 + (i * 31 % 199) / 200) for i in range(150)]
+    points += [(500, None, 13.5), (501, -89.4, None), (502, float("nan"), 13.5), (503, float("inf"), 13.5), (504, 10.0, 89.9), (505, *ways[0][1:3]), (506, *ways[0][1:3])]
+    df = spark.createDataFrame(points, "point_id long, x double, y double")
+    radii = (300.0, 3000.0)
+    write_cells(pieces, f"{tmp_path}/i", radii, ["way_id"], tiles=16)
+    index = open_cells(spark, f"{tmp_path}/i")
+    shown = lambda rows: sorted((r["point_id"], r["way_id"], round(r["distance_m"], 4)) for r in rows.collect())
+    want = shown(nearest(df.filter("abs(x) < 180"), pieces, radii, ["way_id"]))
+    assert shown(nearest_indexed(df, index, ["way_id"])) == want and {(505, 0, 0.0), (506, 0, 0.0)} <= set(want)
+    assert shown(nearest_indexed(df, index, ["way_id"], batch_points=3)) == want  # more points than are sent to the tasks
+    assert nearest_indexed(df.limit(0), index, ["way_id"]).count() == 0
+    assert nearest_indexed(df, write_cells(pieces.limit(0), f"{tmp_path}/none", radii, ["way_id"]), ["way_id"]).count() == 0
+    few = nearest_indexed(df.limit(2), index, ["way_id"])
+    few.collect()
+    assert "dynamicpruning" in few._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stage_root_is_shared_setting(spark):
     assert "corridor_spark" in stage_root(spark)
 
@@ -183,6 +241,9 @@ def test_store_cascade_takes_department_national_capital(spark, tmp_path):
     assert (none["osm_match_status"], none["nearest_osm_distance_m"]) == ("NO_OSM_NETWORK_FOR_POINT", None)
     with pytest.raises(ValueError):
         road_store.write_store(f"{tmp_path}/c")
+    empty = _store(spark, f"{tmp_path}/d", departments=[], whole=[])
+    assert {s for s, _ in _scopes(incident_plan.nearest_stored(points, empty)).values()} == {"NO_OSM_NETWORK"}
+    assert road_store.stored_roads(empty, spark.createDataFrame([("x",)], "corridor_key string")).count() == 0
 
 
 def test_store_reads_only_what_a_query_names(spark, tmp_path):
