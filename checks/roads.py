@@ -19,7 +19,7 @@ add("road_segments", "osm_way_id length_m:4 vertices name_norm ref_norm road_key
     f"{ROADS}, s AS (SELECT *, way_id AS osm_way_id, 2 AS vertices, {compact('name')} AS name_norm, {compact('ref')} AS ref_norm FROM seg)", "s")
 
 add("road_catalog", "source_department road_key_norm segment_count length_km:4 representative_name predominant_highway predominant_road_type refs names osm_way_ids highway_values",
-    lambda x: x.catalog, f"""{ROADS}, rc AS (SELECT c.*, COALESCE(array_to_string(ref_list, '; '), '') AS refs, l.names, l.osm_way_ids, l.highway_values FROM cat c
+    lambda x: roads.with_way_ids(x.catalog, x.segments), f"""{ROADS}, rc AS (SELECT c.*, COALESCE(array_to_string(ref_list, '; '), '') AS refs, l.names, l.osm_way_ids, l.highway_values FROM cat c
  JOIN (SELECT source_department, road_key_norm, COALESCE(array_to_string(list_sort(list_distinct(list(name) FILTER (name <> ''))), '; '), '') AS names,
   array_to_string(list_sort(list(way_id)), ';') AS osm_way_ids, array_to_string(list_sort(list_distinct(list(highway))), '; ') AS highway_values FROM seg GROUP BY 1, 2) l USING (source_department, road_key_norm))""", "rc")
 

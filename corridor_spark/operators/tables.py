@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corridor_spark.functions.numbers import percent, rounded
+from corridor_spark.session import stage
 
 
 def ensure_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -50,14 +51,41 @@ def share_table(df: DataFrame, col: str, out: str | None = None, count: str = "e
     return counts.withColumn("percent", percent(F.col(count), whole))
 
 
-def unique_join(col: Column, limit: int | None = None) -> Column:
-    """Aggregate: sorted distinct non-blank values joined by ``"; "``, the rest counted as ``+N mas``."""
-    values = F.array_sort(F.collect_set(F.when(F.trim(col) != "", F.trim(col))))
-    if limit is None:
-        return F.array_join(values, "; ")
-    head = F.array_join(F.slice(values, 1, limit), "; ")
-    more = F.concat(head, F.lit("; +"), (F.size(values) - limit).cast("string"), F.lit(" mas"))
-    return F.when(F.size(values) > limit, more).otherwise(head)
+def unique_join(col: Column) -> Column:
+    """Aggregate: sorted distinct non-blank values joined by ``"; "``; for columns of few values."""
+    return F.array_join(F.array_sort(F.collect_set(F.when(F.trim(col) != "", F.trim(col)))), "; ")
+
+
+def with_capped_lists(grouped: DataFrame, df: DataFrame, by: Sequence[str], columns: dict[str, str], limit: int,
+                      more: bool = True) -> DataFrame:
+    """Groups with, per column, the first ``limit`` distinct non-blank values joined by ``"; "``.
+
+    ``grouped`` has one row per value of ``by`` (null is a value), ``columns`` maps the new columns to those
+    of ``df``; with ``more`` the other values are counted as ``+N mas``. A group without a value gets "".
+    Group, column and value are made distinct first, then ranked: tasks keep ``limit`` values
+    each before they meet, so a group of very many values is never in one list.
+    """
+    by, names = list(by), list(columns)
+    cells = df.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.trim(F.col(columns[n]).cast("string")).alias("_v")) for i, n in enumerate(names)
+    ])).alias("_c")).select(*by, "_c._i", "_c._v").filter(F.col("_v") != "")
+    values = stage(cells.distinct(), "list-values")
+    place = F.row_number().over(Window.partitionBy(*by, "_i").orderBy("_v"))
+    top = values.withColumn("_r", place).filter(F.col("_r") <= limit).select(*by, "_i", "_v", F.lit(0).cast("long").alias("_n"))
+    counts = values.groupBy(*by, "_i").agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, "_i", F.lit(None).cast("string").alias("_v"), "_n")
+
+    def shown(i: int) -> Column:
+        of = lambda c: F.when(F.col("_i") == i, F.col(c))
+        head, rest = F.array_join(F.array_sort(F.collect_list(of("_v"))), "; "), F.max(of("_n")) - limit
+        if not more:
+            return head
+        return F.when(rest > 0, F.concat(head, F.lit("; +"), rest.cast("string"), F.lit(" mas"))).otherwise(head)
+
+    lists = top.unionByName(counts).groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(*[shown(i).alias(f"_l{i}") for i in range(len(names))])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return grouped.join(lists, same, "left").select(
+        *grouped.columns, *[F.coalesce(f"_l{i}", F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def mode_nonblank(col: Column) -> Column:

@@ -21,7 +21,7 @@ from corridor_spark.functions.text import (
     traffic_compact,
 )
 from corridor_spark.lexicons import DEPARTMENTS, MAJOR_HIGHWAYS, ROAD_CLASS_OTHER, ROAD_CLASSES
-from corridor_spark.operators.tables import ensure_columns, mode_nonblank, unique_join
+from corridor_spark.operators.tables import ensure_columns, mode_nonblank, with_capped_lists
 
 NETWORK_SCHEMA = """
     elements array<struct<
@@ -135,7 +135,10 @@ def dedup_ways(segs: DataFrame) -> DataFrame:
 
 
 def road_catalog(segs: DataFrame, by_department: bool = True) -> DataFrame:
-    """One row per road (and department): counts, ids, length, most frequent and distinct tag values."""
+    """One row per road (and department): counts, length, most frequent and distinct tag values.
+
+    ``with_way_ids`` adds the ids of a road's ways where the table is written out.
+    """
     segs = ensure_columns(segs, SEGMENT_COLUMNS)
     keys = ["source_department", "road_key_norm"] if by_department else ["road_key_norm"]
     listed = {"names": "name", "refs": "ref", "alt_names": "alt_name", "official_names": "official_name",
@@ -145,21 +148,35 @@ def road_catalog(segs: DataFrame, by_department: bool = True) -> DataFrame:
         listed |= {"bridge_values": "bridge", "tunnel_values": "tunnel", "junction_values": "junction"}
     catalog = segs.groupBy(*keys).agg(
         F.count("osm_way_id").alias("segment_count"),
-        F.array_join(F.array_sort(F.collect_set("osm_way_id")).cast("array<string>"), ";").alias("osm_way_ids"),
         rounded(F.sum("length_m") / 1000, 3).alias("length_km"),
         mode_nonblank(F.col("name")).alias("representative_name"),
         mode_nonblank(F.col("highway")).alias("predominant_highway"),
         mode_nonblank(F.col("road_type_category")).alias("predominant_road_type"),
         F.array_sort(F.collect_set(F.when(F.trim("ref") != "", F.trim("ref")))).alias("ref_list"),
         F.array_sort(F.collect_set(F.when(F.trim("name") != "", F.trim("name")))).alias("name_list"),
-        *[unique_join(F.col(tag), 8).alias(out) for out, tag in listed.items()],
     )
+    catalog = with_capped_lists(catalog, segs, keys, listed, 8)
     if not by_department:
         parts = ("road_key_norm", "representative_name", "names", "refs", "alt_names", "official_names")
         catalog = catalog.withColumn("search_text", catalog_text(F.concat_ws(" ", *parts)))
     return catalog
 
 
+def way_ids(segs: DataFrame, by_department: bool = True) -> DataFrame:
+    """Ways of each road, one row a way; the catalogue carries no lists of them."""
+    keys = ["source_department", "road_key_norm"] if by_department else ["road_key_norm"]
+    return segs.filter(F.col("osm_way_id").isNotNull()).select(*keys, "osm_way_id").distinct()
+
+
+def with_way_ids(catalog: DataFrame, segs: DataFrame) -> DataFrame:
+    """Catalogue for a written table, with the ids of a road's ways in one text."""
+    keys = [c for c in ("source_department", "road_key_norm") if c in catalog.columns]
+    ids = way_ids(segs, "source_department" in keys).groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(
+        F.array_join(F.array_sort(F.collect_list("osm_way_id")).cast("array<string>"), ";").alias("osm_way_ids"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return catalog.join(ids, same, "left").select(*catalog.columns, F.coalesce("osm_way_ids", F.lit("")).alias("osm_way_ids"))
+
+
 def name_lookup(catalog: DataFrame) -> DataFrame:
     """Road key text → shown name and metadata; the longest road wins a key."""
     return _longest(catalog.withColumn("key", road_text(F.col("road_key_norm"))).filter(

@@ -214,3 +214,16 @@ def test_duplicate_counts(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", None), ("b", None)], "uuid string, v int")
     got = {r["metric"]: r["value"] for r in duplicate_counts(df).collect()}
     assert got == {"raw_rows": 5.0, "exact_duplicate_rows": 2.0, "uuid_duplicate_rows": 3.0}
+
+
+def test_capped_lists(spark):
+    from corridor_spark.operators.tables import with_capped_lists
+
+    rows = [("a", f"v{i % 12:02d}", f" x{i % 3} ") for i in range(60)] + [(None, "z", None), (None, " z ", ""), ("b", " ", None)]
+    df = spark.createDataFrame(rows, "g string, v string, w string").repartition(5)
+    grouped = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    got = {r["g"]: (r["n"], r["vs"], r["ws"]) for r in with_capped_lists(grouped, df, ["g"], {"vs": "v", "ws": "w"}, 8).collect()}
+    assert got == {"a": (60, "; ".join(f"v{i:02d}" for i in range(8)) + "; +4 mas", "x0; x1; x2"), None: (2, "z", ""), "b": (1, "", "")}
+    bare = with_capped_lists(grouped, df, ["g"], {"vs": "v"}, 2, more=False)
+    assert {r["g"]: r["vs"] for r in bare.collect()} == {"a": "v00; v01", None: "z", "b": ""}
+    assert with_capped_lists(grouped.limit(0), df.limit(0), ["g"], {"vs": "v"}, 2).collect() == []
