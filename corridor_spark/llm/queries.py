@@ -31,7 +31,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{stage_root(spark)}/token-ids-{uuid.uuid4().hex}"
-    token_files.write(load(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), 49_408, end_id=1)
+    token_files.write(load(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), None, end_id=1)
     return token_files.read_documents(spark, folder)
 
 

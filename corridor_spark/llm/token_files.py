@@ -31,10 +31,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from corridor_spark.llm.bpe import ChunkEncoder, kept
 from corridor_spark.llm.common import parts, slices, texts
 
+#: Distinct chunks whose ids a worker keeps, about 200 bytes each.
+KEEP = 600_000
 BLOCK = ("part int, block int, first long, n_ids long, bits int, doc_id array<long>, n_tokens array<long>, payload binary")
 
 
@@ -43,8 +46,15 @@ def width(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+def vocabulary_size(tokenizer: str) -> int:
+    """Ids that a tokenizer file can give: one more than its largest."""
+    return max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()) + 1
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Eight ids fill ``bits`` bytes; byte j of such a group is made of the ids whose bits it holds."""
+    """Eight ids fill ``bits`` bytes; byte j of such a group is made of the ids whose bits it holds. Wider ids are refused."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit {bits} bits")
     group = np.zeros((-(-len(ids) // 8), 8), np.uint64)
     group.reshape(-1)[: len(ids)] = ids
     out = np.zeros((len(group), bits), np.uint8)
@@ -70,13 +80,16 @@ def unpack(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
     return out.reshape(-1)[first - 8 * low :][:count].astype(np.uint32)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id: int, block_ids: int = 1 << 18,
+def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int | None, end_id: int, block_ids: int = 1 << 18,
           words: bool = True) -> None:
-    """Encode every document, append ``end_id`` and write the blocks; a block is closed at ``block_ids`` ids."""
-    bits = width(vocabulary)
+    """Encode every document, append ``end_id`` and write the blocks; a block is closed at ``block_ids`` ids.
+
+    ``vocabulary`` is the tokenizer's own size where it is None; ids are below it.
+    """
+    bits = width(max(vocabulary_size(tokenizer) if vocabulary is None else vocabulary, end_id + 1))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept((tokenizer, "chunks"), lambda: ChunkEncoder(tokenizer, words))
+        encoder = kept((tokenizer, "chunks"), lambda: ChunkEncoder(tokenizer, words, KEEP))
         part, block, first, held = TaskContext.get().partitionId(), 0, 0, []
 
         def close() -> pa.RecordBatch:
@@ -86,7 +99,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)],
                                               [c.split()[0] for c in BLOCK.split(", ")])
 
-        for batch in slices(batches, 500_000):
+        for batch in slices(batches, 1_000_000):
             flat, size = encoder.encode(batch.column("text").to_pylist())
             ids = np.insert(flat, np.cumsum(size), end_id)
             held.append((batch.column("doc_id").to_pylist(), (size + 1).tolist(), ids))
