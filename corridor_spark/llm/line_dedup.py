@@ -1,19 +1,19 @@
 """Line deduplication by pairwise alignment.
 
-Each line is hashed together with its neighbours until ``least`` words are
-reached, once forward and once backward; a line of that many words is hashed by
-itself. Any common block of ``least`` words holds such a run that begins, or ends,
-inside it. Every run is led back to the first document that holds it, which gives
-each document a few partners, all earlier; a run that thousands share costs a pair
-for each, not pairs among them, so the search needs no bound on how many documents
-hold a line, and common lines are found as rare ones are. Two partners are
-aligned by patience diff: lines that are unique on both sides and in order are
-anchors, anchors grow over equal neighbours, and the gaps between them are
-aligned in turn. Aligned blocks of at least ``least`` words are deleted from the
-later document, and so is every run that the earlier document holds anywhere. The
-runs decide: they cover each aligned block too, so the alignment alone deletes
-nothing. A line goes if and only if it is part of a stretch of at least ``least``
-words that an earlier document holds line by line.
+Documents that overlap are found by what they share. A line of ``floor`` words or
+more that at most ``rare`` documents hold leads each of them to the first. So that
+common lines lose nothing, lines are also hashed together with their neighbours
+until ``least`` words are reached, once forward and once backward (a line of that
+many words by itself), and every such run, however many hold it, leads to its first
+holder: a run that thousands share costs a pair for each, not pairs among them. Two
+partners are aligned by patience diff: lines that are unique on both sides and in
+order are anchors, anchors grow over equal neighbours, and the gaps between them are
+aligned in turn. If the aligned blocks of at least ``floor`` words hold ``least``
+words together, they are deleted from the later document. Runs that stand in another
+order in the earlier document, which no alignment can hold, are deleted after that.
+
+So a line goes if it lies in an aligned block of a partner, or is part of a stretch
+of at least ``least`` words that an earlier document holds line by line anywhere.
 
 Rules: lines are compared without outer white space, lines without a word are
 skipped and stay; the earlier document is the one with the smaller id, null ids
@@ -37,8 +37,12 @@ from pyspark.sql import functions as F
 from corridor_spark.llm.common import discard, order_key, slices, stage, texts
 from corridor_spark.llm.secrets import let
 
-#: Words that a common block must have: a line of that many is a block by itself.
+#: Words that common blocks must have together: a line of that many is enough by itself.
 LEAST = 8
+#: Words that each aligned block must have.
+FLOOR = 3
+#: Documents that may hold a line which leads to partners by itself.
+RARE = 16
 
 
 def lines_of(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -111,41 +115,52 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def repeated(later: tuple[list[int], list[int]], earlier: tuple[list[int], list[int]], least: int = LEAST) -> list[int]:
-    """Lines of the later document (numbers among those with a word) that common blocks cover; each side is (hashes, words)."""
-    (a, words), (b, _) = later, earlier
-    gone: set[int] = set()
-    block: list[tuple[int, int]] = []
+def aligned_blocks(a: list[int], words: list[int], b: list[int], floor: int) -> list[range]:
+    """Blocks of ``a`` of at least ``floor`` words that the alignment holds."""
+    out, block = [], []
     for pair in [*patience(a, b), (-1, -1)]:
         if block and pair != (block[-1][0] + 1, block[-1][1] + 1):
-            if sum(words[i] for i, _ in block) >= least:
-                gone.update(i for i, _ in block)
+            lines = range(block[0][0], block[-1][0] + 1)
+            if sum(words[i] for i in lines) >= floor:
+                out.append(lines)
             block = []
         block.append(pair)
+    return out
+
+
+def repeated(later: tuple[list[int], list[int]], earlier: tuple[list[int], list[int]], least: int = LEAST, floor: int = FLOOR) -> list[int]:
+    """Lines of the later document (numbers among those with a word) that go; each side is (hashes, words)."""
+    (a, words), (b, _) = later, earlier
+    gone = {i for block in aligned_blocks(a, words, b, floor) for i in block}
+    if sum(words[i] for i in gone) < least:
+        gone = set()
     held = set(runs(b, earlier[1], least).values())
     for (first, end), name in runs(a, words, least).items():
-        if name in held:  # in an aligned block, moved, or repeated within a document
+        if name in held:  # moved, or repeated within a document
             gone.update(range(first, end))
     return sorted(gone)
 
 
-def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Per document with repeats: key, gone (the places of the lines to delete) and partners."""
+def removals(docs: DataFrame, least: int = LEAST, floor: int = FLOOR, rare: int = RARE) -> DataFrame:
+    """Per document with repeats: key, gone (the places of the lines to delete) and the partners that hold them."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = [lines_of(t) for t in part.column("text").to_pylist()]
             found = [list(set(runs(r[1], r[2], least).values())) for r in rows]
+            single = [list({h for h, n in zip(r[1], r[2]) if floor <= n < least}) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [part.column("key"), *(pa.array([r[k] for r in rows], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32()))),
-                 pa.array(found, pa.list_(pa.int64()))], ["key", "place", "names", "words", "runs"])
+                 *(pa.array(x, pa.list_(pa.int64())) for x in (found, single))], ["key", "place", "names", "words", "runs", "lines"])
 
     key = "struct<none:boolean,id:bigint,text:bigint>"
     lines = stage(texts(docs).select(order_key().alias("key"), "text").mapInArrow(
-        split, f"key {key}, place array<int>, names array<long>, words array<int>, runs array<long>"), "lines")
-    held = lines.select("key", F.explode("runs").alias("run"))
-    first = held.groupBy("run").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
-    pairs = stage(held.join(first.select("run", "first"), "run").where("key <> first").select("key", "first").distinct(), "pairs")
+        split, f"key {key}, place array<int>, names array<long>, words array<int>, runs array<long>, lines array<long>"), "lines")
+    held = lines.select("key", F.explode("runs").alias("run"), F.lit(False).alias("line")).unionByName(
+        lines.select("key", F.explode("lines").alias("run"), F.lit(True).alias("line")))
+    first = (held.groupBy("run", "line").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("times"))
+             .where(F.col("first") != F.col("last")).where(~F.col("line") | (F.col("times") <= rare)))
+    pairs = stage(held.join(first.select("run", "line", "first"), ["run", "line"]).where("key <> first").select("key", "first").distinct(), "pairs")
     side = lambda name, *more: lines.dropDuplicates(["key"]).select(
         F.col("key").alias(name), *more, F.col("names").alias(f"{name}_names"), F.col("words").alias(f"{name}_words"))
     both = (pairs.join(side("first").join(pairs.select("first").distinct(), "first", "leftsemi"), "first")
@@ -154,11 +169,11 @@ def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("place", "key_names", "key_words", "first_names", "first_words")]
-            gone = [[p[i] for i in repeated((a, x), (b, y), least)] for p, a, x, b, y in zip(*columns)]
+            gone = [[p[i] for i in repeated((a, x), (b, y), least, floor)] for p, a, x, b, y in zip(*columns)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
 
-    aligned = both.select("key", "place", "key_names", "key_words", "first_names", "first_words").mapInArrow(align, f"key {key}, gone array<int>")
-    # a document has at most as many partners as runs, so the lists stay as small as the document
+    aligned = both.select("key", "place", "key_names", "key_words", "first_names", "first_words").mapInArrow(align, f"key {key}, gone array<int>").where(F.size("gone") > 0)
+    # a document has at most as many partners as runs and lines, so the lists stay as small as the document
     gone = stage(aligned.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"),
                                             F.count("*").alias("partners")), "gone")
     discard(lines, pairs)

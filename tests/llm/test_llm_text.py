@@ -84,6 +84,15 @@ def test_packing_round_trip(bits):
     for first, count in ((0, 1003), (0, 0), (5, 1), (8, 8), (77, 500), (1002, 1)):
         assert token_files.unpack(payload, bits, first, count).tolist() == ids[first : first + count].tolist()
     assert [token_files.width(n) for n in (1, 2, 3, 256, 257, 49_408)] == [1, 1, 2, 8, 9, 16]
+    with pytest.raises(ValueError, match="does not fit"):
+        token_files.pack(np.append(ids, 1 << bits), bits)
+
+
+def test_token_files_of_an_empty_table(spark):
+    folder = mkdtemp() + "/ids"
+    token_files.write(documents(spark, []), folder, WORDS, None, 1)
+    assert token_files.read_documents(spark, folder).count() == 0 and token_files.read_ids(spark, folder, 0, 10).count() == 0
+    assert token_files.vocabulary_size(WORDS) == 49_408
 
 
 def test_token_files(spark):
@@ -272,6 +281,33 @@ def test_crf_gradient():
 # ---- duplicates ----------------------------------------------------------------------------------------------------
 
 
+def shared_stretches(own, other):
+    """(first, lines) of the longest stretches of ``own`` from each place that ``other`` holds somewhere."""
+    for a in range(len(own)):
+        for b in range(len(other)):
+            k = 0
+            while a + k < len(own) and b + k < len(other) and own[a + k][1] == other[b + k][1]:
+                k += 1
+            if k:
+                yield a, own[a : a + k]
+
+
+def is_partner(r, e, order, docs, least):
+    """``e`` is the first holder of a shortest run of ``r``, or of a line of three words or more that at most 16 hold."""
+    own = docs[r][2]
+    first = lambda part: next(x for x in order if any(
+        [y[1] for y in docs[x][2][k : k + len(part)]] == part for k in range(len(docs[x][2]))))
+    for a, shared in shared_stretches(own, docs[e][2]):
+        for k in range(1, len(shared) + 1):
+            total = [x[2] for x in shared[:k]]
+            if sum(total) >= least and (sum(total[1:]) < least or sum(total[:-1]) < least) and first([x[1] for x in shared[:k]]) == e:
+                return True
+        line = shared[0]
+        if 3 <= line[2] < least and sum(any(y[1] == line[1] for y in d[2]) for d in docs) <= 16 and first([line[1]]) == e:
+            return True
+    return False
+
+
 def line_removals(rows, least):
     docs = [(i, t, [(k, x.strip(" \t\n\r\x0b\x0c"), len(words(x))) for k, x in enumerate((t or "").split("\n")) if words(x)]) for i, t in rows]
     order = sorted(range(len(rows)), key=lambda r: (docs[r][0] is None, docs[r][0] or 0))
@@ -281,13 +317,21 @@ def line_removals(rows, least):
         gone = set()
         for e in order[:n]:
             other = docs[e][2]
-            for a in range(len(own)):
-                for b in range(len(other)):
-                    k = 0
-                    while a + k < len(own) and b + k < len(other) and own[a + k][1] == other[b + k][1]:
-                        k += 1
-                    if sum(x[2] for x in own[a : a + k]) >= least:
-                        gone.update(x[0] for x in own[a : a + k])
+            for _, shared in shared_stretches(own, other):
+                if sum(x[2] for x in shared) >= least:
+                    gone.update(x[0] for x in shared)
+            if is_partner(r, e, order, docs, least):
+                pairs = dict(line_dedup.patience([x[1] for x in own], [x[1] for x in other]))
+                blocks, a = [], 0
+                while a < len(own):
+                    end = a + 1
+                    while a in pairs and pairs.get(end) == pairs[a] + end - a:
+                        end += 1
+                    if a in pairs and sum(x[2] for x in own[a:end]) >= 3:
+                        blocks += own[a:end]
+                    a = end
+                if sum(x[2] for x in blocks) >= least:
+                    gone.update(x[0] for x in blocks)
         out[i] = (",".join(map(str, sorted(gone))), "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone))
     return out
 
@@ -323,6 +367,24 @@ def test_patience_keeps_order():
     assert pairs == [(0, 1), (1, 2), (3, 4), (4, 5), (6, 6)]
 
 
+def test_alignment_decides_on_short_blocks(spark, monkeypatch):
+    common = [" ".join(f"c{k}{i}" for i in range(4)) for k in range(3)]
+    mixed = lambda name, lines: "\n".join(x for k, line in enumerate(lines) for x in (f"{name}{k} of its own", line))
+    rows = [(1, mixed("a", common)), (2, mixed("b", common)), (3, mixed("d", common[::-1])), (4, mixed("e", common[:1]))]
+    got = {r["doc_id"]: (r["removed_lines"], r["partners"]) for r in line_dedup.report(documents(spark, rows)).collect()}
+    assert got == {1: ("", 0), 2: ("1,3,5", 1), 3: ("", 0), 4: ("", 0)}  # in another order there is one aligned line, too short alone
+    later, earlier = (line_dedup.lines_of(t)[1:] for t in (rows[1][1], rows[0][1]))
+    assert line_dedup.repeated(later, earlier) == [1, 3, 5]
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert line_dedup.repeated(later, earlier) == []
+
+
+def test_line_dedup_of_a_long_text_and_nothing(spark):
+    long = "\n".join(f"line {i} of a very long text in the table" for i in range(30_000))
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.report(documents(spark, [(1, long), (2, "first\n" + long), (3, None), (4, "")])).collect()}
+    assert got == {1: 0, 2: 30_000, 3: 0, 4: 0}
+
+
 def test_line_dedup_of_repeated_rows(spark):
     text = "\n".join(f"line {i} of a passage with some words" for i in range(10))
     got = line_dedup.report(documents(spark, [(1, text), (1, text), (2, "own line\n" + text), (3, text)])).collect()
