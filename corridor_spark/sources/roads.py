@@ -22,13 +22,10 @@ from corridor_spark.functions.text import (
 )
 from corridor_spark.lexicons import DEPARTMENTS, MAJOR_HIGHWAYS, ROAD_CLASS_OTHER, ROAD_CLASSES
 from corridor_spark.operators.tables import ensure_columns, mode_nonblank, with_capped_lists
+from corridor_spark.sources import envelopes
 
-NETWORK_SCHEMA = """
-    elements array<struct<
-        type string, id bigint,
-        geometry array<struct<lat double, lon double>>,
-        tags map<string, string>>>
-"""
+ELEMENT = "type string, id bigint, geometry array<struct<lat double, lon double>>, tags map<string, string>"
+NETWORK_SCHEMA = f"elements array<struct<{ELEMENT}>>"
 TAGS = ("name", "ref", "alt_name", "official_name", "highway", "oneway", "lanes", "maxspeed", "surface", "bridge",
         "tunnel", "junction", "access")
 SEGMENT_COLUMNS = {
@@ -38,11 +35,12 @@ SEGMENT_COLUMNS = {
 }
 
 
-def read_network(spark: SparkSession, path: str, department: str = "", slug: str = "", mode: str = "") -> DataFrame:
-    """Segments of a road-network JSON file (ways with tags and geometry)."""
-    elements = spark.read.schema(NETWORK_SCHEMA).option("multiLine", True).json(path).select(
-        F.explode("elements").alias("e")
-    )
+def read_network(spark: SparkSession, path: str, department: str = "", slug: str = "", mode: str = "", split: bool = False) -> DataFrame:
+    """Segments of road-network JSON files (ways with tags and geometry); ``split``: one large file by many tasks."""
+    if split:
+        elements = envelopes.records(spark, path, ELEMENT, "elements").select(F.struct("*").alias("e"))
+    else:
+        elements = spark.read.schema(NETWORK_SCHEMA).option("multiLine", True).json(path).select(F.explode("elements").alias("e"))
     ways = elements.filter(F.col("e.type") == "way").select(
         F.lit(department).alias("source_department"),
         F.lit(slug).alias("source_department_slug"),

@@ -12,7 +12,7 @@ from corridor_spark.plans import incidents as incident_plan
 from corridor_spark.plans.alerts import prepare
 from corridor_spark.plans.jams import unique_jams
 from corridor_spark.session import fits, stage, stage_root
-from corridor_spark.sources import incidents, kml, road_store, roads, sinks, traffic
+from corridor_spark.sources import envelopes, incidents, kml, road_store, roads, sinks, traffic
 from corridor_spark.streaming import windows
 
 SF = "/root/testdata/sf0.001"
@@ -25,6 +25,7 @@ def test_jam_and_alert_envelopes(spark, tmp_path):
     row = unique_jams(traffic.read_jams(spark, str(tmp_path / "jams.json"))).first()
     assert (row["level_max"], row["speed_min"], row["event_hour"]) == (5.0, 7.0, 23)
     assert traffic.read_jams(spark, str(tmp_path / "lines.json"), lines=True).count() == 1
+    assert traffic.read_jams(spark, str(tmp_path / "jams.json"), split=True).collect() == traffic.read_jams(spark, str(tmp_path / "jams.json")).collect()
     assert traffic.read_metadata(spark, str(tmp_path / "jams.json")).first()["source"] == "x"
     alert = {"uuid": "a", "ts": "2026-06-29T05:00:00Z", "type": "JAM", "geoWKT": "Point(-89.2 13.7)", "cluster_center_lon": -89.2, "cluster_center_lat": 13.7,
              "cluster_start_ts": "2026-06-29T04:00:00Z", "cluster_last_ts": "2026-06-29T05:30:00Z", "cluster_report_count": 4}
@@ -33,6 +34,39 @@ def test_jam_and_alert_envelopes(spark, tmp_path):
     assert got["has_valid_coordinate"] and got["cluster_duration_min"] == 90.0 and got["geo_cluster_distance_m"] == 0.0
 
 
+@pytest.mark.parametrize("block, indent", [(300, None), (1 << 27, 1)])
+def test_envelopes_read_by_many_tasks(spark, tmp_path, block, indent):
+    odd = ["", 'a "quoted" } brace', "{[", "]}", "\\", '\\"}', "ñ}é", '"records": [', "line\nbreak }, {"]
+    one = [{"uuid": f"a{i}", "street": odd[i % len(odd)] * (i % 4), "level": i, "more": [{"x": odd[(i + 1) % len(odd)]}, {}] * (i % 3), "none": {}} for i in range(24)]
+    two = [{"uuid": f"b{i}", "level": None} for i in range(8)]
+    head = {"meta": {"records": [{"uuid": "not this"}], "q": odd}, "list": [[1, {"records": [{}]}], {}, "in } a string"]}
+    (tmp_path / "in").mkdir()
+    for name, table in {"one": {**head, "records": one, "end": [{"uuid": "nor this"}]}, "two": {"records": two}, "three": {"records": []},
+                        "four": {"other": one[:3]}, "five": {"a": 5, "records": [], "z": {"y": [{}]}}}.items():
+        (tmp_path / "in" / f"{name}.json").write_text(json.dumps(table, indent=indent, ensure_ascii=bool(indent)))
+    schema = "uuid string, street string, level int, more array<struct<x: string>>"
+    want = spark.read.schema(f"records array<struct<{schema.replace(' string,', ': string,').replace(' int,', ': int,').replace('more ', 'more: ')}>>").option("multiLine", True)
+    want = sorted(map(repr, want.json(str(tmp_path / "in")).select(F.explode("records").alias("r")).select("r.*").collect()))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        assert block > 800 or spark.read.option("lineSep", "}").text(str(tmp_path / "in" / "one.json")).rdd.getNumPartitions() > 1
+        assert sorted(map(repr, envelopes.records(spark, str(tmp_path / "in"), schema).collect())) == want and len(want) == 32
+        got = envelopes.heads(spark, str(tmp_path / "in"), "a int, end array<struct<uuid: string>>, z struct<y: array<struct<x: string>>>").collect()
+        assert sorted((r["a"], len(r["end"] or []), len(r["z"]["y"]) if r["z"] else 0) if r["a"] else (0, len(r["end"] or []), 0) for r in got) == [
+            (0, 0, 0), (0, 0, 0), (0, 1, 0), (5, 0, 1)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_envelopes_that_break_off_or_hold_no_objects(spark, tmp_path):
+    (tmp_path / "cut.json").write_text('{"records": [{"a": 1}, {"a": 2, "b": {"c": 3}}, {"a": 4, "b": {"c": 5}')
+    (tmp_path / "mixed.json").write_text('{"records": [null, {"a": 6}, 7, {"a": 8}, null], "x": {"a": 9}}')
+    (tmp_path / "blank.json").write_text("")
+    read = lambda name: sorted(r["a"] for r in envelopes.records(spark, str(tmp_path / name), "a int").collect())
+    assert read("cut.json") == [1, 2] and read("mixed.json") == [6, 8] and read("blank.json") == []
+
+
 def test_incident_csv_keeps_blanks(spark, tmp_path):
     (tmp_path / "i.csv").write_text('uuid,address,observation\n1,,"linea uno\nlinea ""dos"""\n2,nan,x\n')
     rows = {r["uuid"]: r for r in incidents.read_incidents(spark, str(tmp_path / "i.csv")).collect()}
@@ -46,6 +80,8 @@ def test_network_json_and_features(spark, tmp_path):
     row = segs.first()
     assert segs.count() == 1 and row["vertices"] == 3 and row["road_key_norm"] == "avenida sur" and 2100 < row["length_m"] < 2300
     assert roads.pieces(segs, ["name"]).count() == 2
+    split = roads.read_network(spark, str(tmp_path / "n.json"), "SAN SALVADOR", "san_salvador", "bbox", split=True)
+    assert split.collect() == segs.collect()
     sinks.write_features(sinks.line_features(segs, ["osm_way_id", "name"]), str(tmp_path / "out"))
     feature = json.loads(spark.read.text(str(tmp_path / "out")).first()["value"])
     assert feature["geometry"]["type"] == "LineString" and feature["properties"]["osm_way_id"] == 7
