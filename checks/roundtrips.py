@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks.alerts import ALERTS
@@ -27,15 +28,39 @@ def _folder(x) -> str:
     return f"{stage_root(x.spark)}/roundtrip-{uuid.uuid4().hex}"
 
 
+def _jams(x):
+    rows = x.view("jam_obs").withColumns({"ts": F.date_format("ts", STAMP), "uuid": F.col("uuid").cast("string"), "id": F.col("id").cast("string")})
+    return rows.withColumnRenamed("speedkmh", "speedKMH")
+
+
 def _jam_lines(x):
     folder = _folder(x)
-    rows = x.view("jam_obs").withColumns({"ts": F.date_format("ts", STAMP), "uuid": F.col("uuid").cast("string"), "id": F.col("id").cast("string")})
-    rows.withColumnRenamed("speedkmh", "speedKMH").write.json(folder)
+    _jams(x).write.json(folder)
     return traffic.read_jams(x.spark, folder, lines=True)
 
 
-add("jam_json_lines", "uuid id ts city street level delay:4 length:4 speedkmh:4", _jam_lines,
-    f"{cte('jam_obs')}, r AS (SELECT CAST(uuid AS VARCHAR) AS uuid, CAST(id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, city, street, level, delay, length, speedkmh FROM jam_obs)", "r")
+def _envelope(batches):
+    """One envelope per partition, as lines of text."""
+    yield pa.RecordBatch.from_pydict({"value": ['{"source": {"records": "{jams}"}, "records": [']})
+    comma = ""
+    for batch in batches:
+        if batch.num_rows:
+            first, *more = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": [comma + first, *("," + value for value in more)]})
+            comma = ","
+    yield pa.RecordBatch.from_pydict({"value": ["]}"]})
+
+
+def _jam_envelopes(x):
+    folder = _folder(x)
+    _jams(x).select(F.to_json(F.struct("*")).alias("value")).mapInArrow(_envelope, "value string").write.text(folder)
+    return traffic.read_jams(x.spark, folder, split=True)
+
+
+JAM_ROWS = "uuid id ts city street level delay:4 length:4 speedkmh:4"
+JAM_ORACLE = (f"{cte('jam_obs')}, r AS (SELECT CAST(uuid AS VARCHAR) AS uuid, CAST(id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, city, street, level, delay, length, speedkmh FROM jam_obs)", "r")
+add("jam_json_lines", JAM_ROWS, _jam_lines, *JAM_ORACLE)
+add("jam_envelopes", JAM_ROWS, _jam_envelopes, *JAM_ORACLE)
 
 
 def _alert_lines(x):
