@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corridor_spark.operators import norms, ranks
 from corridor_spark.operators.contains import contained_keys
 from corridor_spark.operators.pyramid import build, cells_in_reach, nearest_anywhere
-from corridor_spark.operators.nearest import LOCAL, candidate_pairs, k_nearest, nearest, nearest_by_bounds, nearest_of_key
+from corridor_spark.operators.nearest import LOCAL, candidate_pairs, k_nearest, nearest, nearest_by_bounds, nearest_of_key, numbered, winning_pairs
 from corridor_spark.plans.quality import duplicate_counts
 from corridor_spark.sources.roads import with_bounds
 
@@ -97,6 +97,23 @@ def test_nearest_is_brute_force(spark, network, cell_pairs):
         assert got[p[0]][0] == way and got[p[0]][1] == pytest.approx(distance, abs=1e-6)
 
 
+def test_nearest_makes_no_pairs_that_lose(spark):
+    """In one crowded place a point is paired with its winner alone, however the place is split; repeated pieces count once."""
+    rng = random.Random(5)
+    ways = [(w, x, y, x + rng.uniform(-2e-3, 2e-3), y + rng.uniform(-2e-3, 2e-3), "d0")
+            for w, (x, y) in enumerate((rng.uniform(-89.20, -89.19), rng.uniform(13.70, 13.71)) for _ in range(400))]
+    raw = [(i, rng.uniform(-89.20, -89.19), rng.uniform(13.70, 13.71), "d0") for i in range(600)] + [(700, -89.2, 13.7, "d0"), (701, -89.2, 13.7, "d0")]
+    points = spark.createDataFrame(raw, "point_id long, x double, y double, dep string")
+    pieces = spark.createDataFrame(ways + ways[:50], "way_id long, ax double, ay double, bx double, by_ double, dep string")
+    listed = numbered(pieces, ["way_id"])
+    assert listed.count() == len(ways)
+    pairs = winning_pairs(points, listed, 1_000.0, LOCAL, [], "way_id", 13.71).collect()
+    assert len(pairs) == len(raw)
+    assert {(r["point_id"], r["way_id"]) for r in pairs} == {(p[0], brute(p, ways)[0][1]) for p in raw}
+    got = nearest(points, pieces, (1_000.0, 5_000.0), ["way_id"], cell_pairs=10_000).collect()  # parts and shares of 100 rows
+    assert sorted((r["point_id"], r["way_id"]) for r in got) == sorted((p[0], brute(p, ways)[0][1]) for p in raw)
+
+
 def test_nearest_within_key(spark, network):
     points, pieces, raw, ways = network
     got = {r["point_id"]: r["way_id"] for r in nearest(points, pieces, (500.0, 30_000.0), ["way_id"], keys=["dep"]).collect()}
