@@ -133,6 +133,15 @@ def test_operational_topk_is_brute_force(spark, single):
             assert [got[uuid, model, k] for k in range(1, 6)] == want
 
 
+def test_shortlists_do_not_pass_through_the_driver(spark):
+    """A shortlist is small on disk and large in memory, so jams meet it in a merge join whatever its files' size."""
+    features = spark.createDataFrame([("1", 0.5, 0.5, 0.5, "A"), ("2", 3.0, 0.9, 0.1, "")], "uuid string, jam_length double, "
+                                     "expected_osm_hierarchy double, expected_osm_speed_context double, inferred_department string")
+    top = associate.operational_topk(features, _roads(spark))
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [cell" in plan and "Broadcast" not in plan
+
+
 def test_similar_texts_lose_nothing(spark):
     rng = random.Random(6)
     words = ["calle", "avenida", "sol", "luna", "norte", "sur", "arce", "bernal", "los", "heroes"]
