@@ -269,7 +269,7 @@ def test_registered():
     from __spark_entry__ import queries as registered
 
     names = set(registered())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if re.match(r"op\d+_", n)}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if re.match(r"op\d+_", n)}
     assert "pipeline" in names and set(oracle_sql()) <= names and set(queries.QUERIES) <= names
     assert [s for s, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "source mix", "BPE"]
     assert (ngram_join.WORDS, ngram_join.PERCENT) == (5, 80) and list(quality.RULES)[:2] == ["too_short", "repeats"]
