@@ -13,15 +13,17 @@ sums do not depend on their order.
 Scoring takes the language whose model needs the fewest bits for the words,
 divided by the number of symbols; ties go to the first name. Up to
 ``BROADCAST_GRAMS`` grams the model goes to the tasks as sorted arrays of 64-bit
-hashes, with costs beside them; a task keeps the costs of words it has met.
+hashes, with costs beside them; what a symbol costs depends on the ``ORDER``
+symbols up to it alone, so a task works out each such window of its new words
+once, and keeps the costs of words it has met.
 Beyond that the grams stay a table: the distinct words are joined with it, the
 texts with the words' costs. Both ways give the same figures.
 
-Rejection is calibrated on at most ``CALIBRATION`` labelled texts, by hash and
-never more than about a tenth of them, which the counts leave out. They give the
-usual cost a symbol of each language, whose spread shrinks with the text's
-length (a text is ``rejected`` if it costs ``DEVIATIONS`` more), and the
-temperature of the posterior that is the score.
+Rejection is calibrated on all the labelled texts that the counts cover. They
+give the usual cost a symbol of each language, whose spread shrinks with the
+text's length (a text is ``rejected`` if it costs ``DEVIATIONS`` more), and the
+temperature of the posterior that is the score. ``label`` learns from some rows
+of a table and labels them all, measuring each text once.
 
 Rules: a null text, or one without a letter, is ``und`` with score 0, and so is
 every text if nothing was learned; rows repeat as they come, with null or repeated
@@ -33,9 +35,10 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +52,8 @@ from corridor_spark.llm.common import discard, slices, stage, texts
 ORDER, MICRO = 4, 1_000_000
 #: Most grams, of all languages together, that go to every task; words whose costs a task keeps.
 BROADCAST_GRAMS, KEPT_WORDS = 1_500_000, 200_000
-#: Most labelled texts for the calibration, and how many deviations above the usual cost a text is rejected.
-CALIBRATION, DEVIATIONS = 1000, 6
+#: How many deviations above the usual cost a text is rejected.
+DEVIATIONS = 6
 BEGIN, END = "\x02", "\x03"
 UNKNOWN = "und"
 _LETTERS, _EXACT = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
@@ -88,22 +91,20 @@ def word_table(docs: DataFrame) -> DataFrame:
     """``lang, word, n`` of the labelled texts, counted in the tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple[str, str]] = Counter()
+        held: defaultdict[str, Counter[str]] = defaultdict(Counter)
 
-        def flush() -> pa.RecordBatch:
-            lang, word = zip(*held)
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(held.values(), pa.int64())],
-                                              ["lang", "word", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, words in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words.keys(), pa.string()),
+                                                  pa.array(words.values(), pa.int64())], ["lang", "word", "n"])
+            held.clear()
 
         for part in slices(batches):
             for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
-                for word, n in Counter(words_of(text)).items():
-                    held[lang, word] += n
-            if len(held) > KEPT_WORDS:
-                yield flush()
-                held.clear()
-        if held:
-            yield flush()
+                held[lang].update(words_of(text))
+            if sum(map(len, held.values())) > KEPT_WORDS:
+                yield from flush()
+        yield from flush()
 
     some = texts(docs, "lang").where("lang is not null").select("text", "lang").mapInArrow(count, "lang string, word string, n long")
     return some.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -164,43 +165,43 @@ def estimate(words: DataFrame) -> Model:
     return Model(languages, unknown, table)
 
 
-def learn(docs: DataFrame) -> Model:
-    """Models of all languages in ``lang``, from all texts that have one but for the calibration's."""
-    labelled = texts(docs, "lang").where("lang is not null").select("doc_id", "text", "lang", F.xxhash64("text", F.lit(13)).alias("at"))
-    aside = labelled.where("pmod(at, 10) = 0")
-    limit = aside.select("at").distinct().orderBy("at").limit(CALIBRATION).agg(F.max("at")).first()[0]
-    tested = F.lit(False) if limit is None else (F.pmod("at", F.lit(10)) == 0) & (F.col("at") <= F.lit(limit))
-    words = stage(word_table(labelled.where(~tested)), "words")
+def fit(docs: DataFrame) -> Model:
+    """Models of all languages in ``lang``, from all texts that have one; not calibrated."""
+    words = stage(word_table(docs), "words")
     model = estimate(words)
-    if model.grams is None:
-        words = stage(word_table(labelled), "words")  # so few texts that all were set aside
-        model = estimate(words)
     discard(words)
+    return model
+
+
+def learn(docs: DataFrame) -> Model:
+    """Models of all languages in ``lang``, from all texts that have one, calibrated on the same texts."""
+    model = fit(docs)
     if model.grams is not None:
-        calibrate(model, measure(aside.where(tested).dropDuplicates(["at"]), model, "lang").select("lang", "bits", "symbols").collect())
+        measured = stage(measure(docs.where("lang is not null"), model, "lang"), "measured")
+        calibrate(model, measured)
+        discard(measured)
     return model
 
 
-def calibrate(model: Model, rows: list) -> None:
-    """Usual cost of each language and the posterior's temperature, from at most ``CALIBRATION`` measured texts."""
-    rows = [r for r in rows if r["symbols"] and r["lang"] in model.languages]
-    if not rows:
+def calibrate(model: Model, measured: DataFrame) -> None:
+    """Usual cost of each language and the posterior's temperature, from all measured texts (``lang, bits, symbols``)."""
+    at = F.array_position(F.array(*map(F.lit, model.languages)), F.col("lang")).cast("int")
+    own = F.get("bits", at - 1) / MICRO
+    rows = measured.where((F.col("symbols") > 0) & (at > 0)).select("lang", "bits", "symbols", own.alias("own"))
+    mean = {r["lang"]: r["mean"] for r in rows.groupBy("lang").agg((F.sum("own") / F.sum("symbols")).alias("mean")).collect()}  # one row a language
+    if not mean:
         return
-    right = [model.languages.index(r["lang"]) for r in rows]
-    bits, symbols = np.array([r["bits"] for r in rows]) / MICRO, np.array([r["symbols"] for r in rows], float)
-    own = bits[np.arange(len(rows)), right] / symbols
-    for i, lang in enumerate(model.languages):
-        at = np.array(right) == i
-        if at.any():
-            mean = float((own * symbols)[at].sum() / symbols[at].sum())
-            model.usual[lang] = (mean, float(np.sqrt(((own[at] - mean) ** 2 * symbols[at]).mean())))
-    gain = lambda t: sum(np.log(posterior(b, t)[i] + 1e-300) for b, i in zip(bits, right))
-    model.sharpness = max((2.0**-k for k in range(13)), key=gain)
+    usual = F.create_map(*(F.lit(x) for pair in mean.items() for x in pair))[F.col("lang")]
+    spread = F.sqrt(F.avg(F.pow(F.col("own") / F.col("symbols") - usual, F.lit(2)) * F.col("symbols")))
+    model.usual = {r["lang"]: (round(mean[r["lang"]], 9), round(r["spread"], 9)) for r in rows.groupBy("lang").agg(spread.alias("spread")).collect()}
+    gains = rows.select(*(F.log((1.0 / posterior_sum("bits", F.col("own") * MICRO, 2.0**-k)) + 1e-300).alias(f"g{k}") for k in range(13)))
+    gain = gains.agg(*(F.round(F.sum(c), 6).alias(c) for c in gains.columns)).first()
+    model.sharpness = 2.0 ** -max(range(13), key=lambda k: gain[f"g{k}"])
 
 
-def posterior(bits: np.ndarray, sharpness: float) -> np.ndarray:
-    share = np.exp2(-(bits - bits.min()) * sharpness)
-    return share / share.sum()
+def posterior_sum(bits: str, of: Column, sharpness: float) -> Column:
+    """One divided by the posterior of the language that costs ``of``."""
+    return F.aggregate(bits, F.lit(0.0), lambda sum_, b: sum_ + F.pow(F.lit(2.0), -(b - of) / MICRO * sharpness))
 
 
 # ---- scoring -------------------------------------------------------------------------------------------------------
@@ -209,7 +210,7 @@ def posterior(bits: np.ndarray, sharpness: float) -> np.ndarray:
 def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (symbol, order) of the grams that end at each symbol of the padded words, 0 where the word is too short; each word's end."""
     joined = np.frombuffer("".join(f"{BEGIN}{w}{END}" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
-    ends = np.cumsum(np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
     starts = np.concatenate([[0], ends[:-1]])
     place = np.arange(len(joined)) - np.repeat(starts, ends - starts)
     out, rolled = np.zeros((len(joined), ORDER), np.uint64), np.zeros(len(joined), np.uint64)
@@ -229,8 +230,9 @@ def one_hash(gram: str) -> int:
     return int(gram_hashes([gram])[0][len(gram), len(gram) - 1])
 
 
-def word_costs(index: np.ndarray, ends: np.ndarray, costs: np.ndarray, leave: np.ndarray, unknown: np.ndarray) -> np.ndarray:
-    """Cost of each word in each language; ``index`` (symbol, order) has the row of each gram in ``costs`` and ``leave``, -1 without one."""
+def symbol_costs(index: np.ndarray, earlier: np.ndarray, costs: np.ndarray, leave: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+    """Cost of each symbol in each language; ``index`` (symbol, order) has the row of each gram in ``costs`` and ``leave``, -1 without
+    one, and ``earlier`` the same for the symbol before."""
     total = np.zeros((len(index), costs.shape[1]), np.int64)
     opened = np.ones(total.shape, bool)
     for k in range(ORDER - 1, -1, -1):
@@ -240,9 +242,14 @@ def word_costs(index: np.ndarray, ends: np.ndarray, costs: np.ndarray, leave: np
         total += np.where(seen, here, 0)
         opened &= ~seen
         if k:  # leave the context, the gram one shorter that ends a symbol earlier
-            before = np.concatenate([[-1], index[:-1, k - 1]])
+            before = earlier[:, k - 1]
             total += np.where(opened & (before >= 0)[:, None], leave[before], 0)
-    total += np.where(opened, unknown, 0)
+    return total + np.where(opened, unknown, 0)
+
+
+def word_costs(index: np.ndarray, ends: np.ndarray, costs: np.ndarray, leave: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+    """Cost of each word in each language from all its symbols."""
+    total = symbol_costs(index, np.concatenate([np.full((1, ORDER), -1), index[:-1]]), costs, leave, unknown)
     starts = np.concatenate([[0], ends[:-1]])
     total[starts] = 0  # the begin mark is given
     return np.add.reduceat(total, starts, axis=0) if len(starts) else total[:0]
@@ -260,7 +267,7 @@ class Scorer:
             _KEPT.update(token=token, words={}, costs=np.zeros((0, len(unknown)), np.int64))
         self.keys, self.costs, self.leave, self.unknown = keys, costs, leave, unknown
 
-    def of(self, words: set[str]) -> tuple[dict[str, int], np.ndarray]:
+    def of(self, words: list[str]) -> tuple[dict[str, int], np.ndarray]:
         """Numbers of the words (and others), and the costs by number."""
         known: dict[str, int] = _KEPT["words"]
         fresh = [w for w in words if w not in known]
@@ -268,15 +275,39 @@ class Scorer:
             if len(known) + len(fresh) > KEPT_WORDS:
                 known.clear()
                 _KEPT["costs"] = _KEPT["costs"][:0]
-                fresh = list(words)
-            hashes, ends = gram_hashes(fresh)
-            at = np.searchsorted(self.keys, hashes.ravel()).clip(max=len(self.keys) - 1)
-            index = np.where(self.keys[at] == hashes.ravel(), at, -1).reshape(hashes.shape)
-            found = word_costs(index, ends, self.costs, self.leave, self.unknown)
+                fresh = words
+            found = self.price(*gram_hashes(fresh))
             known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
             _KEPT["costs"] = np.concatenate([_KEPT["costs"], found])
         return known, _KEPT["costs"]
 
+    def price(self, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Costs of the words, each distinct window of ``ORDER`` symbols (fewer where a word begins) worked out once."""
+        longest = hashes[:, 0].copy()
+        for k in range(1, ORDER):
+            np.copyto(longest, hashes[:, k], where=hashes[:, k] != 0)
+        _, first, which = np.unique(longest, return_index=True, return_inverse=True)
+        cost = symbol_costs(self.rows(hashes[first]), self.rows(hashes[first - 1]), self.costs, self.leave, self.unknown)
+        cost[which[0]] = 0  # the begin mark is given
+        return np.add.reduceat(cost[which], np.concatenate([[0], ends[:-1]]), axis=0)
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, hashes.ravel()).clip(max=len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes.ravel(), at, -1).reshape(hashes.shape)
+
+    def bits(self, split: list[list[str]]) -> np.ndarray:
+        """Costs of texts, given as their words."""
+        flat = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
+        words = flat.dictionary.to_pylist()
+        total = np.zeros((len(split), len(self.unknown)), np.int64)
+        if words:
+            known, costs = self.of(words)
+            each = costs[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            some = np.flatnonzero(sizes)
+            total[some] = np.add.reduceat(each[flat.indices.to_numpy()], (np.cumsum(sizes) - sizes)[some], axis=0)
+        return total
+
 
 def measure(docs: DataFrame, model: Model, *more: str) -> DataFrame:
     """``doc_id``, the named columns, ``bits`` (cost of the text in each language, millionths) and ``symbols`` (0 without letters)."""
@@ -300,10 +331,9 @@ def _by_arrays(docs: DataFrame, model: Model, more: tuple[str, ...]) -> DataFram
         scorer = Scorer(*sent.value)
         for part in slices(batches):
             split = [words_of(t) for t in part.column("text").to_pylist()]
-            known, costs = scorer.of(set().union(*split))
-            bits = [costs[[known[w] for w in words]].sum(axis=0).tolist() if words else [0] * width for words in split]
+            bits = pa.FixedSizeListArray.from_arrays(scorer.bits(split).ravel(), width).cast(arrow.field("bits").type)
             symbols = [sum(map(len, words)) + len(words) for words in split]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(bits, arrow.field("bits").type), pa.array(symbols, pa.int64())],
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), bits, pa.array(symbols, pa.int64())],
                                              [*names, *arrow.names])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema if f.name != "text")
@@ -363,11 +393,28 @@ def _by_join(docs: DataFrame, model: Model, more: tuple[str, ...]) -> DataFrame:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, ``lang_pred``, ``score`` (the calibrated posterior), ``bits_per_symbol`` and ``rejected`` (unlike every language)."""
     if model.grams is None:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
+        return predict(docs, model)
+    return predict(measure(docs, model), model)
+
+
+def label(docs: DataFrame, learned: Column) -> DataFrame:
+    """``identify`` for all rows, with what the ``learned`` rows with a ``lang`` teach."""
+    model = fit(docs.where(learned))
+    if model.grams is None:
+        return predict(docs, model)
+    rows = docs.select("doc_id", "text", "lang", F.coalesce(learned & F.col("lang").isNotNull(), F.lit(False)).alias("learned"))
+    measured = stage(measure(rows, model, "lang", "learned"), "measured")
+    calibrate(model, measured.where("learned"))
+    return predict(measured, model)
+
+
+def predict(measured: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``identify`` from measured texts."""
+    if model.grams is None:
+        return measured.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
                            F.lit(None).cast("double").alias("bits_per_symbol"), F.lit(True).alias("rejected"))
-    measured = measure(docs, model)
     best = F.array_min("bits")
-    shares = F.aggregate("bits", F.lit(0.0), lambda sum_, b: sum_ + F.pow(F.lit(2.0), -(b - F.col("best")) / MICRO * model.sharpness))
+    shares = posterior_sum("bits", F.col("best"), model.sharpness)
     names, usual = F.array(*map(F.lit, model.languages)), model.usual
     mean, spread = (F.array(*(F.lit(usual[x][i] if x in usual else None).cast("double") for x in model.languages)) for i in (0, 1))
     rows = measured.select(F.col("doc_id").cast("long").alias("doc_id"), "bits", "symbols", best.alias("best"), F.array_position("bits", best).alias("at"))

@@ -108,7 +108,7 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    found = language.identify(docs, language.learn(docs.where(F.col("doc_id").isNotNull() & ~language.in_fold("doc_id"))))
+    found = language.label(docs, F.col("doc_id").isNotNull() & ~language.in_fold("doc_id"))
     return found.select("doc_id", language.in_fold("doc_id").alias("held_out"), "lang_pred", "score", "bits_per_symbol", "rejected")
 
 

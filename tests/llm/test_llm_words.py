@@ -249,6 +249,25 @@ def test_languages_of_held_out_texts(spark):
     assert all((again[i]["lang_pred"], again[i]["score"]) == (got[i]["lang_pred"], got[i]["score"]) for i in held)
 
 
+def test_all_labelled_texts_count_and_calibrate(spark):
+    rng = random.Random(3)
+    made = {"de": "sch ung ver ich keit".split(), "fr": "eau tion ent les oux".split()}
+    rows = [(i, " ".join("".join(rng.choices(made[x], k=2)) for _ in range(rng.randint(1, 30))), x) for i, x in enumerate(rng.choices(list(made), k=300))]
+    docs = documents(spark, rows + [(400, "12", "es"), (401, None, "de"), (402, "ungesehen", None)])
+    model, whole = language.learn(docs), language.estimate(language.word_table(docs))
+    as_rows = lambda m: sorted((r["gram"], r["costs"], r["leave"]) for r in m.grams.collect())
+    assert as_rows(model) == as_rows(whole)
+    measured = [r for r in language.measure(docs, whole, "lang").collect() if r["symbols"] and r["lang"]]
+    assert len(measured) == 300
+    for i, lang in enumerate(whole.languages):
+        own = [(r["bits"][i] / language.MICRO, r["symbols"]) for r in measured if r["lang"] == lang]
+        mean = sum(b for b, _ in own) / sum(s for _, s in own)
+        spread = math.sqrt(sum((b / s - mean) ** 2 * s for b, s in own) / len(own))
+        assert model.usual[lang] == pytest.approx((mean, spread), abs=1e-6)
+    got, once = language.identify(docs, model), language.label(docs, F.lit(True))
+    assert Counter(map(str, got.collect())) == Counter(map(str, once.collect()))
+
+
 def test_languages_without_anything_learned(spark):
     docs = documents(spark, [(1, "word", None), (2, None, None)])
     got = language.identify(docs, language.learn(docs))
