@@ -233,3 +233,28 @@ def test_damaged_evidence_is_left_out(spark):
 def test_city_aliases_name_departments(spark):
     found = aliases.city_aliases(spark, {"LA PAZ": ("Zacatecoluca", "San Luis  Talpa")}).collect()
     assert sorted((r["key"], r["department"]) for r in found) == [("san luis talpa", "LA PAZ"), ("zacatecoluca", "LA PAZ")]
+
+
+def test_tables_on_the_way_to_the_alerts_go(spark, tmp_path):
+    import os
+    from urllib.parse import urlparse
+
+    from corridor_spark.layers import Layers
+    from corridor_spark.session import stage_root
+
+    spark.range(40).selectExpr("id AS event_id", "timestamp'2024-01-02 03:00:00' + make_interval(0, 0, 0, 0, 0, id) AS ts", "id % 7 AS user_id",
+                               "'a' AS event_type", "CAST(id AS DOUBLE) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(200).selectExpr("id AS p_partkey", "concat('road ', id % 9) AS p_name", "'b' AS p_brand", "CAST(id % 50 AS INT) AS p_size"
+                                ).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(3).selectExpr("CAST(id AS INT) AS n_nationkey", "concat('N', id) AS n_name", "CAST(id AS INT) AS n_regionkey"
+                              ).write.parquet(f"{tmp_path}/nation.parquet")
+    folder = urlparse(stage_root(spark)).path
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = Layers(spark, str(tmp_path))
+    rows = found.alerts.collect()
+    assert len(rows) == 40 and sum(r["nearest_way_id"] is not None for r in rows) == sum(r["has_valid_coordinate"] for r in rows) > 30
+    left = {name[:-33] for name in set(os.listdir(folder)) - before}
+    assert {"alerts", "prepared-alerts", "pieces", "names"} <= left
+    assert not left & {"near-alerts", "alert-roads", "placed-alerts", "nearest", "left", "numbered-pieces", "alert-texts"}
+    # what other layers share is still there
+    assert found.prepared_alerts.count() == 40 and found.lookups.names.count() and found.alert_panel.count()
