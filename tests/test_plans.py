@@ -258,3 +258,16 @@ def test_tables_on_the_way_to_the_alerts_go(spark, tmp_path):
     assert not left & {"near-alerts", "alert-roads", "placed-alerts", "nearest", "left", "numbered-pieces", "alert-texts"}
     # what other layers share is still there
     assert found.prepared_alerts.count() == 40 and found.lookups.names.count() and found.alert_panel.count()
+
+
+def test_event_layers_do_not_carry_the_evidence(spark, tmp_path):
+    from corridor_spark.layers import Layers
+
+    one = json.dumps([{"source": "a", "engagement": [{"captured_at": "2024-01-01 00:00:00", "likes": 1}, {"likes": 2}]}])
+    evidence = spark.createDataFrame([("1", one, "{}", "x"), ("2", "", "{}", "y")], "uuid string, evidence string, reliability string, observation string")
+    found = Layers(spark, str(tmp_path))
+    found.raw_incidents = evidence
+    kept = found.base_events
+    assert "evidence" not in kept.columns and {"reliability", "observation", "engagement_snapshots"} <= set(kept.columns)
+    whole = {r["uuid"]: r["engagement_snapshots"] for r in incidents.events(evidence).collect()}
+    assert {r["uuid"]: r["engagement_snapshots"] for r in kept.collect()} == whole and any(whole.values())
