@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -271,3 +272,39 @@ def test_event_layers_do_not_carry_the_evidence(spark, tmp_path):
     assert "evidence" not in kept.columns and {"reliability", "observation", "engagement_snapshots"} <= set(kept.columns)
     whole = {r["uuid"]: r["engagement_snapshots"] for r in incidents.events(evidence).collect()}
     assert {r["uuid"]: r["engagement_snapshots"] for r in kept.collect()} == whole and any(whole.values())
+
+
+def _small_tables(spark, folder):
+    spark.range(40).selectExpr("id AS event_id", "timestamp'2024-01-02 03:00:00' + make_interval(0, 0, 0, 0, 0, id) AS ts", "id % 7 AS user_id",
+                               "'a' AS event_type", "CAST(id AS DOUBLE) AS value").write.parquet(f"{folder}/events.parquet")
+    spark.range(200).selectExpr("id AS p_partkey", "concat('road ', id % 9) AS p_name", "'b' AS p_brand", "CAST(id % 50 AS INT) AS p_size"
+                                ).write.parquet(f"{folder}/part.parquet")
+    spark.range(3).selectExpr("CAST(id AS INT) AS n_nationkey", "concat('N', id) AS n_name", "CAST(id AS INT) AS n_regionkey"
+                              ).write.parquet(f"{folder}/nation.parquet")
+
+
+def test_alerts_meet_their_roads_before_columns_are_derived(spark, tmp_path, monkeypatch):
+    from contextlib import contextmanager
+
+    from corridor_spark import layers
+
+    written, real = {}, layers.scratch
+
+    @contextmanager
+    def watched(session):
+        with real(session) as keep:
+            def kept(df, name):
+                written[name] = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+                return keep(df, name)
+
+            yield kept
+
+    monkeypatch.setattr(layers, "scratch", watched)
+    _small_tables(spark, tmp_path)
+    found = layers.Layers(spark, str(tmp_path))
+    assert found.alerts.count() == 40
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", written["near-alerts"])
+    assert any("cluster_report_count" in columns for columns in moved)
+    assert not any(c in columns for columns in moved for c in ("street_norm", "x_utm", "event_hour", "route_ref"))
+    both = found.alerts.select(*found.prepared_alerts.columns)
+    assert both.exceptAll(found.prepared_alerts).isEmpty() and found.prepared_alerts.exceptAll(both).isEmpty()
