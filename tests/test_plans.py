@@ -308,3 +308,24 @@ def test_alerts_meet_their_roads_before_columns_are_derived(spark, tmp_path, mon
     assert not any(c in columns for columns in moved for c in ("street_norm", "x_utm", "event_hour", "route_ref"))
     both = found.alerts.select(*found.prepared_alerts.columns)
     assert both.exceptAll(found.prepared_alerts).isEmpty() and found.prepared_alerts.exceptAll(both).isEmpty()
+
+
+def test_long_evidence_stands_in_small_row_groups(spark, tmp_path, monkeypatch):
+    import glob
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    from corridor_spark import fixtures
+    from corridor_spark.layers import Layers
+
+    text = "concat('[{\"source\":\"', array_join(transform(sequence(1, 8000), i -> sha2(concat(id, ':', i), 256)), ''), '\"}]')"
+    rows = spark.range(0, 40, 1, 1).selectExpr("CAST(id AS STRING) AS uuid", "'t' AS ticketNumber", "'2024-01-01 00:00:00' AS datetime", f"{text} AS evidence")
+    monkeypatch.setattr(fixtures, "raw_incidents", lambda session, folder: rows)
+    found = Layers(spark, str(tmp_path))
+    for table in (found.raw_incidents, found.mentions):
+        files = [pq.ParquetFile(f).metadata for name in table.inputFiles() for f in glob.glob(urlparse(name).path)]
+        groups = [f.row_group(i) for f in files for i in range(f.num_row_groups)]
+        assert sum(g.num_rows for g in groups) == 40
+        assert max(sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for g in groups) < 6 << 20
+    assert found.mentions.agg(F.min(F.length("source"))).first()[0] == 512_000
