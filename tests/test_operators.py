@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corridor_spark.operators import norms, ranks
 from corridor_spark.operators.contains import contained_keys
 from corridor_spark.operators.pyramid import build, cells_in_reach, nearest_anywhere
-from corridor_spark.operators.nearest import LOCAL, candidate_pairs, k_nearest, nearest, nearest_by_bounds, nearest_of_key, numbered, winning_pairs
+from corridor_spark.operators.nearest import LOCAL, NAMED, candidate_pairs, k_nearest, nearest, nearest_by_bounds, nearest_of_key, numbered, winning_pairs
 from corridor_spark.plans.quality import duplicate_counts
 from corridor_spark.sources.roads import with_bounds
 
@@ -195,6 +195,50 @@ def test_k_nearest_is_brute_force(spark, network):
         assert got.get(p[0], []) == [w for _, w in near[:5]]
 
 
+@pytest.mark.parametrize("cell_pairs", [2_500_000_000, 400])
+def test_k_nearest_of_crowded_places_and_odd_rows(spark, cell_pairs):
+    """Roads of several pieces, equal distances, repeated and null ids, one id in two places, points and pieces without a place."""
+    rng = random.Random(11)
+    ways = [(w // 2, x, y, x + rng.uniform(-2e-3, 2e-3), y + rng.uniform(-2e-3, 2e-3), f"d{w % 2}")
+            for w, (x, y) in enumerate((rng.uniform(-89.22, -89.19), rng.uniform(13.70, 13.72)) for _ in range(300))]
+    ways += [(1000 - w, -89.2, 13.7, -89.2 + w * 1e-5, 13.69, "d0") for w in range(30)]  # one end shared: the smallest ids win there
+    ways += ways[:40]
+    raw = [(i, rng.uniform(-89.23, -89.18), rng.uniform(13.69, 13.73), f"d{i % 2}") for i in range(120)]
+    raw += [(500, -89.2, 13.7, "d0"), (501, -89.2, 13.701, "d0"), (501, -89.2, 13.701, "d0"), (502, -89.2, 13.7, "d0"), (502, -89.2003, 13.7, "d0"), (None, -89.2, 13.705, "d0")]
+    odd = [(600, None, 13.7, "d0"), (601, float("nan"), 13.7, "d0"), (602, -89.2, 13.7, None), (603, 20.0, 13.7, "d0")]
+    points = spark.createDataFrame(raw + odd, "point_id long, x double, y double, dep string")
+    pieces = spark.createDataFrame([(*w, f"n{i % 3}") for i, w in enumerate(ways)] + [(7000, float("nan"), 13.7, -89.2, 13.7, "d0", "n")],
+                                   "way_id long, ax double, ay double, bx double, by_ double, dep string, name string")
+    names = {}
+    for i, w in enumerate(ways):
+        names[w[0]] = min(names.get(w[0], "z"), f"n{i % 3}")
+    rx, ry = NAMED.reach(400.0, 13.73)
+    for keys in ([], ["dep"]):
+        for digits in (2, None):
+            best = {}
+            for p in raw + ([] if keys else odd[2:3]):
+                cell = (p[0], math.floor(p[1] / rx), math.floor(p[2] / ry), p[3] if keys else "")
+                for _, w, d, dep in brute(p, ways, 110_574.0):
+                    if d <= 400 and (not keys or dep == p[3]):
+                        best.setdefault(cell, {})[w] = min(d, best.get(cell, {}).get(w, math.inf))
+            want = []
+            for cell, found in best.items():
+                near = sorted((round(d + 1e-9, 2) if digits else round(d, 6), w) for w, d in found.items())[:4]
+                want += [(str(cell[0]), rank, w, names[w], pytest.approx(d, abs=1e-5)) for rank, (d, w) in enumerate(near, 1)]
+            got = k_nearest(points, pieces, 400.0, 4, ["way_id", "name"], keys=keys, digits=digits, cell_pairs=cell_pairs)
+            assert got.columns == ["point_id", "candidate_rank", "distance_m", "way_id", "name"]
+            key = lambda r: (r[0], r[1], r[2])
+            assert sorted(((str(r["point_id"]), r["candidate_rank"], r["way_id"], r["name"], r["distance_m"]) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert k_nearest(points.limit(0), pieces, 400.0, 4, ["way_id"]).collect() == [] == k_nearest(points, pieces.limit(0), 400.0, 4, ["way_id"]).collect()
+
+
+def test_k_nearest_ranks_inside_blocks(spark, network):
+    """No pair of a point with a road that is not among its k nearest leaves a block, and no shuffle follows."""
+    points, pieces, _, _ = network
+    plan = k_nearest(points, pieces, 750.0, 5, ["way_id"], digits=2)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan and "SortMergeJoin" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
 def test_nearest_by_bounds(spark, network):
     points, pieces, raw, ways = network
     polylines = with_bounds(pieces.select("way_id", F.array(F.array("ax", "ay"), F.array("bx", "by_")).alias("coords")))
