@@ -1,4 +1,5 @@
 import json
+import math
 import os
 
 import duckdb
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import all_queries
 from corridor_spark.operators.cell_index import nearest_indexed, open_cells, write_cells
-from corridor_spark.operators.nearest import nearest
+from corridor_spark.operators.nearest import LOCAL, nearest, spread_pieces
 from corridor_spark.plans import incidents as incident_plan
 from corridor_spark.plans.alerts import prepare
 from corridor_spark.plans.jams import unique_jams
@@ -222,6 +223,43 @@ def test_cell_index_equals_nearest(spark, tmp_path):
     assert "dynamicpruning" in few._jdf.queryExecution().executedPlan().toString()
 
 
+def test_cell_index_makes_no_pairs_that_lose(spark, tmp_path):
+    """A piece is listed a few times a radius, and of a crowded place's pairs only the winning ones leave a block."""
+    ways = [(i % 390, -89.2 + i * 1e-5, 13.7 + (i * 7 % 400) * 1e-5, -89.2 + i * 1e-5 + 1e-3, 13.7 + (i * 7 % 400) * 1e-5 + 1e-3) for i in range(400)]
+    odd = [(5000, float("nan"), 13.7, -89.2, 13.7), (5001, -89.2, 13.7, None, 13.7)]
+    pieces = spark.createDataFrame(ways + odd, "way_id long, ax double, ay double, bx double, by_ double")
+    points = [(i, -89.2 + i * 1.3e-5, 13.7 + (i * 11 % 300) * 1e-5) for i in range(300)] + [(7, -89.2, 13.7)]
+    df = spark.createDataFrame(points, "point_id long, x double, y double")
+    index = write_cells(pieces, f"{tmp_path}/i", (200.0, 2000.0), ["way_id"])
+    assert spark.read.parquet(f"{tmp_path}/i/cells").count() <= 2 * 4 * 401
+    want = {}
+    for point, x, y in points:
+        scale = 111_320.0 * math.cos(math.radians(y))
+        for way, ax, ay, bx, by in ways:
+            dx, dy, qx, qy = (bx - ax) * scale, (by - ay) * 111_320.0, (x - ax) * scale, (y - ay) * 111_320.0
+            t = max(0.0, min(1.0, (qx * dx + qy * dy) / (dx * dx + dy * dy)))
+            d = math.hypot(qx - t * dx, qy - t * dy)
+            want[point] = min(want.get(point, (math.inf, 0)), (round(d, 6), way))
+    for cell_pairs in (2_500_000_000, 900):  # whole cells, and blocks of 30 rows
+        got = nearest_indexed(df, index, ["way_id"], cell_pairs=cell_pairs)
+        assert {r["point_id"]: r["way_id"] for r in got.collect()} == {p: w for p, (_, w) in want.items()} and got.count() == len(want)
+
+
+def test_cell_index_of_an_earlier_form(spark, tmp_path):
+    """An index whose cells are a radius wide and that names no side of its tiles is read as it was written."""
+    pieces = spark.createDataFrame([(i, -89.5 + i / 50, 13.3, -89.49 + i / 50, 13.31) for i in range(40)], "way_id long, ax double, ay double, bx double, by_ double")
+    points = spark.createDataFrame([(i, -89.5 + i / 90, 13.3 + i % 5 / 400) for i in range(70)], "point_id long, x double, y double")
+    rx, ry = LOCAL.reach(500.0, 13.4)
+    tile = F.pmod(F.xxhash64(F.floor(F.col("_cx") / 64), F.floor(F.col("_cy") / 64)), F.lit(8)).cast("int")
+    cells = spread_pieces(pieces, rx, ry).withColumns({"step": F.lit(0), "tile": tile})
+    cells.write.partitionBy("step", "tile").parquet(f"{tmp_path}/i/cells")
+    columns = ", ".join(f"`{name}` {kind}" for name, kind in cells.dtypes)
+    spark.createDataFrame([(0, 500.0, rx, ry, 8, columns)], "step int, radius double, rx double, ry double, tiles int, columns string").write.parquet(f"{tmp_path}/i/steps")
+    shown = lambda rows: sorted((r["point_id"], r["way_id"], round(r["distance_m"], 4)) for r in rows.collect())
+    want = shown(nearest(points, pieces, (500.0,), ["way_id"]))
+    assert shown(nearest_indexed(points, open_cells(spark, f"{tmp_path}/i"), ["way_id"])) == want and len(want) > 20
+
+
 def test_stage_root_is_shared_setting(spark):
     assert "corridor_spark" in stage_root(spark)
 
