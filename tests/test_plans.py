@@ -329,3 +329,50 @@ def test_long_evidence_stands_in_small_row_groups(spark, tmp_path, monkeypatch):
         assert sum(g.num_rows for g in groups) == 40
         assert max(sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for g in groups) < 6 << 20
     assert found.mentions.agg(F.min(F.length("source"))).first()[0] == 512_000
+
+
+def test_snapshots_are_taken_out_in_one_pass(spark):
+    """Newest snapshot by time, then place; items that are no objects count in the list only, and no item's schema is worked out."""
+    engagement = [{"captured_at": "2026-01-02 00:00:00", "likes": "3", "views": "nan"}, 7, None, [1], {"captured_at": "2026-01-02 00:00:00", "likes": "x", "shares": True, "_": 1},
+                  {"captured_at": "2026-01-01 00:00:00", "likes": 50, "comments": 2}, {"likes": 90}, {"captured_at": "bad", "likes": 91}]
+    evidence = [{"source": "a", "engagement": engagement}, {"source": "b", "engagement": engagement[:1] + engagement[5:]}, 5, None, {"engagement": {"likes": 1}}, {"engagement": [3]}, []]
+    rows = [("u", json.dumps(evidence), "{}"), ("v", "[]", "{}"), ("w", json.dumps(evidence)[:-1], None)]
+    out = incidents.events(spark.createDataFrame(rows, "uuid string, evidence string, reliability string"))
+    got = {r["uuid"]: tuple(r[c] for c in ("latest_likes", "latest_comments", "latest_shares", "latest_quotes", "latest_views", "engagement_snapshots", "engagement_mentions", "mentions"))
+           for r in out.collect()}
+    assert got == {"u": (3.0, 0.0, 0.0, 0.0, 0.0, 13, 3, 7), "v": (0.0,) * 5 + (0, 0, 0), "w": (0.0,) * 5 + (0, 0, 0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "schema_of_variant" not in plan and plan.count("$.captured_at") == 0
+
+
+def test_incident_text_is_compacted_once(spark):
+    """The long text is folded once; tags that run from one part into the next are still cut from the whole."""
+    columns = ("corridor_candidate", "road_name_candidates", "address", "observation", "nearest_osm_ref", "nearest_osm_name", "intersection_candidate")
+    texts = ["", None, "Bulevar del Ejército", "calle <b", "x> y z", "a < b > y c", "avenida Olímpica y calle ß"]
+    rows = [(f"u{i}{j}{k}", a, b, c, c, "", "Calle 1", "") for i, a in enumerate(texts) for j, b in enumerate(texts) for k, c in enumerate(texts)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("uuid", *columns))).withColumns(
+        {"osm_match_status": F.lit("SPATIAL_OSM_HIGH"), "nearest_osm_distance_m": F.lit(80.0)})
+    joined = lambda *names: F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in names])
+    padded = lambda col: F.concat(F.lit(" "), resolve.compact_text(col), F.lit(" "))
+    whole = padded(joined("corridor_candidate", "road_name_candidates", "address", "observation"))
+    context = padded(joined("address", "observation", "corridor_candidate"))
+    want = df.select("uuid", F.coalesce(resolve._phrase_rule(whole, 1), resolve._phrase_rule(whole, 2)).alias("ruled"), context.contains(" y ").alias("y"))
+    got = {r["uuid"]: r for r in resolve.resolve_incident(df).collect()}
+    for r in want.collect():
+        found = got[r["uuid"]]
+        if r["ruled"] is not None:
+            assert found["text_corridor_norm"] == r["ruled"]
+        if found["text_corridor_norm"] not in ("", found["nearest_osm_corridor_norm"]):
+            assert (found["text_osm_resolution"] == "INTERSECTION_ACCEPTED") == r["y"]
+    plan = resolve.resolve_incident(df)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("_told#") > 2 and "AS _ctx#" in plan
+
+
+def test_folding_passes_over_ascii(spark):
+    """The long class of characters is tried on other characters only; results are those of the exact form."""
+    from corridor_spark.functions.text import fold, fold_exact
+
+    df = spark.createDataFrame([("av. Olímpica ﬁn ㎞ 12 ½ Straße ﬃ ª Ǆ" * 3,), ("plain",), ("",), (None,)], "t string")
+    assert r"(?=[^\x00-\x7f])" in df.select(fold(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.select(F.regexp_replace(fold(F.col("t")), "[^ -~]+", " ").alias("a"), F.regexp_replace(fold_exact(F.col("t")), "[^ -~]+", " ").alias("b")).collect():
+        assert r["a"] == r["b"]
